@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodeworks.llm import bpe, langid, sharding
+from lodeworks.llm import bpe, langid, quality, sharding
 
-MODULES = (sharding, langid, bpe)
+MODULES = (sharding, langid, quality, bpe)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in getattr(m, "ORACLES", {}).items()}
