@@ -33,3 +33,16 @@ def settled(df: DataFrame, *keys: str, parts: int | None = None) -> DataFrame:
 def fresh(name: str) -> str:
     """A column name that no input has."""
     return f"_{name}_{uuid.uuid4().hex[:8]}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared checkpoint folder and read back: as ``settled``, and its size is known to
+    the planner, which broadcasts it only below spark.sql.autoBroadcastJoinThreshold and shuffles it otherwise."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        ensure_checkpoint_dir(spark)
+        base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    path = f"{base.rstrip('/')}/lodeworks-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
