@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodeworks.llm import bpe, html, langid, licences, quality, sharding
+from lodeworks.llm import bpe, decontaminate, html, langid, licences, quality, sharding
 
-MODULES = (sharding, html, langid, quality, licences, bpe)
+MODULES = (decontaminate, sharding, html, langid, quality, licences, bpe)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in getattr(m, "ORACLES", {}).items()}

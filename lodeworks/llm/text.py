@@ -166,7 +166,7 @@ def shingles(w: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
         out[slots] = full[slots + at]
     for r in np.flatnonzero((per_row > 0) & (per_row < k)):
         own = w.hash[w.first[r] : w.first[r + 1]]
-        out[first[r]] = (own * SHINGLE_FACTORS[: len(own)]).sum() + np.uint64(0x5851F42D4C957F2D) * np.uint64(len(own))
+        out[first[r]] = (own * SHINGLE_FACTORS[: len(own)]).sum() ^ np.uint64(0x5851F42D4C957F2D * len(own) % (1 << 64))
     return mix(out), first
 
 
