@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodeworks.llm import bpe, decontaminate, html, langid, language_model, licences, near_duplicates, quality, sharding
+from lodeworks.llm import bpe, decontaminate, html, langid, language_model, licences, near_duplicates, quality, sharding, similar_vectors
 
-MODULES = (decontaminate, sharding, html, langid, quality, near_duplicates, language_model, licences, bpe)
+MODULES = (decontaminate, sharding, html, langid, similar_vectors, quality, near_duplicates, language_model, licences, bpe)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in getattr(m, "ORACLES", {}).items()}
