@@ -1,16 +1,58 @@
-"""Cleans a corpus in stages; each stage calls one operator of lodeworks.llm."""
+"""Cleans a corpus in stages; each stage calls one operator of lodeworks.llm.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows of ``docs``; its result is written and read again before the
+next one. All but the last return the columns of ``docs``, whatever these are besides doc_id and text. Null and empty
+texts are scored like others, and go with the language stage at the latest, as they have no language. An empty
+table passes through.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from lodeworks.llm import bpe, decontaminate, langid, near_duplicates, quality
+from lodeworks.llm.common import written
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that score 0.3 or more."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3)
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose language can be told."""
+    return langid.keep_identified(docs)
+
+
+def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of a similarity of 0.8 or more over five-word shingles."""
+    return near_duplicates.keep_one_of_each(docs, num=80, den=100)
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that hold no benchmark item."""
+    return decontaminate.keep_uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each document, and a hash of the text that they decode to."""
+    return bpe.bpe_encode_decode(docs, bpe.tokenizer_spec(), ("n_tokens", "ids", "decoded_sha256"))
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("language", known_language),
+    ("near duplicates", one_of_near_duplicates),
+    ("decontamination", uncontaminated),
+    ("tokens", token_ids),
+]
+#: Trained models decide what stays; the tests hold each stage against a brute-force version instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies STAGES to documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
