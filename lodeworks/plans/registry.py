@@ -1,10 +1,9 @@
-"""Collects the queries of every plan module, with the SQL of those that have one."""
+"""All queries of the plan modules, with the SQL of those that have one."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lodeworks.plans import analysis, designs, preparation, profiling
+from lodeworks.plans.query import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+MODULES = (profiling, preparation, analysis, designs)
+__all__ = ["MODULES", "ORACLES", "QUERIES"]
