@@ -242,7 +242,10 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", mi
     deletion changes a page's text, are too many to broadcast by Spark's own threshold.
     """
     text = F.coalesce(F.col(html_col), F.lit(""))
-    keyed = pages.withColumns({"_host": host_of(F.col(url_col)), "_html": text}).withColumn("_page", F.xxhash64("_host", "_html"))
+    columns = [c for c in pages.columns if c not in ("text", "n_chars")]
+    kept = [c for c in columns if c != html_col]
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row")  # so that no column of the input meets one of ours
+    keyed = pages.select(row, host_of(F.col(url_col)).alias("_host"), text.alias("_html")).withColumn("_page", F.xxhash64("_host", "_html"))
     found = written(_subtrees(keyed), "subtrees")
     counts = found.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
     sizes = counts.where("subtree = 0").select("host", F.col("n").alias("n_pages"))
@@ -258,10 +261,7 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", mi
                 texts = [Page(source.as_py() or "").text(set(gone or ())) for source, gone in zip(part.column(1), part.column(2).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["_row", "text", "n_chars"])
 
-    columns = [c for c in pages.columns if c not in ("text", "n_chars")]
-    kept = [c for c in columns if c != html_col]
-    row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row")
-    joined = keyed.join(delete, keyed["_page"] == delete["page"], "left").select(row, F.col("_html"), F.col("_delete"))
+    joined = keyed.join(delete, keyed["_page"] == delete["page"], "left").select("_row", "_html", "_delete")
     kind = joined.schema["_row"].dataType.simpleString()
     out = joined.mapInArrow(work, f"_row {kind}, text string, n_chars long")
     return out.select(*[F.col("_row")[c].alias(c) for c in kept], "text", "n_chars")
