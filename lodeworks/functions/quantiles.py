@@ -46,7 +46,7 @@ def exact_quantiles(df: DataFrame, probs: Mapping[str, Sequence[float]], bins: i
             break
         inside = [(F.col("c") == c) & F.col("v").between(lo, hi) for c, lo, hi in spans]
         # Halved first, so that a range wider than the largest double does not overflow.
-        share = [F.least(F.floor((F.col("v") / 2 - lo / 2) / (hi / 2 - lo / 2) * bins), F.lit(bins - 1)) for _, lo, hi in spans]
+        share = [F.least(F.floor((F.col("v") / 2 - lo / 2) / (hi / 2 - lo / 2) * bins), F.lit(bins - 1)) if hi / 2 > lo / 2 else (F.col("v") > lo).cast("long") for _, lo, hi in spans]
         number = reduce(lambda acc, k: acc.when(inside[k], F.struct(F.lit(k).alias("span"), share[k].alias("bin"))), range(1, len(spans)), F.when(inside[0], F.struct(F.lit(0).alias("span"), share[0].alias("bin"))))
         found = long.select("v", number.alias("at")).where("at is not null").groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
         rows: dict[int, list] = {}
