@@ -10,7 +10,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
+from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans, PowerIterationClustering
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +43,24 @@ def assign(df: DataFrame, vector: str, centres: Sequence[Sequence[float]]) -> Da
     return df.withColumn("_best", F.array_min(options)).withColumns({"cluster": F.col("_best.i"), "squared_distance": F.col("_best.d")}).drop("_best")
 
 
+def power_iteration(df: DataFrame, key: str, vector: str, k: int, neighbours: int = 10, rounds: int = 20) -> DataFrame:
+    """(key, cluster) by power iteration over the graph of nearest neighbours, a relative of spectral clustering; the weight of a link
+    falls with the distance."""
+    near = nearest(df, df, key, vector, neighbours)
+    links = near.select(F.least(key, "neighbour").alias("src"), F.greatest(key, "neighbour").alias("dst"), (1 / (1 + F.col("distance"))).alias("weight")).distinct()
+    found = PowerIterationClustering(k=k, maxIter=rounds, initMode="degree", weightCol="weight").assignClusters(links)
+    return found.select(F.col("id").alias(key), "cluster")
+
+
+def principal_components(df: DataFrame, key: str, vector: str, k: int = 2) -> DataFrame:
+    """(key, pc1 .. pck): coordinates along the first principal components, of either sign."""
+    from pyspark.ml.functions import vector_to_array
+
+    with_x = with_features(df, vector)
+    out = PCA(k=k, inputCol="features", outputCol="_pc").fit(with_x).transform(with_x)
+    return out.withColumn("_pc", vector_to_array("_pc")).select(key, *[F.col("_pc")[i].alias(f"pc{i + 1}") for i in range(k)])
+
+
 def inertia(df: DataFrame, vector: str, ks: Sequence[int], seed: int = 1) -> DataFrame:
     """(k, inertia) of k-means for each k: the elbow table that advises on k."""
     rows = [(k, float(fit(df, vector, "kmeans", k, seed).summary.trainingCost)) for k in ks]

@@ -74,6 +74,36 @@ def cross_validate(df: DataFrame, keys: Sequence[str], features: Sequence[str],
     return df.sparkSession.createDataFrame(rows, "parameters string, fold int, metric double")
 
 
+def nested_cross_validate(df: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, model: str, task: str, grid: Sequence[Mapping], outer: int = 3, inner: int = 2) -> DataFrame:
+    """(fold, parameters, metric): in each outer fold the parameters that win the inner folds of its training rows, and what they reach on the
+    rows left out."""
+    own = df.withColumn("_outer", fold(keys, outer, seed=1))
+    rows = []
+    for k in range(outer):
+        train = own.where(F.col("_outer") != k)
+        means = cross_validate(train, keys, features, target, model, task, grid, inner).groupBy("parameters").agg(F.avg("metric").alias("m")).collect()
+        best = sorted(means, key=lambda r: (r["m"] if task == "regression" else -r["m"], r["parameters"]))[0]["parameters"]
+        chosen = next(g for g in grid if str(dict(sorted(g.items()))) == best)
+        fitted = pipeline(train, features, target, model, task, **chosen).fit(train)
+        rows.append((k, best, float(_metric(task, target).evaluate(fitted.transform(own.where(F.col("_outer") == k))))))
+    return df.sparkSession.createDataFrame(rows, "fold int, parameters string, metric double")
+
+
+def forest_surrogate(fitted: PipelineModel, df: DataFrame) -> DataFrame:
+    """``df`` with ``mu`` and ``sigma``: mean and spread over the trees of a fitted regression forest, each scored on the JVM."""
+    *before, forest = fitted.stages
+    out = df
+    for stage in before:
+        out = stage.transform(out)
+    names = []
+    for i, tree in enumerate(forest.trees):
+        names.append(f"_tree_{i}")
+        out = tree.setFeaturesCol("_features").setPredictionCol(names[-1]).transform(out)
+    mean = sum((F.col(n) for n in names), F.lit(0.0)) / len(names)
+    spread = F.sqrt(sum(((F.col(n) - F.col("mu")) * (F.col(n) - F.col("mu")) for n in names), F.lit(0.0)) / len(names))
+    return out.withColumn("mu", mean).withColumn("sigma", spread).select(*df.columns, "mu", "sigma")
+
+
 def grid_search(ranges: Mapping[str, Sequence]) -> list[dict]:
     return [dict(zip(ranges, values)) for values in itertools.product(*ranges.values())]
 

@@ -10,6 +10,7 @@ from lodeworks.operators import explain as X
 from lodeworks.operators import model as M
 from lodeworks.operators import prepare as P
 from lodeworks.operators import select as S
+from lodeworks.operators.isolation import isolation_scores
 from lodeworks.plans.query import LINE_KEY, query, read, rounded
 from lodeworks.functions.scalars import hash_percent
 
@@ -296,3 +297,35 @@ def inertia(spark, sf):
 def interpret(spark, sf):
     x = C.interpret(read(spark, sf, "lineitem"), "l_returnflag", ("l_quantity", "l_discount"))
     return x.select("cluster", "n", "column_name", F.round("mean", 4).alias("mean"), F.round("overall", 4).alias("overall"), (F.round("shift", 6) + 0.0).alias("shift"))
+
+
+@query("c4_power_iteration")
+def power_iteration(spark, sf):
+    return C.power_iteration(vectors(spark, sf), "vec_id", "embedding", 4)
+
+
+@query("c14_principal_components")
+def principal_components(spark, sf):
+    return rounded(C.principal_components(vectors(spark, sf), "vec_id", "embedding", 2))
+
+
+@query("v3_nested_cross_validation")
+def nested(spark, sf):
+    return M.nested_cross_validate(training(spark, sf), LINE_KEY, ("l_quantity", "l_discount"), "l_extendedprice", "linear", "regression", M.grid_search({"regParam": [0.0, 0.1]}), 2, 2)
+
+
+@query("h2_random_search")
+def random_search(spark, sf):
+    return M.cross_validate(training(spark, sf), LINE_KEY, ("l_quantity", "l_discount"), "l_extendedprice", "linear", "regression", M.random_search({"regParam": [0.0, 0.1, 0.5], "elasticNetParam": [0.0, 0.5]}, 2, 1), 2)
+
+
+@query("a4_forest_surrogate")
+def forest_surrogate(spark, sf):
+    x, own, fitted = _fitted(spark, sf, "forest", "regression", "l_extendedprice", numTrees=10, seed=1)
+    return rounded(M.forest_surrogate(fitted, x.where(~own)).select(*LINE_KEY, "mu", "sigma"))
+
+
+@query("o3_isolation")
+def isolation(spark, sf):
+    x = read(spark, sf, "lineitem").select(*LINE_KEY, "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    return rounded(isolation_scores(x, ("l_quantity", "l_extendedprice", "l_discount", "l_tax")).select(*LINE_KEY, "isolation"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions.quantiles import exact_quantiles
 from lodeworks.functions.running import running
-from lodeworks.operators import cluster, design, evaluate, explain, graph, model, neighbours, prepare, profile, project, select
+from lodeworks.operators import cluster, design, evaluate, explain, graph, isolation, model, neighbours, prepare, profile, project, select
 from lodeworks.sources import tabular
 from lodeworks.streaming import monitor
 
@@ -228,3 +228,25 @@ def test_usage_over_a_stream_equals_the_batch(spark, sf, tmp_path):
     q = stream.writeStream.format("memory").queryName("usage_out").outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r[0], r[1]): r[2] for r in spark.table("usage_out").collect()} == {(r[0], r[1]): r[2] for r in batch.collect()}
+
+
+def test_isolated_rows_score_highest_in_any_partitioning(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(300, 2)))] + [(300, 12.0, 12.0), (301, None, 1.0), (302, 12.0, -12.0), (303, 12.0, -12.0)]
+    df = spark.createDataFrame(rows, "id long, a double, b double")
+    got = {r["id"]: r["isolation"] for r in isolation.isolation_scores(df.repartition(3), ("a", "b")).collect()}
+    again = {r["id"]: r["isolation"] for r in isolation.isolation_scores(df.coalesce(1), ("a", "b")).collect()}
+    assert got == again and got[301] is None and got[302] == got[303]
+    ranked = sorted((i for i in got if got[i] is not None), key=lambda i: -got[i])
+    assert {300, 302, 303} <= set(ranked[:8])
+    assert isolation.isolation_scores(df.limit(0), ("a", "b")).count() == 0
+
+
+def test_nested_search_and_forest_spread(spark):
+    rows = [(i, float(i % 10), 3.0 * (i % 10)) for i in range(80)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    found = model.nested_cross_validate(df, ["id"], ("x",), "y", "linear", "regression", model.grid_search({"regParam": [0.0, 100.0]}), 2, 2)
+    assert {r["parameters"] for r in found.collect()} == {"{'regParam': 0.0}"}
+    fitted = model.pipeline(df, ("x",), "y", "forest", "regression", numTrees=5, seed=1).fit(df)
+    out = model.forest_surrogate(fitted, df).join(model.predict(fitted, df).select("id", "prediction"), "id")
+    assert out.where("abs(mu - prediction) > 1e-9 or sigma < 0").count() == 0
