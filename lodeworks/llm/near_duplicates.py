@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.llm import text as T
-from lodeworks.llm.common import settled, written
+from lodeworks.llm.common import fresh, settled, written
 from lodeworks.llm.components import components
 
 HASHES = 64
@@ -133,33 +133,36 @@ def _posts(nodes: DataFrame, least: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(node, shingles) of the nodes whose first document's id is in ``wanted``. A filter of fixed size decides which texts
+    """(node, shingles) of the ``wanted`` (node, _id), from the texts of those ids. A filter of fixed size decides which texts
     are split again; those it lets through needlessly do no harm."""
     spark = docs.sparkSession
     slot = F.pmod(F.xxhash64("_id"), F.lit(1 << FILTER_BITS))
     words = wanted.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits")).toPandas()
     bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     bits[words["w"].to_numpy(np.int64)] = words["bits"]
-    shipped = spark.sparkContext.broadcast(np.unpackbits(bits.view(np.uint8), bitorder="little"))
+    shipped = spark.sparkContext.broadcast(bits)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = np.flatnonzero(shipped.value[batch.column(1).to_numpy()])
-            texts = batch.column(0).take(pa.array(hit))
-            for chunk in T.chunks(texts):
+            at = batch.column(1).to_numpy()
+            hit = np.flatnonzero((shipped.value[at >> 6] >> (at & 63)) & 1)
+            for chunk in T.chunks(batch.column(0).take(pa.array(hit))):
                 s, first = T.shingles(T.words(chunk), k)
                 _, node, _ = signatures(chunk, k)
                 rows = np.flatnonzero(np.diff(first))
                 own = [np.unique(s[first[r] : first[r + 1]]).view(np.int64) for r in rows]
                 if own:
-                    yield pa.RecordBatch.from_arrays([pa.array(T.signed(node[rows])), pa.array(own, pa.list_(pa.int64()))], ["node", "shingles"])
+                    ids = batch.column(2).take(pa.array(hit[chunk.lo + rows]))
+                    yield pa.RecordBatch.from_arrays([pa.array(T.signed(node[rows])), pa.array(own, pa.list_(pa.int64())), ids], ["node", "shingles", "_own"])
 
-    found = docs.select(F.col(text_col), F.pmod(F.xxhash64(id_col), F.lit(1 << FILTER_BITS)).alias("_slot")).mapInArrow(work, "node long, shingles array<long>")
-    return found.dropDuplicates(["node"])
+    kind = dict(docs.dtypes)[id_col]
+    found = docs.select(F.col(text_col), F.pmod(F.xxhash64(id_col), F.lit(1 << FILTER_BITS)).alias("_slot"), F.col(id_col)).mapInArrow(work, f"node long, shingles array<long>, _own {kind}")
+    return found.join(wanted, "node").where(F.col("_own").eqNullSafe(F.col("_id"))).select("node", "shingles")
 
 
-def _confirmed(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, least: int, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) that agree in ``least`` coordinates and whose sets reach the similarity."""
+def _confirmed(pairs: DataFrame, sigs: DataFrame, sets_of, least: int, num: int, den: int) -> DataFrame:
+    """Those of the pairs (a, b) that agree in ``least`` coordinates and whose sets reach the similarity. Full sets are
+    read for the nodes of such pairs only."""
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,7 +172,9 @@ def _confirmed(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, least: int, n
 
     side = lambda x: sigs.select(F.col("node").alias(x), F.col("signature").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-    near = both.select("a", "b", "sa", "sb").mapInArrow(matched, "a long, b long")
+    near = written(both.select("a", "b", "sa", "sb").mapInArrow(matched, "a long, b long"), "near")
+    wanted = near.select(F.col("a").alias("node")).union(near.select("b")).distinct().join(sigs.select("node", "_id"), "node")
+    sets = sets_of(written(wanted, "wanted"))
     full = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
     held = near.join(full("a"), "a").join(full("b"), "b")
     held = held.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("both"), (F.size("sa") + F.size("sb")).cast("long").alias("sum"))
@@ -248,7 +253,7 @@ def near_duplicate_components(docs: DataFrame, num: int = 85, den: int = 100, k:
     posts = written(posts.join(shared, "key"), "posts")
     posted = nodes.join(posts.select("node").distinct(), "node")
     sigs = written(posted, "posted")
-    sets = written(_sets(docs, sigs.select("_id"), id_col, text_col, k), "sets")
+    sets_of = lambda wanted: _sets(docs, wanted, id_col, text_col, k)
     links, labelled = None, posts.withColumn("label", F.col("node"))
     for turn in range(3):
         if turn < 2:
@@ -257,11 +262,11 @@ def near_duplicate_components(docs: DataFrame, num: int = 85, den: int = 100, k:
             pairs = labelled.join(lists, "key").where("label <> own").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         else:
             pairs = _across(labelled, sigs, least)
-        found = _confirmed(pairs, sigs, sets, least, num, den)
+        found = _confirmed(pairs, sigs, sets_of, least, num, den)
         links = settled(found if links is None else links.union(found).distinct())
         joined = components(links, "a", "b")
         labelled = posts.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
-        labelled = settled(labelled) if turn < 2 else labelled
+        labelled = written(labelled, "labelled") if turn < 2 else labelled
     # A component's smallest id; a component is named by a node until then.
     named = nodes.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("part"), "_id")
     smallest = named.groupBy("part").agg(F.min("_id").alias("component_id"))
@@ -276,13 +281,15 @@ def keep_one_of_each(docs: DataFrame, num: int = 80, den: int = 100) -> DataFram
     are all kept, rows with a null id too, as they can't be named; of repeated rows of one id and text, one stays."""
     found = written(near_duplicate_components(docs, num, den).where("node is not null and doc_id is not null"), "components")
     # Rows to drop are named by id; they may be as many as documents, so the planner picks the join by size.
-    gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(*docs.columns)
-    repeated = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"))
+    name = fresh("id")
+    gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    kept = docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
+    repeated = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(name)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(name)
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, kept["doc_id"] == repeated["_id"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, kept["doc_id"] == repeated["_id"], "left_anti").unionByName(once)
+    repeated = written(repeated, "repeated")
+    once = kept.join(repeated, kept["doc_id"] == repeated[name], "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, kept["doc_id"] == repeated[name], "left_anti").unionByName(once)
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,3 +298,16 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_near_duplicates": op7_near_duplicates}
+# All pairs of documents that share a shingle, for small tables.
+ORACLES = {
+    "op7_near_duplicates": """
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN ['=' || array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+    e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+    m AS (SELECT a, min(b) AS m FROM r GROUP BY 1)
+    SELECT d.doc_id, coalesce(n.n, 0)::bigint AS n_shingles, least(d.doc_id, coalesce(m.m, d.doc_id)) AS component_id, d.doc_id <= coalesce(m.m, d.doc_id) AS kept
+    FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.a = d.doc_id"""
+}
