@@ -1,7 +1,8 @@
-"""Connected components by alternating large and small stars, in joins and aggregates only."""
+"""Connected components: of a table by alternating large and small stars, in joins and aggregates only; of a task's own links in numpy."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,3 +33,21 @@ def components(links: DataFrame, a: str, b: str, parts: int = 12) -> DataFrame:
         before = state
     tops = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(tops)
+
+
+def smallest_reached(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For each of n nodes the smallest one that the links u-v lead to."""
+    label = np.arange(n)
+    if not len(u):
+        return label
+    ends, others = np.concatenate([u, v]), np.concatenate([v, u])
+    order = np.argsort(ends, kind="stable")
+    ends, others = ends[order], others[order]
+    first = np.flatnonzero(np.r_[True, ends[1:] != ends[:-1]])
+    while True:
+        new = label.copy()
+        new[ends[first]] = np.minimum(label[ends[first]], np.minimum.reduceat(label[others], first))
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new

@@ -8,10 +8,12 @@ Prefix: two signatures that agree in ``least`` of HASHES coordinates share one o
 common order of coordinate-value pairs. Rare pairs come first, so that a pair which thousands of nodes hold is rarely
 posted. The order uses hashed counts of fixed size; whatever they are, no candidate is lost.
 
-Skip: only components are wanted, so a list of posts is not expanded into pairs. Each list first links its nodes to one
-of them, twice, with components taken in between; then only nodes of different components are compared, in
-blocks, and a block pair within one component is skipped. Nothing else is left out: every pair of nodes that
-agrees in ``least`` coordinates is either compared or already in one component.
+Skip: only components are wanted, so a list of posts is not expanded into pairs. Every list has a pivot, the node of the
+smallest hash; lists of one pivot are merged. First each node is compared with its pivots only, and components are taken. Then
+nodes of different components in one list are compared, in blocks, and a block pair within one component is skipped.
+Nothing else is left out: every pair of nodes that agrees in ``least`` coordinates is either compared or already
+in one component. The comparing task verifies pairs on full sets itself and returns a forest of links, so that the
+rows it makes grow with nodes, not with pairs.
 """
 
 from __future__ import annotations
@@ -20,20 +22,21 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.llm import text as T
 from lodeworks.llm.common import fresh, settled, written
-from lodeworks.llm.components import components
+from lodeworks.llm.components import components, smallest_reached
 
 HASHES = 64
 ORDER_BINS = 1 << 16
 #: Bits of the filter of documents whose sets are read again: fixed, a fuller filter only lets more sets through.
 FILTER_BITS = 24
 BLOCK = 512
+#: Bytes of sets and signatures that one comparing task takes, unless a single block pair has more.
+GROUP_BYTES = 16 << 20
 _rng = np.random.default_rng(29)
 FACTORS = _rng.integers(0, 1 << 62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 MASKS = _rng.integers(0, 1 << 62, HASHES, dtype=np.uint64)
@@ -181,57 +184,91 @@ def _confirmed(pairs: DataFrame, sigs: DataFrame, sets_of, least: int, num: int,
     return held.where(F.col("both") * den >= (F.col("sum") - F.col("both")) * num).select("a", "b")
 
 
-def _across(posts: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
-    """Pairs of nodes of one list and different components that agree in ``least`` coordinates. In each list, the nodes of its
-    largest component are compared with the others, and those with each other, a block pair of BLOCK x BLOCK at a time."""
-    by_label = posts.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+def _across(members: DataFrame, sigs: DataFrame, sets_of, least: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) between components, found in lists that hold nodes of several. In each list, the nodes of its
+    largest component are compared with the others, and those with each other, a block pair of BLOCK x BLOCK at a time. A task
+    counts collisions, verifies the pairs with enough of them on full sets, and returns a forest of the components it joins: no
+    more rows than components, however many pairs are near."""
+    by_label = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     lists = by_label.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("all"))
     # Two nodes of a list of two have been compared already.
     lists = lists.where((F.col("most.n") < F.col("all")) & (F.col("all") > 2))
-    rows = posts.join(lists, "key").withColumn("other", F.col("label") != F.col("most.label"))
+    rows = members.join(lists, "key").withColumn("other", F.col("label") != F.col("most.label"))
     mains = F.ceil(F.col("most.n") / BLOCK).cast("int")
     others = F.ceil((F.col("all") - F.col("most.n")) / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), F.when(F.col("other"), others).otherwise(mains)).cast("int")
-    rows = rows.select("key", "node", "label", "other", own.alias("own"), mains.alias("mains"), others.alias("others"))
+    rows = written(rows.select("key", "node", "label", "other", own.alias("own"), mains.alias("mains"), others.alias("others")), "contested")
     # A block pair is (left, right, whether left is of the main component).
     side = lambda l, r, main: F.struct(l.cast("int").alias("l"), r.cast("int").alias("r"), F.lit(main).alias("main"))
     count = lambda n: F.sequence(F.lit(0), n - 1)
     as_main = F.transform(count(F.col("others")), lambda j: side(F.col("own"), j, True))
     as_other = F.concat(F.transform(count(F.col("mains")), lambda i: side(i, F.col("own"), True)), F.transform(count(F.col("others")), lambda j: side(F.least(F.col("own"), j), F.greatest(F.col("own"), j), False)))
-    spread = rows.withColumn("pair", F.explode(F.when(F.col("other"), as_other).otherwise(as_main))).join(sigs.select("node", "signature"), "node")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        out_a, out_b = [], []
-        pdf = pdf.sort_values(["key", "main", "l", "r"], kind="stable")
-        marks = pdf[["key", "l", "r"]].to_numpy()
-        main, other, node, label = pdf["main"].to_numpy(), pdf["other"].to_numpy(), pdf["node"].to_numpy(), pdf["label"].to_numpy()
-        own = pdf["own"].to_numpy()
-        sig = np.frombuffer(b"".join(pdf["signature"]), np.uint32).reshape(-1, HASHES)
-        edges = np.flatnonzero(np.r_[True, (marks[1:] != marks[:-1]).any(1) | (main[1:] != main[:-1])])
-        for lo, hi in zip(edges, [*edges[1:], len(pdf)]):
+    pairs = F.when(F.col("other"), as_other).otherwise(as_main)
+    wanted = written(sigs.join(rows.select("node").distinct(), "node", "left_semi").select("node", "_id", "n"), "wanted")
+    size = rows.select("node", F.size(pairs).alias("times")).join(wanted, "node").agg(F.coalesce(F.sum(F.col("times") * (F.col("n") * 8 + HASHES * 4)), F.lit(0))).first()[0]
+    payload = sigs.select("node", "signature").join(sets_of(wanted.select("node", "_id")), "node")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by([(c, "ascending") for c in ("key", "main", "l", "r")])
+        key, l, r, main, other, mine, label = (table[c].to_numpy(zero_copy_only=False) for c in ("key", "l", "r", "main", "other", "own", "label"))
+        sets = table["shingles"].combine_chunks()
+        ends, values = sets.offsets.to_numpy(), sets.values.to_numpy()
+        sig = _stack(table["signature"])
+        edges = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (l[1:] != l[:-1]) | (r[1:] != r[:-1]) | (main[1:] != main[:-1])])
+        out: list[np.ndarray] = []
+        for lo, hi in zip(edges, [*edges[1:], len(key)]):
+            at = np.arange(lo, hi)
             if main[lo]:
-                left, right = lo + np.flatnonzero(~other[lo:hi]), lo + np.flatnonzero(other[lo:hi])
+                left, right = at[~other[lo:hi]], at[other[lo:hi]]
             else:
-                left, right = lo + np.flatnonzero(own[lo:hi] == marks[lo, 1]), lo + np.flatnonzero(own[lo:hi] == marks[lo, 2])
-            for x in range(0, len(left), 64):
-                i = left[x : x + 64]
-                agree = np.zeros((len(i), len(right)), np.uint8)
-                for j in range(HASHES):
-                    agree += sig[i, j][:, None] == sig[right, j][None]
-                p, q = np.nonzero((agree >= least) & (label[i][:, None] != label[right][None]) & (node[i][:, None] != node[right][None]))
-                a, b = node[i][p], node[right][q]
-                out_a.append(np.minimum(a, b))
-                out_b.append(np.maximum(a, b))
-        if not out_a:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)}).drop_duplicates()
-
-    # Many small block pairs share a group, a full one has its own share; a group holds about 8 of the largest.
-    flat = spread.select("key", F.col("pair.l").alias("l"), F.col("pair.r").alias("r"), F.col("pair.main").alias("main"), "other", "own", "node", "label", "signature")
-    total = spread.select(F.count(F.lit(1))).first()[0]
-    groups = max(12, -(-total // (8 * BLOCK)))
-    group = F.pmod(F.xxhash64("key", "l", "r", "main"), F.lit(groups))
-    return flat.withColumn("_g", group).groupBy("_g").applyInPandas(lambda pdf: compare(pdf), "a long, b long").distinct()
+                left, right = at[mine[lo:hi] == l[lo]], at[mine[lo:hi] == r[lo]]
+            agree = np.zeros((len(left), len(right)), np.uint8)
+            for j in range(HASHES):
+                agree += sig[left, j][:, None] == sig[right, j][None]
+            near = (agree >= least) & (label[left][:, None] != label[right][None])
+            left, right, near = left[near.any(1)], right[near.any(0)], near[near.any(1)][:, near.any(0)]
+            if not near.size:
+                continue
+            both = _shared([values[ends[i] : ends[i + 1]] for i in left], [values[ends[i] : ends[i + 1]] for i in right])
+            total = np.diff(ends)[left][:, None] + np.diff(ends)[right][None]
+            p, q = np.nonzero(near & (both * den >= (total - both) * num))
+            names, ids = np.unique(np.concatenate([label[left[p]], label[right[q]]]), return_inverse=True)
+            roots = smallest_reached(len(names), ids[: len(p)], ids[len(p) :])
+            own_root = np.flatnonzero(roots != np.arange(len(names)))
+            out.append(np.stack([names[roots[own_root]], names[own_root]]))
+        a, b = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    # Many small block pairs share a group, a full one has its own.
+    spread = rows.withColumn("pair", F.explode(pairs)).join(payload, "node")
+    group = F.pmod(F.xxhash64("key", "l", "r", "main"), F.lit(max(12, -(-size // GROUP_BYTES))))
+    flat = spread.select("key", F.col("pair.l").alias("l"), F.col("pair.r").alias("r"), F.col("pair.main").alias("main"), "other", "own", "label", "signature", "shingles").withColumn("_g", group)
+    return flat.groupBy("_g").applyInArrow(compare, "a long, b long").distinct()
+
+
+def _shared(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """How many values each set of ``left`` shares with each of ``right``, by products of incidence matrices."""
+    a, b = np.concatenate(left), np.concatenate(right)
+    common = np.intersect1d(np.unique(a), np.unique(b), assume_unique=True)
+    out = np.zeros((len(left), len(right)), np.int64)
+    if not len(common):
+        return out
+    sides = []
+    for sets, values in ((left, a), (right, b)):
+        column = np.minimum(np.searchsorted(common, values), len(common) - 1)
+        hit = common[column] == values
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(column[hit], kind="stable")
+        sides.append((row[hit][order], column[hit][order], len(sets)))
+    for lo in range(0, len(common), width):
+        m = []
+        for row, column, n in sides:
+            x, y = np.searchsorted(column, (lo, lo + width))
+            dense = np.zeros((n, min(width, len(common) - lo)), np.float32)
+            dense[row[x:y], column[x:y] - lo] = 1
+            m.append(dense)
+        out += (m[0] @ m[1].T).astype(np.int64)
+    return out
 
 
 def near_duplicate_components(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,24 +286,18 @@ def near_duplicate_components(docs: DataFrame, num: int = 85, den: int = 100, k:
     grouped = rows.where("node is not null").groupBy("node").agg(F.min("_id").alias("_id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n"))
     nodes = written(grouped, "nodes")
     posts = _posts(nodes, least)
-    shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    posts = written(posts.join(shared, "key"), "posts")
-    posted = nodes.join(posts.select("node").distinct(), "node")
-    sigs = written(posted, "posted")
+    first = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("pivot"))).alias("first")
+    lists = posts.groupBy("key").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("post"), F.col("first.pivot").alias("key"))
+    # Lists of the same pivot are merged: the many lists of a group of near copies mostly have the same one.
+    members = written(posts.join(lists, posts["key"] == lists["post"]).select(lists["key"], "node").distinct(), "members")
+    sigs = written(nodes.join(members.select("node").distinct(), "node", "left_semi"), "posted")
     sets_of = lambda wanted: _sets(docs, wanted, id_col, text_col, k)
-    links, labelled = None, posts.withColumn("label", F.col("node"))
-    for turn in range(3):
-        if turn < 2:
-            first = F.min(F.struct(F.xxhash64(F.col("node"), F.lit(turn)).alias("h"), F.col("node").alias("pivot"), F.col("label").alias("own"))).alias("p")
-            lists = labelled.groupBy("key").agg(first, F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", "p.pivot", "p.own")
-            pairs = labelled.join(lists, "key").where("label <> own").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        else:
-            pairs = _across(labelled, sigs, least)
-        found = _confirmed(pairs, sigs, sets_of, least, num, den)
-        links = settled(found if links is None else links.union(found).distinct())
-        joined = components(links, "a", "b")
-        labelled = posts.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
-        labelled = written(labelled, "labelled") if turn < 2 else labelled
+    pairs = members.where("node <> key").select(F.least("node", "key").alias("a"), F.greatest("node", "key").alias("b")).distinct()
+    links = settled(_confirmed(pairs, sigs, sets_of, least, num, den))
+    joined = components(links, "a", "b")
+    labelled = written(members.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label")), "labelled")
+    links = settled(links.union(_across(labelled, sigs, sets_of, least, num, den)))
+    joined = components(links, "a", "b")
     # A component's smallest id; a component is named by a node until then.
     named = nodes.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("part"), "_id")
     smallest = named.groupBy("part").agg(F.min("_id").alias("component_id"))

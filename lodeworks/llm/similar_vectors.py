@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.llm.common import settled, written
-from lodeworks.llm.components import components
+from lodeworks.llm.components import components, smallest_reached
 
 PROJECTIONS = 32
 WIDTH = 3.5
@@ -106,24 +106,6 @@ def linked_pairs(a: np.ndarray, b: np.ndarray, threshold: float, same: bool) ->
     return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (none, none)
 
 
-def smallest_reached(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """For each of n nodes the smallest one that the links u-v lead to."""
-    label = np.arange(n)
-    if not len(u):
-        return label
-    ends, others = np.concatenate([u, v]), np.concatenate([v, u])
-    order = np.argsort(ends, kind="stable")
-    ends, others = ends[order], others[order]
-    first = np.flatnonzero(np.r_[True, ends[1:] != ends[:-1]])
-    while True:
-        new = label.copy()
-        new[ends[first]] = np.minimum(label[ends[first]], np.minimum.reduceat(label[others], first))
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _blocks(nodes: DataFrame, dim: int, kind: str, n_blocks: int) -> DataFrame:
     """(block, lo, hi, nodes, counts, vectors): up to BLOCK nodes that are neighbours in the first projection."""
     d = directions(dim)[:, 0]
