@@ -16,8 +16,10 @@ import numpy as np
 HIDDEN = 16
 CLASS_WORDS = 64
 #: Documents side by side, and time steps of a window, in training and in scoring.
-TRAIN_LANES, TRAIN_STEPS = 256, 16
+TRAIN_LANES, TRAIN_STEPS = 512, 16
 SCORE_LANES, SCORE_STEPS = 512, 32
+#: Windows that a training batch is cut into at least, down to 32 lanes.
+WINDOWS = 64
 _NONE = np.float32(-1e4)  # the logit of a place of a class that no word has
 
 
@@ -32,7 +34,7 @@ class Gru:
         h, k = HIDDEN, self.n_words
         self.n_classes = -(-k // CLASS_WORDS)
         self.other, self.end = k, k + 1
-        self.shapes = {"embed": (k + 2, h), "w": (h, 3 * h), "b": (3 * h,), "u": (h, 3 * h), "wc": (h, self.n_classes + 2), "bc": (self.n_classes + 2,), "wo": (self.n_classes, h, CLASS_WORDS), "bo": (self.n_classes, CLASS_WORDS)}
+        self.shapes = {"embed": (k + 2, h), "w": (h, 3 * h), "b": (3 * h,), "u": (h, 3 * h), "wc": (h + 1, self.n_classes + 2), "wo": (self.n_classes, h + 1, CLASS_WORDS)}  # the last row of each: biases
         self.size = sum(int(np.prod(s)) for s in self.shapes.values())
         if self.theta is None:
             self.theta = np.zeros(self.size, np.float32)
@@ -59,96 +61,129 @@ class Gru:
         padded[: len(counts)] = counts + 1
         padded = padded.reshape(-1, CLASS_WORDS)
         with np.errstate(divide="ignore"):
-            net.p["bo"][:] = np.maximum(np.log(padded), _NONE) - np.log(padded.sum(1, keepdims=True))
+            net.p["wo"][:, HIDDEN] = np.maximum(np.log(padded), _NONE) - np.log(padded.sum(1, keepdims=True))
         shares = np.append(padded.sum(1), [n_other + 1, n_end + 1])
-        net.p["bc"][:] = np.log(shares / shares.sum())
+        net.p["wc"][HIDDEN] = np.log(shares / shares.sum())
         return net
 
     def gates(self) -> np.ndarray:
         """What each token puts into the gates."""
         return self.p["embed"] @ self.p["w"] + self.p["b"]
 
-    def run(self, h: np.ndarray, gates: np.ndarray, x: np.ndarray, fresh: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray, list]:
-        """Steps x (steps, lanes) from state h; where ``fresh``, a text begins and the state is 0. Returns all states, the last, and what ``back`` needs."""
-        u, d = self.p["u"], HIDDEN
-        out, kept = np.empty((*x.shape, d), np.float32), []
+    def run(self, h: np.ndarray, gates: np.ndarray, x: np.ndarray, fresh: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray, tuple | None]:
+        """Steps x (steps, lanes) from state h; where ``fresh``, a text begins and the state is 0. Returns all states, each with
+        a 1 behind it, the last state, and what ``back`` needs."""
+        u, d, kind = self.p["u"], HIDDEN, self.theta.dtype
+        out = np.ones((*x.shape, d + 1), kind)
+        before, zr_all, n_all, sn_all = (np.empty((*x.shape, w), kind) for w in (d, 2 * d, d, d)) if keep else (None,) * 4
+        begins = fresh.any(1)
         for t in range(len(x)):
-            h = np.where(fresh[t][:, None], np.float32(0), h)
+            if begins[t]:
+                h = h * ~fresh[t][:, None]
             g, s = gates[x[t]], h @ u
-            zr = g[:, : 2 * d] + s[:, : 2 * d]
+            zr = g[:, : 2 * d]
+            zr += s[:, : 2 * d]
             np.negative(zr, out=zr)
             np.exp(zr, out=zr)
             zr += 1
             np.reciprocal(zr, out=zr)
             z, r, sn = zr[:, :d], zr[:, d:], s[:, 2 * d :]
-            n = np.tanh(g[:, 2 * d :] + r * sn)
+            n = r * sn
+            n += g[:, 2 * d :]
+            np.tanh(n, out=n)
             if keep:
-                kept.append((h, z, r, n, sn))
-            h = n + z * (h - n)
-            out[t] = h
-        return out, h, kept
+                before[t], zr_all[t], n_all[t], sn_all[t] = h, zr, n, sn
+            h = h - n
+            h *= z
+            h += n
+            out[t, :, :d] = h
+        return out, h, (before, zr_all, n_all, sn_all) if keep else None
 
-    def back(self, kept: list, x: np.ndarray, fresh: np.ndarray, d_out: np.ndarray, grad: dict[str, np.ndarray]) -> None:
+    def back(self, kept: tuple, x: np.ndarray, fresh: np.ndarray, d_out: np.ndarray, grad: dict[str, np.ndarray]) -> None:
         """Adds the gradients of a window; the gradient ends where the window began."""
-        u, carry = self.p["u"], 0.0
-        d_gates = np.empty((*x.shape, 3 * HIDDEN), np.float32)
+        (h, zr, n, sn), d = kept, HIDDEN
+        z, r, ut = zr[..., :d], zr[..., d:], self.p["u"].T
+        to_n, to_z, to_r = (1 - z) * (1 - n * n), (h - n) * z * (1 - z), sn * r * (1 - r)
+        d_state = np.empty((*x.shape, 3 * d), self.theta.dtype)  # by what the state puts into the gates
+        d_n = np.empty_like(n)
+        begins, carry = fresh.any(1), 0.0
         for t in range(len(x) - 1, -1, -1):
-            h, z, r, n, sn = kept[t]
             dh = d_out[t] + carry
-            dn = dh * (1 - z) * (1 - n * n)
-            dz, dr = dh * (h - n) * z * (1 - z), dn * sn * r * (1 - r)
-            d_gates[t] = np.concatenate([dz, dr, dn], 1)
-            ds = np.concatenate([dz, dr, dn * r], 1)
-            grad["u"] += h.T @ ds
-            carry = (dh * z + ds @ u.T) * ~fresh[t][:, None]
-        flat, ids = d_gates.reshape(-1, 3 * HIDDEN), x.ravel()
+            dn, ds = d_n[t], d_state[t]
+            np.multiply(dh, to_n[t], out=dn)
+            np.multiply(dh, to_z[t], out=ds[:, :d])
+            np.multiply(dn, to_r[t], out=ds[:, d : 2 * d])
+            np.multiply(dn, r[t], out=ds[:, 2 * d :])
+            dh *= z[t]
+            carry = ds @ ut
+            carry += dh
+            if begins[t]:
+                carry *= ~fresh[t][:, None]
+        flat, ids = d_state.reshape(-1, 3 * d), x.ravel()
+        grad["u"] += h.reshape(-1, d).T @ flat
+        flat[:, 2 * d :] = d_n.reshape(-1, d)  # by what the token puts into them
         grad["b"] += flat.sum(0)
         grad["w"] += self.p["embed"][ids].T @ flat
-        d_embed = flat @ self.p["w"].T
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
         first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        grad["embed"][ids[first]] += np.add.reduceat(d_embed[order], first, axis=0)
+        grad["embed"][ids[first]] += np.add.reduceat(flat[order], first, axis=0) @ self.p["w"].T
+
+    def _exp(self, logits: np.ndarray, bound: float) -> np.ndarray:
+        """Exponentials in place, shifted only where they could overflow: a state is within -1 .. 1, which bounds the logits."""
+        if bound > 60:
+            logits -= logits.max(1, keepdims=True)
+        return np.exp(logits, out=logits)
 
     def log_p(self, states: np.ndarray, target: np.ndarray, grad: dict[str, np.ndarray] | None = None, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log-probabilities of ``target`` (within OTHER: of the class only). With ``grad``, adds the gradients of
-        the cross entropy times ``weight``, and returns that of the states."""
-        p, c = self.p, self.class_of[target]
-        logits = states @ p["wc"] + p["bc"]
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(1)
-        at = np.arange(len(target))
-        out = logits[at, c] - np.log(total)
+        the cross entropy times ``weight``, and returns that of the states. All in order of class, so that each class is one run."""
+        p, n, d = self.p, len(target), HIDDEN
+        order = np.argsort(self.class_of[target], kind="stable")
+        y, c, s = target[order], self.class_of[target[order]], states[order]
+        at, edges = np.arange(n), np.searchsorted(c, np.arange(self.n_classes + 1))
+        e = s @ p["wc"]
+        own = e[at, c]
+        shift = np.abs(p["wc"][:d]).sum(0).max() + p["wc"][d].max()
+        if shift > 60:
+            own = own - e.max(1)
+        self._exp(e, shift)
+        total = e @ np.ones(e.shape[1], e.dtype)
+        out = own - np.log(total)
         d_states = None
         if grad is not None:
-            e /= total[:, None]
-            e[at, c] -= 1
-            e *= weight[:, None]
-            grad["wc"] += states.T @ e
-            grad["bc"] += e.sum(0)
-            d_states = e @ p["wc"].T
-        order = np.argsort(c, kind="stable")
-        edges = np.searchsorted(c[order], np.arange(self.n_classes + 1))
+            share = weight[order].astype(e.dtype)
+            e *= (share / total)[:, None]
+            e[at, c] -= share
+            grad["wc"] += s.T @ e
+            d_states = e @ p["wc"][:d].T
+        known = edges[-1]
+        f = np.empty((known, CLASS_WORDS), e.dtype)
         for k in range(self.n_classes):
-            own = order[edges[k] : edges[k + 1]]
-            if not len(own):
-                continue
-            s = states[own]
-            logits = s @ p["wo"][k] + p["bo"][k]
-            logits -= logits.max(1, keepdims=True)
-            e = np.exp(logits)
-            total = e.sum(1)
-            word, i = target[own] - k * CLASS_WORDS, np.arange(len(own))
-            out[own] += logits[i, word] - np.log(total)
-            if grad is not None:
-                e /= total[:, None]
-                e[i, word] -= 1
-                e *= weight[own][:, None]
-                grad["wo"][k] += s.T @ e
-                grad["bo"][k] += e.sum(0)
-                d_states[own] += e @ p["wo"][k].T
-        return out, d_states
+            if edges[k] < edges[k + 1]:
+                np.matmul(s[edges[k] : edges[k + 1]], p["wo"][k], out=f[edges[k] : edges[k + 1]])
+        word = y[:known] - c[:known].astype(np.int64) * CLASS_WORDS
+        own = f[at[:known], word]
+        shift = (np.abs(p["wo"][:, :d]).sum(1).max() + p["wo"][:, d].max()) if self.n_classes else 0.0
+        if shift > 60:
+            own = own - f.max(1)
+        self._exp(f, shift)
+        total = f @ np.ones(CLASS_WORDS, f.dtype)
+        out[:known] += own - np.log(total)
+        if grad is not None:
+            f *= (share[:known] / total)[:, None]
+            f[at[:known], word] -= share[:known]
+            for k in range(self.n_classes):
+                lo, hi = edges[k], edges[k + 1]
+                if lo < hi:
+                    grad["wo"][k] += s[lo:hi].T @ f[lo:hi]
+                    d_states[lo:hi] += f[lo:hi] @ p["wo"][k, :d].T
+            back = np.empty_like(d_states)
+            back[order] = d_states
+            d_states = back
+        result = np.empty(n, out.dtype)
+        result[order] = out
+        return result, d_states
 
 
 @dataclass
@@ -169,7 +204,8 @@ class Trainer:
         if not len(ids):
             return
         net = self.net
-        lanes = min(TRAIN_LANES, -(-len(ids) // TRAIN_STEPS))
+        # Few texts go side by side in fewer lanes, so that there are windows enough to learn from.
+        lanes = min(max(len(ids) // (TRAIN_STEPS * WINDOWS), 32), TRAIN_LANES, -(-len(ids) // TRAIN_STEPS))
         length = -(-len(ids) // lanes)
         begins = np.zeros(len(ids), bool)
         begins[first] = True
@@ -185,8 +221,8 @@ class Trainer:
             self.g[:] = 0
             grad = net.views(self.g)
             weight = (real[lo:hi] / max(1, real[lo:hi].sum())).astype(np.float32).ravel()
-            _, d = net.log_p(states.reshape(-1, HIDDEN), y[lo:hi].ravel(), grad, weight)
-            net.back(kept, x[lo:hi], fresh[lo:hi], d.reshape(states.shape), grad)
+            _, d = net.log_p(states.reshape(-1, HIDDEN + 1), y[lo:hi].ravel(), grad, weight)
+            net.back(kept, x[lo:hi], fresh[lo:hi], d.reshape(*x[lo:hi].shape, HIDDEN), grad)
             self.update()
         self.seen += len(ids)
 

@@ -79,8 +79,18 @@ class Statistics:
 
 
 def statistics(counts: DataFrame) -> tuple[Frequent, Statistics]:
-    """FREQUENT rows and three numbers reach the driver, whatever the corpus."""
-    top = counts.where(F.col("word") != END).orderBy(F.desc("n"), "word").limit(FREQUENT).toPandas()
+    """FREQUENT rows at most, a histogram of fixed size and three numbers reach the driver, whatever the corpus. Words that are
+    as frequent as those that no longer fit stay out together."""
+    level = F.floor(F.log2(F.col("n")) * 64)
+    words = counts.where(F.col("word") != END)
+    levels = words.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()
+    fit, least = 0, 0
+    for r in sorted(levels, key=lambda r: -r["level"]):
+        fit += r["n"]
+        if fit > FREQUENT:
+            least = r["level"] + 1
+            break
+    top = words.where(level >= least).toPandas().sort_values(["n", "word"], ascending=[False, True])
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum(F.when(F.col("word") == END, F.col("n"))), F.lit(0)).alias("d")).first()
     word, n = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     known = int(n[:N_WORDS].sum())
