@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeworks.functions.scalars import clean
+
 BINS = 4096
 
 
@@ -32,7 +34,8 @@ def exact_quantiles(df: DataFrame, probs: Mapping[str, Sequence[float]], bins: i
     names = list(probs)
     cells = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(n).cast("double").alias("v")) for i, n in enumerate(names)])).alias("x")
     long = df.select(cells).select("x.c", "x.v").where("v is not null and not isnan(v)")
-    limits = {r["c"]: r for r in long.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+    row = df.agg(*[f(clean(F.col(n))).alias(f"{k}{i}") for i, n in enumerate(names) for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    limits = {i: {k: row[f"{k}{i}"] for k in ("n", "lo", "hi")} for i in range(len(names)) if row[f"n{i}"]}
     targets: dict[tuple[int, int], _Target] = {}
     for i, name in enumerate(names):
         if i in limits:
