@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -127,6 +127,41 @@ def penalised(objective: Column, constraints: Sequence[Column], factor: float =
     return objective + factor * violation(constraints)
 
 
+def zoom_search(spark: SparkSession, dimensions: Sequence[Dimension], score: Callable[[DataFrame], DataFrame], constraints: Sequence[Column] = (), maximise: bool = True, pool: int = 20_000, rounds: int = 4, shrink: float = 0.4, seed: int = 0, stop: Callable[[], bool] = lambda: False) -> tuple[DataFrame, DataFrame]:
+    """The best feasible design found, and the trace (generation, best, n_feasible) of the search.
+
+    Each round spreads ``pool`` candidates over a box by Latin hypercube, drops those that break a constraint (expression <= 0), scores
+    the rest as one table (``score`` adds ``prediction``) and centres the next box, ``shrink`` times as wide in each continuous or integer
+    dimension, on the best so far. Only that one design and the trace reach the driver. ``stop`` is asked before every round.
+    Without a feasible candidate the box stays.
+    """
+    box, best, trace = list(dimensions), None, []
+    names = [d.name for d in dimensions]
+    for turn in range(rounds):
+        if stop():
+            break
+        candidates = latin_hypercube(spark, box, pool, seed + turn)
+        feasible = score(candidates.where(violation(constraints) <= 0)).where(F.col("prediction").isNotNull())
+        sign = 1 if maximise else -1
+        row = feasible.agg(F.count(F.lit(1)).alias("n"), F.max(F.struct((F.col("prediction") * sign).alias("p"), (-F.col("id")).alias("i"), *names)).alias("best")).first()
+        if row["n"] and (best is None or row["best"]["p"] > best["p"]):
+            best = row["best"]
+        trace.append((turn, None if best is None else float(best["p"] * sign), row["n"]))
+        if best is not None:
+            box = [d if d.kind in ("binary", "categorical") else _around(d, b, best[d.name], shrink) for d, b in zip(dimensions, box)]
+    found = [] if best is None else [tuple(best[n] for n in names) + (float(best["p"] * sign),)]
+    kinds = {"continuous": "double", "integer": "int", "binary": "int", "categorical": "string"}
+    schema = ", ".join([*(f"`{d.name}` {kinds[d.kind]}" for d in dimensions), "prediction double"])
+    return spark.createDataFrame(found, schema), spark.createDataFrame(trace, "generation int, best double, n_feasible long")
+
+
+def _around(whole: Dimension, now: Dimension, centre: float, shrink: float) -> Dimension:
+    half = (now.hi - now.lo) * shrink / 2
+    if whole.kind == "integer":
+        half = max(round(half), 1)
+    return Dimension(whole.name, max(whole.lo, centre - half), min(whole.hi, centre + half), whole.kind)
+
+
 def expected_improvement(mu: Column, sigma: Column, best: float, xi: float = 0.0) -> Column:
     """For maximisation; where sigma is 0, what the mean itself improves."""
     gain = mu - best - xi

@@ -89,6 +89,14 @@ def nested_cross_validate(df: DataFrame, keys: Sequence[str], features: Sequence
     return df.sparkSession.createDataFrame(rows, "fold int, parameters string, metric double")
 
 
+def objectives(candidates: DataFrame, fitted: Mapping[str, PipelineModel]) -> DataFrame:
+    """``candidates`` with one column of predictions for each named model."""
+    out = candidates
+    for name, one in fitted.items():
+        out = predict(one, out).withColumnRenamed("prediction", name)
+    return out
+
+
 def forest_surrogate(fitted: PipelineModel, df: DataFrame) -> DataFrame:
     """``df`` with ``mu`` and ``sigma``: mean and spread over the trees of a fitted regression forest, each scored on the JVM."""
     *before, forest = fitted.stages

@@ -109,3 +109,12 @@ def robust(spark, sf):
 @query("mo13_parallel_coordinates", " UNION ALL ".join(f"SELECT p_partkey, '{c}' AS column_name, round(({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()), 6) AS scaled FROM part" for c in ("p_size", "p_retailprice")))
 def parallel_coordinates(spark, sf):
     return rounded(D.parallel_coordinates(read(spark, sf, "part"), "p_partkey", ("p_size", "p_retailprice")))
+
+
+@query("z7_zoom_search")
+def zoom_search(spark, sf):
+    # The largest value of a smooth function under A + B <= 1.
+    space = [D.Dimension("a", 0, 1), D.Dimension("b", 0, 1), D.Dimension("k", 1, 6, "integer")]
+    score = lambda d: d.withColumn("prediction", F.col("a") * F.col("b") - (F.col("k") - 4) * (F.col("k") - 4))
+    best, _ = D.zoom_search(spark, space, score, [F.col("a") + F.col("b") - 1])
+    return rounded(best)

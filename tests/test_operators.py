@@ -250,3 +250,23 @@ def test_nested_search_and_forest_spread(spark):
     fitted = model.pipeline(df, ("x",), "y", "forest", "regression", numTrees=5, seed=1).fit(df)
     out = model.forest_surrogate(fitted, df).join(model.predict(fitted, df).select("id", "prediction"), "id")
     assert out.where("abs(mu - prediction) > 1e-9 or sigma < 0").count() == 0
+
+
+def test_zoom_search_reaches_the_optimum_within_bounds_and_constraints(spark):
+    space = [design.Dimension("a", 0, 1), design.Dimension("b", 0, 1), design.Dimension("k", 1, 6, "integer"), design.Dimension("c", kind="categorical", categories=("x", "y"))]
+    score = lambda d: d.withColumn("prediction", F.col("a") * F.col("b") - F.abs(F.col("k") - 4) + (F.col("c") == "y").cast("int"))
+    best, trace = design.zoom_search(spark, space, score, [F.col("a") + F.col("b") - 1], pool=2000)
+    r = best.first()
+    assert abs(r["a"] - 0.5) < 0.05 and abs(r["b"] - 0.5) < 0.05 and r["k"] == 4 and r["c"] == "y" and r["a"] + r["b"] <= 1
+    steps = [t["best"] for t in trace.orderBy("generation").collect()]
+    assert steps == sorted(steps) and len(steps) == 4
+    none, trace = design.zoom_search(spark, space, score, [F.lit(1.0)], pool=10, rounds=2)
+    assert none.count() == 0 and [t["best"] for t in trace.collect()] == [None, None]
+    assert design.zoom_search(spark, space, score, stop=lambda: True)[1].count() == 0
+
+
+def test_one_column_for_each_model(spark):
+    df = spark.createDataFrame([(i, float(i), 2.0 * i) for i in range(20)], "id long, x double, y double")
+    one = model.pipeline(df, ("x",), "y", "linear", "regression").fit(df)
+    out = model.objectives(df, {"first": one, "second": one})
+    assert out.columns == [*df.columns, "first", "second"] and out.where("first <> second").count() == 0
