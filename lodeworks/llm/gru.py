@@ -208,8 +208,9 @@ class Trainer:
         lanes = min(max(len(ids) // (TRAIN_STEPS * WINDOWS), 32), TRAIN_LANES, -(-len(ids) // TRAIN_STEPS))
         length = -(-len(ids) // lanes)
         begins = np.zeros(len(ids), bool)
-        begins[first] = True
-        before = np.r_[net.end, ids[:-1]]
+        begins[first[first < len(ids)]] = begins[0] = True
+        before = np.empty_like(ids)
+        before[1:] = ids[:-1]
         before[begins] = net.end
         pad = lanes * length - len(ids)
         lane = lambda a, fill: np.concatenate([a, np.full(pad, fill, a.dtype)]).reshape(lanes, length).T
@@ -262,11 +263,13 @@ def log_likelihoods(net: Gru, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     lengths, gates = np.diff(first), net.gates()
     own = _lanes(lengths, SCORE_LANES)
     order = np.array([i for o in own for i in o])
-    at = np.repeat(first[:-1][order] - np.r_[0, np.cumsum(lengths[order])[:-1]], lengths[order]) + np.arange(len(ids))
-    doc = np.repeat(order, lengths[order])
-    y = ids[at]
+    # In 32 bits, as a batch may hold millions of tokens.
+    y = ids[np.repeat(first[:-1][order] - np.r_[0, np.cumsum(lengths[order])[:-1]], lengths[order]) + np.arange(len(ids))].astype(np.int32)
+    doc = np.repeat(order.astype(np.int32), lengths[order])
     fresh = np.r_[True, doc[1:] != doc[:-1]]
-    x = np.where(fresh, net.end, np.r_[net.end, y[:-1]])
+    x = np.empty_like(y)
+    x[1:] = y[:-1]
+    x[fresh] = net.end
     size = np.array([lengths[o].sum() for o in own])
     lane_first = np.r_[0, np.cumsum(size)[:-1]]
     h = np.zeros((len(own), HIDDEN), np.float32)

@@ -106,7 +106,7 @@ def _ids(chunk: T.Chunk, vocabulary: Frequent, net: Gru) -> tuple[np.ndarray, np
     ids = np.where(at < 0, net.other, vocabulary.rank[at] if len(vocabulary.rank) else 0)
     rows = len(w.first) - 1
     first = w.first + np.arange(rows + 1)
-    out = np.full(len(ids) + rows, net.end, np.int64)
+    out = np.full(len(ids) + rows, net.end, np.int32)
     out[np.arange(len(ids)) + w.row] = ids
     return out, first
 
@@ -177,7 +177,7 @@ def _scored(docs: DataFrame, net: Gru, frequent: Frequent, stats: Statistics, id
                 n_tokens = np.diff(w.first)
                 base_sum = sums(own_log) - n_tokens * base + end_logs
                 inner = sums(np.where(outside, own_log - other, 0.0))
-                full = np.full(len(ids) + n, model.end, np.int64)
+                full = np.full(len(ids) + n, model.end, np.int32)
                 full[np.arange(len(ids)) + w.row] = ids
                 tokens.append(full)
                 firsts.append(w.first + np.arange(n + 1))
