@@ -36,7 +36,7 @@ ORDER_BINS = 1 << 16
 FILTER_BITS = 24
 BLOCK = 512
 #: Bytes of sets and signatures that one comparing task takes, unless a single block pair has more.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 4 << 20
 _rng = np.random.default_rng(29)
 FACTORS = _rng.integers(0, 1 << 62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 MASKS = _rng.integers(0, 1 << 62, HASHES, dtype=np.uint64)
@@ -187,8 +187,8 @@ def _confirmed(pairs: DataFrame, sigs: DataFrame, sets_of, least: int, num: int,
 def _across(members: DataFrame, sigs: DataFrame, sets_of, least: int, num: int, den: int) -> DataFrame:
     """Links (a, b) between components, found in lists that hold nodes of several. In each list, the nodes of its
     largest component are compared with the others, and those with each other, a block pair of BLOCK x BLOCK at a time. A task
-    counts collisions, verifies the pairs with enough of them on full sets, and returns a forest of the components it joins: no
-    more rows than components, however many pairs are near."""
+    counts collisions; where pairs have enough of them, another one verifies these on full sets, and returns a forest of the
+    components it joins: no more rows than components, however many pairs are near."""
     by_label = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     lists = by_label.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("all"))
     # Two nodes of a list of two have been compared already.
@@ -204,28 +204,28 @@ def _across(members: DataFrame, sigs: DataFrame, sets_of, least: int, num: int,
     as_main = F.transform(count(F.col("others")), lambda j: side(F.col("own"), j, True))
     as_other = F.concat(F.transform(count(F.col("mains")), lambda i: side(i, F.col("own"), True)), F.transform(count(F.col("others")), lambda j: side(F.least(F.col("own"), j), F.greatest(F.col("own"), j), False)))
     pairs = F.when(F.col("other"), as_other).otherwise(as_main)
-    wanted = written(sigs.join(rows.select("node").distinct(), "node", "left_semi").select("node", "_id", "n"), "wanted")
-    size = rows.select("node", F.size(pairs).alias("times")).join(wanted, "node").agg(F.coalesce(F.sum(F.col("times") * (F.col("n") * 8 + HASHES * 4)), F.lit(0))).first()[0]
-    payload = sigs.select("node", "signature").join(sets_of(wanted.select("node", "_id")), "node")
-
-    def compare(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by([(c, "ascending") for c in ("key", "main", "l", "r")])
-        key, l, r, main, other, mine, label = (table[c].to_numpy(zero_copy_only=False) for c in ("key", "l", "r", "main", "other", "own", "label"))
-        sets = table["shingles"].combine_chunks()
+    size = rows.agg(F.coalesce(F.sum(F.size(pairs)), F.lit(0))).first()[0] * (HASHES * 4 + 64)
+    placed = rows.withColumn("pair", F.explode(pairs)).select("key", F.col("pair.l").alias("l"), F.col("pair.r").alias("r"), F.col("pair.main").alias("main"), "other", "own", "node", "label")
+    signed = lambda placed: placed.join(sigs.select("node", "signature"), "node")
+
+    def dealt(rows: DataFrame, size: int):
+        # Many small block pairs share a group, a full one has its own.
+        group = F.pmod(F.xxhash64("key", "l", "r", "main"), F.lit(max(12, -(-size // GROUP_BYTES))))
+        return rows.withColumn("_g", group).groupBy("_g")
+
+    def collide(table: pa.Table) -> pa.Table:
+        table, found = _in_order(table), []
+        for left, right, near in _near_blocks(table, least):
+            found += [left[near.any(1)], right[near.any(0)]]
+        at = np.concatenate(found) if found else np.zeros(0, np.int64)
+        return table.take(pa.array(np.unique(at))).select(list(PLACE))
+
+    def verify(table: pa.Table) -> pa.Table:
+        table = _in_order(table)
+        label, sets = table["label"].to_numpy(), table["shingles"].combine_chunks()
         ends, values = sets.offsets.to_numpy(), sets.values.to_numpy()
-        sig = _stack(table["signature"])
-        edges = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (l[1:] != l[:-1]) | (r[1:] != r[:-1]) | (main[1:] != main[:-1])])
         out: list[np.ndarray] = []
-        for lo, hi in zip(edges, [*edges[1:], len(key)]):
-            at = np.arange(lo, hi)
-            if main[lo]:
-                left, right = at[~other[lo:hi]], at[other[lo:hi]]
-            else:
-                left, right = at[mine[lo:hi] == l[lo]], at[mine[lo:hi] == r[lo]]
-            agree = np.zeros((len(left), len(right)), np.uint8)
-            for j in range(HASHES):
-                agree += sig[left, j][:, None] == sig[right, j][None]
-            near = (agree >= least) & (label[left][:, None] != label[right][None])
+        for left, right, near in _near_blocks(table, least):
             left, right, near = left[near.any(1)], right[near.any(0)], near[near.any(1)][:, near.any(0)]
             if not near.size:
                 continue
@@ -239,11 +239,42 @@ def _across(members: DataFrame, sigs: DataFrame, sets_of, least: int, num: int,
         a, b = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    # Many small block pairs share a group, a full one has its own.
-    spread = rows.withColumn("pair", F.explode(pairs)).join(payload, "node")
-    group = F.pmod(F.xxhash64("key", "l", "r", "main"), F.lit(max(12, -(-size // GROUP_BYTES))))
-    flat = spread.select("key", F.col("pair.l").alias("l"), F.col("pair.r").alias("r"), F.col("pair.main").alias("main"), "other", "own", "label", "signature", "shingles").withColumn("_g", group)
-    return flat.groupBy("_g").applyInArrow(compare, "a long, b long").distinct()
+    # First by signatures alone; full sets go only where some pair has collisions enough.
+    hit = written(dealt(signed(placed), size).applyInArrow(collide, ", ".join(f"{c} {t}" for c, t in PLACE.items())), "collisions")
+    wanted = written(sigs.join(hit.select("node").distinct(), "node", "left_semi").select("node", "_id", "n"), "wanted")
+    size = hit.join(wanted, "node").agg(F.coalesce(F.sum(F.col("n") * 8 + HASHES * 4), F.lit(0))).first()[0]
+    full = signed(hit).join(sets_of(wanted.select("node", "_id")), "node")
+    return dealt(full, size).applyInArrow(verify, "a long, b long").distinct()
+
+
+#: A node's place in a block pair of a list.
+PLACE = {"key": "long", "l": "int", "r": "int", "main": "boolean", "other": "boolean", "own": "int", "node": "long", "label": "long"}
+
+
+def _in_order(table: pa.Table) -> pa.Table:
+    return table.combine_chunks().sort_by([(c, "ascending") for c in ("key", "main", "l", "r")])
+
+
+def _near_blocks(table: pa.Table, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each block pair of an ordered table the rows of its sides, and which of their pairs have different labels and agree in
+    ``least`` coordinates."""
+    if not len(table):
+        return
+    key, l, r, main, other, mine, label = (table[c].to_numpy() for c in ("key", "l", "r", "main", "other", "own", "label"))
+    sig = _stack(table["signature"])
+    edges = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (l[1:] != l[:-1]) | (r[1:] != r[:-1]) | (main[1:] != main[:-1])])
+    for lo, hi in zip(edges, [*edges[1:], len(key)]):
+        at = np.arange(lo, hi)
+        if main[lo]:
+            left, right = at[~other[lo:hi]], at[other[lo:hi]]
+        else:
+            left, right = at[mine[lo:hi] == l[lo]], at[mine[lo:hi] == r[lo]]
+        agree = np.zeros((len(left), len(right)), np.uint8)
+        for j in range(HASHES):
+            agree += sig[left, j][:, None] == sig[right, j][None]
+        near = (agree >= least) & (label[left][:, None] != label[right][None])
+        if near.any():
+            yield left, right, near
 
 
 def _shared(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
@@ -290,13 +321,12 @@ def near_duplicate_components(docs: DataFrame, num: int = 85, den: int = 100, k:
     lists = posts.groupBy("key").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("post"), F.col("first.pivot").alias("key"))
     # Lists of the same pivot are merged: the many lists of a group of near copies mostly have the same one.
     members = written(posts.join(lists, posts["key"] == lists["post"]).select(lists["key"], "node").distinct(), "members")
-    sigs = written(nodes.join(members.select("node").distinct(), "node", "left_semi"), "posted")
     sets_of = lambda wanted: _sets(docs, wanted, id_col, text_col, k)
     pairs = members.where("node <> key").select(F.least("node", "key").alias("a"), F.greatest("node", "key").alias("b")).distinct()
-    links = settled(_confirmed(pairs, sigs, sets_of, least, num, den))
+    links = settled(_confirmed(pairs, nodes, sets_of, least, num, den))
     joined = components(links, "a", "b")
     labelled = written(members.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label")), "labelled")
-    links = settled(links.union(_across(labelled, sigs, sets_of, least, num, den)))
+    links = settled(links.union(_across(labelled, nodes, sets_of, least, num, den)))
     joined = components(links, "a", "b")
     # A component's smallest id; a component is named by a node until then.
     named = nodes.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("part"), "_id")
