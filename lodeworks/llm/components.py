@@ -1,38 +1,8 @@
-"""Connected components: of a table by alternating large and small stars, in joins and aggregates only; of a task's own links in numpy."""
+"""Connected components of the links that one task holds, in numpy; those of a table are in ``operators.graph``."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from lodeworks.llm.common import settled
-
-
-def components(links: DataFrame, a: str, b: str, parts: int = 12) -> DataFrame:
-    """(node, component): for every node of a link the smallest node that it reaches.
-
-    Each round hangs the neighbours of a node that are larger than it below the smallest of its neighbourhood, then the
-    smaller ones likewise, until every link leads straight to the smallest node of its component: a number of rounds
-    that grows with the logarithm of the longest path. A node of any number of links is summed up by partial
-    aggregates, and its links stay spread over tasks. Rounds are cut off by checkpoints.
-    """
-    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    edges = settled(edges)
-    before = None
-    while True:
-        sides = edges.union(edges.select("v", "u"))
-        low = sides.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = sides.join(low, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(small.withColumnRenamed("u", "w"), F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = settled(moved.union(small.select("u", F.col("m").alias("v"))).distinct())
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-    tops = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(tops)
 
 
 def smallest_reached(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:

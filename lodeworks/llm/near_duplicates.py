@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from lodeworks.llm import text as T
 from lodeworks.llm.common import fresh, settled, written
-from lodeworks.llm.components import components, smallest_reached
+from lodeworks.llm.components import smallest_reached
+from lodeworks.operators.graph import components
 
 HASHES = 64
 ORDER_BINS = 1 << 16

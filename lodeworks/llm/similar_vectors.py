@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.llm.common import settled, written
-from lodeworks.llm.components import components, smallest_reached
+from lodeworks.llm.components import smallest_reached
+from lodeworks.operators.graph import components
 
 PROJECTIONS = 32
 WIDTH = 3.5
