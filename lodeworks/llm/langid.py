@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.llm import text as T
-from lodeworks.llm.common import fold, fresh
+from lodeworks.llm.common import fold
 
 BUCKETS = 1 << 14
 UNDETERMINED = "und"
@@ -156,41 +156,47 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shipped.value
         for batch in batches:
-            n = batch.num_rows
-            lang, score, unsure = np.full(n, UNDETERMINED, object), np.zeros(n), np.zeros(n, bool)
-            texts = batch.column(1)
-            for chunk in T.chunks(texts) if model is not None else ():
-                letters = np.concatenate([[0], np.cumsum(_is_ascii_letter[chunk.data])])
-                has = np.diff(letters[chunk.offsets]) > 0
-                for r in np.flatnonzero(~has & (np.diff(chunk.offsets) > 0)):
-                    has[r] = any(map(str.isalpha, texts[chunk.lo + int(r)].as_py()))
-                best, p, second = model.decode(model.margins(chunk)[0])
-                at = chunk.lo + np.flatnonzero(has)
-                lang[at] = np.array(model.langs, object)[best[has]]
-                score[at], unsure[at] = p[has], second[has] > ambiguous_over
+            lang, score, unsure = _languages(shipped.value, batch.column(1), ambiguous_over)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(unsure)], [id_col, "lang_pred", "score", "ambiguous"])
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(id_col, text_col).mapInArrow(work, f"`{id_col}` {kind}, lang_pred string, score double, ambiguous boolean")
 
 
+def _languages(model: Model | None, texts: pa.Array, ambiguous_over: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = len(texts)
+    lang, score, unsure = np.full(n, UNDETERMINED, object), np.zeros(n), np.zeros(n, bool)
+    for chunk in T.chunks(texts) if model is not None else ():
+        letters = np.concatenate([[0], np.cumsum(_is_ascii_letter[chunk.data])])
+        has = np.diff(letters[chunk.offsets]) > 0
+        for r in np.flatnonzero(~has & (np.diff(chunk.offsets) > 0)):
+            has[r] = any(map(str.isalpha, texts[chunk.lo + int(r)].as_py()))
+        best, p, second = model.decode(model.margins(chunk)[0])
+        at = chunk.lo + np.flatnonzero(has)
+        lang[at] = np.array(model.langs, object)[best[has]]
+        score[at], unsure[at] = p[has], second[has] > ambiguous_over
+    return lang, score, unsure
+
+
 def learn_and_identify(docs: DataFrame) -> DataFrame:
     """Learns from the rows outside the held-out fold and predicts all."""
     model = fit(docs.where(fold("doc_id", 5) != 0))
     return identify(docs, model).withColumn("held_out", fold("doc_id", 5) == 0)
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.4) -> DataFrame:
-    """The rows of ``docs`` whose language is determined, all columns as they were. Those without go: ``und``, and
-    ambiguous ones that reach less than ``min_score``."""
-    model = fit(docs.where(fold("doc_id", 5) != 0))
-    own = fresh("row")
-    columns = docs.columns
-    named = docs.withColumn(own, F.struct(*[F.col(f"`{c}`") for c in columns]))
-    found = identify(named, model, id_col=own)
-    return found.where((F.col("lang_pred") != UNDETERMINED) & ~(F.col("ambiguous") & (F.col("score") < min_score))).select(*[F.col(own)[c].alias(c) for c in columns])
+def keep_identified(docs: DataFrame, min_score: float = 0.4, ambiguous_over: float = 0.25, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language is determined, all columns as they were; nothing is shuffled. Those without go:
+    ``und``, and ambiguous ones that reach less than ``min_score``."""
+    shipped = docs.sparkSession.sparkContext.broadcast(fit(docs.where(fold("doc_id", 5) != 0), text_col))
+    at = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, score, unsure = _languages(shipped.value, batch.column(at), ambiguous_over)
+            yield batch.filter(pa.array((lang != UNDETERMINED) & ~(unsure & (score < min_score)), pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

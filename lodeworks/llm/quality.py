@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.llm import text as T
-from lodeworks.llm.common import fold, fresh
+from lodeworks.llm.common import fold
 
 BUCKETS = 1 << 13
 DIMS = 32
@@ -26,6 +26,8 @@ WINDOW = 2
 #: Labelled documents that the network is fitted to at most, taken by a hash of their id.
 MAX_LABELLED = 6000
 FEATURES = 3 * DIMS + 1
+#: UTF-8 bytes of the texts that are pooled at a time: a word takes several rows of DIMS numbers meanwhile.
+POOL_BYTES = 1 << 18
 
 #: Letters and digits keep their case; everything else that isn't space forms words of its own.
 _kind = np.full(256, 2, np.uint8)
@@ -179,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in T.chunks(batch.column(0)):
+            for chunk in T.chunks(batch.column(0), POOL_BYTES):
                 x = pooled(chunk, shipped.value)
                 own = batch.slice(chunk.lo, chunk.hi - chunk.lo)
                 yield pa.RecordBatch.from_arrays([own.column(1), own.column(2), pa.array(list(x), pa.list_(pa.float64()))], [id_col, "_label", "x"])
@@ -201,23 +203,29 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
     shipped = docs.sparkSession.sparkContext.broadcast(network)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        network = shipped.value
         for batch in batches:
-            p = [network.probabilities(pooled(chunk, network.vectors)) for chunk in T.chunks(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(p) if p else np.zeros(0))], [id_col, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_probabilities(shipped.value, batch.column(1)))], [id_col, "score"])
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(id_col, text_col).mapInArrow(work, f"`{id_col}` {kind}, score double")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``, all columns as they were. Learns from those of them that
-    have labels outside the held-out fold."""
-    network = fit(docs, labels)
-    own = fresh("row")
-    columns = docs.columns
-    named = docs.withColumn(own, F.struct(*[F.col(f"`{c}`") for c in columns]))
-    return score(named, network, id_col=own).where(F.col("score") >= threshold).select(*[F.col(own)[c].alias(c) for c in columns])
+def _probabilities(network: Network, texts: pa.Array) -> np.ndarray:
+    p = [network.probabilities(pooled(chunk, network.vectors)) for chunk in T.chunks(texts, POOL_BYTES)]
+    return np.concatenate(p) if p else np.zeros(0)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``, all columns as they were; nothing is shuffled. Learns from those
+    of them that have labels outside the held-out fold."""
+    shipped = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, text_col=text_col))
+    at = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_probabilities(shipped.value, batch.column(at)) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
