@@ -14,28 +14,38 @@ from lodeworks.llm import bpe, decontaminate, langid, near_duplicates, quality
 from lodeworks.llm.common import written
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Whole documents travel to the workers with all their columns; fewer at a time than Spark's 10,000 keep buffers small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that score 0.3 or more."""
+    _small_batches(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language can be told."""
+    _small_batches(spark)
     return langid.keep_identified(docs)
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of a similarity of 0.8 or more over five-word shingles."""
+    _small_batches(spark)
     return near_duplicates.keep_one_of_each(docs, num=80, den=100)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that hold no benchmark item."""
+    _small_batches(spark)
     return decontaminate.keep_uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document, and a hash of the text that they decode to."""
+    _small_batches(spark)
     return bpe.bpe_encode_decode(docs, bpe.tokenizer_spec(), ("n_tokens", "ids", "decoded_sha256"))
 
 
