@@ -1,7 +1,7 @@
 """Main text of web pages by site template removal.
 
-Every element that can be a piece of a site's frame is hashed with all that stands in it. Spark counts on how many pages
-of a host each subtree stands; those on many pages are the host's template and are deleted from each of its pages.
+Every element that can be a piece of a site's frame is hashed with all that stands in it. Spark counts on how many
+distinct pages of a host each subtree stands; those on many pages are the host's template and are deleted from each of its pages.
 What HTML itself marks as no article (navigation, footers, adverts, forms ...) goes too, so that hosts with few pages
 are served as well. The rest of the article is returned block by block.
 """
@@ -210,7 +210,7 @@ def host_of(url: Column) -> Column:
 
 
 def _subtrees(pages: DataFrame) -> DataFrame:
-    """(host, subtree, page, matters) of every page, each subtree once a page; subtree 0 stands for the page itself."""
+    """(host, subtree, page, matters) of every row of pages, each subtree once a row; subtree 0 stands for the page itself."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,7 +233,8 @@ def _subtrees(pages: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """Adds ``text`` and ``n_chars`` (code points) to every row; a column of these names is replaced.
 
-    A subtree is template if it stands on at least ``min_pages`` pages of its host and at least ``min_share`` of them.
+    A subtree is template if it stands on at least ``min_pages`` pages of its host and at least ``min_share`` of them;
+    rows of a host with the same html are one page here, so that copies of a page don't make its article template.
     Character references are decoded, white space inside a block becomes one space, blocks are trimmed, empty ones left
     out, the others joined by two line feeds; nothing else is dropped. Null or empty html gives ''. A null url counts to
     the host ''. Repeated rows give equal results; no rows give no rows.
@@ -247,7 +248,7 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", mi
     row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row")  # so that no column of the input meets one of ours
     keyed = pages.select(row, host_of(F.col(url_col)).alias("_host"), text.alias("_html")).withColumn("_page", F.xxhash64("_host", "_html"))
     found = written(_subtrees(keyed), "subtrees")
-    counts = found.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
+    counts = found.select("host", "subtree", "page").distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
     sizes = counts.where("subtree = 0").select("host", F.col("n").alias("n_pages"))
     many = counts.where((F.col("subtree") != 0) & (F.col("n") >= min_pages)).join(sizes, "host").where(F.col("n") >= min_share * F.col("n_pages"))
     # Partly aggregated before the join: the pages of a template are many, and few of them matter.

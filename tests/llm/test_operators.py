@@ -136,6 +136,20 @@ def test_a_repeated_subtree_goes_only_where_it_recurs(spark):
 # 4
 
 
+def test_copies_of_a_page_do_not_make_its_article_template(spark):
+    frame = '<html><body><div class="w"><ul><li>Home page</li><li>About us</li></ul></div>{}</body></html>'
+    article = "<article><h1>One page</h1><p>A long paragraph that holds most of the text of this page, and then some more of it.</p><ul><li>first</li><li>second</li></ul><table><tr><td>cell</td></tr></table></article>"
+    copies = [(i, "http://h.org/x", frame.format(article)) for i in range(10)]
+    others = [(10 + i, f"http://h.org/{i}", frame.format(f"<p>Paragraph {i} of a page whose words differ from those of the others {i * 7}.</p>")) for i in range(6)]
+    schema = "page_id long, url string, html string"
+    alone = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(copies, schema)).collect()}
+    got = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(copies + others, schema).repartition(3)).collect()}
+    assert len(alone) == 10 and len(got) == 16
+    assert set(alone.values()) == {got[i] for i in range(10)}
+    assert len(set(alone.values())) == 1 and all(w in alone[0] for w in ("One page", "long paragraph", "first", "second", "cell"))
+    assert all("Home" not in got[i] and f"Paragraph {i - 10}" in got[i] for i in range(10, 16))  # the frame still goes
+
+
 def test_languages_are_told_and_texts_without_letters_are_not(spark, awkward, nothing):
     found = {r["doc_id"]: r for r in langid.learn_and_identify(awkward).collect()}
     for i in range(60):
