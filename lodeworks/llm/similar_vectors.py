@@ -7,7 +7,8 @@ with enough collisions, a number calibrated so that a true pair has fewer with a
 by its cosine in double precision.
 
 Equal vectors are one node from the start. Nodes are sorted by the first projection into blocks of rows; blocks within a
-window of each other meet, each pair of blocks in one row of a task. There every projection is sorted, windows become
+gate of each other meet, each pair of blocks in one row of a task. The gate is GATE distances wide, more than a window,
+since a pair outside it is lost whatever its other projections are. There every projection is sorted, windows become
 ranges of ranks, and collisions are counted by ranks. A pair of blocks returns numbers of links, and a forest of its
 links, so that no pair of vectors ever leaves a task: a group of copies of any size costs rows in proportion.
 The number of pairs of blocks grows with the square of the table, as windows of this method hold a fixed share of it.
@@ -30,6 +31,9 @@ from lodeworks.operators.graph import components
 
 PROJECTIONS = 32
 WIDTH = 3.5
+#: Rows further apart in the first projection are not compared: 2e-7 of the pairs at the threshold. With the 5e-7 whose
+#: collisions are too few, that is below MISS.
+GATE = 5.2
 MISS = 1e-6
 BLOCK = 2048
 #: Projections counted for all pairs of a window; the others are counted for those that can still pass.
@@ -41,6 +45,11 @@ def window(threshold: float) -> float:
     return WIDTH * math.sqrt(max(2 - 2 * threshold, 1e-12))
 
 
+def gate(threshold: float) -> float:
+    """How far apart in the first projection rows are compared: GATE times the distance of two unit vectors at the threshold."""
+    return GATE / WIDTH * window(threshold)
+
+
 def misses_allowed(n: int = PROJECTIONS, width: float = WIDTH, miss: float = MISS) -> int:
     """The smallest number of projections without a collision that a pair at the threshold exceeds with a chance below ``miss``."""
     p = math.erfc(width / math.sqrt(2))
@@ -79,13 +88,14 @@ def linked_pairs(a: np.ndarray, b: np.ndarray, threshold: float, same: bool) ->
         width[:, j] = np.searchsorted(line, pa_[:, j] + w, side="right") - lo[:, j]
         if j == 0:
             first = order
+            gate_lo, gate_hi = (np.searchsorted(line, pa_[:, 0] + s * gate(threshold), side=e) for s, e in ((-1, "left"), (1, "right")))
     out_a, out_b = [], []
     sorted_ranks = ranks[first]
     by_first = np.argsort(pa_[:, 0], kind="stable")
     for at in range(0, len(a), 128):
         rows = by_first[at : at + 128]
-        # The windows of the first projection, sorted: one run of the block.
-        left, right = int(lo[rows, 0].min()), int((lo[rows, 0].astype(int) + width[rows, 0]).max())
+        # The gates of the first projection, sorted: one run of the block.
+        left, right = int(gate_lo[rows].min()), int(gate_hi[rows].max())
         if right <= left:
             continue
         part = sorted_ranks[left:right]
@@ -152,7 +162,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 def _linked(blocks: DataFrame, dim: int, kind: str, threshold: float) -> DataFrame:
     """(node, root, n): for each pair of blocks and node with links there, their number and the smallest node they lead to."""
-    w, dtype = window(threshold), {"float": "<f4", "double": "<f8"}[kind]
+    w, dtype = gate(threshold), {"float": "<f4", "double": "<f8"}[kind]
     cell = lambda c: F.floor(c / w)
     ends = blocks.select("block", "lo", "hi")
     left = ends.select(F.col("block").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"), F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi") + w))).alias("cell"))

@@ -221,6 +221,28 @@ def test_collision_counts_keep_pairs_at_the_threshold():
     assert lost == 0
 
 
+def test_pairs_far_apart_in_the_first_projection_are_found(spark, monkeypatch):
+    rng, dim, delta = np.random.default_rng(11), 64, math.sqrt(2 - 2 * 0.9501)
+    d = similar_vectors.directions(dim)[:, 0] / math.sqrt(dim)
+    away = rng.uniform(3.8, 4.8, 100)[:, None] / math.sqrt(dim)  # of the threshold's distance, along the first direction
+    side = rng.normal(size=(100, dim))
+    v = away * d + np.sqrt(1 - away**2) * similar_vectors.unit(side - (side @ d)[:, None] * d)
+    m = rng.normal(size=(100, dim))
+    m = similar_vectors.unit(m - (m * v).sum(1, keepdims=True) * v) * math.sqrt(1 - delta**2 / 4)
+    a, b = m - delta / 2 * v, m + delta / 2 * v
+    assert (a * b).sum(1).min() >= 0.95
+    for k in range(100):
+        assert len(similar_vectors.linked_pairs(a[k : k + 1], b[k : k + 1], 0.95, False)[0]) == 1
+    rows = [(i, [float(c) for c in r]) for i, r in enumerate(np.concatenate([a, b]))]
+    monkeypatch.setattr(similar_vectors, "BLOCK", 4)
+    got = similar_vectors.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(i, 1, i % 100) for i in range(200)]
+    p = lambda width: math.erfc(width / math.sqrt(2))
+    n, most, q = similar_vectors.PROJECTIONS, similar_vectors.misses_allowed(), p(similar_vectors.WIDTH)
+    few = sum(math.comb(n, k) * q**k * (1 - q) ** (n - k) for k in range(most + 1, n + 1))
+    assert few + p(similar_vectors.GATE) < similar_vectors.MISS
+
+
 # 6
 
 
