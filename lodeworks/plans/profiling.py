@@ -96,6 +96,12 @@ def cast(spark, sf):
     return e.where("value = floor(value)").select("event_id", F.expr("try_cast(value as bigint)").alias("whole"), F.expr("try_cast(event_type as double)").alias("no_number"), F.col("value").cast("string").isNotNull().alias("has_text"))
 
 
+# Of all rows: Spark's cast of a fraction truncates, that of the SQL would round.
+@query("q16_cast_all", "SELECT event_id, try_cast(trunc(value) AS bigint) AS whole, try_cast(event_type AS double) AS no_number, cast(value AS varchar) IS NOT NULL AS has_text FROM events")
+def cast_all(spark, sf):
+    return read(spark, sf, "events").select("event_id", F.expr("try_cast(value as bigint)").alias("whole"), F.expr("try_cast(event_type as double)").alias("no_number"), F.col("value").cast("string").isNotNull().alias("has_text"))
+
+
 @query("w1_statistics", "SELECT count(*) AS n_rows, 3::bigint AS n_numeric, 2::bigint AS n_categorical, 0::bigint AS n_boolean, 1::bigint AS n_other FROM orders")
 def statistics(spark, sf):
     return P.kinds(read(spark, sf, "orders"))

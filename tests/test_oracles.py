@@ -59,3 +59,11 @@ def test_entry_is_stable(spark):
 
     assert __spark_entry__.entry(spark).columns == ["column_name", "n_rows", "n_missing", "n_unique", "mean", "std", "q25", "q50", "q75", "n_outliers"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_every_event_is_cast(spark, sf):
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    found = {r["event_id"]: r["whole"] for r in registry.QUERIES["q16_cast_all"](spark, sf).collect()}
+    values = {r["event_id"]: r["value"] for r in events.collect()}
+    assert any(v != math.floor(v) for v in values.values())
+    assert found == {k: math.trunc(v) for k, v in values.items()}
