@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 from pathlib import Path
 
 import duckdb
@@ -67,3 +68,13 @@ def test_every_event_is_cast(spark, sf):
     values = {r["event_id"]: r["value"] for r in events.collect()}
     assert any(v != math.floor(v) for v in values.values())
     assert found == {k: math.trunc(v) for k, v in values.items()}
+
+
+def test_mixture_sees_the_whole_embedding(spark, tmp_path):
+    rng = random.Random(3)
+    first = [[0.125 * rng.gauss(0, 1) for _ in range(4)] for _ in range(300)]
+    rows = [(i, first[i % 300] + [0.125 * (rng.gauss(0, 1) + 6 * (i // 300)) for _ in range(60)]) for i in range(600)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = {r["vec_id"]: r["cluster"] for r in registry.QUERIES["c7_gaussian_mixture"](spark, str(tmp_path)).collect()}
+    assert len(found) == 600
+    assert sum(found[i] != found[i + 300] for i in range(300)) > 100  # equal in the first four components, far apart in the others
