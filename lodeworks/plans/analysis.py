@@ -185,6 +185,13 @@ def exhaustive(spark, sf):
     return spark.createDataFrame([(s[0], round(r, 6)) for s, r in found if len(s) == 1], "subset string, r2 double")
 
 
+@query("f9_exhaustive_all")
+def exhaustive_all(spark, sf):
+    features = ("l_quantity", "l_discount", "l_tax")
+    found = S.exhaustive(features, S.least_squares_score(read(spark, sf, "lineitem").select(*features, "l_extendedprice"), features, "l_extendedprice"))
+    return spark.createDataFrame([(",".join(s), round(r, 6)) for s, r in found], "subset string, r2 double")
+
+
 @query("f7_forward")
 def forward(spark, sf):
     features = ("l_quantity", "l_discount", "l_tax", "l_linenumber")

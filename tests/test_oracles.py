@@ -7,6 +7,7 @@ import random
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 
 from lodeworks.plans import registry
@@ -78,3 +79,17 @@ def test_mixture_sees_the_whole_embedding(spark, tmp_path):
     found = {r["vec_id"]: r["cluster"] for r in registry.QUERIES["c7_gaussian_mixture"](spark, str(tmp_path)).collect()}
     assert len(found) == 600
     assert sum(found[i] != found[i + 300] for i in range(300)) > 100  # equal in the first four components, far apart in the others
+
+
+def test_every_subset_is_scored(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 3))
+    y = x @ [1.0, 2.0, -1.0] + rng.normal(size=60)
+    names = ("l_quantity", "l_discount", "l_tax")
+    spark.createDataFrame([(*map(float, r), float(t)) for r, t in zip(x, y)], ", ".join(f"{c} double" for c in (*names, "l_extendedprice"))).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = {frozenset(r["subset"].split(",")): r["r2"] for r in registry.QUERIES["f9_exhaustive_all"](spark, str(tmp_path)).collect()}
+    assert len(found) == 7
+    for subset, r2 in found.items():
+        a = np.column_stack([np.ones(60), *[x[:, names.index(c)] for c in subset]])
+        rest = y - a @ np.linalg.lstsq(a, y, rcond=None)[0]
+        assert abs(r2 - (1 - rest @ rest / ((y - y.mean()) @ (y - y.mean())))) < 2e-6
