@@ -1,9 +1,12 @@
 """Main text of web pages by site template removal.
 
 Every element that can be a piece of a site's frame is hashed with all that stands in it. Spark counts on how many
-distinct pages of a host each subtree stands; those on many pages are the host's template and are deleted from each of its pages.
-What HTML itself marks as no article (navigation, footers, adverts, forms ...) goes too, so that hosts with few pages
-are served as well. The rest of the article is returned block by block.
+distinct pages of a host each subtree stands; those on many pages are the host's template and are deleted from each of its
+pages. That is the main step. Beside it goes what HTML itself marks as no article (navigation, footers, asides, forms ...), and,
+as a supplement for hosts with few pages, what its class or id names so. The rest of the articles is returned block by block.
+
+No rule may drop an element in which the page's lead article stands, whatever its tag, class or style. The lead is the
+longest ``article`` or ``main`` outside such elements. All articles count, and all that ``main`` holds beside them.
 """
 
 from __future__ import annotations
@@ -21,51 +24,76 @@ from lodeworks.llm.common import written
 
 MIN_PAGES = 5
 MIN_SHARE = 0.02
+MOST_OF_PAGE = 0.9
 
+# Quotes open a value only behind an equals sign, as in HTML. All quantifiers are possessive: one pass, no going back.
+_ATTRS = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<raw>script|style|textarea|title|noscript|iframe|template|svg|math|xmp|noembed|noframes)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    rf"|<(?P<raw>script|style|textarea|title|iframe|template|svg|xmp|noembed|noframes)(?=[\s/>]){_ATTRS}>.*?(?:</(?P=raw)(?=[\s/>])[^>]*+(?:>|\Z)|\Z)"
+    rf"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>{_ATTRS})(?:>|\Z)",
     re.S | re.I,
 )
-_ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(\bhidden\b)")
-_WORD = re.compile(r"[a-z]+")
+_ATTR = re.compile(r"([^\s=>/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+_HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-#: Elements that hold no part of an article.
+#: Elements that hold no part of an article. ``header`` and ``noscript`` are content inside an article, and none elsewhere.
 NEVER = frozenset("aside button canvas datalist dialog footer form head menu nav object optgroup option output progress select".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: Words of a class or id that mark an element as none of the article.
 MARKS = frozenset("ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus disclaimer footer gdpr hidden login masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommended related replies reply respond search share sharing sidebar sidenav signup skip skiplink social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split())
+#: What readers wrote, even where most of a page's prose stands in it.
+READERS = frozenset("comment comments disqus replies reply respond".split())
+#: A name with one of these says what its element has or lacks, not what it is: has-sidebar, no-comments.
+OTHERWISE = frozenset("closed count disabled enabled has have is no non not off on open show with without".split())
 #: Elements that are counted per host. Paragraphs and the like are prose: the same line in many articles stays.
 COUNTED = frozenset("address aside center details dialog div dl fieldset figure footer form header menu nav ol section table ul".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDS_P = BLOCK - {"body", "html", "head"}
 _SCOPES = frozenset("article aside body dd details div dialog fieldset figure footer form header li main nav ol section table td th ul".split())
 _MOD = (1 << 61) - 1
+#: How sure a rule is that an element is no part of an article.
+STAYS, LIKELY, SURELY, BY_READERS = range(4)
+
+
+def named_otherwise(value: str) -> int:
+    """What a class or id tells: SURELY for a name that is a mark, LIKELY for one that has a mark among its words."""
+    found = STAYS
+    for name in value.split():
+        lower = name.lower()
+        words = [lower] if lower in MARKS else [w.lower() for w in _WORD.findall(name)]
+        if MARKS.isdisjoint(words) or not OTHERWISE.isdisjoint(words):
+            continue
+        found = max(found, BY_READERS if words[0] in READERS or words[-1] in READERS else SURELY if lower in MARKS else LIKELY)
+    return found
 
 
 class Element:
-    __slots__ = ("tag", "start", "end", "parent", "drop", "role", "holds", "first", "last")
+    __slots__ = ("tag", "start", "end", "parent", "doubt", "article", "holds", "first", "last")
 
-    def __init__(self, tag: str, start: int, parent: int, drop: bool, role: str):
-        self.tag, self.start, self.end, self.parent, self.drop, self.role = tag, start, start, parent, drop, role
+    def __init__(self, tag: str, start: int, parent: int, doubt: int, article: bool):
+        self.tag, self.start, self.end, self.parent, self.doubt, self.article = tag, start, start, parent, doubt, article
         self.holds = False  # an article, or the main part, stands in it
         self.first = self.last = 0
 
 
 class Page:
-    """Elements, and the pieces of text between tags, each with its element. Wrong or missing end tags are borne."""
+    """Elements, and the pieces of text between tags, each with its element. Wrong or missing end tags are borne; time
+    grows with the length of the source, however deep elements are nested."""
 
     def __init__(self, source: str):
-        self.elements: list[Element] = [Element("#root", 0, -1, False, "")]
+        self.elements: list[Element] = [Element("#root", 0, -1, STAYS, False)]
         self.pieces: list[tuple[int, int, bool]] = []  # element, index of text, a block begins before it
         self.texts: list[str] = []
+        self.sizes, self.prose = [0], [0]  # characters of text, and of text in paragraphs, so far
         sums = [0]  # rolling hash of the tokens so far
         stack = [0]
-        at, fresh = 0, True
-        in_article = 0
+        open_at: dict[str, list[int]] = {}  # depths of the open elements of a tag
+        scopes = [0]  # depths of open elements that end tags of others don't reach through
+        at, fresh_block, in_article = 0, True, 0
 
         def put(what: str) -> None:
             sums.append((sums[-1] * 1_000_003 + hash_text(what)) % _MOD)
@@ -75,16 +103,27 @@ class Page:
             while len(stack) > depth:
                 e = self.elements[stack.pop()]
                 e.end, e.last = len(self.texts), len(sums) - 1
-                in_article -= e.tag in ("article", "main")
+                in_article -= e.article
+                if e.parent >= 0:
+                    open_at[e.tag].pop()
+                    self.elements[e.parent].holds |= e.holds or e.article
+                if e.tag in _SCOPES:
+                    scopes.pop()
+
+        def add(text: str) -> None:
+            nonlocal fresh_block
+            self.pieces.append((stack[-1], len(self.texts), fresh_block))
+            self.texts.append(text)
+            self.sizes.append(self.sizes[-1] + len(text))
+            self.prose.append(self.prose[-1] + (len(text) if open_at.get("p") else 0))
 
         def say(text: str) -> None:
-            nonlocal fresh
+            nonlocal fresh_block
             if text:
                 if not text.isspace():
                     put(text.strip())
-                self.pieces.append((stack[-1], len(self.texts), fresh))
-                self.texts.append(text)
-                fresh = False
+                add(text)
+                fresh_block = False
 
         for m in _TOKEN.finditer(source):
             say(source[at : m.start()])
@@ -93,104 +132,123 @@ class Page:
             if tag is None:
                 continue  # a comment, a declaration, or an element of raw text
             tag = tag.lower()
+            if tag in BLOCK:
+                fresh_block = True
             if m["close"]:
-                if tag in BLOCK:
-                    fresh = True
-                for depth in range(len(stack) - 1, 0, -1):
-                    open_tag = self.elements[stack[depth]].tag
-                    if open_tag == tag:
-                        pop_to(depth)
-                        break
-                    if open_tag in _SCOPES and tag not in _SCOPES:
-                        break
+                depths = open_at.get(tag)
+                if depths and (tag in _SCOPES or depths[-1] >= scopes[-1]):
+                    pop_to(depths[-1])
                 put("/" + tag)
                 continue
-            if tag in BLOCK:
-                fresh = True
             if tag == "br":
-                self.pieces.append((stack[-1], len(self.texts), fresh))
-                self.texts.append(" ")
+                add(" ")
             if tag in VOID:
                 continue
             ends = CLOSES.get(tag, set()) | ({"p"} if tag in _ENDS_P else set())
-            for depth in range(len(stack) - 1, 0, -1):
-                open_tag = self.elements[stack[depth]].tag
-                if open_tag in ends:
-                    pop_to(depth)
-                elif open_tag in _SCOPES and open_tag not in ends:
-                    break
+            if ends:
+                # The innermost scope stops the search, unless it is itself among those that end here.
+                lowest = [d[-1] for t in ends if (d := open_at.get(t)) and d[-1] >= scopes[-1]]
+                while lowest:
+                    pop_to(min(lowest))
+                    lowest = [d[-1] for t in ends if (d := open_at.get(t)) and d[-1] >= scopes[-1]]
+            doubt, role = SURELY if tag in NEVER else STAYS, ""
             attrs = m["attrs"]
-            drop, role = tag in NEVER, ""
             if attrs and not attrs.isspace():
-                marks: set[str] = set()
-                for name, a, b, c, hidden in _ATTR.findall(attrs):
-                    name, value = name.lower(), (a or b or c).lower()
-                    if name in ("class", "id"):
-                        marks.update(_WORD.findall(value))
+                for name, a, b, c in _ATTR.findall(attrs):
+                    name, value = name.lower(), a or b or c
+                    if name == "class" or (name == "id" and not in_article):  # ids inside an article are mostly anchors
+                        doubt = max(doubt, named_otherwise(value))
                     elif name == "role":
-                        role = value
-                    drop |= bool(hidden) or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) is not None)
-                drop |= role in ROLES or (tag not in ("html", "body", "article", "main") and not marks.isdisjoint(MARKS)) or (tag == "article" and not marks.isdisjoint({"comment", "comments", "reply"}))
-            if tag == "header" and not in_article:
-                drop = True
-            e = Element(tag, len(self.texts), stack[-1], drop, role)
+                        role = value.strip().lower()
+                    elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDES.search(value.lower())):
+                        doubt = max(doubt, SURELY)
+                if role in ROLES:
+                    doubt = max(doubt, SURELY)
+            if tag in ("header", "noscript") and not in_article:
+                doubt = max(doubt, SURELY)
+            article = tag in ("article", "main") or role == "main"
+            if tag in ("html", "body", "main") or role == "main" or (tag == "article" and doubt < BY_READERS):
+                doubt = STAYS
+            article &= doubt == STAYS
+            e = Element(tag, len(self.texts), stack[-1], doubt, article)
             e.first = len(sums) - 1
-            in_article += tag in ("article", "main")
+            in_article += article
+            open_at.setdefault(tag, []).append(len(stack))
+            if tag in _SCOPES:
+                scopes.append(len(stack))
             stack.append(len(self.elements))
             self.elements.append(e)
             put("<" + tag)
-            if tag in ("article", "main") and not drop or role == "main":
-                for i in stack[:-1]:
-                    self.elements[i].holds = True
         say(source[at:])
         pop_to(0)
         self.sums = sums
 
+    def size(self, e: Element) -> int:
+        return self.sizes[e.end] - self.sizes[e.start]
+
     def subtree_hash(self, i: int) -> int:
         e = self.elements[i]
         return (self.sums[e.last] - self.sums[e.first] * pow(1_000_003, e.last - e.first, _MOD)) % _MOD
 
-    def counted(self) -> list[int]:
-        """Elements that may be a piece of a template: they hold some text, no article, and at most half the page's text."""
-        sizes = [0]
-        for t in self.texts:
-            sizes.append(sizes[-1] + len(t))
-        out = []
-        for i, e in enumerate(self.elements):
-            size = sizes[e.end] - sizes[e.start]
-            if e.tag in COUNTED and not e.holds and size and 2 * size <= sizes[-1]:
-                out.append(i)
-        return out
+    def counted(self, most_of_page: float) -> list[int]:
+        """Elements that may be a piece of a template: they hold some text, no article, and at most so much of the page's text."""
+        most = most_of_page * self.sizes[-1]
+        return [i for i, e in enumerate(self.elements) if e.tag in COUNTED and not e.holds and 0 < self.size(e) <= most]
 
-    def dropped(self, template: frozenset[int] | set[int]) -> list[bool]:
+    def lead(self) -> int:
+        """The longest article or main part, one outside all that is surely no article first; 0 if there is none."""
+        worst = [STAYS] * len(self.elements)
+        best, key = 0, (False, -1)
+        for i, e in enumerate(self.elements):
+            worst[i] = max(e.doubt, worst[e.parent] if e.parent >= 0 else STAYS)
+            if e.article and worst[i] < BY_READERS and (worst[i] == STAYS, self.size(e)) > key:
+                best, key = i, (worst[i] == STAYS, self.size(e))
+        return best
+
+    def dropped(self, template: dict[int, int] | None = None) -> list[bool]:
+        """Which elements go. ``template``: subtree hashes of the elements that stand in the host's template."""
+        keep, i = {0}, self.lead()
+        while i > 0:  # what the lead stands in stays
+            keep.add(i)
+            i = self.elements[i].parent
         out = [False] * len(self.elements)
-        counted = set(self.counted()) if template else ()
         for i, e in enumerate(self.elements):
-            out[i] = (e.parent >= 0 and out[e.parent]) or e.drop or (i in counted and self.subtree_hash(i) in template)
+            gone = e.doubt and i not in keep
+            if gone and (e.doubt == LIKELY or e.tag == "form") and 2 * (self.prose[e.end] - self.prose[e.start]) > self.prose[-1]:
+                gone = False  # most of the page's paragraphs: a wrapper with an odd name
+            out[i] = bool(gone) or (e.parent >= 0 and out[e.parent]) or bool(template and i in template)
         return out
 
-    def main(self, dropped: list[bool]) -> int:
-        """The longest article, else the longest main part, else all."""
-        for wanted in (lambda e: e.tag == "article", lambda e: e.tag == "main" or e.role == "main"):
-            found = [i for i, e in enumerate(self.elements) if wanted(e) and not dropped[i]]
-            if found:
-                return max(found, key=lambda i: (sum(map(len, self.texts[self.elements[i].start : self.elements[i].end])), -i))
-        return 0
+    def roots(self, dropped: list[bool]) -> list[tuple[int, int]]:
+        """Ranges of texts of the outermost articles and main parts; all the page if there are none."""
+        out: list[tuple[int, int]] = []
+        for i, e in enumerate(self.elements):
+            if e.article and not dropped[i] and (not out or e.start >= out[-1][1]):
+                out.append((e.start, e.end))
+        return out or [(0, len(self.texts))]
 
-    def matters(self) -> list[int]:
+    def matters(self, most_of_page: float) -> list[int]:
         """Counted elements whose deletion would change the extracted text."""
-        dropped = self.dropped(set())
-        e = self.elements[self.main(dropped)]
-        return [i for i in self.counted() if not dropped[i] and e.start <= self.elements[i].start and self.elements[i].end <= e.end]
-
-    def text(self, template: frozenset[int] | set[int] = frozenset()) -> str:
-        dropped = self.dropped(template)
-        main = self.elements[self.main(dropped)]
+        dropped = self.dropped()
+        inside = [False] * len(self.texts)
+        for lo, hi in self.roots(dropped):
+            inside[lo:hi] = [True] * (hi - lo)
+        return [i for i in self.counted(most_of_page) if not dropped[i] and inside[self.elements[i].start]]
+
+    def text(self, template: set[int] | frozenset[int] = frozenset(), most_of_page: float = MOST_OF_PAGE) -> str:
+        """The text without template; if nothing else stands on the page, the template is its text."""
+        gone = {i: h for i in self.counted(most_of_page) if (h := self.subtree_hash(i)) in template} if template else None
+        return self._text(self.dropped(gone)) or (self._text(self.dropped()) if gone else "")
+
+    def _text(self, dropped: list[bool]) -> str:
+        inside = [False] * len(self.texts)
+        for lo, hi in self.roots(dropped):
+            inside[lo:hi] = [True] * (hi - lo)
         blocks: list[list[str]] = []
         new = True
-        for element, k, fresh in self.pieces:
-            new |= fresh
-            if main.start <= k < main.end and not dropped[element]:
+        for element, k, begins in self.pieces:
+            new |= begins
+            if inside[k] and not dropped[element]:
                 if new:
                     blocks.append([])
                     new = False
@@ -209,7 +267,7 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#]*)", 1), F.lit("")))
 
 
-def _subtrees(pages: DataFrame) -> DataFrame:
+def _subtrees(pages: DataFrame, most_of_page: float) -> DataFrame:
     """(host, subtree, page, matters) of every row of pages, each subtree once a row; subtree 0 stands for the page itself."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,8 +277,8 @@ def _subtrees(pages: DataFrame) -> DataFrame:
                 hosts, trees, keys, matter = [], [], [], []
                 for host, key, source in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
                     page = Page(source.as_py() or "")
-                    matters = {page.subtree_hash(i) for i in page.matters()}
-                    for h in {0, *(page.subtree_hash(i) for i in page.counted())}:
+                    matters = {page.subtree_hash(i) for i in page.matters(most_of_page)}
+                    for h in {0, *(page.subtree_hash(i) for i in page.counted(most_of_page))}:
                         hosts.append(host)
                         trees.append(h)
                         keys.append(key)
@@ -230,14 +288,21 @@ def _subtrees(pages: DataFrame) -> DataFrame:
     return pages.select("_host", "_page", "_html").mapInArrow(work, "host string, subtree long, page long, matters boolean")
 
 
-def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+#: Into how many keys the pages of one template, and the rows of one page, are dealt for a join.
+SALTS = 16
+
+
+def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, most_of_page: float = MOST_OF_PAGE) -> DataFrame:
     """Adds ``text`` and ``n_chars`` (code points) to every row; a column of these names is replaced.
 
-    A subtree is template if it stands on at least ``min_pages`` pages of its host and at least ``min_share`` of them;
-    rows of a host with the same html are one page here, so that copies of a page don't make its article template.
+    A subtree is template if it stands on at least ``min_pages`` distinct pages of its host and at least ``min_share`` of
+    them; rows of a host with the same html are one page. An element with more than ``most_of_page`` of a page's text is
+    never deleted as template: pages that differ in nearly nothing else are versions of one page, not pages in one frame.
+    Nor does deletion leave a page empty: where only template stands, it is the text.
     Character references are decoded, white space inside a block becomes one space, blocks are trimmed, empty ones left
     out, the others joined by two line feeds; nothing else is dropped. Null or empty html gives ''. A null url counts to
-    the host ''. Repeated rows give equal results; no rows give no rows.
+    the host ''. Repeated rows give equal results; other columns stay; no rows give no rows. Pages of any length and
+    nested to any depth are read in linear time.
 
     Only hashes are shuffled. Pages are shuffled with the subtrees to delete only if those, restricted to subtrees whose
     deletion changes a page's text, are too many to broadcast by Spark's own threshold.
@@ -247,22 +312,25 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", mi
     kept = [c for c in columns if c != html_col]
     row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row")  # so that no column of the input meets one of ours
     keyed = pages.select(row, host_of(F.col(url_col)).alias("_host"), text.alias("_html")).withColumn("_page", F.xxhash64("_host", "_html"))
-    found = written(_subtrees(keyed), "subtrees")
+    found = written(_subtrees(keyed, most_of_page), "subtrees")
     counts = found.select("host", "subtree", "page").distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
     sizes = counts.where("subtree = 0").select("host", F.col("n").alias("n_pages"))
     many = counts.where((F.col("subtree") != 0) & (F.col("n") >= min_pages)).join(sizes, "host").where(F.col("n") >= min_share * F.col("n_pages"))
-    # Partly aggregated before the join: the pages of a template are many, and few of them matter.
-    own = found.where("matters").select("host", "subtree", "page")
-    delete = written(own.join(many.select("host", "subtree"), ["host", "subtree"]).groupBy("page").agg(F.collect_set("subtree").alias("_delete")), "templates")
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    # The pages of one template meet it in SALTS tasks, and the rows of one page its deletions likewise.
+    own = found.where("matters").select("host", "subtree", "page", F.pmod(F.xxhash64("page"), F.lit(SALTS)).cast("int").alias("salt"))
+    held = own.join(many.select("host", "subtree", every), ["host", "subtree", "salt"])
+    delete = written(held.groupBy("page").agg(F.collect_set("subtree").alias("_delete")), "templates")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                texts = [Page(source.as_py() or "").text(set(gone or ())) for source, gone in zip(part.column(1), part.column(2).to_pylist())]
+                texts = [Page(source.as_py() or "").text(set(gone or ()), most_of_page) for source, gone in zip(part.column(1), part.column(2).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["_row", "text", "n_chars"])
 
-    joined = keyed.join(delete, keyed["_page"] == delete["page"], "left").select("_row", "_html", "_delete")
+    salted = keyed.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int"))
+    joined = salted.join(delete.select("page", "_delete", every), (keyed["_page"] == F.col("page")) & (F.col("_salt") == F.col("salt")), "left").select("_row", "_html", "_delete")
     kind = joined.schema["_row"].dataType.simpleString()
     out = joined.mapInArrow(work, f"_row {kind}, text string, n_chars long")
     return out.select(*[F.col("_row")[c].alias(c) for c in kept], "text", "n_chars")

@@ -133,6 +133,65 @@ def test_a_repeated_subtree_goes_only_where_it_recurs(spark):
     assert "Stay" not in got[3] and "Stay with us" in got[20] and "text number 3" in got[3]
 
 
+def brute_force_texts(pages):
+    """main_text in plain Python: templates by counting the distinct pages of each host."""
+    host = lambda url: (re.match(r"(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/:?#]*)", url or "") or [None, ""])[1].lower()
+    distinct = {(host(url), source or "") for _, url, source in pages}
+    n_pages = Counter(h for h, _ in distinct)
+    seen = Counter()
+    for h, source in distinct:
+        page = html.Page(source)
+        seen.update((h, t) for t in {page.subtree_hash(i) for i in page.counted(html.MOST_OF_PAGE)})
+    gone = {}
+    for (h, t), n in seen.items():
+        if n >= html.MIN_PAGES and n >= html.MIN_SHARE * n_pages[h]:
+            gone.setdefault(h, set()).add(t)
+    return Counter((k, html.Page(source or "").text(gone.get(host(url), set()))) for k, url, source in pages)
+
+
+def test_extraction_equals_brute_force_whatever_the_copies(spark):
+    frame = '<body><div class="x7"><ul><li>Home page</li><li>About us</li></ul></div>{}<div class="x8">All the best from here</div></body>'
+    pages, k = [], 0
+    for copies in (1, 6, 500):
+        body = f"<article><h1>Page in {copies}</h1><p>Prose of it.</p><ul><li>first of {copies}</li></ul><table><tr><td>cell</table></article>"
+        for _ in range(copies):
+            pages.append((k, f"http://h.org/{copies}", frame.format(body)))
+            k += 1
+    for i in range(40):
+        pages.append((1000 + i, "http://H.org/z", frame.format(f"<p>Paragraph {i} of a page of its own.</p>" + ("<dl><dt>same</dl>" if i < 20 else ""))))
+    pages += [(2000, None, None), (2001, "x", "<p>no host</p>"), (2002, "http://h.org/", "<div><ul><li>Home page</li><li>About us</li></ul></div>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    got = Counter((r["page_id"], r["text"]) for r in html.main_text(df).collect())
+    assert got == brute_force_texts(pages)
+    by = dict(got.keys())
+    assert by[3] == "Page in 6\n\nProse of it.\n\nfirst of 6\n\ncell" and by[1005] == "Paragraph 5 of a page of its own."
+    assert by[2002] == "Home page\n\nAbout us"  # nothing else stands there
+
+
+def test_no_rule_drops_what_holds_the_article():
+    text = lambda source: html.Page(source).text()
+    assert text('<div class="layout has-sidebar"><article><p>A b</p></article><div class=sidebar>no</div></div>') == "A b"
+    assert text('<div class="content no-comments"><p>Hello</p></div>') == "Hello"
+    assert text('<div class="page-sidebar-left"><p>Most of the prose</p><p>of this page</p></div><div class=sidebar><p>no</p></div>') == "Most of the prose\n\nof this page"
+    assert text('<form id=f><div style="display:none"><article>kept</article></div><input></form>') == "kept"
+    assert text('<article class="post comments-open">kept</article><div id="post-comments"><article>a reader wrote this, at length</article></div>') == "kept"
+    assert text("<p class=it's>Hello</p><p>That's all</p><p>third</p>") == "Hello\n\nThat's all\n\nthird"
+    assert text('<p title="a>b" data-x=1>one</p><!--> <p>two</p><!-- x --!><p>three') == "one\n\ntwo\n\nthree"
+    assert text("<main><p>lead</p><article>one</article><article>two two</article></main><article>three</article>") == "lead\n\none\n\ntwo two\n\nthree"
+    assert text("<noscript>turn on scripts</noscript><article>E is <math><mi>m</mi><mi>c</mi></math><noscript> seen</noscript></article>") == "E is mc seen"
+    assert text("<nav>a</nav><footer>b</footer><aside>c</aside><form>d</form>") == ""
+    assert text('<article><h2 id="search">Search</h2><section id="comments">about ids</section></article>') == "Search\n\nabout ids"
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    import time
+
+    start = time.monotonic()
+    for source in ("<i>" * 100_000 + "deep", "<div><p>" * 30_000 + "deep" + "</b>" * 100_000, "<a " * 100_000, "<p b='" * 100_000, "<" * 100_000 + "deep"):
+        html.Page(source).text()
+    assert time.monotonic() - start < 20
+
+
 # 4
 
 
