@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.functions.storage import materialised
+from lodeworks.functions.joins import spread_join
+from lodeworks.functions.storage import discard, stored
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -13,17 +14,23 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
 
     Each round hangs the neighbours of a node that are larger than it below the smallest of its neighbourhood, then the
     smaller ones likewise, until every link leads straight to the smallest node of its component: a number of rounds that
-    grows with the logarithm of the longest path. Only sums about the links reach the driver.
+    grows with the logarithm of the longest path. A node in which very many links meet is aggregated partly before the
+    shuffle, and its links are joined to its minimum in several tasks. Only sums about the links reach the driver, and the
+    tables of earlier rounds are deleted. Null nodes and self-links are ignored.
     """
-    edges = materialised(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "links")
-    before = None
+    spark = links.sparkSession
+    start = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
+    path, before = stored(start, "links"), None
     while True:
+        edges = spark.read.schema(start.schema).parquet(path)
         sides = edges.union(edges.select("v", "u"))
-        low = sides.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = sides.join(low, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = spread_join(sides, low, ["u"], ["v"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(small.withColumnRenamed("u", "w"), F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = materialised(moved.union(small.select("u", F.col("m").alias("v"))).distinct(), "links")
+        moved = spread_join(large, small, ["u"], ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        done, path = path, stored(moved.union(small.select("u", F.col("m").alias("v"))).distinct(), "links")
+        edges = spark.read.schema(start.schema).parquet(path)
+        discard(spark, done)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -194,7 +194,7 @@ def csv_round_trip(spark, sf):
     import uuid
 
     x = read(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    path = f"{shared_folder(x)}/lodeworks-csv-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/lodeworks-csv-{uuid.uuid4().hex}"
     write_csv(x, path, ";")
     return read_csv(spark, path, "o_orderkey long, o_orderstatus string, o_totalprice double", ";")
 
@@ -229,7 +229,7 @@ def snapshot(spark, sf):
     from lodeworks.operators.project import Project
 
     nation = read(spark, sf, "nation")
-    p = Project(spark, f"{shared_folder(nation)}/lodeworks-project-{uuid.uuid4().hex}")
+    p = Project(spark, f"{shared_folder(spark)}/lodeworks-project-{uuid.uuid4().hex}")
     p.snapshot(nation, "nation")
     p.snapshot(nation.where("n_regionkey = 0"), "nation")
     return p.restore("nation", 1)

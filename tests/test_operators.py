@@ -134,6 +134,19 @@ def test_dbscan_of_two_chains_and_noise(spark):
     assert {got[i] for i in range(8)} == {got[0]} and {got[i] for i in range(8, 16)} == {got[8]} and got[0] != got[8] and got[16] is None
 
 
+def test_components_of_a_star_leave_one_table(spark):
+    from pathlib import Path
+
+    from lodeworks.functions.storage import shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file://"))
+    before = set(folder.glob("lodeworks-links-*"))
+    links = spark.range(1, 3000).selectExpr("0L AS a", "id AS b").union(spark.range(1).selectExpr("9001L AS a", "9000L AS b")).union(spark.sql("SELECT 5L, 5L")).union(spark.sql("SELECT CAST(NULL AS long), 5L"))
+    got = {r["node"]: r["component"] for r in graph.components(links, "a", "b").collect()}
+    assert len(set(folder.glob("lodeworks-links-*")) - before) == 1  # what the result reads
+    assert got == {**{i: 0 for i in range(3000)}, 9000: 9000, 9001: 9000}
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["component"] for r in graph.components(links, "a", "b").collect()}
