@@ -4,45 +4,28 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeworks.functions.storage import materialised
+
 
 def fold(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; a null id counts as the text ''."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(n))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses spark.checkpoint.dir of the session; sets a folder of its own only where none is set, as in local tests."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lodeworks-checkpoints")
-
-
-def settled(df: DataFrame, *keys: str, parts: int | None = None) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back: later steps neither recompute it nor depend on
-    the executors that made it. With ``parts``, dealt out by ``keys`` (or in turn) beforehand."""
-    ensure_checkpoint_dir(df.sparkSession)
-    if parts:
-        df = df.repartition(parts, *keys) if keys else df.repartition(parts)
-    return df.checkpoint(eager=True)
-
-
 def fresh(name: str) -> str:
     """A column name that no input has."""
     return f"_{name}_{uuid.uuid4().hex[:8]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared checkpoint folder and read back: as ``settled``, and its size is known to
-    the planner, which broadcasts it only below spark.sql.autoBroadcastJoinThreshold and shuffles it otherwise."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        ensure_checkpoint_dir(spark)
-        base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    path = f"{base.rstrip('/')}/lodeworks-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def row_hashes(df: DataFrame) -> tuple[Column, Column]:
+    """Two 64-bit hashes of all columns of a row, by which it is found again whatever its id."""
+    parts = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema.fields]
+    # A null leaves a hash as it is, so which columns are null counts as well.
+    nulls = F.concat(*[F.when(F.col(f"`{f.name}`").isNull(), "1").otherwise("0") for f in df.schema.fields])
+    return F.xxhash64(nulls, *parts), F.xxhash64(F.lit(1), *reversed(parts), nulls)
+
+
+written = materialised

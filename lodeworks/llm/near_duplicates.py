@@ -26,18 +26,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeworks.functions.joins import spread_join
 from lodeworks.llm import text as T
-from lodeworks.llm.common import fresh, settled, written
+from lodeworks.llm.common import fresh, row_hashes, written
 from lodeworks.llm.components import smallest_reached
 from lodeworks.operators.graph import components
 
 HASHES = 64
 ORDER_BINS = 1 << 16
-#: Bits of the filter of documents whose sets are read again: fixed, a fuller filter only lets more sets through.
-FILTER_BITS = 24
-BLOCK = 512
+#: Logarithm of the bits of the filter of documents whose sets are read again: 16 bits for each of them, within these
+#: bounds, so 16 MB at most. A fuller filter only lets more sets through.
+FILTER_BITS = (16, 27)
+#: Nodes of one list that meet in one task as one side of a block pair, and how many of them are compared at a time.
+BLOCK = 4096
+TILE = 512
+#: More than tiles of any block: blocks are dealt by a hash, and hold about BLOCK nodes.
+TILES = 64
 #: Bytes of sets and signatures that one comparing task takes, unless a single block pair has more.
 GROUP_BYTES = 4 << 20
+SECOND = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(29)
 FACTORS = _rng.integers(0, 1 << 62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 MASKS = _rng.integers(0, 1 << 62, HASHES, dtype=np.uint64)
@@ -71,25 +78,34 @@ def signatures(chunk: T.Chunk, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
         for j in range(HASHES):
             minima[full, j] = np.minimum.reduceat((s ^ MASKS[j]) * FACTORS[j], at[full]) >> np.uint64(32)
         one = np.add.reduceat(T.mix(s), at[full])
-        other = np.bitwise_xor.reduceat(T.mix(s + np.uint64(0x9E3779B97F4A7C15)), at[full])
+        other = np.bitwise_xor.reduceat(T.mix(s + SECOND), at[full])
         node[full] = T.mix(one ^ T.mix(other + sizes[full].astype(np.uint64)))
     return sizes, node, minima
 
 
-def _sign(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(_id, n_shingles, node, signature); node and signature are null for a text without words."""
+def _node(shingles: np.ndarray) -> int:
+    """The hash of one set, as in ``signatures``."""
+    other = np.bitwise_xor.reduce(T.mix(shingles + SECOND))
+    return int(T.mix(np.atleast_1d(T.mix(shingles).sum() ^ T.mix(np.atleast_1d(other + np.uint64(len(shingles))))))[0])
+
+
+def _sign(docs: DataFrame, id_col: str, text_col: str, k: int, hashes: bool) -> DataFrame:
+    """(_id, n_shingles, node, signature); node and signature are null for a text without words. With ``hashes`` also _h1 and
+    _h2 of the whole row."""
     kind = dict(docs.dtypes)[id_col]
+    more = [c.alias(n) for c, n in zip(row_hashes(docs), ("_h1", "_h2"))] if hashes else []
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in T.chunks(batch.column(1)):
                 sizes, node, minima = signatures(chunk, k)
-                own = batch.column(0).slice(chunk.lo, chunk.hi - chunk.lo)
+                own = batch.slice(chunk.lo, chunk.hi - chunk.lo)
                 none = sizes == 0
                 sig = pa.array([None if e else m.tobytes() for e, m in zip(none, minima)], pa.binary())
-                yield pa.RecordBatch.from_arrays([own, pa.array(sizes, pa.int64()), pa.array(T.signed(node), mask=none), sig], ["_id", "n_shingles", "node", "signature"])
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(sizes, pa.int64()), pa.array(T.signed(node), mask=none), sig, *own.columns[2:]], ["_id", "n_shingles", "node", "signature", *(["_h1", "_h2"] if hashes else [])])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(work, f"_id {kind}, n_shingles long, node long, signature binary")
+    schema = f"_id {kind}, n_shingles long, node long, signature binary" + (", _h1 long, _h2 long" if hashes else "")
+    return docs.select(F.col(id_col), F.col(text_col), *more).mapInArrow(work, schema)
 
 
 def _stack(column: pa.Array) -> np.ndarray:
@@ -137,31 +153,43 @@ def _posts(nodes: DataFrame, least: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(node, shingles) of the ``wanted`` (node, _id), from the texts of those ids. A filter of fixed size decides which texts
-    are split again; those it lets through needlessly do no harm."""
+    """(node, shingles), one row for each of the ``wanted`` (node, _id), from the texts of those ids. A filter of bounded size
+    decides which texts are split again; those it lets through needlessly do no harm. A task sends the set of a node once,
+    however many rows of that id and text it meets."""
     spark = docs.sparkSession
-    slot = F.pmod(F.xxhash64("_id"), F.lit(1 << FILTER_BITS))
+    least, most = FILTER_BITS
+    bits = min(max(least, (16 * wanted.count()).bit_length()), most)
+    slot = F.pmod(F.xxhash64("_id"), F.lit(1 << bits))
     words = wanted.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits")).toPandas()
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    bits[words["w"].to_numpy(np.int64)] = words["bits"]
-    shipped = spark.sparkContext.broadcast(bits)
+    table = np.zeros(1 << (bits - 6), np.int64)
+    table[words["w"].to_numpy(np.int64)] = words["bits"]
+    shipped = spark.sparkContext.broadcast(table)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set = set()
         for batch in batches:
             at = batch.column(1).to_numpy()
             hit = np.flatnonzero((shipped.value[at >> 6] >> (at & 63)) & 1)
             for chunk in T.chunks(batch.column(0).take(pa.array(hit))):
                 s, first = T.shingles(T.words(chunk), k)
-                _, node, _ = signatures(chunk, k)
                 rows = np.flatnonzero(np.diff(first))
-                own = [np.unique(s[first[r] : first[r + 1]]).view(np.int64) for r in rows]
-                if own:
-                    ids = batch.column(2).take(pa.array(hit[chunk.lo + rows]))
-                    yield pa.RecordBatch.from_arrays([pa.array(T.signed(node[rows])), pa.array(own, pa.list_(pa.int64())), ids], ["node", "shingles", "_own"])
+                own = {int(r): np.unique(s[first[r] : first[r + 1]]) for r in rows}
+                node = {r: _node(x) for r, x in own.items()}
+                ids = batch.column(2).take(pa.array(hit[chunk.lo : chunk.hi])).to_pylist()
+                fresh_rows = []
+                for r in own:
+                    if (node[r], ids[r]) not in sent:
+                        sent.add((node[r], ids[r]))
+                        fresh_rows.append(r)
+                if fresh_rows:
+                    names = T.signed(np.array([node[r] for r in fresh_rows], np.uint64))
+                    sets = pa.array([own[r].view(np.int64) for r in fresh_rows], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(names), sets, batch.column(2).take(pa.array(hit[[chunk.lo + r for r in fresh_rows]]))], ["node", "shingles", "_own"])
 
     kind = dict(docs.dtypes)[id_col]
-    found = docs.select(F.col(text_col), F.pmod(F.xxhash64(id_col), F.lit(1 << FILTER_BITS)).alias("_slot"), F.col(id_col)).mapInArrow(work, f"node long, shingles array<long>, _own {kind}")
-    return found.join(wanted, "node").where(F.col("_own").eqNullSafe(F.col("_id"))).select("node", "shingles")
+    found = docs.select(F.col(text_col), F.pmod(F.xxhash64(id_col), F.lit(1 << bits)).alias("_slot"), F.col(id_col)).mapInArrow(work, f"node long, shingles array<long>, _own {kind}")
+    own = found.join(wanted, "node").where(F.col("_own").eqNullSafe(F.col("_id"))).select("node", "shingles")
+    return own.dropDuplicates(["node"])  # of tasks that met the same id and text
 
 
 def _confirmed(pairs: DataFrame, sigs: DataFrame, sets_of, least: int, num: int, den: int) -> DataFrame:
@@ -216,17 +244,25 @@ def _across(members: DataFrame, sigs: DataFrame, sets_of, least: int, num: int,
 
     def collide(table: pa.Table) -> pa.Table:
         table, found = _in_order(table), []
-        for left, right, near in _near_blocks(table, least):
-            found += [left[near.any(1)], right[near.any(0)]]
-        at = np.concatenate(found) if found else np.zeros(0, np.int64)
-        return table.take(pa.array(np.unique(at))).select(list(PLACE))
+        key, l, r, main, own = (table[c].to_numpy() for c in ("key", "l", "r", "main", "own"))
+        for left, right, (i, j), near in _near_tiles(table, least):
+            # Each tile with a near pair becomes a block pair of its own, of the nodes that have one there.
+            left, right, at = left[near.any(1)], right[near.any(0)], left[0]
+            if not main[at] and l[at] == r[at] and i == j:
+                right = np.setdiff1d(right, left)
+            rows = np.concatenate([left, right])
+            tile = np.repeat([i, j], [len(left), len(right)])
+            fixed = {"key": key[at], "l": l[at] * TILES + i, "r": r[at] * TILES + j, "main": main[at]}
+            place = {c: np.full(len(rows), v) for c, v in fixed.items()} | {"own": own[rows] * TILES + tile}
+            found.append(pa.table({c: pa.array(place[c], t) if c in place else table[c].take(pa.array(rows)) for c, t in _PLACE_TYPES.items()}))
+        return pa.concat_tables(found) if found else pa.table({c: pa.array([], t) for c, t in _PLACE_TYPES.items()})
 
     def verify(table: pa.Table) -> pa.Table:
         table = _in_order(table)
         label, sets = table["label"].to_numpy(), table["shingles"].combine_chunks()
         ends, values = sets.offsets.to_numpy(), sets.values.to_numpy()
         out: list[np.ndarray] = []
-        for left, right, near in _near_blocks(table, least):
+        for left, right, _, near in _near_tiles(table, least):
             left, right, near = left[near.any(1)], right[near.any(0)], near[near.any(1)][:, near.any(0)]
             if not near.size:
                 continue
@@ -250,15 +286,16 @@ def _across(members: DataFrame, sigs: DataFrame, sets_of, least: int, num: int,
 
 #: A node's place in a block pair of a list.
 PLACE = {"key": "long", "l": "int", "r": "int", "main": "boolean", "other": "boolean", "own": "int", "node": "long", "label": "long"}
+_PLACE_TYPES = {c: {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[t] for c, t in PLACE.items()}
 
 
 def _in_order(table: pa.Table) -> pa.Table:
     return table.combine_chunks().sort_by([(c, "ascending") for c in ("key", "main", "l", "r")])
 
 
-def _near_blocks(table: pa.Table, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each block pair of an ordered table the rows of its sides, and which of their pairs have different labels and agree in
-    ``least`` coordinates."""
+def _near_tiles(table: pa.Table, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, tuple[int, int], np.ndarray]]:
+    """For each block pair of an ordered table, TILE x TILE rows at a time: the rows of its sides, the tile, and which of their pairs have
+    different labels and agree in ``least`` coordinates."""
     if not len(table):
         return
     key, l, r, main, other, mine, label = (table[c].to_numpy() for c in ("key", "l", "r", "main", "other", "own", "label"))
@@ -270,12 +307,18 @@ def _near_blocks(table: pa.Table, least: int) -> Iterator[tuple[np.ndarray, np.n
             left, right = at[~other[lo:hi]], at[other[lo:hi]]
         else:
             left, right = at[mine[lo:hi] == l[lo]], at[mine[lo:hi] == r[lo]]
-        agree = np.zeros((len(left), len(right)), np.uint8)
-        for j in range(HASHES):
-            agree += sig[left, j][:, None] == sig[right, j][None]
-        near = (agree >= least) & (label[left][:, None] != label[right][None])
-        if near.any():
-            yield left, right, near
+        for i in range(0, len(left), TILE):
+            for j in range(i if not main[lo] and l[lo] == r[lo] else 0, len(right), TILE):
+                x, y = left[i : i + TILE], right[j : j + TILE]
+                apart = label[x][:, None] != label[y][None]
+                if not apart.any():
+                    continue  # one component
+                agree = np.zeros(apart.shape, np.uint8)
+                for h in range(HASHES):
+                    agree += sig[x, h][:, None] == sig[y, h][None]
+                near = (agree >= least) & apart
+                if near.any():
+                    yield x, y, (i // TILE, j // TILE), near
 
 
 def _shared(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
@@ -303,55 +346,71 @@ def _shared(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096)
     return out
 
 
-def near_duplicate_components(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Links texts whose ``k``-word shingle sets have an intersection of at least num/den of their union.
-
-    One row for each row of ``docs``: id, n_shingles, component_id (the smallest id reachable by links, itself included),
-    node (a hash of the set, null if it is empty).
-    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z folded. A text of fewer than k words is one shingle, its whole sequence; a
-    null text, or one without words, has none and is linked with nothing: its component is its own id. Repeated rows are
-    linked and counted each. Null ids count as larger than any id. No rows give no rows. A pair at the threshold is missed
-    with a chance below 1e-6 (see ``least_matches``), a closer one more rarely.
-    """
+def _linked(docs: DataFrame, num: int, den: int, k: int, id_col: str, text_col: str, hashes: bool = False) -> DataFrame:
+    """One row for each row of ``docs``: _id, n_shingles, node, part (the node that names its component; both null for an
+    empty set), smallest (its component's smallest id), and with ``hashes`` _h1 and _h2 of the whole row."""
     least = least_matches(num / den)
-    rows = written(_sign(docs, id_col, text_col, k), "signatures")
+    rows = written(_sign(docs, id_col, text_col, k, hashes), "signatures")
     grouped = rows.where("node is not null").groupBy("node").agg(F.min("_id").alias("_id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n"))
     nodes = written(grouped, "nodes")
     posts = _posts(nodes, least)
     first = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("pivot"))).alias("first")
-    lists = posts.groupBy("key").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("post"), F.col("first.pivot").alias("key"))
+    # Written first, so that the long lists of posts are exchanged for this join alone, and can be split.
+    lists = written(posts.groupBy("key").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("first.pivot").alias("pivot")), "lists")
     # Lists of the same pivot are merged: the many lists of a group of near copies mostly have the same one.
-    members = written(posts.join(lists, posts["key"] == lists["post"]).select(lists["key"], "node").distinct(), "members")
+    members = written(spread_join(posts, lists, ["key"], ["node"], salts=4).select(F.col("pivot").alias("key"), "node").distinct(), "members")
     sets_of = lambda wanted: _sets(docs, wanted, id_col, text_col, k)
     pairs = members.where("node <> key").select(F.least("node", "key").alias("a"), F.greatest("node", "key").alias("b")).distinct()
-    links = settled(_confirmed(pairs, nodes, sets_of, least, num, den))
+    links = written(_confirmed(pairs, nodes, sets_of, least, num, den), "pivot-links")
     joined = components(links, "a", "b")
     labelled = written(members.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label")), "labelled")
-    links = settled(links.union(_across(labelled, nodes, sets_of, least, num, den)))
+    links = written(links.union(_across(labelled, nodes, sets_of, least, num, den)), "links")
     joined = components(links, "a", "b")
-    # A component's smallest id; a component is named by a node until then.
-    named = nodes.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("part"), "_id")
-    smallest = named.groupBy("part").agg(F.min("_id").alias("component_id"))
-    of_node = named.join(smallest, "part").select("node", "component_id")
-    out = rows.select("_id", "n_shingles", "node").join(of_node, "node", "left")
-    alone = F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("component_id"))
+    named = written(nodes.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("part"), "_id"), "named")
+    smallest = named.groupBy("part").agg(F.min("_id").alias("smallest"))
+    of_node = written(spread_join(named, smallest, ["part"], ["node"]).select("node", "part", "smallest"), "parts")
+    # Equal texts are one node here, and texts without words have none: both may be a third of all rows.
+    # The table of parts is written, so that rows are exchanged for this join alone and a hot node can be split.
+    return rows.drop("signature").join(of_node, "node", "left")
+
+
+def near_duplicate_components(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Links texts whose ``k``-word shingle sets have an intersection of at least num/den of their union.
+
+    One row for each row of ``docs``: id, n_shingles, component_id (the smallest id reachable by links, itself included),
+    node (a hash of the set, null if it is empty).
+    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z folded. A text of fewer than k words is one shingle, its whole sequence; a
+    null text, or one without words, has none and is linked with nothing: its component is its own id. Repeated rows are
+    linked and counted each. Null ids count as larger than any id. Texts of any length are whole; other columns are
+    ignored; no rows give no rows. A pair at the threshold is missed with a chance below 1e-6 (see ``least_matches``), a
+    closer one more rarely.
+    """
+    out = _linked(docs, num, den, k, id_col, text_col)
+    alone = F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("smallest"))
     return out.select(F.col("_id").alias(id_col), "n_shingles", alone.alias("component_id"), "node")
 
 
-def keep_one_of_each(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
-    """One row of each group of near duplicates, the one with the smallest id, all columns as they were. Texts without words
-    are all kept, rows with a null id too, as they can't be named; of repeated rows of one id and text, one stays."""
-    found = written(near_duplicate_components(docs, num, den).where("node is not null and doc_id is not null"), "components")
-    # Rows to drop are named by id; they may be as many as documents, so the planner picks the join by size.
-    name = fresh("id")
-    gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
-    kept = docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
-    repeated = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(name)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(name)
+def keep_one_of_each(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near duplicates, all columns as they were: the one with the smallest id (null ids last), of
+    several with that id the one of the smallest row hash, of rows that are equal in all columns any one. Rows are told
+    apart by all their columns, not by their id, so that a row whose id also stands elsewhere is kept or dropped for its own
+    text. Texts without words are in no group and are all kept."""
+    h1, h2 = fresh("h"), fresh("h")
+    found = written(_linked(docs, num, den, k, id_col, text_col, hashes=True).where("node is not null"), "components")
+    order = F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_h1", "_h2")
+    chosen = found.groupBy("part").agg(F.min(order).alias("first"))
+    staying = written(chosen.select(F.col("first._h1").alias(h1), F.col("first._h2").alias(h2)), "staying")
+    mine = found.select(F.col("_h1").alias(h1), F.col("_h2").alias(h2))
+    # Rows to drop may be as many as documents, so the planner picks the join by size; rows equal in all columns come once.
+    times = mine.groupBy(h1, h2).agg(F.count(F.lit(1)).alias("n"))
+    gone = written(times.join(staying, [h1, h2], "left_anti").select(h1, h2), "gone")
+    repeated = written(times.where("n > 1").join(staying, [h1, h2], "left_semi").select(h1, h2), "repeated")
+    hashed = docs.withColumns(dict(zip((h1, h2), row_hashes(docs))))
+    kept = hashed.join(gone, [h1, h2], "left_anti")
     if repeated.isEmpty():
-        return kept
-    repeated = written(repeated, "repeated")
-    once = kept.join(repeated, kept["doc_id"] == repeated[name], "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, kept["doc_id"] == repeated[name], "left_anti").unionByName(once)
+        return kept.select(docs.columns)
+    once = kept.join(repeated, [h1, h2], "left_semi").dropDuplicates([h1, h2])
+    return kept.join(repeated, [h1, h2], "left_anti").unionByName(once).select(docs.columns)
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

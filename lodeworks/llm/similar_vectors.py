@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeworks.llm.common import settled, written
+from lodeworks.llm.common import written
 from lodeworks.llm.components import smallest_reached
 from lodeworks.operators.graph import components
 
@@ -221,7 +221,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.95, id_col:
         found = links if found is None else found.union(links)
     if found is None:
         return rows.select(F.col("_id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id"))
-    found = settled(found)
+    found = written(found, "vector-links")
     counts = found.groupBy("node").agg(F.sum("n").alias("_links"))
     parts = components(found.where("node <> root"), "node", "root")
     named = nodes.select("node", "n", "_id").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))

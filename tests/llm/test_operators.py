@@ -358,6 +358,46 @@ def test_one_of_each_group_stays(awkward, nothing):
     assert near_duplicates.keep_one_of_each(nothing).count() == 0
 
 
+def test_a_row_is_dropped_for_its_own_text_whatever_its_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a, "x"), (5, a, "x"), (5, b, "x"), (None, c, "x"), (None, c, "y"), (None, c, "y"), (9, None, "x"), (9, None, "x"), (3, b, "x"), (3, b, "x"), (2, a + " tail", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, node string").repartition(3)
+    kept = near_duplicates.keep_one_of_each(df)
+    got = Counter(tuple(r) for r in kept.collect())
+    assert kept.columns == df.columns and got[None, c, "x"] + got[None, c, "y"] == 1
+    got.pop((None, c, "x"), None), got.pop((None, c, "y"), None)
+    assert got == Counter({(1, a, "x"): 1, (3, b, "x"): 1, (9, None, "x"): 2})
+    again = Counter(tuple(r) for r in near_duplicates.keep_one_of_each(df.repartition(1)).collect())
+    assert again == Counter(tuple(r) for r in kept.collect())
+
+
+def test_a_task_sends_the_set_of_repeated_rows_once(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(7, text)] * 500 + [(None, text + " x")] * 500 + [(8, text + " x")], "doc_id long, text string").repartition(4)
+    nodes = near_duplicates._linked(df, 85, 100, 5, "doc_id", "text").where("_id is null or _id = 7").groupBy("node").agg(F.min("_id").alias("_id"))
+    assert near_duplicates._sets(df, nodes, "doc_id", "text", 5).count() == 2
+    got = near_duplicates.near_duplicate_components(df).collect()
+    assert len(got) == 1001 and {r["component_id"] for r in got} == {7}
+
+
+def test_lists_of_several_components_are_compared_in_tiles(spark, monkeypatch):
+    # Groups of near copies share a passage, so that their nodes meet in lists; every other word differs between groups.
+    shared = [f"s{i}" for i in range(60)]
+    rows = []
+    for g in range(40):
+        own = [f"g{g}_{i}" for i in range(40)]
+        rows += [(g * 100 + k, " ".join(shared + own[:20] + [f"k{k}"] + own[21:])) for k in range(5)]
+    want = Counter()
+    sets, links = links_of(rows)
+    label = smallest(len(rows), links)
+    for (d, _), root in zip(rows, label):
+        want[d, rows[root][0]] += 1
+    monkeypatch.setattr(near_duplicates, "BLOCK", 64)
+    monkeypatch.setattr(near_duplicates, "TILE", 8)
+    got = near_duplicates.near_duplicate_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r["doc_id"], r["component_id"]) for r in got) == want
+
+
 def test_a_large_group_of_near_copies_is_one_component(spark):
     base = [f"w{i}" for i in range(200)]
     rows = [(i, " ".join(base[:150] + [f"x{i}"] + base[151:])) for i in range(300)] + [(1000 + i, " ".join(f"y{i}_{j}" for j in range(30))) for i in range(50)]
