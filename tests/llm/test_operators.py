@@ -239,8 +239,8 @@ def test_codewords_are_far_apart():
 # 5
 
 
-@pytest.mark.parametrize("block", [16, 2048])
-def test_vector_links_equal_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, cell", [(16, 2048), (8192, 8), (16, 64)])
+def test_vector_links_equal_brute_force(spark, monkeypatch, block, cell):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(150, 24))
     x[100:130] = x[7] + rng.normal(size=(30, 24)) * 0.12
@@ -251,6 +251,8 @@ def test_vector_links_equal_brute_force(spark, monkeypatch, block):
     odd = [(200, None, 1), (201, [0.0] * 24, 1), (202, [math.nan] * 24, 1), (203, [1.0] * 23 + [None], 1), (204, [], 1), (205, [1.0, 2.0], 1), (206, [2.0, 4.0], 1), (207, [math.inf] * 24, 1), (3, rows[3][1], 1)]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, node long").repartition(3)
     monkeypatch.setattr(similar_vectors, "BLOCK", block)
+    monkeypatch.setattr(similar_vectors, "CELL", cell)
+    monkeypatch.setattr(similar_vectors, "LOST", 1e-5)  # so that no pair is lost with these cells either
     got = similar_vectors.near_duplicate_vectors(df).collect()
     assert len(got) == len(rows) + len(odd)
     usable = [(i, np.array(v, float)) for i, v, _ in rows + odd if v and len(v) in (24, 2) and all(c is not None and math.isfinite(c) for c in v) and any(v)]
@@ -267,39 +269,53 @@ def test_vector_links_equal_brute_force(spark, monkeypatch, block):
     assert similar_vectors.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def pairs_at(cosine, n, dim, rng):
+    a = similar_vectors.unit(rng.normal(size=(n, dim)))
+    side = rng.normal(size=(n, dim))
+    side -= (side * a).sum(1, keepdims=True) * a
+    return a, similar_vectors.unit(cosine * a + math.sqrt(1 - cosine**2) * similar_vectors.unit(side))
+
+
 def test_collision_counts_keep_pairs_at_the_threshold():
     rng = np.random.default_rng(5)
-    lost = 0
+    n, lost, wide = 4000, 0, 0
     for dim in (4, 64, 300):
-        a = similar_vectors.unit(rng.normal(size=(400, dim)))
-        side = rng.normal(size=(400, dim))
-        side -= (side * a).sum(1, keepdims=True) * a
-        b = similar_vectors.unit(0.9501 * a + math.sqrt(1 - 0.9501**2) * similar_vectors.unit(side))
-        i, j = similar_vectors.linked_pairs(a, b, 0.95, False)
-        lost += 400 - len({p for p, q in zip(i, j) if p == q})
-    assert lost == 0
-
-
-def test_pairs_far_apart_in_the_first_projection_are_found(spark, monkeypatch):
-    rng, dim, delta = np.random.default_rng(11), 64, math.sqrt(2 - 2 * 0.9501)
-    d = similar_vectors.directions(dim)[:, 0] / math.sqrt(dim)
-    away = rng.uniform(3.8, 4.8, 100)[:, None] / math.sqrt(dim)  # of the threshold's distance, along the first direction
-    side = rng.normal(size=(100, dim))
-    v = away * d + np.sqrt(1 - away**2) * similar_vectors.unit(side - (side @ d)[:, None] * d)
-    m = rng.normal(size=(100, dim))
-    m = similar_vectors.unit(m - (m * v).sum(1, keepdims=True) * v) * math.sqrt(1 - delta**2 / 4)
-    a, b = m - delta / 2 * v, m + delta / 2 * v
-    assert (a * b).sum(1).min() >= 0.95
-    for k in range(100):
-        assert len(similar_vectors.linked_pairs(a[k : k + 1], b[k : k + 1], 0.95, False)[0]) == 1
-    rows = [(i, [float(c) for c in r]) for i, r in enumerate(np.concatenate([a, b]))]
-    monkeypatch.setattr(similar_vectors, "BLOCK", 4)
-    got = similar_vectors.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
-    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(i, 1, i % 100) for i in range(200)]
-    p = lambda width: math.erfc(width / math.sqrt(2))
-    n, most, q = similar_vectors.PROJECTIONS, similar_vectors.misses_allowed(), p(similar_vectors.WIDTH)
-    few = sum(math.comb(n, k) * q**k * (1 - q) ** (n - k) for k in range(most + 1, n + 1))
-    assert few + p(similar_vectors.GATE) < similar_vectors.MISS
+        a, b = (similar_vectors.codes(x, 0.95) for x in pairs_at(0.9501, n, dim, rng))
+        order = np.argsort(b[1][:, 0], kind="stable")
+        by = np.argsort(a[1][:, 0], kind="stable")
+        i, j = similar_vectors.candidates((a[0][by], a[1][by]), (b[0][order], b[1][order]), 0.95, False)
+        i, j = by[i], order[j]
+        lost += n - len(set(i[i == j]))
+        wide += len(i) if dim > 4 else 0
+    assert lost <= 3 * n * 4 * similar_vectors.MISS + 3
+    assert wide < 3 * n  # most of what is counted is near indeed
+
+
+def test_cells_keep_the_recall_they_are_calibrated_for():
+    rng = np.random.default_rng(6)
+    for n in (50_000, 1_000_000, 100_000_000):
+        masks = similar_vectors.tables(n, 0.95)
+        a, b = (similar_vectors.codes(x, 0.95)[0] for x in pairs_at(0.95, 20_000, 64, rng))
+        first = np.zeros(20_000, int)
+        for t in range(len(masks)):
+            first += similar_vectors.first_shared(a ^ b, t, masks)
+        assert first.max() == 1  # each pair counts once
+        assert (first == 0).mean() < 3 * similar_vectors.LOST
+    assert similar_vectors.tables(similar_vectors.CELL, 0.95).tolist() == [[0, 0]]
+    # Work for each vector: half a cell in each table. It grows far slower than the number of vectors.
+    work = [len(similar_vectors.tables(n, 0.95)) for n in (1 << 16, 1 << 26)]
+    assert work[1] < 10 * work[0]  # for 1024 times the vectors
+
+
+def test_recall_over_cells_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    a, b = pairs_at(0.952, 1500, 64, rng)
+    x = np.concatenate([a, b])
+    links = np.argwhere(np.triu(x @ x.T >= 0.95, 1))
+    monkeypatch.setattr(similar_vectors, "CELL", 32)
+    df = spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = similar_vectors.near_duplicate_vectors(df).agg(F.sum("n_links")).first()[0]
+    assert 0.995 * 2 * len(links) <= got <= 2 * len(links)
 
 
 # 6
