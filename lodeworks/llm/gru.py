@@ -198,9 +198,9 @@ class Trainer:
     def __post_init__(self):
         self.m, self.v, self.g = (np.zeros(self.net.size, np.float32) for _ in range(3))
 
-    def learn(self, ids: np.ndarray, first: np.ndarray) -> None:
-        """Texts one after the other, each with its END; ``first``: where each begins. They are cut into as many equal
-        lanes as fit; a lane's state is carried from window to window, and the gradient ends with the window."""
+    def learn(self, ids: np.ndarray, first: np.ndarray, weight: np.ndarray) -> None:
+        """Texts one after the other, each with its END; ``first``: where each begins; ``weight`` of each token. They are cut into
+        as many equal lanes as fit; a lane's state is carried from window to window, and the gradient ends with the window."""
         if not len(ids):
             return
         net = self.net
@@ -214,15 +214,15 @@ class Trainer:
         before[begins] = net.end
         pad = lanes * length - len(ids)
         lane = lambda a, fill: np.concatenate([a, np.full(pad, fill, a.dtype)]).reshape(lanes, length).T
-        x, y, fresh, real = lane(before, net.end), lane(ids, net.end), lane(begins, True), lane(np.ones(len(ids), bool), False)
+        x, y, fresh, counts = lane(before, net.end), lane(ids, net.end), lane(begins, True), lane(weight, 0)
         h = np.zeros((lanes, HIDDEN), np.float32)
         for lo in range(0, length, TRAIN_STEPS):
             hi = lo + TRAIN_STEPS
             states, h, kept = net.run(h, net.gates(), x[lo:hi], fresh[lo:hi], True)
             self.g[:] = 0
             grad = net.views(self.g)
-            weight = (real[lo:hi] / max(1, real[lo:hi].sum())).astype(np.float32).ravel()
-            _, d = net.log_p(states.reshape(-1, HIDDEN + 1), y[lo:hi].ravel(), grad, weight)
+            share = (counts[lo:hi] / max(1, counts[lo:hi].sum())).astype(np.float32).ravel()
+            _, d = net.log_p(states.reshape(-1, HIDDEN + 1), y[lo:hi].ravel(), grad, share)
             net.back(kept, x[lo:hi], fresh[lo:hi], d.reshape(*x[lo:hi].shape, HIDDEN), grad)
             self.update()
         self.seen += len(ids)

@@ -2,8 +2,10 @@
 
 Counts of all words of all training texts are taken in Spark. The recurrent model knows the N_WORDS most frequent words;
 the others share a class, inside which a word has its add-one share. It is trained in ROUNDS passes, each over its own
-part of the training texts, so that every text is learned from once: every task trains on its texts from the same
-start (truncated backpropagation, in numpy), and Spark averages the tasks' parameters, weighted by tokens.
+part of the training texts, so that every text is learned from once. A pass deals its texts to workers: every worker trains
+on its texts from the same start (truncated backpropagation, in numpy), and Spark averages the workers' parameters. Which
+worker gets a text, and their number, follow from the texts alone (a hash, and WORKER_TOKENS), never from files, partitions or
+batches; parameters are averaged as whole numbers, whose sum doesn't depend on the order. So scores don't either.
 
 Counts of the FREQUENT most frequent words are broadcast, a table of fixed size. The counts of all others, which grow with
 the corpus, are joined to the documents that hold those words.
@@ -27,10 +29,14 @@ from lodeworks.llm.gru import Gru, Trainer, log_likelihoods, packed
 
 N_WORDS = 4096
 FREQUENT = 1 << 18
-ROUNDS = 4
-RATES = (0.01, 0.01, 0.005, 0.0025)
-#: Parameters that travel in one row.
-SLOT = 2048
+ROUNDS = 8
+RATES = (0.01, 0.01, 0.01, 0.008, 0.006, 0.004, 0.003, 0.002)
+#: Training tokens of a worker in a pass, about. Their number grows with the corpus, what one of them holds doesn't.
+WORKER_TOKENS = 250_000
+#: Parameters that travel in one row, workers whose parameters are added up first, and steps of a whole number in one.
+SLOT, JOINED, SCALE = 2048, 64, float(1 << 24)
+#: Tokens that are scored at a time, or one text.
+SCORED_TOKENS = 1 << 20
 #: Stands for the end of a text among word hashes.
 END = 0x5DEECE66D1F83A27
 
@@ -116,36 +122,56 @@ def train(docs: DataFrame, frequent: Frequent, stats: Statistics, text_col: str
     vocabulary = frequent.top(N_WORDS)
     by_rank = vocabulary.n[np.argsort(vocabulary.rank)]
     net = Gru.start(by_rank, stats.other_tokens, stats.texts)
-    words = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    texts = written(_tokenised(docs, vocabulary, net, text_col), "token-ids")
+    workers = max(1, -(-stats.tokens // (ROUNDS * WORKER_TOKENS)))
+    turn_of, worker = F.pmod("h", F.lit(ROUNDS)), F.pmod(F.floor(F.col("h") / ROUNDS), F.lit(workers))
     for turn in range(ROUNDS):
-        own = docs.where(F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit(ROUNDS)) == turn).select(text_col)
-        net = Gru(net.n_words, _averaged(own, net, words, RATES[turn]))
+        own = texts.where(turn_of == turn).select(worker.alias("worker"), "h", "ids", "n")
+        net = Gru(net.n_words, _averaged(own, net, RATES[turn]))
     return net
 
 
-def _averaged(texts: DataFrame, net: Gru, words, rate: float) -> np.ndarray:
-    shipped = texts.sparkSession.sparkContext.broadcast(net.theta)
+def _tokenised(docs: DataFrame, vocabulary: Frequent, net: Gru, text_col: str) -> DataFrame:
+    """(h, ids, n): a hash of each text, its token ids in 16 bits, and how often it stands in ``docs``. A text that a great
+    many rows share is one row after the partial counts."""
+    words = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Trainer(Gru(len(words.value.word), shipped.value.copy()), rate)
-        for batch in batches:
-            ids, first = packed(_ids(chunk, words.value, own.net) for chunk in T.chunks(batch.column(0)))
-            own.learn(ids, first[:-1])
-        if own.seen:
-            parts = [own.net.theta[lo : lo + SLOT].astype("<f4").tobytes() for lo in range(0, own.net.size, SLOT)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([float(own.seen)] * len(parts)), pa.array(parts, pa.binary())], ["slot", "weight", "theta"])
-
-    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot, total, summed = 0, 0.0, 0.0
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, w, b in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                slot, total, summed = k, total + w, summed + w * np.frombuffer(b, "<f4").astype(float)
-        yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([(summed / total).astype("<f4").tobytes()], pa.binary())], ["slot", "theta"])
-
-    rows = texts.mapInArrow(learn, "slot int, weight double, theta binary").groupBy("slot").applyInArrow(average, "slot int, theta binary").toPandas()
+            for chunk in T.chunks(batch.column(1)):
+                ids, first = _ids(chunk, words.value, net)
+                ids = ids.astype("<u2")
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.lo, chunk.hi - chunk.lo), pa.array([ids[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())], ["h", "ids"])
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(work, "h long, ids binary").groupBy("h", "ids").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _averaged(texts: DataFrame, net: Gru, rate: float) -> np.ndarray:
+    """The mean of the parameters that the workers reach."""
+    n_words, shipped = net.n_words, texts.sparkSession.sparkContext.broadcast(net.theta)
+
+    def learn(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("h", "ascending"), ("n", "ascending")])
+        ids = [np.frombuffer(b, "<u2").astype(np.int32) for b in table["ids"].to_pylist()]
+        size = np.array([len(i) for i in ids])
+        own = Trainer(Gru(n_words, shipped.value.copy()), rate)
+        own.learn(np.concatenate(ids), np.r_[0, np.cumsum(size)[:-1]], np.repeat(table["n"].to_numpy().astype(np.float32), size))
+        whole = np.rint(own.net.theta.astype(np.float64) * SCALE).astype("<i8")
+        parts = [whole[lo : lo + SLOT].tobytes() for lo in range(0, len(whole), SLOT)]
+        joined = table["worker"][0].as_py() // JOINED
+        return pa.table({"joined": pa.array([joined] * len(parts), pa.int64()), "slot": pa.array(range(len(parts)), pa.int32()), "workers": pa.array([1] * len(parts), pa.int64()), "theta": pa.array(parts, pa.binary())})
+
+    def added(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(b, "<i8") for b in table["theta"].to_pylist())
+        return pa.table({"joined": table["joined"].slice(0, 1), "slot": table["slot"].slice(0, 1), "workers": pa.array([sum(table["workers"].to_pylist())], pa.int64()), "theta": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "joined long, slot int, workers long, theta binary"
+    rows = texts.groupBy("worker").applyInArrow(learn, schema).groupBy("joined", "slot").applyInArrow(added, schema)
+    rows = rows.groupBy("slot").applyInArrow(added, schema).toPandas()  # a row for each slot
     out = net.theta.copy()
-    for slot, b in zip(rows["slot"], rows["theta"]):
-        out[slot * SLOT : slot * SLOT + len(b) // 4] = np.frombuffer(b, "<f4")
+    for slot, workers, b in zip(rows["slot"], rows["workers"], rows["theta"]):
+        out[slot * SLOT : slot * SLOT + len(b) // 8] = np.frombuffer(b, "<i8") / SCALE / workers
     return out
 
 
@@ -162,8 +188,18 @@ def _scored(docs: DataFrame, net: Gru, frequent: Frequent, stats: Statistics, id
         known, model = shipped.value, Gru(n_words, parameters.value)
         log_n = np.log10(known.n + 1.0)
         here, at_row = TaskContext.get().partitionId() << 40, 0
+        def scored(ids: pa.Array, parts: list) -> pa.RecordBatch:
+            nonlocal at_row
+            texts, rows, lists = zip(*parts)
+            score = log_likelihoods(model, *packed(texts)) / math.log(10)
+            n_tokens, n_known, base_sum, inner = (np.concatenate(c) for c in zip(*rows))
+            rare = [pa.chunked_array([pa.ListArray.from_arrays(pa.array(e), pa.array(r[k])) for e, *r in lists]).combine_chunks() for k in range(2)]
+            keys = here + at_row + np.arange(len(ids))
+            at_row += len(ids)
+            return pa.RecordBatch.from_arrays([pa.array(keys), ids, pa.array(n_tokens.astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(base_sum), pa.array(score + inner), *rare], ["_key", "_id", "n_tokens", "n_known", "base_score", "score", "rare", "times"])
+
         for batch in batches:
-            rows, tokens, firsts, rare_all = [], [], [], []
+            parts, held, began = [], 0, 0
             for chunk in T.chunks(batch.column(1)):
                 w = T.words(chunk)
                 at = known.find(w.hash)
@@ -179,24 +215,19 @@ def _scored(docs: DataFrame, net: Gru, frequent: Frequent, stats: Statistics, id
                 inner = sums(np.where(outside, own_log - other, 0.0))
                 full = np.full(len(ids) + n, model.end, np.int32)
                 full[np.arange(len(ids)) + w.row] = ids
-                tokens.append(full)
-                firsts.append(w.first + np.arange(n + 1))
                 rare, of = w.hash[~hit], w.row[~hit]
                 order = np.lexsort((rare, of))
                 rare, of = rare[order], of[order]
                 new = np.flatnonzero(np.r_[True, (rare[1:] != rare[:-1]) | (of[1:] != of[:-1])]) if len(rare) else np.zeros(0, np.int64)
                 times = np.diff(np.r_[new, len(rare)])
                 ends = np.r_[0, np.cumsum(np.bincount(of[new], minlength=n))].astype(np.int32)
-                rare_all.append((ends, T.signed(rare[new]), times.astype(np.int32)))
-                rows.append((n_tokens + 1, sums(hit) + (stats.texts > 0), base_sum, inner))
-            if not rows:
-                continue
-            score = log_likelihoods(model, *packed(zip(tokens, firsts))) / math.log(10)
-            n_tokens, n_known, base_sum, inner = (np.concatenate(c) for c in zip(*rows))
-            lists = [pa.chunked_array([pa.ListArray.from_arrays(pa.array(e), pa.array(r[k])) for e, *r in rare_all]).combine_chunks() for k in range(2)]
-            keys = here + at_row + np.arange(batch.num_rows)
-            at_row += batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0), pa.array(n_tokens.astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(base_sum), pa.array(score + inner), *lists], ["_key", "_id", "n_tokens", "n_known", "base_score", "score", "rare", "times"])
+                parts.append(((full, w.first + np.arange(n + 1)), (n_tokens + 1, sums(hit) + (stats.texts > 0), base_sum, inner), (ends, T.signed(rare[new]), times.astype(np.int32))))
+                held += len(full)
+                if held >= SCORED_TOKENS:
+                    yield scored(batch.column(0).slice(began, chunk.hi - began), parts)
+                    parts, held, began = [], 0, chunk.hi
+            if parts:
+                yield scored(batch.column(0).slice(began), parts)
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(work, f"_key long, _id {kind}, n_tokens long, n_known long, base_score double, score double, rare array<long>, times array<int>")
 
@@ -208,13 +239,15 @@ def language_model_scores(docs: DataFrame, training: DataFrame, id_col: str = "d
     base_score (log10 probability by add-one unigram counts), score (the recurrent model's log10 probability of the whole
     text, its state carried to the end). Null is an empty text, which has its end. Repeated rows are scored each; null
     ids and further columns are fine; no rows give no rows. Without training texts both models know only unseen words.
+    The same texts give the same scores however they are partitioned or ordered, but for the last digits of sums.
     """
     counts = written(count_words(training, text_col), "word-counts")
     frequent, stats = statistics(counts)
     net = train(training, frequent, stats, text_col)
     rows = written(_scored(docs, net, frequent, stats, id_col, text_col), "scored")
     rare = rows.select("_key", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("_key", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
-    # A rare word is in no more than a few texts, so no key of this join is hot; words that training lacks add log10(1) = 0.
+    # Words that training lacks add log10(1) = 0. One of them may stand in very many texts; both sides are tables that are
+    # exchanged for this join alone, so that adaptive execution splits such a key.
     found = rare.join(counts, "word").groupBy("_key").agg(F.sum("times").alias("_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("_logs"))
     out = rows.drop("rare", "times").join(found, "_key", "left")
     logs = F.coalesce("_logs", F.lit(0.0))

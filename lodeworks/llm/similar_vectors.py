@@ -9,7 +9,7 @@ chance below MISS, is verified by its cosine in double precision.
 Windows of one projection hold a fixed share of all vectors, so pairs are not looked for along whole lines. Vectors meet in
 cells: a table of cells deals them by their sides of some directions, as many as bring a cell down to about CELL vectors; there
 are as many tables, each with directions of its own, as a pair at the threshold needs to share a cell in one of them but
-for a chance of LOST (``tables``). So the work grows with n to the power of about 1.3 (10 tables at 65,000 vectors, some 65 at 67 million), not with its square. A pair counts in the
+for a chance of LOST (``tables``). So the work grows with n to the power of about 1.3 (8 tables at 65,000 vectors, 57 at 67 million), not with its square. A pair counts in the
 first table in which it shares a cell, hence once. Up to CELL vectors there is one cell, and nothing can be lost.
 
 Equal vectors are one node from the start. What moves between tasks is a node's number, its sides and its places along the
