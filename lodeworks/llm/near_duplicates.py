@@ -34,9 +34,9 @@ from lodeworks.operators.graph import components
 
 HASHES = 64
 ORDER_BINS = 1 << 16
-#: Logarithm of the bits of the filter of documents whose sets are read again: 16 bits for each of them, within these
-#: bounds, so 16 MB at most. A fuller filter only lets more sets through.
-FILTER_BITS = (16, 27)
+#: Logarithm of the bits of the filter of documents whose sets are read again: 4 MB, whatever the corpus. A fuller filter
+#: only lets more sets through to the join that decides.
+FILTER_BITS = 25
 #: Nodes of one list that meet in one task as one side of a block pair, and how many of them are compared at a time.
 BLOCK = 4096
 TILE = 512
@@ -153,12 +153,11 @@ def _posts(nodes: DataFrame, least: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(node, shingles), one row for each of the ``wanted`` (node, _id), from the texts of those ids. A filter of bounded size
+    """(node, shingles), one row for each of the ``wanted`` (node, _id), from the texts of those ids. A filter of fixed size
     decides which texts are split again; those it lets through needlessly do no harm. A task sends the set of a node once,
     however many rows of that id and text it meets."""
     spark = docs.sparkSession
-    least, most = FILTER_BITS
-    bits = min(max(least, (16 * wanted.count()).bit_length()), most)
+    bits = FILTER_BITS
     slot = F.pmod(F.xxhash64("_id"), F.lit(1 << bits))
     words = wanted.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits")).toPandas()
     table = np.zeros(1 << (bits - 6), np.int64)
@@ -221,7 +220,7 @@ def _across(members: DataFrame, sigs: DataFrame, sets_of, least: int, num: int,
     by_label = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     lists = by_label.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("all"))
     # Two nodes of a list of two have been compared already.
-    lists = lists.where((F.col("most.n") < F.col("all")) & (F.col("all") > 2))
+    lists = written(lists.where((F.col("most.n") < F.col("all")) & (F.col("all") > 2)), "contested-lists")
     rows = members.join(lists, "key").withColumn("other", F.col("label") != F.col("most.label"))
     mains = F.ceil(F.col("most.n") / BLOCK).cast("int")
     others = F.ceil((F.col("all") - F.col("most.n")) / BLOCK).cast("int")
