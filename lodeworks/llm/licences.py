@@ -1,27 +1,36 @@
 """License scans by diagonal voting.
 
-Every rolling word pair of every text is hashed and joined in Spark to the places where license templates hold that
-pair. A hit votes for its diagonal, the place in the text less the place in the template: words in the template's order
+Every rolling word pair and triple of every text is hashed and joined in Spark to the places where license templates hold
+it. A hit votes for its diagonal, the place in the text less the place in the template: words in the template's order
 vote for one diagonal. Votes are added up for each text, template and diagonal; neighbouring diagonals (words put in
-or left out) are merged; and a merged span counts if it holds enough of the template's pairs. Phrases are templates
-that must stand on one diagonal completely.
+or left out) are merged; a merged span with votes for enough of the template is a candidate. Candidates are verified on the
+words themselves: the words of the span and those of the template are aligned, and a span counts if enough of the
+template's words stand in it in their order. Its ends are those of the alignment.
+
+Phrases are templates of word pairs that must stand there completely. Other templates are of any length, from a sentence to
+a whole license, and go by triples.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from difflib import SequenceMatcher
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeworks.llm import text as T
+from lodeworks.llm.common import written
 
-K = 2
-#: Word pairs of a template at most: its votes are the bits of a long. Longer texts go in as several templates.
-MAX_PAIRS = 63
+#: Words of a gram: of phrases, and of all other templates.
+PHRASE_K, K = 2, 3
+#: Shares of a template's grams that votes must reach, and of its words that must be found in order.
+MIN_VOTES, MIN_COVER = 0.6, 0.8
+#: Logarithm of the bits of the filter of texts with candidates: 2 MB, whatever the corpus.
+FILTER_BITS = 24
 
 
 class Template(NamedTuple):
@@ -36,101 +45,207 @@ PHRASES = (
     Template("gpl", "general public license", True),
     Template("reserved", "all rights reserved", True),
 )
-# Opening sentences and usual notices of public licenses.
+# Opening sentences and usual notices of public licenses, and the whole texts of short ones.
 NOTICES = (
     Template("apache", "Licensed under the Apache License, Version 2.0"),
     Template("apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    Template("apache", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
     Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    Template("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+        1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+        THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.
+        IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION)
+        HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
     Template("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     Template("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     Template("cc-by-sa", "Licensed under CC BY-SA 4.0"),
     Template("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
     Template("gpl", "This work is licensed under the GNU General Public License, version 3"),
-    Template("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    Template("gpl", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+        This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""),
+    Template("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+        THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.
+        IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
     Template("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     Template("mit", "Released under the MIT License"),
     Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    Template("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction,
+        including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+        The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+        IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
     Template("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 )
 TEMPLATES = PHRASES + NOTICES
 
 
-def pair_hashes(words: T.Words) -> np.ndarray:
-    """The hash of each word with the next one, for all words of a chunk; pairs across rows are to be left out."""
-    h = words.hash
-    return T.signed(T.mix(h[:-1] * T.SHINGLE_FACTORS[0] + h[1:] * T.SHINGLE_FACTORS[1]))
+def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The hash of each word with the k - 1 next ones, for all words of a chunk; grams across rows are to be left out."""
+    n = max(len(hashes) - k + 1, 0)
+    total = np.full(n, k, np.uint64)
+    for j in range(k):
+        total += hashes[j : j + n] * T.SHINGLE_FACTORS[j]
+    return T.signed(T.mix(total))
+
 
+def template_words(template: Template) -> np.ndarray:
+    (chunk,) = T.chunks(pa.array([template.text]))
+    return T.words(chunk, T.ALNUM).hash
 
-def template_pairs(templates: Sequence[Template]) -> list[tuple[int, int, int]]:
-    """(hash, template, place) of every word pair."""
+
+def template_grams(templates: Sequence[Template]) -> list[tuple[int, int, int]]:
+    """(hash, template, place) of every gram."""
     out = []
     for number, template in enumerate(templates):
-        (chunk,) = T.chunks(pa.array([template.text]))
-        found = pair_hashes(T.words(chunk, T.ALNUM))
-        if not 1 <= len(found) <= MAX_PAIRS:
-            raise ValueError(f"a template has 2 to {MAX_PAIRS + 1} words: {template.text[:40]!r}")
+        k = PHRASE_K if template.phrase else K
+        found = gram_hashes(template_words(template), k)
+        if not len(found):
+            raise ValueError(f"a template has {k} words or more: {template.text[:40]!r}")
         out += [(int(h), number, place) for place, h in enumerate(found)]
     return out
 
 
-def find_licences(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, min_cover: float = 0.7, merge: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All license spans of every whole text: id, n_words, spans (array of label, phrase, start, end, cover; words from 0,
-    end excluded; in order of start, end, label).
+def aligned(words: np.ndarray, template: np.ndarray) -> tuple[int, int, float]:
+    """First word and end of the template's words found in order among ``words``, and their share of the template."""
+    blocks = [b for b in SequenceMatcher(None, words.tolist(), template.tolist(), autojunk=False).get_matching_blocks() if b.size]
+    if not blocks:
+        return 0, 0, 0.0
+    return blocks[0].a, blocks[-1].a + blocks[-1].size, sum(b.size for b in blocks) / len(template)
 
-    Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z folded; null is an empty text. Each input row gives
-    one row, repeated rows too; null ids and other columns are fine; overlapping spans are all returned. The templates,
-    a parameter of ``MAX_PAIRS`` pairs each, are broadcast; texts aren't shuffled, only hits.
-    """
-    spark = docs.sparkSession
-    kind = dict(docs.dtypes)[id_col]
+
+_TEXT_KEY = ("_id", "_text")
+
+
+def _keys(id_col: str, text_col: str) -> list[Column]:
+    return [F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_text")]
+
+
+def _candidates(docs: DataFrame, templates: Sequence[Template], min_votes: float, merge: int, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _text, n_words, copies, candidates): one row for all rows that are alike in id and text; candidates is an array of
+    (template, start, end), words from 0."""
+    spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in T.chunks(batch.column(1)):
+            for chunk in T.chunks(batch.column(2)):
                 w = T.words(chunk, T.ALNUM)
                 n = np.diff(w.first)
-                # One more entry than a row has pairs: the last stands for the row itself.
-                entries = np.maximum(n - 1, 0) + 1
-                ends = np.cumsum(entries)
+                # All pairs of a row, all triples, and one more entry that stands for the row itself.
+                parts, counts = [], []
+                for k in (PHRASE_K, K):
+                    whole = gram_hashes(w.hash, k)
+                    inside = w.row[: len(whole)] == w.row[k - 1 :] if len(whole) else np.zeros(0, bool)
+                    parts.append(whole[inside])
+                    counts.append(np.maximum(n - k + 1, 0))
+                ends = np.cumsum(counts[0] + counts[1] + 1)
                 values = np.zeros(int(ends[-1]), np.int64)
-                if len(w.hash) > 1:
-                    same = w.row[1:] == w.row[:-1]
-                    slot = np.ones(len(values), bool)
-                    slot[ends - 1] = False
-                    values[slot] = pair_hashes(w)[same]
-                hashes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values))
+                begin = ends - (counts[0] + counts[1] + 1)
+                for part, count, first in ((parts[0], counts[0], begin), (parts[1], counts[1], begin + counts[0])):
+                    values[np.repeat(first - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(len(part))] = part
+                grams = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(values))
                 own = batch.slice(chunk.lo, chunk.hi - chunk.lo)
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), pa.array(n), hashes], ["_id", "_text", "n_words", "_pairs"])
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(n, pa.int64()), grams], [*_TEXT_KEY, "n_words", "_grams"])
 
-    rows = docs.select(F.col(id_col), F.col(text_col), F.xxhash64(text_col)).mapInArrow(work, f"_id {kind}, _text long, n_words long, _pairs array<long>")
-    placed = rows.select("_id", "_text", "n_words", F.size("_pairs").alias("_size"), F.posexplode("_pairs").alias("_at", "_pair"))
-    pairs = template_pairs(templates)
-    counts = [sum(number == t for _, number, _ in pairs) for t in range(len(templates))]
-    known = F.broadcast(spark.createDataFrame([(*p, 1 << p[2]) for p in pairs], "_pair long, template int, place int, vote long"))
+    rows = docs.select(*_keys(id_col, text_col), F.col(text_col)).mapInArrow(work, f"_id {kind}, _text long, n_words long, _grams array<long>")
+    placed = rows.select(*_TEXT_KEY, "n_words", F.size("_grams").alias("_size"), F.posexplode("_grams").alias("_at", "_gram"))
+    grams = template_grams(templates)
+    counts = [sum(number == t for _, number, _ in grams) for t in range(len(templates))]
+    known = F.broadcast(spark.createDataFrame(grams, "_gram long, template int, place int"))  # a parameter, of fixed size
     # A row's last entry has no template: it keeps rows without hits, and counts rows that are alike.
-    joined = placed.join(known, "_pair", "left").where(F.col("template").isNotNull() | (F.col("_at") == F.col("_size") - 1))
-    text = ["_id", "_text", "n_words"]
-    # Votes of rows that are alike fall together: the same bits of the same diagonal.
-    votes = joined.groupBy(*text, "template", (F.col("_at") - F.col("place")).alias("diagonal")).agg(
-        F.bit_or("vote").alias("votes"), F.count(F.lit(1)).alias("copies")
-    )
-    along = Window.partitionBy(*text, "template").orderBy("diagonal")
-    phrase = F.array(*[F.lit(t.phrase) for t in templates])[F.col("template")]
-    apart = F.when(phrase, 0).otherwise(merge)
-    near = F.col("diagonal") - F.lag("diagonal").over(along) <= apart
+    joined = placed.join(known, "_gram", "left").where(F.col("template").isNotNull() | (F.col("_at") == F.col("_size") - 1))
+    phrase = F.get(F.array(*[F.lit(t.phrase) for t in templates]), F.coalesce("template", F.lit(0)))
+    word = F.col("_at") - F.when(phrase, 0).otherwise(F.greatest(F.col("n_words") - PHRASE_K + 1, F.lit(0)))
+    # Votes of rows that are alike fall together: each place of a diagonal is hit once a row.
+    votes = joined.groupBy(*_TEXT_KEY, "n_words", "template", (word - F.col("place")).alias("diagonal")).agg(F.count(F.lit(1)).alias("votes"), F.min("place").alias("low"), F.max("place").alias("high"))
+    along = Window.partitionBy(*_TEXT_KEY, "template").orderBy("diagonal")
+    near = F.col("diagonal") - F.lag("diagonal").over(along) <= F.when(phrase, 0).otherwise(merge)
     runs = votes.withColumn("_new", F.when(near, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(along))
-    low = F.bit_count(F.col("votes").bitwiseXOR(F.col("votes") - 1)) - 1
-    high = F.length(F.bin("votes")) - 1
-    merged = runs.groupBy(*text, "template", "_run").agg(
-        F.bit_or("votes").alias("votes"), F.min(F.col("diagonal") + low).alias("start"), F.max(F.col("diagonal") + high + K).alias("end"), F.max(F.when(F.col("template").isNull(), F.col("copies"))).alias("copies")
+    width = F.when(phrase, PHRASE_K).otherwise(K)
+    merged = runs.groupBy(*_TEXT_KEY, "n_words", "template", "_run").agg(F.sum("votes").alias("votes"), F.min(F.col("diagonal") + F.col("low")).alias("start"), F.max(F.col("diagonal") + F.col("high") + width).alias("end"))
+    of_row = merged.groupBy(*_TEXT_KEY, "n_words").agg(
+        F.max(F.when(F.col("template").isNull(), F.col("votes"))).alias("copies"),
+        F.collect_list(F.when(F.col("template").isNotNull(), F.struct("template", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "votes"))).alias("all"),
     )
-    cover = F.bit_count("votes") / F.array(*[F.lit(float(c)) for c in counts])[F.col("template")]
-    enough = F.when(phrase, F.lit(1.0)).otherwise(min_cover)
-    label = F.array(*[F.lit(t.label) for t in templates])[F.col("template")]
-    span = F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), label.alias("label"), phrase.alias("phrase"), cover.alias("cover"))
-    found = merged.groupBy(*text).agg(F.sort_array(F.collect_list(F.when(cover >= enough, span))).alias("spans"), F.max("copies").alias("copies"))
-    each = found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return each.select(F.col("_id").alias(id_col), "n_words", "spans")
+    needed = F.array(*[F.lit(float(c if t.phrase else min_votes * c)) for c, t in zip(counts, templates)])
+    enough = F.filter("all", lambda c: c["votes"] >= F.get(needed, c["template"]) * F.col("copies"))
+    return of_row.select(*_TEXT_KEY, "n_words", "copies", F.transform(enough, lambda c: F.struct(c["template"].alias("template"), c["start"].alias("start"), c["end"].alias("end"))).alias("candidates"))
+
+
+_SPANS = "array<struct<start: long, end: long, label: string, phrase: boolean, cover: double>>"
+
+
+def _verified(docs: DataFrame, rows: DataFrame, templates: Sequence[Template], min_cover: float, merge: int, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _text, spans) of the rows that have candidates. Their texts are read again; a filter of fixed size decides which
+    texts move, those it lets through needlessly do no harm, and a task sends a text that is repeated once."""
+    spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
+    wanted = rows.where(F.size("candidates") > 0).select(*_TEXT_KEY, "candidates")
+    slot = F.pmod(F.col("_text"), F.lit(1 << FILTER_BITS))
+    words = wanted.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits")).toPandas()
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    bits[words["w"].to_numpy(np.int64)] = words["bits"]
+    shipped, known = spark.sparkContext.broadcast(bits), [template_words(t) for t in templates]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set = set()
+        for batch in batches:
+            at = batch.column(1).to_numpy() & ((1 << FILTER_BITS) - 1)
+            hit = np.flatnonzero((shipped.value[at >> 6] >> (at & 63)) & 1)
+            fresh = [i for i in hit.tolist() if (key := (batch.column(0)[i].as_py(), batch.column(1)[i].as_py())) not in sent and not sent.add(key)]
+            if fresh:
+                yield batch.take(pa.array(fresh))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for chunk in T.chunks(batch.column(2)):
+                w = T.words(chunk, T.ALNUM)
+                for r in range(chunk.hi - chunk.lo):
+                    own, spans = w.hash[w.first[r] : w.first[r + 1]], set()
+                    for c in batch.column(3)[chunk.lo + r].as_py():
+                        number, lo, hi = c["template"], c["start"], c["end"]
+                        label, _, phrase = templates[number]
+                        if phrase:
+                            first, end, cover = lo, hi, float(np.array_equal(own[lo:hi], known[number]))
+                        else:
+                            lo = max(lo - merge, 0)
+                            first, end, cover = aligned(own[lo : hi + merge], known[number])
+                            first, end = lo + first, lo + end
+                        if cover >= (1.0 if phrase else min_cover):
+                            spans.add((first, end, label, phrase, cover))
+                    out.append([dict(zip(("start", "end", "label", "phrase", "cover"), s)) for s in sorted(spans)])
+            kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("phrase", pa.bool_()), ("cover", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kinds)], ["_id", "_text", "spans"])
+
+    texts = docs.select(*_keys(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(read, f"_id {kind}, _text long, text string")
+    a, b = texts.alias("a"), wanted.alias("b")
+    both = a.join(b, F.col("a._id").eqNullSafe(F.col("b._id")) & (F.col("a._text") == F.col("b._text")))
+    found = both.select("a._id", "a._text", "text", "candidates").mapInArrow(check, f"_id {kind}, _text long, spans {_SPANS}")
+    return found.dropDuplicates(["_id", "_text"])  # of tasks that met the same row
+
+
+def find_licences(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, min_cover: float = MIN_COVER, min_votes: float = MIN_VOTES, merge: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All license spans of every whole text: id, n_words, spans (array of label, phrase, start, end, cover; words from 0,
+    end excluded; in order of start, end, label). cover is the share of the template's words that the span holds in order.
+
+    Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z folded; null is an empty text. Each input row gives
+    one row, repeated rows too; null ids and other columns are fine; overlapping spans of different templates are all
+    returned; no rows give no rows. Texts and templates of any length are whole. The templates, a parameter, are broadcast;
+    of texts, only hits are shuffled, and those texts that have candidates, for verification.
+    """
+    rows = written(_candidates(docs, templates, min_votes, merge, id_col, text_col), "licence-candidates")
+    spans = written(_verified(docs, rows, templates, min_cover, merge, id_col, text_col), "licence-spans")
+    a, b = rows.drop("candidates").alias("a"), spans.alias("b")
+    found = a.join(b, F.col("a._id").eqNullSafe(F.col("b._id")) & (F.col("a._text") == F.col("b._text")), "left")
+    found = found.select("a._id", "a._text", "n_words", "copies", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
+    # Unfolded in two steps, dealt out in between: a row repeated very often is not unfolded by one task.
+    block = 4096
+    blocks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / block).cast("long"))
+    once = found.where(F.col("copies") <= block).select("_id", "n_words", "spans", "copies")
+    often = found.where(F.col("copies") > block).withColumn("_block", F.explode(blocks)).repartition("_id", "_text", "_block")
+    rest = F.least(F.lit(block).cast("long"), F.col("copies") - F.col("_block") * block)
+    every = once.unionByName(often.select("_id", "n_words", "spans", rest.alias("copies"))).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return every.select(F.col("_id").alias(id_col), "n_words", "spans")
 
 
 def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

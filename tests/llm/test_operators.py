@@ -540,6 +540,41 @@ def test_licence_phrases_equal_brute_force_and_notices_are_found(spark, awkward,
     assert licences.find_licences(nothing).count() == 0
 
 
+def test_whole_licences_are_found_and_spans_verified_on_words(spark):
+    rng = np.random.default_rng(2)
+    long = " ".join(f"w{i}" for i in rng.integers(0, 400, 3000))  # a license of 3,000 words, many of them repeated
+    templates = (*licences.TEMPLATES, licences.Template("long", long))
+    w = long.split()
+    edited = w[:500] + ["put", "in"] + w[500:1500] + w[1504:2500] + ["other"] + w[2501:]
+    mit = max((t.text for t in licences.NOTICES if t.label == "mit"), key=len)
+    scrambled = " ".join(x for i in range(0, 3000, 3) for x in w[i : i + 3][::-1])
+    jumbled = " ".join(" ".join(w[i : i + 10]) for i in rng.permutation(np.arange(0, 3000, 10)))
+    rows = [(1, "x y z " + " ".join(edited) + " z"), (2, "a " * 100 + mit.upper() + " b"), (3, scrambled), (4, jumbled), (5, long + " " + long), (6, "licensed under the other license version 2 0 of it")] + [(7, "all rights reserved")] * 9000
+    found = licences.find_licences(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), templates).collect()
+    by = {r["doc_id"]: [(s["label"], s["start"], s["end"]) for s in r["spans"]] for r in found}
+    cover = {r["doc_id"]: max((s["cover"] for s in r["spans"]), default=0) for r in found}
+    assert len(found) == len(rows)
+    assert by[1] == [("long", 3, 3 + len(edited))] and cover[1] > 0.99
+    assert ("mit", 100, 100 + len(tokens(mit, ALNUM))) in by[2]
+    assert by[3] == by[4] == by[6] == []  # the same words, or most of them, but not in order
+    assert by[5] == [("long", 0, 3000), ("long", 3000, 6000)]
+    assert Counter(r["doc_id"] for r in found)[7] == 9000 and by[7] == [("reserved", 0, 3)]
+
+
+def test_licence_query_equals_brute_force(spark, sf):
+    from lodeworks.llm import registry
+
+    text = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = {r["doc_id"]: r for r in registry.QUERIES["op9_licences"](spark, sf).collect()}
+    for d, t in text:
+        w = tokens(t, ALNUM)
+        spans = [(i, x.label) for x in licences.PHRASES for i in range(len(w)) if w[i : i + len(x.text.split())] == x.text.split()]
+        r = got[d]
+        assert (r["n_words"], r["n_base"], r["base_labels"]) == (len(w), len(spans), ",".join(sorted({x for _, x in spans})))
+        assert (r["first_word"], r["last_word"]) == (min((i for i, _ in spans), default=None), max((i for i, _ in spans), default=None))
+        assert set(r["base_labels"].split(",")) - {""} <= set(r["labels"].split(","))
+
+
 # 10
 
 
