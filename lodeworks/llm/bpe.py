@@ -10,6 +10,7 @@ ids. Rows are independent, so the work is one pass over the column without a shu
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -17,7 +18,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +26,15 @@ PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 #: The same split for texts within Latin-1, where the classes are short enough to be spelt out for the faster engine.
 LATIN_LETTERS, LATIN_NUMBERS, LATIN_SPACES = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\\t-\\r \x85\xa0"
 LATIN_PRE_TOKENS = rf" ?[{LATIN_LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[{LATIN_NUMBERS}]+| ?[^{LATIN_SPACES}{LATIN_LETTERS}{LATIN_NUMBERS}]+|[{LATIN_SPACES}]+(?![^{LATIN_SPACES}])|[{LATIN_SPACES}]+"
-#: Entries that a worker remembers of each kind, and as many of the time before. Bounds memory, never results.
-REMEMBER = 300_000
+#: Bytes of words, and of fragments, that a worker remembers, and as many of the time before; with what Python adds to an
+#: entry, and to longer ones than LONGEST nothing. Bounds memory, never results.
+REMEMBER_WORDS, REMEMBER_FRAGMENTS = 48 << 20, 24 << 20
+ENTRY, LONGEST = 200, 1024
+#: Bytes from which a fragment is merged by a heap instead of by looking for the best pair again after every merge.
+HEAPED = 48
+#: Bits of an id beside the rank of a merge, and what stands for no merge.
+_ID = 24
+_ID_MASK, _NONE = (1 << _ID) - 1, 1 << 62
 #: What can be returned, with its type.
 FIELDS = {"n_tokens": "long", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 
@@ -50,21 +57,23 @@ class Codec:
         to_byte = byte_of_symbol()
         self.specials = {t["content"]: t["id"] for t in j["added_tokens"]}
         self.bytes_of = {i: bytes(map(to_byte.__getitem__, s)) for s, i in model["vocab"].items() if s not in self.specials}
-        ranks = {b: i for i, b in self.bytes_of.items()}
-        merged = [ranks[bytes(map(to_byte.__getitem__, "".join(m if isinstance(m, list) else m.split(" "))))] for m in model["merges"]]
-        if any(a >= b for a, b in zip(merged, merged[1:])):
-            raise ValueError("ids don't follow the order of the merges")
-        self.core = tiktoken.Encoding("own", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
+        vocabulary = model["vocab"]
+        self.of_byte = [vocabulary[s] for s in sorted(to_byte, key=to_byte.__getitem__)]
+        #: (left id, right id) -> rank, and below it in _ID bits the id of both together
+        self.merges: dict[tuple[int, int], int] = {}
+        for rank, m in enumerate(model["merges"]):
+            a, b = m if isinstance(m, list) else m.split(" ")
+            self.merges.setdefault((vocabulary[a], vocabulary[b]), rank << _ID | vocabulary[a + b])
         self.inside = np.zeros((256, 256), bool)
-        for b in ranks:
+        for b in self.bytes_of.values():
             self.inside[list(b[:-1]), list(b[1:])] = True
         self.pairs = self.inside.tolist()
         self.split_any, self.split_latin = regex.compile(PRE_TOKENS).findall, re.compile(LATIN_PRE_TOKENS).findall
         self.split_specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")").split if self.specials else None
         for s, i in self.specials.items():
             self.bytes_of[i] = s.encode()
-        self.fragments = _Remembered(self._encode_fragment, REMEMBER // 4)
-        self.of_word = _Remembered(self._encode_word)
+        self.fragments = _Remembered(self._encode_fragment, REMEMBER_FRAGMENTS)
+        self.of_word = _Remembered(self._encode_word, REMEMBER_WORDS)
         self.bytes_of_decimal = {str(i): b for i, b in self.bytes_of.items()}
 
     def cuts(self, word: bytes) -> list[int]:
@@ -80,7 +89,44 @@ class Codec:
         return ",".join([self.fragments[b[lo:hi]] for lo, hi in zip([0, *at], [*at, len(b)])])
 
     def _encode_fragment(self, b: bytes) -> str:
-        return ",".join(map(str, self.core._encode_single_piece(b)))
+        ids = [self.of_byte[x] for x in b]
+        return ",".join(map(str, self._merged(ids) if len(ids) < HEAPED else self._merged_by_heap(ids)))
+
+    def _merged(self, ids: list[int]) -> list[int]:
+        """Merges the pair of the lowest rank, the leftmost of several, until there is none."""
+        get = self.merges.get
+        ranks = [get(p, _NONE) for p in zip(ids, ids[1:])]
+        while ranks and (best := min(ranks)) < _NONE:
+            i = ranks.index(best)
+            ids[i : i + 2] = [best & _ID_MASK]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = get((ids[i], ids[i + 1]), _NONE)
+            if i:
+                ranks[i - 1] = get((ids[i - 1], ids[i]), _NONE)
+        return ids
+
+    def _merged_by_heap(self, ids: list[int]) -> list[int]:
+        """The same in n log n steps: neighbours are linked, and pairs that no longer stand are skipped as they come up."""
+        get, n = self.merges.get, len(ids)
+        after, before, gone = [*range(1, n), -1], list(range(-1, n - 1)), -1
+        heap = [(m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := get((ids[i], ids[i + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            m, i, left, right = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] != left or j < 0 or ids[j] != right:
+                continue
+            ids[i], ids[j] = new, _ = m & _ID_MASK, gone
+            after[i] = k = after[j]
+            if k >= 0:
+                before[k] = i
+                if (m := get((new, ids[k]))) is not None:
+                    heapq.heappush(heap, (m, i, new, ids[k]))
+            h = before[i]
+            if h >= 0 and (m := get((ids[h], new))) is not None:
+                heapq.heappush(heap, (m, h, ids[h], new))
+        return [i for i in ids if i != gone]
 
     def split_words(self, text: str) -> list[str]:
         latin = text.isascii() or max(text) <= "\xff"
@@ -105,18 +151,21 @@ class Codec:
 
 
 class _Remembered(dict):
-    def __init__(self, make, most: int = REMEMBER):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.most, self.before = make, most, {}
+        self.make, self.most, self.held, self.before = make, most, 0, {}
 
     def __missing__(self, key):
-        if len(self) >= self.most:
-            self.before = dict(self)
-            self.clear()
         value = self.before.get(key)
         if value is None:
             value = self.make(key)
-        self[key] = value
+        size = ENTRY + len(key) + len(value)
+        if size <= LONGEST:
+            if self.held + size > self.most:
+                self.before, self.held = dict(self), 0
+                self.clear()
+            self[key] = value
+            self.held += size
         return value
 
 

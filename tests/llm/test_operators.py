@@ -600,3 +600,18 @@ def test_bpe_equals_the_library_and_decodes_back(spark, awkward, nothing):
     assert all(len(r["ids"]) == r["n_tokens"] for r in found)
     assert Counter(r["decoded"] for r in found) == Counter(t or "" for t in texts)
     assert bpe.bpe_encode_decode(nothing, bpe.tokenizer_spec()).count() == 0
+
+
+def test_both_ways_of_merging_agree_and_memory_is_bounded_in_bytes(monkeypatch):
+    codec = bpe._codec(bpe.tokenizer_spec())
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 5, 30, 400):
+        for _ in range(20):
+            b = bytes(rng.choice(np.frombuffer(b"abehinorst ", np.uint8), n))
+            ids = [codec.of_byte[x] for x in b]
+            assert codec._merged(list(ids)) == codec._merged_by_heap(list(ids))
+    held = bpe._Remembered(lambda k: k, 10_000)
+    for i in range(2000):
+        assert held[f"word {i}"] == f"word {i}"
+    held["x" * 5000]
+    assert sum(bpe.ENTRY + 2 * len(k) for k in held) <= 10_000 and len(held.before) <= 50 and "x" * 5000 not in held
