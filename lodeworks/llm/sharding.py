@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodeworks.llm.common import written
+
 MASK31 = 0x7FFFFFFF
 #: Odd multipliers of the round function, below 2**30 so that products stay inside a signed long.
 MULTIPLIERS = (0x2C1B3C6D, 0x297A2D39)
@@ -74,8 +76,10 @@ def number_rows(rows: DataFrame, key: list[str], buckets: int = BUCKETS) -> Data
     the numbers of their place in any order; they are counted before the shuffle, so that a row repeated without
     end is one row here until it is unfolded. ``buckets`` bounds what is broadcast: a row for each.
     """
-    bucket = F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col(key[0]).cast("string"), F.lit(""))), 1, 6), 16, 10).cast("long"), F.lit(buckets))
-    counted = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).withColumn("_bucket", bucket)
+    # By the whole key: rows of one id, or of none, that differ otherwise don't share a bucket.
+    whole_key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key])
+    bucket = F.pmod(F.conv(F.substring(F.md5(whole_key), 1, 6), 16, 10).cast("long"), F.lit(buckets))
+    counted = written(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).withColumn("_bucket", bucket), "row-counts")
     sizes = counted.groupBy("_bucket").agg(F.sum("_n").alias("_size"))
     # At most ``buckets`` rows: numbering them in one task is bounded.
     whole = Window.partitionBy(F.lit(0))
@@ -113,4 +117,37 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_no", "place")
 
 
+def _feistel_sql(source: str, seed: int) -> str:
+    """A SELECT of i, n, a, b, walked + 1 and feistel(place) of the rows of ``source``: one level for each step, as an alias used
+    twice would be computed twice, and those inside it again."""
+    keep, sql = "i, n, a, b, walked", f"(SELECT i, n, a, b, walked, place // b AS l, place % b AS r FROM {source})"
+    for j, key in enumerate(round_keys(seed)):
+        of, to = ("r", "l") if j % 2 == 0 else ("l", "r")
+        sql = f"(SELECT *, ({of} + {key}) & {MASK31} AS t FROM {sql})"
+        for shift, factor in ((15, MULTIPLIERS[0]), (12, MULTIPLIERS[1])):
+            sql = f"(SELECT {keep}, l, r, (xor(t, t >> {shift}) * {factor}) & {MASK31} AS t FROM {sql})"
+        own = f"({to} + xor(t, t >> 15)) % {'a' if to == 'l' else 'b'}"
+        sql = f"(SELECT {keep}, {own if to == 'l' else 'l'} AS l, {own if to == 'r' else 'r'} AS r FROM {sql})"
+    return f"SELECT i, n, a, b, walked + 1, l * b + r FROM {sql}"
+
+
+def _sql(n_shards: int = 24, seed: int = 2024, overhead: int = 8) -> str:
+    """The law in SQL: CRC-32 byte by byte, row numbers by one window, and the walk as a recursion."""
+    crc = "c >> 8"
+    for bit in range(8):  # what each bit of the byte adds
+        own = 1 << bit
+        for _ in range(8):
+            own = own >> 1 ^ 0xEDB88320 * (own & 1)
+        crc = f"xor({crc}, (xor(c, x) >> {bit} & 1) * {own})"
+    return f"""
+    WITH RECURSIVE d AS (SELECT doc_id, octet_length(encode(coalesce(text, '')))::bigint + {overhead} AS size,
+        xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::bigint)), lambda c, x: {crc})) AS text_crc32 FROM documents),
+    o AS (SELECT *, row_number() OVER (ORDER BY ('0x' || substr(md5(concat_ws('|', coalesce(doc_id::varchar, ''), text_crc32, size)), 1, 6))::bigint % {BUCKETS}, doc_id NULLS FIRST, text_crc32, size) - 1 AS i, count(*) OVER () AS n FROM d),
+    s AS (SELECT i, n, greatest(ceil(sqrt(n))::bigint, 1) AS a, (n + a - 1) // a AS b FROM o),
+    w(i, n, a, b, walked, place) AS (SELECT i, n, a, b, 0, i FROM s UNION ALL {_feistel_sql('w WHERE place >= n OR walked = 0', seed)})
+    SELECT doc_id, size, text_crc32, 'rows' AS law, (place % {n_shards})::int AS shard, place // {n_shards} AS slot, NULL::int AS grown_shard, i AS row_no, place
+    FROM o JOIN w USING (i) WHERE walked > 0 AND place < w.n"""
+
+
 QUERIES = {"op2_sharding": op2_sharding}
+ORACLES = {"op2_sharding": _sql()}
