@@ -7,7 +7,8 @@ for the document if at least one of HASHES minima agrees. Candidates are verifie
 shingles in all of the document's. Documents stream by once, without a shuffle; items are searched in blocks of bounded size.
 
 With an item of n shingles, 80 % of them in the document, a minimum agrees with a chance of 0.16 at least (the window
-holds 4n others at most), and all HASHES fail with a chance below 2e-5, wherever in the document the shingles are.
+holds 4n others at most), and all HASHES fail with a chance below 2e-5, wherever in the document the shingles are; with an item
+of one shingle, which a window of eight holds, of 2e-4.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.llm import text as T
@@ -27,6 +28,8 @@ SHINGLE = 5
 HASHES = 64
 #: UTF-8 bytes of the items that are broadcast at a time.
 BLOCK_BYTES = 16 << 20
+#: Shingles of the windows that are hashed at a time, or one window.
+WINDOW_SHINGLES = 1 << 18
 _FILTER_BITS = 22
 _rng = np.random.default_rng(17)
 FACTORS = _rng.integers(0, 1 << 62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -35,7 +38,7 @@ MASKS = _rng.integers(0, 1 << 62, HASHES, dtype=np.uint64)
 
 def minima(shingles: np.ndarray) -> np.ndarray:
     """HASHES minima over the last axis."""
-    return np.stack([((shingles ^ m) * f).min(axis=-1) for m, f in zip(MASKS, FACTORS)], axis=-1)
+    return np.stack([((shingles ^ m) * f).min(axis=-1) for m, f in zip(MASKS, FACTORS)], axis=-1)  # one hash at a time
 
 
 @dataclass
@@ -72,8 +75,9 @@ def candidates(index: Index, shingles: np.ndarray, at: np.ndarray) -> set[int]:
     for c, (items, signatures) in index.classes.items():
         stride = 1 << c
         first = np.unique(np.concatenate([at // stride, np.maximum(at // stride - 1, 0)]))
-        for lo in range(0, len(first), 256):
-            place = first[lo : lo + 256, None] * stride + np.arange(2 * stride)
+        step = max(1, WINDOW_SHINGLES // (2 * stride))
+        for lo in range(0, len(first), step):
+            place = first[lo : lo + step, None] * stride + np.arange(2 * stride)
             windows = shingles[np.minimum(place, len(shingles) - 1)]  # past the end, the last shingle once more
             # Agreement is counted hash by hash, with the items' minima in order.
             agree = minima(windows)
@@ -108,39 +112,47 @@ def find_contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, do
 
     Shingles are five words, words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` with A-Z folded; a text of fewer words is one
     shingle of its own, which only a text of the same words holds; a text without words, or null, has no shingle and is
-    in no pair. Repeated rows give repeated pairs. Items are broadcast in blocks of about ``block_bytes`` of text, by a
-    hash of the item; documents are scanned once for each block.
+    in no pair. Repeated rows give repeated pairs; ids of any type, null ones too. Texts of any length are whole, in pieces.
+    No rows on either side give no rows. Items of equal text are searched once, and their ids joined afterwards. Distinct
+    texts of items are broadcast in blocks of about ``block_bytes``, by a hash of the text; documents are scanned once for each.
     """
-    kinds = dict(docs.dtypes)[doc_id], dict(items.dtypes)[item_id]
-    schema = f"`{doc_id}` {kinds[0]}, `{item_id}` {kinds[1]}, n_shingles long, n_shared long, containment double"
+    kind = dict(docs.dtypes)[doc_id]
+    hit_doc, hit_key = "_hit_doc", "_hit_key"
+    schema = f"{hit_doc} {kind}, {hit_key} long, n_shingles long, n_shared long"
 
     def search(shipped):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index, names = shipped.value, [doc_id, item_id, "n_shingles", "n_shared", "containment"]
+            index = shipped.value
             for batch in batches:
                 found = list(matches(index, batch.column(1), threshold))
                 if found:
                     rows, which, sizes, shared = zip(*found)
-                    ids = pa.array([index.ids[i] for i in which]).cast(pa.int64()) if kinds[1] == "bigint" else pa.array([index.ids[i] for i in which])
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), ids, pa.array(sizes, pa.int64()), pa.array(shared, pa.int64()), pa.array([a / b for a, b in zip(shared, sizes)])], names)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array([index.ids[i] for i in which], pa.int64()), pa.array(sizes, pa.int64()), pa.array(shared, pa.int64())], [hit_doc, hit_key, "n_shingles", "n_shared"])
 
         return work
 
-    parts = [docs.select(doc_id, doc_text).mapInArrow(search(shipped), schema) for shipped in shipped_blocks(items, item_id, item_text, block_bytes)]
-    return reduce(DataFrame.unionByName, parts)
+    parts = [docs.select(doc_id, doc_text).mapInArrow(search(shipped), schema) for shipped in shipped_blocks(items, item_text, block_bytes)]
+    found = reduce(DataFrame.unionByName, parts)
+    names = items.select(F.col(item_id).alias("_hit_item"), _text_key(item_text).alias(hit_key))
+    joined = found.join(names, hit_key)
+    return joined.select(F.col(hit_doc).alias(doc_id), F.col("_hit_item").alias(item_id), "n_shingles", "n_shared", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
 
 
-def shipped_blocks(items: DataFrame, item_id: str, item_text: str, block_bytes: int) -> Iterator:
-    """Broadcasts of the items' indexes, about ``block_bytes`` of text in each; one at least."""
-    source = items.select(F.col(item_id).alias("_item"), F.coalesce(F.col(item_text), F.lit("")).alias("_text"))
-    total = source.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0)).alias("n")).first()["n"]
+def _text_key(item_text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(item_text), F.lit("")))
+
+
+def shipped_blocks(items: DataFrame, item_text: str, block_bytes: int) -> Iterator:
+    """Broadcasts of the indexes of the items' distinct texts, about ``block_bytes`` of text in each; one at least."""
+    source = items.select(_text_key(item_text).alias("key"), F.coalesce(F.col(item_text), F.lit("")).alias("text")).dropDuplicates(["key", "text"])
+    total = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-total // block_bytes))
     for b in range(blocks):
-        rows = source.where(F.pmod(F.xxhash64("_text"), F.lit(blocks)) == b).collect()  # about block_bytes
-        yield items.sparkSession.sparkContext.broadcast(build_index([r["_item"] for r in rows], [r["_text"] for r in rows]))
+        rows = source.where(F.pmod("key", F.lit(blocks)) == b).orderBy("key").collect()  # about block_bytes
+        yield items.sparkSession.sparkContext.broadcast(build_index([r["key"] for r in rows], [r["text"] for r in rows]))
 
 
-def keep_uncontaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def keep_uncontaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, doc_text: str = "text", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` that hold no item, all columns as they were; nothing is shuffled."""
     at = docs.columns.index(doc_text)
 
@@ -153,7 +165,7 @@ def keep_uncontaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.
 
         return work
 
-    for shipped in shipped_blocks(items, item_id, item_text, block_bytes):
+    for shipped in shipped_blocks(items, item_text, block_bytes):
         docs = docs.mapInArrow(keep(shipped), docs.schema)
     return docs
 
