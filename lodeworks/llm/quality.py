@@ -26,6 +26,8 @@ WINDOW = 2
 #: Labelled documents that the network is fitted to at most, taken by a hash of their id.
 MAX_LABELLED = 6000
 FEATURES = 3 * DIMS + 1
+#: Words whose neighbours are gathered at a time.
+GATHER_WORDS = 1 << 19
 #: UTF-8 bytes of the texts that are pooled at a time: a word takes several rows of DIMS numbers meanwhile.
 POOL_BYTES = 1 << 18
 
@@ -52,10 +54,7 @@ def tokens(chunk: T.Chunk) -> tuple[np.ndarray, np.ndarray]:
     stop[edge] = True
     stops = np.flatnonzero(stop)
     end = stops[np.searchsorted(stops, start, side="right")]
-    up, down = T._power_tables(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((chunk.data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-    hashes = T.mix((sums[end] - sums[start]) * down[start])
+    hashes = T.run_hashes(lambda lo, hi: chunk.data[lo:hi].astype(np.uint64) + np.uint64(1), start, end, n)
     return (hashes >> np.uint64(64 - 13)).astype(np.int64), np.searchsorted(start, chunk.offsets)
 
 
@@ -74,14 +73,16 @@ def gather_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         total = np.zeros(BUCKETS * DIMS)
         for batch in batches:
             for chunk in T.chunks(batch.column(0)):
-                word, first = tokens(chunk)
-                row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-                for apart in range(1, WINDOW + 1):
-                    same = row[apart:] == row[:-apart]
-                    a, b = word[:-apart][same], word[apart:][same]
-                    for of, by in ((a, b), (b, a)):
-                        for j in range(2):
-                            total += np.bincount(of * DIMS + place[by, j], weights=sign[by, j], minlength=BUCKETS * DIMS)
+                every, first = tokens(chunk)
+                whole = np.repeat(np.arange(len(first) - 1), np.diff(first))
+                for lo in range(0, len(every), GATHER_WORDS):
+                    for apart in range(1, WINDOW + 1):
+                        word, row = (x[lo : lo + GATHER_WORDS + apart] for x in (every, whole))
+                        same = row[apart:] == row[:-apart]
+                        a, b = word[:-apart][same], word[apart:][same]
+                        for of, by in ((a, b), (b, a)):
+                            for j in range(2):
+                                total += np.bincount(of * DIMS + place[by, j], weights=sign[by, j], minlength=BUCKETS * DIMS)
         total = total.reshape(BUCKETS, DIMS)
         used = np.flatnonzero(np.abs(total).sum(1))
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(total[used, d]) for d in range(DIMS))], ["bucket", *(f"v{d}" for d in range(DIMS))])
@@ -94,27 +95,37 @@ def gather_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return (vectors / np.where(length > 0, length, 1)).astype(np.float32)
 
 
+#: Words of one text that are pooled at a time.
+POOL_WORDS = 1 << 16
+
+
 def pooled(chunk: T.Chunk, vectors: np.ndarray) -> np.ndarray:
-    """FEATURES for each row; a row without words is all 0."""
+    """FEATURES for each row; a row without words is all 0. A long text is summed up piece by piece."""
     word, first = tokens(chunk)
     rows = len(first) - 1
-    out = np.zeros((rows, FEATURES))
+    sums, squares, nears = (np.zeros((rows, DIMS)) for _ in range(3))
     n = np.diff(first)
-    full = np.flatnonzero(n > 0)
-    if not len(full):
-        return out
-    v = vectors[word]
-    near = np.zeros_like(v)
-    near[:-1] = v[:-1] * v[1:]
-    last = first[1:][full] - 1
-    near[last] = 0
-    at, many = first[:-1][full], n[full][:, None]
-    mean = np.add.reduceat(v, at, axis=0, dtype=np.float64) / many
-    square = np.add.reduceat(v * v, at, axis=0, dtype=np.float64) / many
-    out[full, :DIMS] = mean
-    out[full, DIMS : 2 * DIMS] = np.sqrt(np.maximum(square - mean**2, 0))
-    out[full, 2 * DIMS : 3 * DIMS] = np.add.reduceat(near, at, axis=0, dtype=np.float64) / np.maximum(many - 1, 1)
-    out[full, -1] = np.log1p(n[full])
+    row = np.repeat(np.arange(rows), n)
+    for lo in range(0, len(word), POOL_WORDS):
+        hi = min(len(word), lo + POOL_WORDS)
+        v = vectors[word[lo : hi + 1]]  # and the next one, for the last product
+        near = v[: hi - lo].copy()
+        near[: len(v) - 1] *= v[1:][: hi - lo]
+        last = np.flatnonzero(np.append(row[lo + 1 : hi + 1] != row[lo : min(hi, len(word) - 1)], [True] * (hi == len(word))))
+        near[last] = 0
+        v = v[: hi - lo]
+        at = np.flatnonzero(np.r_[True, row[lo + 1 : hi] != row[lo : hi - 1]])
+        own = row[lo + at]
+        sums[own] += np.add.reduceat(v, at, axis=0, dtype=np.float64)
+        squares[own] += np.add.reduceat(v * v, at, axis=0, dtype=np.float64)
+        nears[own] += np.add.reduceat(near, at, axis=0, dtype=np.float64)
+    out = np.zeros((rows, FEATURES))
+    many = np.maximum(n, 1)[:, None]
+    mean = sums / many
+    out[:, :DIMS] = mean
+    out[:, DIMS : 2 * DIMS] = np.sqrt(np.maximum(squares / many - mean**2, 0))
+    out[:, 2 * DIMS : 3 * DIMS] = nears / np.maximum(many - 1, 1)
+    out[:, -1] = np.log1p(n)
     return out
 
 
@@ -184,14 +195,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for chunk in T.chunks(batch.column(0), POOL_BYTES):
                 x = pooled(chunk, shipped.value)
                 own = batch.slice(chunk.lo, chunk.hi - chunk.lo)
-                yield pa.RecordBatch.from_arrays([own.column(1), own.column(2), pa.array(list(x), pa.list_(pa.float64()))], [id_col, "_label", "x"])
+                yield pa.RecordBatch.from_arrays([own.column(1), own.column(2), own.column(3), pa.array(list(x), pa.list_(pa.float64()))], [id_col, "_label", "_h", "x"])
 
     # At most ``most`` narrow rows are broadcast, and as many come back.
     sample = F.broadcast(labelled_sample(labels, id_col, label_col, most))
     rows = docs.select(id_col, text_col).join(sample, id_col)
     kind = dict(docs.dtypes)[id_col]
-    found = rows.select(text_col, id_col, "_label").mapInArrow(work, f"`{id_col}` {kind}, _label double, x array<double>").toPandas()
-    found = found.sort_values(id_col, kind="stable").drop_duplicates(id_col)
+    # Of several rows of an id the text with the smallest hash is learned from; its features are picked before any reach the driver.
+    pooled_rows = rows.select(text_col, id_col, "_label", F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("_h")).mapInArrow(work, f"`{id_col}` {kind}, _label double, _h long, x array<double>")
+    found = pooled_rows.groupBy(id_col).agg(F.min_by(F.struct("_label", "x"), "_h").alias("one")).select(id_col, "one.*").toPandas().sort_values(id_col, kind="stable")
     x = np.vstack(found["x"]) if len(found) else np.zeros((0, FEATURES))
     order = np.random.default_rng(1).permutation(len(found))
     return fit_network(x[order], found["_label"].to_numpy()[order] if len(found) else np.zeros(0), vectors)
@@ -199,7 +211,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and score (0 to 1, the calibrated probability of label 1) of every whole text; null is an empty text, and an
-    empty one is scored like any other. Rows are independent; no rows give no rows."""
+    empty one is scored like any other. Rows are independent: repeated ones get equal scores, null ids and further columns
+    are fine, no rows give no rows. A text of any length is scored whole, in pieces."""
     shipped = docs.sparkSession.sparkContext.broadcast(network)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,7 +1,7 @@
 """Vectorised word and shingle hashing over Arrow string columns, for use inside Spark tasks.
 
-A column is walked in chunks of about a megabyte of UTF-8, so that the numpy temporaries stay small however long the
-column or a text is. Words are maximal runs of word bytes; which bytes those are, and how letters fold, is a table of
+A column is walked in chunks of about a megabyte of UTF-8, and a longer text in pieces of that size, so that the numpy
+temporaries stay small however long the column or a text is; what is kept of a text grows with its words. Words are maximal runs of word bytes; which bytes those are, and how letters fold, is a table of
 256 entries. Hashes are 64 bits wide.
 """
 
@@ -58,19 +58,33 @@ def mix(h: np.ndarray) -> np.ndarray:
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(CHUNK_BYTES * 2, 1 << (n - 1).bit_length())
-    if size > CHUNK_BYTES * 2:  # a very long text: not kept
-        return _make_powers(size)
-    if size not in _powers:
-        _powers[size] = _make_powers(size)
-    return _powers[size]
-
-
-def _make_powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(size, BASE), np.full(size, BASE_INVERSE)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+def power_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse, for pieces of up to CHUNK_BYTES."""
+    if CHUNK_BYTES not in _powers:
+        up, down = np.full(CHUNK_BYTES + 2, BASE), np.full(CHUNK_BYTES + 2, BASE_INVERSE)
+        up[0] = down[0] = 1
+        _powers[CHUNK_BYTES] = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    return _powers[CHUNK_BYTES]
+
+
+def run_hashes(values, start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """The hash of each run start..end of n numbers, the same wherever a run stands. ``values(lo, hi)`` gives them piece by
+    piece; a run may span pieces."""
+    up, down = power_tables()
+    out = np.zeros(len(start), np.uint64)
+    for lo in range(0, n, CHUNK_BYTES):
+        hi = min(n, lo + CHUNK_BYTES)
+        sums = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(values(lo, hi) * up[: hi - lo], out=sums[1:])
+        first, last = int(np.searchsorted(end, lo, side="right")), int(np.searchsorted(start, hi, side="left"))
+        if first >= last:
+            continue
+        a, b = np.maximum(start[first:last], lo) - lo, np.minimum(end[first:last], hi) - lo
+        part = (sums[b] - sums[a]) * down[a]
+        if start[first] < lo:  # the run came from the piece before
+            part[:1] *= np.uint64(pow(int(BASE), lo - int(start[first]), 1 << 64))
+        out[first:last] += part
+    return mix(out)
 
 
 @dataclass
@@ -123,8 +137,7 @@ def words(chunk: Chunk, table: np.ndarray = WORDS) -> Words:
     if not n:
         none = np.zeros(0, np.int64)
         return Words(none, none, none, np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64))
-    t = table[chunk.data]
-    w = t != 0
+    w = table.astype(bool)[chunk.data]
     begin = w.copy()
     begin[1:] &= ~w[:-1]
     last = w.copy()
@@ -134,10 +147,7 @@ def words(chunk: Chunk, table: np.ndarray = WORDS) -> Words:
     begin[edge] = w[edge]
     last[edge - 1] = w[edge - 1]
     start, end = np.flatnonzero(begin), np.flatnonzero(last) + 1
-    up, down = _power_tables(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(t * up[:n], out=sums[1:])
-    hashes = mix((sums[end] - sums[start]) * down[start])
+    hashes = run_hashes(lambda lo, hi: table[chunk.data[lo:hi]], start, end, n)
     first = np.searchsorted(start, chunk.offsets)
     row = np.repeat(np.arange(rows), np.diff(first))
     return Words(start, end, row, hashes, first)
