@@ -23,7 +23,8 @@ from lodeworks.llm.common import fold
 
 BUCKETS = 1 << 14
 UNDETERMINED = "und"
-#: Up to so many languages get the exhaustive code of 2**(n-1) - 1 bits; more get random codewords.
+#: Up to so many languages get the exhaustive code of 2**(n-1) - 1 bits, 31 of them; its length doubles with each further
+#: language, so more get random codewords of 10 log2(n) bits. It depends on the number of languages alone, never on the corpus.
 EXHAUSTIVE = 6
 
 _letters = np.full(256, 0x20, np.uint8)
@@ -50,6 +51,16 @@ def trigrams(chunk: T.Chunk) -> np.ndarray:
     return out
 
 
+def long_counts(chunk: T.Chunk) -> np.ndarray:
+    """How often each trigram stands in a chunk of one long text, taken piece by piece."""
+    total, n = np.zeros(BUCKETS + 1, np.int64), len(chunk.data)
+    for lo in range(0, n, T.CHUNK_BYTES):
+        hi = min(n, lo + T.CHUNK_BYTES + 2)  # the last two trigrams of a piece reach into the next one
+        piece = chunk.data[lo:hi]
+        total += np.bincount(trigrams(T.Chunk(0, 1, piece, np.array([0, len(piece)]))), minlength=BUCKETS + 1)
+    return total
+
+
 def codewords(n: int, seed: int = 11) -> np.ndarray:
     """n rows of +1 and -1. Up to EXHAUSTIVE: every split of the languages in two, once. More: the best of 200 random
     codes of 10 log2(n) bits, by the smallest distance of two rows."""
@@ -78,12 +89,12 @@ class Model:
 
     def margins(self, chunk: T.Chunk) -> tuple[np.ndarray, np.ndarray]:
         """For each row the summed log-odds of each bit over the square root of its trigrams, and their number."""
-        grams = trigrams(chunk)
         rows, width = chunk.hi - chunk.lo, self.weights.shape[1]
         sums = np.zeros((rows, width))
-        full = np.flatnonzero(np.diff(chunk.offsets) > 0)
-        if len(full):
-            sums[full] = np.add.reduceat(self.weights[grams], chunk.offsets[:-1][full], axis=0, dtype=np.float64)
+        if rows == 1 and len(chunk.data) > T.CHUNK_BYTES:  # one long text: by counts
+            sums[0] = long_counts(chunk)[:BUCKETS] @ self.weights[:BUCKETS].astype(np.float64)
+        elif len(full := np.flatnonzero(np.diff(chunk.offsets) > 0)):
+            sums[full] = np.add.reduceat(self.weights[trigrams(chunk)], chunk.offsets[:-1][full], axis=0, dtype=np.float64)
         n = np.maximum(np.diff(chunk.offsets) - 2, 1)
         return sums / np.sqrt(n)[:, None], n
 
@@ -107,8 +118,11 @@ def count_trigrams(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
         for batch in batches:
             langs = np.array(batch.column(1).to_pylist(), dtype=object)
             for chunk in T.chunks(batch.column(0)):
-                grams = trigrams(chunk)
                 own = langs[chunk.lo : chunk.hi]
+                if len(own) == 1 and len(chunk.data) > T.CHUNK_BYTES:
+                    sums[str(own[0])] = sums.get(str(own[0]), 0) + long_counts(chunk)[:BUCKETS]
+                    continue
+                grams = trigrams(chunk)
                 names, code = np.unique(own.astype(str), return_inverse=True)
                 of_byte = np.repeat(code, np.diff(chunk.offsets))
                 for k, name in enumerate(names):
@@ -151,7 +165,9 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
     lang_pred is one of the learned languages; ``und`` with score 0 if the text is null, empty or has no letter, or if
     nothing was learned. score is the winner's share of exp(-loss) over all codewords (0 to 1); ambiguous is true if
-    the second has more than ``ambiguous_over``. Rows are independent; ties go to the language first in the alphabet.
+    the second has more than ``ambiguous_over``. Rows are independent: repeated ones get equal results, null ids and further
+    columns are fine, no rows give no rows. A text of any length is read whole, in pieces. Ties go to the language first in
+    the alphabet.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -168,8 +184,8 @@ def _languages(model: Model | None, texts: pa.Array, ambiguous_over: float) -> t
     n = len(texts)
     lang, score, unsure = np.full(n, UNDETERMINED, object), np.zeros(n), np.zeros(n, bool)
     for chunk in T.chunks(texts) if model is not None else ():
-        letters = np.concatenate([[0], np.cumsum(_is_ascii_letter[chunk.data])])
-        has = np.diff(letters[chunk.offsets]) > 0
+        at = np.flatnonzero(_is_ascii_letter[chunk.data])
+        has = np.diff(np.searchsorted(at, chunk.offsets)) > 0
         for r in np.flatnonzero(~has & (np.diff(chunk.offsets) > 0)):
             has[r] = any(map(str.isalpha, texts[chunk.lo + int(r)].as_py()))
         best, p, second = model.decode(model.margins(chunk)[0])
