@@ -14,6 +14,7 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ REMEMBER_WORDS, REMEMBER_FRAGMENTS = 48 << 20, 24 << 20
 ENTRY, LONGEST = 200, 1024
 #: Bytes from which a fragment is merged by a heap instead of by looking for the best pair again after every merge.
 HEAPED = 48
+#: Characters from which a text is encoded in blocks of words, and words of a block.
+LONG_TEXT, BLOCK_WORDS = 1 << 18, 1 << 14
 #: Bits of an id beside the rank of a merge, and what stands for no merge.
 _ID = 24
 _ID_MASK, _NONE = (1 << _ID) - 1, 1 << 62
@@ -68,7 +71,9 @@ class Codec:
         for b in self.bytes_of.values():
             self.inside[list(b[:-1]), list(b[1:])] = True
         self.pairs = self.inside.tolist()
-        self.split_any, self.split_latin = regex.compile(PRE_TOKENS).findall, re.compile(LATIN_PRE_TOKENS).findall
+        any_words, latin_words = regex.compile(PRE_TOKENS), re.compile(LATIN_PRE_TOKENS)
+        self.split_any, self.split_latin = any_words.findall, latin_words.findall
+        self.iter_any, self.iter_latin = any_words.finditer, latin_words.finditer
         self.split_specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")").split if self.specials else None
         for s, i in self.specials.items():
             self.bytes_of[i] = s.encode()
@@ -134,20 +139,29 @@ class Codec:
 
     def encode(self, text: str) -> list[str]:
         """The ids as decimal strings joined by commas, a string for each word or special token."""
-        of_word = self.of_word.__getitem__
         if not self.specials or not any(s in text for s in self.specials):
-            return list(map(of_word, self.split_words(text)))
-        out: list[str] = []
-        for part in self.split_specials(text):
+            return list(map(self.of_word.__getitem__, self.split_words(text)))
+        return [x for block in self.encode_blocks(text) for x in block]
+
+    def encode_blocks(self, text: str) -> Iterator[list[str]]:
+        """``encode``, a bounded number of words at a time."""
+        of_word = self.of_word.__getitem__
+        parts = self.split_specials(text) if self.split_specials else [text]
+        for part in parts:
             if part in self.specials:
-                out.append(str(self.specials[part]))
-            else:
-                out += map(of_word, self.split_words(part))
-        return out
+                yield [str(self.specials[part])]
+            elif part:
+                latin = part.isascii() or max(part) <= "\xff"
+                words = map(re.Match.group if latin else regex.Match.group, (self.iter_latin if latin else self.iter_any)(part))
+                while block := list(map(of_word, islice(words, BLOCK_WORDS))):
+                    yield block
 
     def decode(self, ids: str) -> str:
         """The text of decimal ids joined by commas."""
-        return b"".join(map(self.bytes_of_decimal.__getitem__, ids.split(","))).decode("utf-8", "replace") if ids else ""
+        return self.decode_bytes(ids).decode("utf-8", "replace")
+
+    def decode_bytes(self, ids: str) -> bytes:
+        return b"".join(map(self.bytes_of_decimal.__getitem__, ids.split(","))) if ids else b""
 
 
 class _Remembered(dict):
@@ -193,34 +207,50 @@ def bpe_encode_decode(docs: DataFrame, spec: str, fields: tuple[str, ...] = ("n_
     kind = {f: FIELDS[f] for f in fields}
     schema = ", ".join(f"{k} {v}" for k, v in {id_col: dict(docs.dtypes)[id_col], **kind}.items())
     shipped = docs.sparkSession.sparkContext.broadcast(spec)
+    types = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shipped.value)
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                cols: dict[str, list] = {f: [] for f in fields}
-                for text in part.column(1):
-                    parts = codec.encode(text.as_py() or "")
-                    joined = ",".join(parts)
-                    for f in fields:
-                        if f == "n_tokens":
-                            value = joined.count(",") + 1 if joined else 0
-                        elif f == "ids":
-                            value = np.array(joined.split(",") if joined else [], dtype=np.int32)
-                        elif f == "ids_sha256":
-                            value = hashlib.sha256(joined.encode()).hexdigest()
-                        else:
-                            value = codec.decode(joined)
-                            if f == "decoded_sha256":
-                                value = hashlib.sha256(value.encode()).hexdigest()
-                        cols[f].append(value)
-                types = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, types[kind[f]]) for f, v in cols.items())], [id_col, *fields])
+                cols = zip(*encoded(codec, part.column(1), fields))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, types[kind[f]]) for f, v in zip(fields, cols))], [id_col, *fields])
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(work, schema)
 
 
+def encoded(codec: Codec, texts: pa.Array, fields: tuple[str, ...]) -> Iterator[tuple]:
+    """The ``fields`` of each text. Of a long one only what is asked for is kept whole."""
+    for scalar in texts:
+        text = scalar.as_py() or ""
+        if len(text) < LONG_TEXT:
+            blocks = [",".join(codec.encode(text))]
+        else:
+            blocks = (",".join(block) for block in codec.encode_blocks(text))
+        n, ids, data, of_ids = 0, [], bytearray(), hashlib.sha256()
+        want_ids, want_data, want_hash = "ids" in fields, "decoded" in fields or "decoded_sha256" in fields, "ids_sha256" in fields
+        for block in blocks:
+            if not block:
+                continue
+            if want_hash:
+                of_ids.update(("," + block if n else block).encode())
+            n += block.count(",") + 1
+            if want_ids:
+                ids.append(np.array(block.split(","), dtype=np.int32))
+            if want_data:
+                data += codec.decode_bytes(block)
+        decoded = data.decode("utf-8", "replace") if want_data else None
+        values = {"n_tokens": n, "decoded": decoded}
+        if want_ids:
+            values["ids"] = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        if want_hash:
+            values["ids_sha256"] = of_ids.hexdigest()
+        if "decoded_sha256" in fields:
+            values["decoded_sha256"] = hashlib.sha256(decoded.encode()).hexdigest()
+        yield tuple(values[f] for f in fields)
+
+
 def tokenizer_spec(path: str | None = None) -> str:
     """The tokenizer file's text; by default the public byte-level vocabulary of 50,257 ids."""
     if path is None:

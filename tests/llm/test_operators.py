@@ -68,6 +68,17 @@ def test_containment_equals_brute_force(spark, awkward, nothing):
     assert decontaminate.keep_uncontaminated(awkward, table.limit(0)).count() == len(rows)
 
 
+def test_items_with_ids_of_any_type_and_many_copies(spark):
+    text = "this passage of the benchmark has exactly ten words here"
+    docs = spark.createDataFrame([("d1", f"before {text} after"), (None, text), ("d3", "nothing of it")], "name string, body string")
+    items = spark.createDataFrame([(f"i{k}", text, k) for k in range(300)] + [(None, text, 0), ("z", None, 0)], "name string, text string, n_shared int")
+    got = decontaminate.find_contained(docs, items.withColumnRenamed("name", "item"), doc_id="name", doc_text="body", item_id="item")
+    rows = got.collect()
+    assert Counter(r["name"] for r in rows) == {"d1": 301, None: 301} and len({r["item"] for r in rows}) == 301
+    (shipped,) = decontaminate.shipped_blocks(items, "text", 1 << 20)
+    assert len(shipped.value.ids) == 2  # each text once
+
+
 def test_containment_is_found_in_random_places():
     rng = np.random.default_rng(1)
     s = rng.integers(0, 1 << 62, 5000, dtype=np.uint64)
@@ -342,6 +353,78 @@ def test_held_out_quality(spark):
     assert got.agg(F.avg(((F.col("score") >= 0.3) == (F.col("quality") == 1)).cast("double"))).first()[0] > 0.95
 
 
+def test_one_text_of_each_labelled_id_reaches_the_driver(spark, awkward):
+    docs = awkward.select("doc_id", "text").union(spark.createDataFrame([(3, f"text number {i} of one id") for i in range(1000)] + [(6, "again")] * 500, "doc_id long, text string"))
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    a, b = (quality.fit(d, labels) for d in (docs, docs.repartition(6).orderBy(F.desc("text"))))
+    assert np.allclose(a.layers[0], b.layers[0], atol=1e-6) and a.temperature == b.temperature
+
+
+# Long texts: in pieces, as if they were whole
+
+
+def test_pieces_of_a_long_text_give_what_the_whole_text_gives(monkeypatch):
+    import pyarrow as pa
+
+    from lodeworks.llm import text as T
+
+    rng = np.random.default_rng(4)
+    long = " ".join("".join(rng.choice(list("abcdé"), rng.integers(1, 9))) for _ in range(3000)) + " " + "x" * 5000 + " end"
+    column = pa.array(["short one", long, None, "", long[:700]])
+    vectors = rng.normal(size=(quality.BUCKETS, quality.DIMS)).astype(np.float32)
+    code = langid.codewords(3)
+    model = langid.Model(["a", "b", "c"], code, np.vstack([rng.normal(size=(langid.BUCKETS, code.shape[1])), np.zeros((1, code.shape[1]))]).astype(np.float32), np.ones(code.shape[1]))
+
+    def all_of(size):
+        monkeypatch.setattr(T, "CHUNK_BYTES", size)
+        out = []
+        for chunk in T.chunks(column, size):
+            w = T.words(chunk)
+            out.append((T.shingles(w)[0], w.hash, quality.tokens(chunk)[0], quality.pooled(chunk, vectors).ravel(), model.margins(chunk)[0].ravel()))
+        return [np.concatenate(x) for x in zip(*out)]
+
+    whole = all_of(1 << 20)
+    monkeypatch.setattr(quality, "POOL_WORDS", 97)
+    for size in (64, 1000):
+        for a, b in zip(whole, all_of(size)):
+            assert a.dtype.kind in "iu" and (a == b).all() or np.allclose(a, b, rtol=1e-5, atol=1e-5)
+
+
+def test_texts_of_20_megabytes_stay_within_300_megabytes_a_task():
+    """Each operator's own work on one such text, in a process of its own: what it adds to the memory held before."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, sys
+import numpy as np, pyarrow as pa
+from lodeworks.llm import bpe, decontaminate, langid, licences, near_duplicates, quality, text as T
+rng = np.random.default_rng(0)
+some = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(5000)]
+text = " ".join(some[i] for i in rng.integers(0, 5000, 3_000_000))
+column = pa.array([text])
+vectors = np.zeros((quality.BUCKETS, quality.DIMS), np.float32)
+bits = langid.codewords(4)
+model = langid.Model(list("abcd"), bits, np.zeros((langid.BUCKETS + 1, bits.shape[1]), np.float32), np.ones(bits.shape[1]))
+index = decontaminate.build_index([1], [" ".join(some[:300])])
+codec = bpe._codec(bpe.tokenizer_spec())
+del text
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+what = sys.argv[1]
+for chunk in T.chunks(column, quality.POOL_BYTES):
+    if what == "quality": quality.pooled(chunk, vectors)
+    if what == "langid": model.margins(chunk)
+    if what == "near": near_duplicates.signatures(chunk, 5)
+    if what == "licences": licences.gram_hashes(T.words(chunk, T.ALNUM).hash, 3)
+if what == "decontaminate": list(decontaminate.matches(index, column, 0.8))
+if what == "bpe": list(bpe.encoded(codec, column, ("n_tokens", "ids_sha256", "decoded_sha256")))
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    for what in ("quality", "langid", "near", "licences", "decontaminate", "bpe"):
+        done = subprocess.run([sys.executable, "-c", code, what], capture_output=True, text=True, check=True)
+        assert int(done.stdout) < 300, (what, done.stdout)
+
+
 # 7
 
 
@@ -602,6 +685,19 @@ def test_bpe_equals_the_library_and_decodes_back(spark, awkward, nothing):
     assert bpe.bpe_encode_decode(nothing, bpe.tokenizer_spec()).count() == 0
 
 
+def test_blocks_of_a_long_text_encode_like_the_whole(monkeypatch):
+    import pyarrow as pa
+
+    codec = bpe._codec(bpe.tokenizer_spec())
+    texts = pa.array([" some   words, ñandú é\n\n<|endoftext|> and 12 more's " * 50, "日本語 text " * 40, "", None])
+    fields = ("n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256")
+    whole = list(bpe.encoded(codec, texts, fields))
+    monkeypatch.setattr(bpe, "LONG_TEXT", 0)
+    monkeypatch.setattr(bpe, "BLOCK_WORDS", 7)
+    for a, b in zip(whole, bpe.encoded(codec, texts, fields)):
+        assert list(a[1]) == list(b[1]) and a[0] == b[0] and a[2:] == b[2:]
+
+
 def test_both_ways_of_merging_agree_and_memory_is_bounded_in_bytes(monkeypatch):
     codec = bpe._codec(bpe.tokenizer_spec())
     rng = np.random.default_rng(8)
