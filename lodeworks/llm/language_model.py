@@ -33,6 +33,7 @@ ROUNDS = 8
 RATES = (0.01, 0.01, 0.01, 0.008, 0.006, 0.004, 0.003, 0.002)
 #: Training tokens of a worker in a pass, about. Their number grows with the corpus, what one of them holds doesn't.
 WORKER_TOKENS = 250_000
+MOST_TASKS = 4096
 #: Parameters that travel in one row, workers whose parameters are added up first, and steps of a whole number in one.
 SLOT, JOINED, SCALE = 2048, 64, float(1 << 24)
 #: Tokens that are scored at a time, or one text.
@@ -124,10 +125,11 @@ def train(docs: DataFrame, frequent: Frequent, stats: Statistics, text_col: str
     net = Gru.start(by_rank, stats.other_tokens, stats.texts)
     texts = written(_tokenised(docs, vocabulary, net, text_col), "token-ids")
     workers = max(1, -(-stats.tokens // (ROUNDS * WORKER_TOKENS)))
-    turn_of, worker = F.pmod("h", F.lit(ROUNDS)), F.pmod(F.floor(F.col("h") / ROUNDS), F.lit(workers))
+    turn_of, worker = F.pmod("h", F.lit(ROUNDS)), F.pmod(F.expr(f"h div {ROUNDS}"), F.lit(workers))
     for turn in range(ROUNDS):
         own = texts.where(turn_of == turn).select(worker.alias("worker"), "h", "ids", "n")
-        net = Gru(net.n_words, _averaged(own, net, RATES[turn]))
+        # A worker's texts are few bytes and much work: adaptive execution is not to put several together.
+        net = Gru(net.n_words, _averaged(own.repartition(min(workers, MOST_TASKS), "worker"), net, RATES[turn]))
     return net
 
 
