@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions.storage import materialised
 from lodeworks.operators.graph import components
-from lodeworks.operators.neighbours import BLOCK, block_pairs, distances, nearest, within
+from lodeworks.operators.neighbours import BLOCK, block_pairs, count_within, distances, nearest, within
 
 MODELS = {"kmeans": KMeans, "bisecting": BisectingKMeans, "gaussian_mixture": GaussianMixture}
 
@@ -67,10 +67,20 @@ def inertia(df: DataFrame, vector: str, ks: Sequence[int], seed: int = 1) -> Dat
     return df.sparkSession.createDataFrame(rows, "k int, inertia double")
 
 
+def inertia_of(df: DataFrame, vector: str, centres: Sequence[Sequence[float]]) -> DataFrame:
+    """(k, inertia): the sum of squared distances to the nearest of given centres."""
+    return assign(df, vector, centres).agg(F.lit(len(centres)).alias("k"), F.coalesce(F.sum("squared_distance"), F.lit(0.0)).alias("inertia"))
+
+
+def preview(df: DataFrame, vector: str, key: str, centres: Sequence[Sequence[float]], n: int) -> DataFrame:
+    """The clusters of ``n`` rows that an md5 of their key picks, the same in every run: for a look while parameters are tuned."""
+    picked = df.orderBy(F.md5(F.col(key).cast("string")), key).limit(n)
+    return assign(picked, vector, centres).select(key, "cluster", "squared_distance")
+
+
 def core_points(df: DataFrame, key: str, vector: str, eps: float, min_samples: int = 5, block: int = BLOCK) -> DataFrame:
     """(key, n_neighbours) of the points with at least ``min_samples`` points within ``eps``, themselves counted."""
-    near = within(df, key, vector, eps, block).groupBy(key).agg(F.count(F.lit(1)).alias("n_neighbours"))
-    return near.where(F.col("n_neighbours") + 1 >= min_samples)
+    return count_within(df, key, vector, eps, block).where(F.col("n_neighbours") + 1 >= min_samples)
 
 
 def dbscan(df: DataFrame, key: str, vector: str, eps: float, min_samples: int = 5, block: int = BLOCK) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeworks.functions.running import running
+from lodeworks.functions.storage import materialised
 from lodeworks.functions.scalars import normal_cdf, normal_pdf
 
 
@@ -86,29 +89,36 @@ def hash_hypercube(ids: DataFrame, key: str, names: Sequence[str], seed: int = 0
     return out
 
 
+# Primitive polynomials and initial direction numbers of Joe and Kuo (degree, coefficients, m).
+SOBOL = [(1, 0, (1,)), (2, 1, (1, 3)), (3, 1, (1, 3, 1)), (3, 2, (1, 1, 1)), (4, 1, (1, 1, 3, 3))]
+SOBOL_BITS = 30
+
+
+def direction_numbers(k: int) -> list[int]:
+    """Those of dimension ``k``, from 0."""
+    if k == 0:
+        return [1 << (SOBOL_BITS - i - 1) for i in range(SOBOL_BITS)]
+    s, a, m = SOBOL[k - 1]
+    v = [m[i] << (SOBOL_BITS - i - 1) for i in range(s)]
+    for i in range(s, SOBOL_BITS):
+        x = v[i - s] ^ (v[i - s] >> s)
+        for j in range(1, s):
+            x ^= ((a >> (s - 1 - j)) & 1) * v[i - j]
+        v.append(x)
+    return v
+
+
 def sobol(spark: SparkSession, names: Sequence[str], n: int) -> DataFrame:
     """The first ``n`` points of the Sobol sequence in up to 6 dimensions, after the zero point, by their direction numbers."""
-    # Primitive polynomials and initial direction numbers of Joe and Kuo (degree, coefficients, m).
-    table = [(1, 0, (1,)), (2, 1, (1, 3)), (3, 1, (1, 3, 1)), (3, 2, (1, 1, 1)), (4, 1, (1, 1, 3, 3))]
-    bits = 30
-    if len(names) > len(table) + 1:
+    if len(names) > len(SOBOL) + 1:
         raise ValueError("at most 6 dimensions")
     out = spark.range(1, n + 1)
     gray = F.col("id").bitwiseXOR(F.shiftright("id", 1))
     for k, name in enumerate(names):
-        if k == 0:
-            v = [1 << (bits - i - 1) for i in range(bits)]
-        else:
-            s, a, m = table[k - 1]
-            v = [m[i] << (bits - i - 1) for i in range(s)]
-            for i in range(s, bits):
-                x = v[i - s] ^ (v[i - s] >> s)
-                for j in range(1, s):
-                    x ^= ((a >> (s - 1 - j)) & 1) * v[i - j]
-                v.append(x)
+        v = direction_numbers(k)
         used = max(1, n.bit_length())
         point = reduce(lambda acc, i: acc.bitwiseXOR(F.when(gray.bitwiseAND(F.lit(1 << i)) != 0, F.lit(v[i])).otherwise(F.lit(0))), range(used), F.lit(0))
-        out = out.withColumn(name, point / float(1 << bits))
+        out = out.withColumn(name, point / float(1 << SOBOL_BITS))
     return out
 
 
@@ -196,6 +206,58 @@ def pareto_front(df: DataFrame, first: tuple[str, str], second: tuple[str, str])
     return rows.join(front, (F.col("_a") == F.col("_fa")) & (F.col("_b") == F.col("_fb")), "left_semi").drop("_a", "_b")
 
 
+def undominated(points: np.ndarray) -> np.ndarray:
+    """Which rows no other row dominates, all columns minimised; equal rows are all kept. In order of their sums a row can be dominated
+    by earlier ones only."""
+    order = np.argsort(points.sum(1), kind="stable")
+    keep, front = np.zeros(len(points), bool), np.zeros((0, points.shape[1]))
+    for i in order:
+        x = points[i]
+        if not ((front <= x).all(1) & (front < x).any(1)).any():
+            keep[i] = True
+            front = np.vstack([front, x[None]])
+    return keep
+
+
+def pareto_front_of_many(df: DataFrame, objectives: Sequence[tuple[str, str]]) -> DataFrame:
+    """Rows that no other row dominates in any number of objectives, each (column, 'min' or 'max'); equal points are all kept, rows with
+    a missing objective are not.
+
+    Points are thinned in every task first, to those undominated among its own. What is left is packed into blocks, and every block
+    is held against every other one; a point stays if no block dominates it. So the work grows with the square of the points
+    that are left, never with that of the rows, and no task holds more than two blocks."""
+    names = [f"_o{i}" for i in range(len(objectives))]
+    rows = df.withColumns({n: F.col(c).cast("double") * (1 if how == "min" else -1) for n, (c, how) in zip(names, objectives)})
+    whole = reduce(lambda a, b: a & b, (F.col(n).isNotNull() & ~F.isnan(n) for n in names))
+    rows = rows.where(whole)
+
+    def thin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame(columns=names, dtype=float)
+        for frame in frames:
+            both = pd.concat([held, frame.drop_duplicates()], ignore_index=True) if len(held) else frame.drop_duplicates().reset_index(drop=True)
+            held = both[undominated(both.to_numpy(float))]
+        if len(held):
+            yield held
+
+    schema = ", ".join(f"{n} double" for n in names)
+    left = materialised(rows.select(*names).mapInPandas(thin, schema).distinct(), "undominated")
+    blocks = max(1, -(-left.count() // 1024))
+    dealt = left.withColumn("_b", F.pmod(F.xxhash64(*names), F.lit(blocks)))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    own = dealt.withColumn("_against", every).withColumn("_own", F.lit(True))  # a block's points, once for each block they are held against
+    others = dealt.withColumnRenamed("_b", "_against").withColumn("_b", every).withColumn("_own", F.lit(False))
+
+    def check(frame: pd.DataFrame) -> pd.DataFrame:
+        own, others = frame[frame["_own"]][names], frame[~frame["_own"]][names].to_numpy(float)
+        x = own.to_numpy(float)
+        beaten = np.array([((others <= p).all(1) & (others < p).any(1)).any() for p in x], bool)
+        return own[beaten]
+
+    beaten = own.unionByName(others).groupBy("_b", "_against").applyInPandas(check, schema).distinct()
+    front = left.join(beaten, names, "left_anti")
+    return rows.join(front, names, "left_semi").drop(*names)
+
+
 def hypervolume(front: DataFrame, first: str, second: str, reference: tuple[float, float]) -> DataFrame:
     """The area between a front of two minimised objectives and a reference point that is worse than all of it."""
     points = front.select(F.col(first).cast("double").alias("a"), F.col(second).cast("double").alias("b")).where((F.col("a") < reference[0]) & (F.col("b") < reference[1]))

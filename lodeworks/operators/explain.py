@@ -1,13 +1,19 @@
-"""Shapley values: exactly for linear models, and by all coalitions for any model that scores a table."""
+"""Shapley values: exactly for linear models and trees, and by all coalitions for any model that scores a table."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeworks.functions.storage import discard, shared_folder
+
 
 def linear_shap(df: DataFrame, weights: Mapping[str, float], key: Sequence[str]) -> DataFrame:
     """(key, feature, value, phi) in long form: weight * (value - mean of the feature), exact for independent features."""
@@ -53,3 +59,142 @@ def dependence(phi: DataFrame, feature: str, other: str, key: Sequence[str]) ->
     """(key, value, phi, other value) of one feature, with the value of another beside it."""
     own = phi.where(F.col("feature") == feature).select(*key, "value", "phi")
     return own.join(phi.where(F.col("feature") == other).select(*key, F.col("value").alias("other_value")), list(key))
+
+
+# Trees
+
+LINEAR = ("LinearRegressionModel", "GeneralizedLinearRegressionModel", "LogisticRegressionModel", "LinearSVCModel")
+TREES = ("DecisionTreeRegressionModel", "RandomForestRegressionModel", "GBTRegressionModel", "DecisionTreeClassificationModel", "RandomForestClassificationModel", "GBTClassificationModel")
+
+
+def explainer_of(fitted: PipelineModel) -> str:
+    """'linear', 'tree' or 'coalition', by the class of the last stage."""
+    name = type(fitted.stages[-1]).__name__
+    return "linear" if name in LINEAR else "tree" if name in TREES else "coalition"
+
+
+def explain(fitted: PipelineModel, df: DataFrame, features: Sequence[str], key: Sequence[str]) -> DataFrame:
+    """(key, feature, value, phi) by the explainer that suits the model; models without one of their own go by coalitions, which take
+    numeric features and a single key column."""
+    kind = explainer_of(fitted)
+    if kind == "tree":
+        return tree_shap(fitted, df, features, key)
+    if kind == "linear":
+        return pipeline_linear_shap(fitted, df, features, key)
+    (one,) = key
+    return coalition_shap(df, features, lambda d: fitted.transform(d).withColumn("prediction", F.col("prediction").cast("double")), one)
+
+
+def _slots(fitted: PipelineModel, df: DataFrame, features: Sequence[str]) -> list[int]:
+    """For each place of the assembled vector the number of the feature it comes from."""
+    numeric = fitted.stages[0].getInputCols() if type(fitted.stages[0]).__name__ == "ImputerModel" else []
+    attributes = fitted.transform(df.limit(0)).schema["_features"].metadata.get("ml_attr", {}).get("attrs", {})
+    names = {a["idx"]: a.get("name", "") for group in attributes.values() for a in group}
+    out = []
+    for i in range(len(names)):
+        own = names[i]
+        if own.startswith("_scaled_"):
+            out.append(features.index(numeric[int(own.removeprefix("_scaled_"))]))
+        else:
+            out.append(next(k for k, f in enumerate(features) if own == f or own.startswith(f"{f}__hot_")))
+    return out
+
+
+def _before_model(fitted: PipelineModel, df: DataFrame) -> DataFrame:
+    for stage in fitted.stages[:-1]:
+        df = stage.transform(df)
+    return df.withColumn("_x", vector_to_array("_features"))
+
+
+def pipeline_linear_shap(fitted: PipelineModel, df: DataFrame, features: Sequence[str], key: Sequence[str]) -> DataFrame:
+    """As ``linear_shap``, for a fitted linear pipeline: a feature's value is the sum over its places in the assembled vector of weight
+    times (value - mean), on the scale of the linear predictor. ``value`` is null for a feature that is no number."""
+    slots, weights = _slots(fitted, df, features), fitted.stages[-1].coefficients.toArray()
+    rows = _before_model(fitted, df)
+    means = rows.agg(*[F.avg(F.col("_x")[i]).alias(f"m{i}") for i in range(len(slots))]).first()
+    phi = [sum(((F.col("_x")[i] - means[i]) * float(weights[i]) for i, k in enumerate(slots) if k == j), F.lit(0.0)) for j in range(len(features))]
+    return _long(rows, features, key, phi)
+
+
+def _long(rows: DataFrame, features: Sequence[str], key: Sequence[str], phi: Sequence) -> DataFrame:
+    kinds = dict(rows.dtypes)
+    value = lambda f: F.col(f).cast("double") if kinds[f] != "string" else F.lit(None).cast("double")
+    cells = [F.struct(F.lit(f).alias("feature"), value(f).alias("value"), p.alias("phi")) for f, p in zip(features, phi)]
+    return rows.select(*key, F.explode(F.array(*cells)).alias("x")).select(*key, "x.*")
+
+
+def _trees(fitted: PipelineModel, df: DataFrame) -> list[tuple[float, list]]:
+    """(weight, nodes by number) of each tree, from the table of nodes that the model is stored as: as many rows as it has nodes.
+    A node is (value, rows, left, right, feature, threshold or None, left categories)."""
+    model, spark = fitted.stages[-1], df.sparkSession
+    path = f"{shared_folder(spark)}/lodeworks-trees-{model.uid}"
+    model.write().overwrite().save(path)
+    table = spark.read.parquet(f"{path}/data")
+    rows = table.select("treeID", "nodeData.*").collect() if "treeID" in table.columns else table.select(F.lit(0).alias("treeID"), "*").collect()
+    discard(spark, path)
+    by_probability = "Classification" in type(model).__name__ and "GBT" not in type(model).__name__
+    trees: dict[int, dict[int, tuple]] = {}
+    for r in rows:
+        stats, split = r["impurityStats"], r["split"]
+        value = stats[-1] / sum(stats) if by_probability else r["prediction"]
+        nominal = split["numCategories"] > 0
+        edge = split["leftCategoriesOrThreshold"]
+        trees.setdefault(r["treeID"], {})[r["id"]] = (value, r["rawCount"], r["leftChild"], r["rightChild"], split["featureIndex"], None if nominal or not edge else edge[0], list(edge) if nominal else [])
+    weights = list(model.treeWeights) if "GBT" in type(model).__name__ else [1 / len(trees)] * len(trees)
+    return [(w, [nodes[i] for i in range(len(nodes))]) for w, (_, nodes) in zip(weights, sorted(trees.items()))]
+
+
+def conditional_mean(nodes: list, x: np.ndarray, slots: Sequence[int], known: int, at: int = 0) -> np.ndarray:
+    """For each row of x the mean of a tree over its training rows that agree with the row in the ``known`` features (bits): at a
+    split on one of those the row's own branch, else both, by their rows."""
+    value, _, left, right, feature, threshold, categories = nodes[at]
+    if left < 0:
+        return np.full(len(x), value)
+    a, b = conditional_mean(nodes, x, slots, known, left), conditional_mean(nodes, x, slots, known, right)
+    if known >> slots[feature] & 1:
+        goes_left = np.isin(x[:, feature], categories) if threshold is None else x[:, feature] <= threshold
+        return np.where(goes_left, a, b)
+    n, m = nodes[left][1], nodes[right][1]
+    return (a * n + b * m) / (n + m)
+
+
+def tree_shap(fitted: PipelineModel, df: DataFrame, features: Sequence[str], key: Sequence[str], most: int = 10) -> DataFrame:
+    """(key, feature, value, phi) of a tree, forest or boosted trees, path-dependent and exact: over all coalitions of at most ``most``
+    features, a feature with all places of the vector that come from it. The phis of a row add up to its prediction less the mean prediction
+    of the training rows; of the probability of the last class for a classification tree or forest, of the margin for boosted ones.
+    The nodes, as many as the model has, go to the tasks; rows are independent."""
+    p = len(features)
+    if p > most:
+        raise ValueError(f"at most {most} features: the coalitions are 2**p for each row")
+    slots, trees = _slots(fitted, df, features), _trees(fitted, df)
+    weight = [math.factorial(s) * math.factorial(p - s - 1) / math.factorial(p) for s in range(p)]
+
+    def values(x: np.ndarray) -> np.ndarray:
+        mean = [sum(w * conditional_mean(nodes, x, slots, known) for w, nodes in trees) for known in range(1 << p)]
+        out = np.zeros((len(x), p))
+        for j in range(p):
+            for known in range(1 << p):
+                if not known >> j & 1:
+                    out[:, j] += weight[known.bit_count()] * (mean[known | 1 << j] - mean[known])
+        return out
+
+    @F.pandas_udf("array<double>")
+    def phi(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series(list(values(np.array(batch.tolist(), float).reshape(len(batch), -1))), index=batch.index)
+
+    rows = _before_model(fitted, df).withColumn("_phi", phi("_x"))
+    return _long(rows, features, key, [F.col("_phi")[j] for j in range(p)])
+
+
+def mean_prediction(fitted: PipelineModel, df: DataFrame) -> float:
+    """What the phis of ``tree_shap`` start from."""
+    return float(sum(w * _mean(nodes) for w, nodes in _trees(fitted, df)))
+
+
+def _mean(nodes: list, at: int = 0) -> float:
+    value, _, left, right, *_ = nodes[at]
+    if left < 0:
+        return value
+    n, m = nodes[left][1], nodes[right][1]
+    return (_mean(nodes, left) * n + _mean(nodes, right) * m) / (n + m)

@@ -5,26 +5,28 @@ from __future__ import annotations
 import itertools
 import random
 from collections.abc import Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, GeneralizedLinearRegression, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
+from lodeworks.functions.storage import materialised
 from lodeworks.operators.evaluate import fold
 
 AVAILABLE = {
-    "regression": {"linear": LinearRegression, "tree": DecisionTreeRegressor, "forest": RandomForestRegressor, "boosting": GBTRegressor},
-    "classification": {"logistic": LogisticRegression, "svm": LinearSVC, "tree": DecisionTreeClassifier, "forest": RandomForestClassifier, "boosting": GBTClassifier},
+    "regression": {"linear": LinearRegression, "glm": GeneralizedLinearRegression, "tree": DecisionTreeRegressor, "forest": RandomForestRegressor, "boosting": GBTRegressor},
+    "classification": {"logistic": LogisticRegression, "svm": LinearSVC, "tree": DecisionTreeClassifier, "forest": RandomForestClassifier, "boosting": GBTClassifier, "neural": MultilayerPerceptronClassifier},
 }
 #: Ranges that a search takes unless told otherwise; this library's choice.
 DEFAULTS = {
     "linear": {"regParam": [0.0, 0.01, 0.1]}, "logistic": {"regParam": [0.0, 0.01, 0.1]}, "svm": {"regParam": [0.01, 0.1]},
-    "tree": {"maxDepth": [3, 5, 8]}, "forest": {"maxDepth": [3, 5], "numTrees": [20, 50]}, "boosting": {"maxDepth": [3, 5], "maxIter": [10, 20]},
+    "tree": {"maxDepth": [3, 5, 8]}, "forest": {"maxDepth": [3, 5], "numTrees": [20, 50]}, "boosting": {"maxDepth": [3, 5], "maxIter": [10, 20]}, "glm": {"family": ["gaussian", "gamma"], "link": ["log"]}, "neural": {"hidden": [(8,), (16, 8)]},
 }
 
 
@@ -34,7 +36,8 @@ def available_models(task: str) -> dict[str, type]:
 
 def pipeline(df: DataFrame, features: Sequence[str], target: str, model: str, task: str, **parameters) -> Pipeline:
     """Means for missing numbers, standard scores, one-hot categories (unseen ones apart), booleans as 0/1, then the model. The
-    pipeline is fitted on training rows only, and takes raw tables ever after."""
+    pipeline is fitted on training rows only, and takes raw tables ever after. ``neural`` takes ``hidden``, the sizes of its hidden
+    layers; its first layer has a place for each number, flag and category (and one for unseen ones), its last one for each class."""
     kinds = {f: df.schema[f].dataType for f in features}
     numeric = [f for f, t in kinds.items() if isinstance(t, NumericType)]
     flags = [f for f, t in kinds.items() if isinstance(t, BooleanType)]
@@ -45,10 +48,29 @@ def pipeline(df: DataFrame, features: Sequence[str], target: str, model: str, ta
     if text:
         stages += [StringIndexer(inputCols=text, outputCols=[f"{f}__index" for f in text], handleInvalid="keep", stringOrderType="alphabetAsc"), OneHotEncoder(inputCols=[f"{f}__index" for f in text], outputCols=[f"{f}__hot" for f in text], dropLast=False)]
     stages.append(VectorAssembler(inputCols=[*(["_scaled"] if numeric else []), *[f"{f}__hot" for f in text], *flags], outputCol="_features", handleInvalid="keep"))
+    if model == "neural":
+        n = df.agg(*[F.count_distinct(f).alias(f) for f in [*text, target]]).first()
+        parameters = {k: v for k, v in parameters.items() if k != "hidden"} | {"layers": [len(numeric) + len(flags) + sum(n[f] + 1 for f in text), *parameters.get("hidden", (8,)), max(n[target], 2)]}
     stages.append(AVAILABLE[task][model](featuresCol="_features", labelCol=target, **parameters))
     return Pipeline(stages=stages)
 
 
+def fit(df: DataFrame, features: Sequence[str], target: str, model: str, task: str, **parameters) -> PipelineModel:
+    """The pipeline fitted to ``df``, of which features and target are written once: every stage reads them again."""
+    own = materialised(df.select(*features, target), "training")
+    return pipeline(own, features, target, model, task, **parameters).fit(own)
+
+
+def what_if(fitted: PipelineModel, df: DataFrame, row: Mapping, changes: Sequence[Mapping] = ({},)) -> DataFrame:
+    """(change, the columns of ``row``, prediction): the model's answer to one row, as it is and with each set of changes. ``df`` gives the
+    types. A table as long as ``changes``."""
+    cases = [{**row, **c} for c in changes]
+    kinds = dict(df.dtypes)
+    schema = ", ".join(["change int", *(f"`{c}` {kinds[c]}" for c in row)])
+    table = df.sparkSession.createDataFrame([(i, *(case[c] for c in row)) for i, case in enumerate(cases)], schema)
+    return predict(fitted, table)
+
+
 def predict(fitted: PipelineModel, df: DataFrame) -> DataFrame:
     """``df`` with ``prediction``."""
     out = fitted.transform(df)
@@ -59,18 +81,18 @@ def _metric(task: str, target: str):
     return RegressionEvaluator(labelCol=target, metricName="rmse") if task == "regression" else BinaryClassificationEvaluator(labelCol=target)
 
 
-def cross_validate(df: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, model: str, task: str, grid: Sequence[Mapping], folds: int = 3) -> DataFrame:
+def cross_validate(df: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, model: str, task: str, grid: Sequence[Mapping], folds: int = 3, parallel: int = 4) -> DataFrame:
     """(parameters, fold, metric) of each parameter set and fold: RMSE, or area under the ROC curve. Folds come from an md5 of the keys,
-    so they are the same in every run."""
-    cut = df.withColumn("_fold", fold(keys, folds)).select(*features, target, "_fold").cache()
-    rows = []
-    try:
-        for parameters in grid:
-            for k in range(folds):
-                fitted = pipeline(df, features, target, model, task, **parameters).fit(cut.where(F.col("_fold") != k))
-                rows.append((str(dict(sorted(parameters.items()))), k, float(_metric(task, target).evaluate(fitted.transform(cut.where(F.col("_fold") == k))))))
-    finally:
-        cut.unpersist()
+    so they are the same in every run. ``parallel`` fits run at a time, as Spark jobs side by side over one written table."""
+    cut = materialised(df.withColumn("_fold", fold(keys, folds)).select(*features, target, "_fold"), "folds")
+
+    def one(case: tuple[Mapping, int]) -> tuple[str, int, float]:
+        parameters, k = case
+        fitted = pipeline(cut, features, target, model, task, **parameters).fit(cut.where(F.col("_fold") != k))
+        return str(dict(sorted(parameters.items()))), k, float(_metric(task, target).evaluate(fitted.transform(cut.where(F.col("_fold") == k))))
+
+    with ThreadPool(max(1, parallel)) as pool:
+        rows = pool.map(one, [(parameters, k) for parameters in grid for k in range(folds)])
     return df.sparkSession.createDataFrame(rows, "parameters string, fold int, metric double")
 
 

@@ -96,6 +96,23 @@ def within(df: DataFrame, key: str, vector: str, eps: float, block: int = BLOCK)
     return block_pairs(rows, rows).mapInArrow(work, f"`{key}` long, neighbour long")
 
 
+def count_within(df: DataFrame, key: str, vector: str, eps: float, block: int = BLOCK) -> DataFrame:
+    """(key, n_neighbours): how many other keys are no farther than ``eps``, where there is one. A pair of blocks returns a row a key."""
+    rows = materialised(_packed(df, key, vector, block), "points")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (ka, xa), (kb, xb) = _side(batch.column(2)[i]), _side(batch.column(3)[i])
+                for lo in range(0, len(ka), 256):
+                    n = ((distances(xa[lo : lo + 256], xb) <= eps) & (ka[lo : lo + 256][:, None] != kb[None])).sum(1)
+                    own = np.flatnonzero(n)
+                    yield pa.RecordBatch.from_arrays([pa.array(ka[lo : lo + 256][own]), pa.array(n[own].astype(np.int64))], [key, "n"])
+
+    counts = block_pairs(rows, rows).mapInArrow(work, f"`{key}` long, n long")
+    return counts.groupBy(key).agg(F.sum("n").alias("n_neighbours"))
+
+
 def local_outlier_factors(df: DataFrame, key: str, vector: str, k: int = 20, block: int = BLOCK) -> DataFrame:
     """(key, k_distance, lof) with exactly ``k`` neighbours, ties by key. A point among copies of itself (reach distance 0) has a
     density of 1e10, as is usual. A table of ``k`` rows or fewer uses all neighbours there are."""

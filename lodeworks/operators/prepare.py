@@ -124,6 +124,15 @@ def impute_iterative(df: DataFrame, cols: Sequence[str], rounds: int = 3) -> Dat
     return own.select(*[F.col(f"_x_{c}").alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
+def scaled_solution(gram, products):
+    """The least-squares solution of gram @ w = products, with columns scaled to one size first, so that small ones count."""
+    import numpy as np
+
+    size = np.sqrt(np.diag(gram))
+    size[size == 0] = 1
+    return np.linalg.lstsq(gram / np.outer(size, size), products / size, rcond=1e-12)[0] / size
+
+
 def least_squares(df: DataFrame, features: Sequence[str], target: str) -> list[float]:
     """Intercept and weights. One aggregate of centred products, and a system of len(features) equations on the driver."""
     import numpy as np
@@ -137,7 +146,7 @@ def least_squares(df: DataFrame, features: Sequence[str], target: str) -> list[f
     products = [F.sum((F.col(names[i]) - means[names[i]]) * (F.col(names[j]) - means[names[j]])).alias(f"s{i}_{j}") for i in range(p) for j in range(i, p)]
     row = full.agg(*products).first()
     gram = np.array([[row[f"s{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])
-    w = np.linalg.lstsq(gram[:-1, :-1], gram[:-1, -1], rcond=1e-12)[0]
+    w = scaled_solution(gram[:-1, :-1], gram[:-1, -1])
     return [float(means[target] - sum(a * means[c] for a, c in zip(w, features))), *map(float, w)]
 
 

@@ -174,3 +174,20 @@ def recommendations(df: DataFrame, numeric: Sequence[str], max_missing: float =
     missing = F.col("n_missing") / F.nullif(F.col("n_rows"), F.lit(0))
     action = F.when(F.col("n_unique") <= 1, "drop: constant").when(missing > max_missing, "drop: mostly missing").when((F.col("n_missing") > 0) & (F.col("n_outliers") > 0), "impute median").when(F.col("n_missing") > 0, "impute mean").when(F.col("n_outliers") > 0, "cap outliers").otherwise("keep")
     return p.select("column_name", "n_missing", "n_unique", "n_outliers", action.alias("action"), F.lit(len(numeric) > many).alias("select_by_importance"))
+
+
+def apply_recommendations(df: DataFrame, actions: DataFrame) -> DataFrame:
+    """``df`` after the steps of a table (column_name, action), as ``recommendations`` gives it or a user has changed it: columns are dropped,
+    filled and capped, in this order; 'keep' and unknown columns change nothing. The table has a row a column, so it is read whole."""
+    from lodeworks.operators.prepare import cap, impute
+
+    steps = {r["column_name"]: r["action"] for r in actions.select("column_name", "action").collect() if r["column_name"] in df.columns}
+    unknown = {a for a in steps.values() if a not in ("keep", "impute median", "impute mean", "impute mode", "cap outliers") and not a.startswith("drop")}
+    if unknown:
+        raise ValueError(f"no such action: {sorted(unknown)}")
+    of = lambda action: tuple(c for c, a in steps.items() if a == action)
+    out = df.drop(*[c for c, a in steps.items() if a.startswith("drop")])
+    for by in ("median", "mean", "mode"):
+        if of(f"impute {by}"):
+            out = impute(out, of(f"impute {by}"), by)
+    return cap(out, of("cap outliers")) if of("cap outliers") else out

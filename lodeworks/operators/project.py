@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeworks.functions.storage import discard
+
 MANIFEST = "name string, version int, taken timestamp, n_rows long, note string"
 
 
@@ -43,3 +46,17 @@ class Project:
         if version is None:
             version = self.history().where(F.col("name") == name).agg(F.max("version").alias("v")).first()["v"]
         return self.spark.read.parquet(f"{self.root}/data/{name}/{version}")
+
+    def delete(self, name: str) -> None:
+        """Takes all versions of ``name`` out of the manifest, and deletes their files."""
+        rest = self.history().where(F.col("name") != name).collect()  # a row a snapshot
+        self.spark.createDataFrame(rest, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest")
+        discard(self.spark, f"{self.root}/data/{name}")
+
+    def save_state(self, state: dict) -> None:
+        """Writes choices (columns, parameters ...) as one line of JSON."""
+        line = json.dumps(state, sort_keys=True)
+        self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/state")
+
+    def load_state(self) -> dict:
+        return json.loads(self.spark.read.text(f"{self.root}/state").first()["value"])

@@ -8,6 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeworks.operators.prepare import scaled_solution
 from lodeworks.operators.profile import correlations
 
 MAX_EXHAUSTIVE = 15
@@ -50,6 +51,34 @@ def drop_correlated(df: DataFrame, features: Sequence[str], target: str, limit:
 Score = Callable[[Sequence[str]], float]
 
 
+def drop_correlated_by_model(df: DataFrame, features: Sequence[str], score: Score, limit: float = 0.95) -> DataFrame:
+    """(feature, kept, dropped_for, score_without): of each pair of features correlated above ``limit``, from the strongest on, the one
+    without which the model of all features still kept scores better goes (ties: the later name), unless its partner has gone already."""
+    found = {(r["col_a"], r["col_b"]): abs(r["r"] or 0.0) for r in correlations(df, features).collect()}  # of bounded columns
+    kept, gone = list(features), {}
+    for r, a, b in sorted(((found[a, b], a, b) for a, b in itertools.combinations(features, 2)), key=lambda p: (-p[0], p[1], p[2])):
+        if r > limit and a in kept and b in kept:
+            without = {f: score([k for k in kept if k != f]) for f in (a, b)}
+            loser = max((a, b), key=lambda f: (without[f], f))
+            gone[loser] = (a if loser == b else b, without[loser])
+            kept.remove(loser)
+    rows = [(f, f in kept, *gone.get(f, (None, None))) for f in features]
+    return df.sparkSession.createDataFrame(rows, "feature string, kept boolean, dropped_for string, score_without double")
+
+
+def roles(df: DataFrame, features: Sequence[str], targets: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The chosen columns, features first, and (column_name, role, type) of each; a column can't be both, and must be there."""
+    both = set(features) & set(targets)
+    if both:
+        raise ValueError(f"both feature and target: {sorted(both)}")
+    kinds = dict(df.dtypes)
+    absent = [c for c in (*features, *targets) if c not in kinds]
+    if absent:
+        raise ValueError(f"no such column: {absent}")
+    rows = [(c, role, kinds[c]) for role, names in (("feature", features), ("target", targets)) for c in names]
+    return df.select(*features, *targets), df.sparkSession.createDataFrame(rows, "column_name string, role string, type string")
+
+
 def least_squares_score(df: DataFrame, features: Sequence[str], target: str) -> Score:
     """R squared of least squares for any subset of ``features``, all from one aggregate of second moments."""
     import numpy as np
@@ -63,7 +92,7 @@ def least_squares_score(df: DataFrame, features: Sequence[str], target: str) ->
         at = [names.index(f) for f in subset]
         if not at or gram[-1, -1] == 0:
             return 0.0
-        w = np.linalg.lstsq(gram[np.ix_(at, at)], gram[at, -1], rcond=1e-12)[0]
+        w = scaled_solution(gram[np.ix_(at, at)], gram[at, -1])
         return float(w @ gram[at, -1] / gram[-1, -1])
 
     return score

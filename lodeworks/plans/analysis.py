@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from lodeworks.operators import cluster as C
@@ -186,18 +188,79 @@ def exhaustive(spark, sf):
     return spark.createDataFrame([(s[0], round(r, 6)) for s, r in found if len(s) == 1], "subset string, r2 double")
 
 
-@query("f9_exhaustive_all")
+SUBSETS = ("l_quantity", "l_discount", "l_tax", "l_linenumber")
+
+
+def _det(cells: list[list[str]]) -> str:
+    """The determinant as a sum over permutations."""
+    n, terms = len(cells), []
+    for p in itertools.permutations(range(n)):
+        odd = sum(p[i] > p[j] for i in range(n) for j in range(i + 1, n)) % 2
+        terms.append(f"{'-' if odd else '+'} {' * '.join(cells[i][p[i]] for i in range(n))}")
+    return f"({' '.join(terms)})"
+
+
+def _r2_sql(features: tuple[str, ...]) -> str:
+    """(mask, r2) of least squares on every subset of the features: one less the ratio of two determinants of correlations."""
+    names = [*features, "l_extendedprice"]
+    r = {(i, j): "1.0::double" if i == j else f"r{min(i, j)}_{max(i, j)}" for i in range(len(names)) for j in range(len(names))}
+    pairs = ", ".join(f"corr({names[i]}, {names[j]}) AS r{i}_{j}" for i in range(len(names)) for j in range(i + 1, len(names)))
+    one = []
+    for mask in range(1, 1 << len(features)):
+        own = [i for i in range(len(features)) if mask >> i & 1]
+        at = [*own, len(features)]
+        one.append(f"SELECT {mask} AS mask, '{','.join(features[i] for i in own)}' AS subset, 1 - {_det([[r[i, j] for j in at] for i in at])} / {_det([[r[i, j] for j in own] for i in own])} AS r2 FROM c")
+    return f"c AS (SELECT {pairs} FROM lineitem), s AS ({' UNION ALL '.join(one)})"
+
+
+def _steps_sql(features: tuple[str, ...], forward: bool) -> str:
+    """Greedy steps, each the best subset that differs from the one before by one feature; ties by name."""
+    named = f"(VALUES {', '.join(f'({1 << i}, {f!r})' for i, f in enumerate(features))}) f(bit, feature)"
+    full = (1 << len(features)) - 1
+    sql, before = f"WITH {_r2_sql(features)}, t0 AS (SELECT 0 AS step, {0 if forward else full} AS mask, '' AS feature, 0.0::double AS r2)", "t0"
+    steps = len(features) if forward else len(features) - 1
+    for k in range(1, steps + 1):
+        moved, free = ("t.mask | bit", "t.mask & bit = 0") if forward else ("t.mask - bit", "t.mask & bit > 0")
+        sql += f", t{k} AS (SELECT {k} AS step, s.mask, f.feature, s.r2 FROM {before} t, {named}, s WHERE {free} AND s.mask = {moved} ORDER BY s.r2 DESC, f.feature LIMIT 1)"
+        before = f"t{k}"
+    return sql + " " + " UNION ALL ".join(f"SELECT step::int AS step, feature, round(r2, 6) AS r2 FROM t{k}" for k in range(1, steps + 1))
+
+
+@query("f9_exhaustive_all", f"WITH {_r2_sql(SUBSETS[:3])} SELECT subset, round(r2, 6) AS r2 FROM s")
 def exhaustive_all(spark, sf):
     features = ("l_quantity", "l_discount", "l_tax")
     found = S.exhaustive(features, S.least_squares_score(read(spark, sf, "lineitem").select(*features, "l_extendedprice"), features, "l_extendedprice"))
     return spark.createDataFrame([(",".join(s), round(r, 6)) for s, r in found], "subset string, r2 double")
 
 
-@query("f7_forward")
+def _stepwise(spark, sf, forward: bool):
+    score = S.least_squares_score(read(spark, sf, "lineitem").select(*SUBSETS, "l_extendedprice"), SUBSETS, "l_extendedprice")
+    steps = S.sequential(SUBSETS, score, forward)
+    return rounded(spark.createDataFrame([(i + 1, f, r) for i, (f, r) in enumerate(steps)], "step int, feature string, r2 double"))
+
+
+@query("f7_forward", _steps_sql(SUBSETS, True))
 def forward(spark, sf):
-    features = ("l_quantity", "l_discount", "l_tax", "l_linenumber")
-    steps = S.sequential(features, S.least_squares_score(read(spark, sf, "lineitem").select(*features, "l_extendedprice"), features, "l_extendedprice"))
-    return spark.createDataFrame([(i + 1, f, r) for i, (f, r) in enumerate(steps)], "step int, feature string, r2 double")
+    return _stepwise(spark, sf, True)
+
+
+@query("f7_backward", _steps_sql(SUBSETS, False))
+def backward(spark, sf):
+    return _stepwise(spark, sf, False)
+
+
+# What is left without either of the two that are nearly the same, by R squared of two features.
+@query(
+    "f6_drop_by_model",
+    """WITH r AS (SELECT corr(l_quantity, l_extendedprice) AS qy, corr(l_quantity + 10 * l_tax, l_extendedprice) AS cy, corr(l_discount, l_extendedprice) AS dy, corr(l_quantity, l_discount) AS qd, corr(l_quantity + 10 * l_tax, l_discount) AS cd FROM lineitem),
+    s AS (SELECT (qy * qy + dy * dy - 2 * qy * dy * qd) / (1 - qd * qd) AS without_c, (cy * cy + dy * dy - 2 * cy * dy * cd) / (1 - cd * cd) AS without_q FROM r)
+    SELECT 'l_quantity' AS feature, without_q < without_c AS kept, CASE WHEN without_q >= without_c THEN 'nearly_quantity' END AS dropped_for, CASE WHEN without_q >= without_c THEN round(without_q, 6) END AS score_without FROM s
+    UNION ALL SELECT 'nearly_quantity', without_c <= without_q, CASE WHEN without_c > without_q THEN 'l_quantity' END, CASE WHEN without_c > without_q THEN round(without_c, 6) END FROM s UNION ALL SELECT 'l_discount', true, NULL, NULL""",
+)
+def drop_by_model(spark, sf):
+    features = ("l_quantity", "nearly_quantity", "l_discount")
+    x = read(spark, sf, "lineitem").withColumn("nearly_quantity", F.col("l_quantity") + 10 * F.col("l_tax")).select(*features, "l_extendedprice")
+    return rounded(S.drop_correlated_by_model(x, features, S.least_squares_score(x, features, "l_extendedprice")))
 
 
 def training(spark, sf):
@@ -208,7 +271,53 @@ def training(spark, sf):
 def _fitted(spark, sf, model: str, task: str, target: str, **parameters):
     x = training(spark, sf)
     own = hash_percent(*[F.col(k) for k in LINE_KEY], seed=3) < 80
-    return x, own, M.pipeline(x, ("l_quantity", "l_discount", "l_returnflag"), target, model, task, **parameters).fit(x.where(own))
+    return x, own, M.fit(x.where(own), ("l_quantity", "l_discount", "l_returnflag"), target, model, task, **parameters)
+
+
+# The plane through the training rows, by covariances.
+PLANE = f"""t AS (SELECT *, ('0x' || substr(md5('3|' || l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey), 1, 8))::bigint % 100 < 80 AS own FROM lineitem),
+    m AS (SELECT covar_pop(l_quantity, l_quantity) AS aa, covar_pop(l_discount, l_discount) AS bb, covar_pop(l_quantity, l_discount) AS ab, covar_pop(l_quantity, l_extendedprice) AS ay, covar_pop(l_discount, l_extendedprice) AS byy, avg(l_quantity) AS ma, avg(l_discount) AS mb, avg(l_extendedprice) AS my FROM t WHERE own),
+    w AS (SELECT *, (ay * bb - byy * ab) / (aa * bb - ab * ab) AS wa, (byy * aa - ay * ab) / (aa * bb - ab * ab) AS wb FROM m)"""
+
+
+def _plane(spark, sf):
+    x = training(spark, sf)
+    own = hash_percent(*[F.col(k) for k in LINE_KEY], seed=3) < 80
+    return x, own, M.fit(x.where(own), ("l_quantity", "l_discount"), "l_extendedprice", "linear", "regression")
+
+
+@query("r1_predictions", f"WITH {PLANE} SELECT {KEY}, round(my + wa * (l_quantity - ma) + wb * (l_discount - mb), 3) AS prediction FROM t, w WHERE NOT own")
+def predictions(spark, sf):
+    x, own, fitted = _plane(spark, sf)
+    return rounded(M.predict(fitted, x.where(~own)).select(*LINE_KEY, "prediction"), 3)
+
+
+@query("r2_what_if", f"WITH {PLANE} SELECT change::int AS change, q AS l_quantity, d AS l_discount, round(my + wa * (q - ma) + wb * (d - mb), 3) AS prediction FROM w, (VALUES (0, 10.0::double, 0.05::double), (1, 20.0, 0.05), (2, 10.0, 0.0)) c(change, q, d)")
+def what_if(spark, sf):
+    x, _, fitted = _plane(spark, sf)
+    return rounded(M.what_if(fitted, x, {"l_quantity": 10.0, "l_discount": 0.05}, ({}, {"l_quantity": 20.0}, {"l_discount": 0.0})), 3)
+
+
+PART_PLANE = """m AS (SELECT covar_pop(p_size, p_size) AS aa, covar_pop(k, k) AS bb, covar_pop(p_size, k) AS ab, covar_pop(p_size, p_retailprice) AS ay, covar_pop(k, p_retailprice) AS byy, avg(p_size) AS ma, avg(k) AS mb FROM p),
+    w AS (SELECT *, (ay * bb - byy * ab) / (aa * bb - ab * ab) AS wa, (byy * aa - ay * ab) / (aa * bb - ab * ab) AS wb FROM m)"""
+
+
+def _parts(spark, sf, model: str, **parameters):
+    x = read(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), (F.col("p_partkey") % 1000).cast("double").alias("k"), "p_type", "p_retailprice")
+    features = ("p_size", "k") if model == "linear" else ("p_size", "k", "p_type")
+    return x, features, M.fit(x, features, "p_retailprice", model, "regression", **parameters)
+
+
+@query("x1_explain_linear", f"WITH p AS (SELECT *, (p_partkey % 1000)::double AS k FROM part), {PART_PLANE} SELECT p_partkey, 'p_size' AS feature, p_size::double AS value, round(wa * (p_size - ma), 5) + 0.0 AS phi FROM p, w UNION ALL SELECT p_partkey, 'k', k, round(wb * (k - mb), 5) + 0.0 FROM p, w")
+def explain_linear(spark, sf):
+    x, features, fitted = _parts(spark, sf, "linear")
+    return rounded(X.explain(fitted, x, features, ("p_partkey",)), 5)
+
+
+@query("x3_tree_shap")
+def tree_shap(spark, sf):
+    x, features, fitted = _parts(spark, sf, "forest", numTrees=5, maxDepth=4, seed=1)
+    return rounded(X.explain(fitted, x, features, ("p_partkey",)))
 
 
 for _task, _target in (("regression", "l_extendedprice"), ("classification", "dear")):
@@ -216,7 +325,7 @@ for _task, _target in (("regression", "l_extendedprice"), ("classification", "de
 
         @query(f"m_{_task}_{_model}")
         def trained(spark, sf, model=_model, task=_task, target=_target):
-            small = {"forest": {"numTrees": 10, "seed": 1}, "boosting": {"maxIter": 5, "seed": 1}}.get(model, {})
+            small = {"forest": {"numTrees": 10, "seed": 1}, "boosting": {"maxIter": 5, "seed": 1}, "neural": {"maxIter": 20, "seed": 1}}.get(model, {})
             x, own, fitted = _fitted(spark, sf, model, task, target, **small)
             return rounded(M.predict(fitted, x.where(~own)).select(*LINE_KEY, F.col("prediction").cast("double")))
 
@@ -286,7 +395,14 @@ def silhouette(spark, sf):
     return rounded(C.silhouette(vectors(spark, sf), "vec_id", "embedding", "label"))
 
 
-@query("c10_centroid_indices")
+@query(
+    "c10_centroid_indices",
+    f"""WITH p AS (SELECT vec_id, label, unnest(x) AS v, unnest(range(len(x))) AS d FROM {VECTORS}), c AS (SELECT label, d, avg(v) AS c, count(*) AS n FROM p GROUP BY 1, 2), g AS (SELECT d, avg(v) AS m FROM p GROUP BY 1),
+    o AS (SELECT vec_id, p.label, sum((v - c) ** 2) AS d2 FROM p JOIN c USING (label, d) GROUP BY 1, 2), s AS (SELECT label, sum(d2) AS inside, avg(sqrt(d2)) AS scatter, count(*) AS n FROM o GROUP BY 1),
+    b AS (SELECT sum(n * (c - m) ** 2) AS between_ FROM c JOIN g USING (d)), gaps AS (SELECT a.label AS i, e.label AS j, sqrt(sum((a.c - e.c) ** 2)) AS gap FROM c a JOIN c e ON a.d = e.d AND a.label <> e.label GROUP BY 1, 2),
+    worst AS (SELECT i, max((x.scatter + y.scatter) / gap) AS r FROM gaps JOIN s x ON x.label = i JOIN s y ON y.label = j GROUP BY 1), k AS (SELECT count(*) AS k, sum(n) AS n, sum(inside) AS inside FROM s)
+    SELECT k::int AS n_clusters, round(between_ / (k - 1) / (inside / (n - k)), 6) AS calinski_harabasz, round((SELECT avg(r) FROM worst), 6) AS davies_bouldin FROM k, b""",
+)
 def centroid_indices(spark, sf):
     return rounded(C.centroid_indices(vectors(spark, sf), "embedding", "label"))
 
@@ -301,6 +417,20 @@ def inertia(spark, sf):
     return rounded(C.inertia(vectors(spark, sf), "embedding", (2, 4, 8)), 4)
 
 
+_CENTRES = [[0.2 if k % 4 == i else 0.0 for k in range(64)] for i in range(4)]
+_ASSIGNED = f"WITH c AS (SELECT unnest(range(0, 4)) AS i), d AS (SELECT vec_id, i, list_sum(list_transform(x, lambda v, k: (v - (CASE WHEN (k - 1) % 4 = i THEN 0.2 ELSE 0 END)) ** 2)) AS d FROM {VECTORS}, c), a AS (SELECT vec_id, arg_min(i, d)::int AS cluster, min(d) AS squared_distance FROM d GROUP BY 1)"
+
+
+@query("c11_inertia_of_centres", f"{_ASSIGNED} SELECT 4 AS k, round(sum(squared_distance), 5) AS inertia FROM a")
+def inertia_of_centres(spark, sf):
+    return rounded(C.inertia_of(vectors(spark, sf), "embedding", _CENTRES), 5)
+
+
+@query("c12_preview", f"{_ASSIGNED} SELECT vec_id, cluster, round(squared_distance, 6) AS squared_distance FROM a ORDER BY md5(vec_id::varchar), vec_id LIMIT 20")
+def cluster_preview(spark, sf):
+    return rounded(C.preview(vectors(spark, sf), "embedding", "vec_id", _CENTRES, 20))
+
+
 @query("c16_interpret", " UNION ALL ".join(f"SELECT l_returnflag AS cluster, count(*) AS n, '{c}' AS column_name, round(avg({c}), 4) AS mean, round(max(m), 4) AS overall, round((avg({c}) - max(m)) / max(s), 6) AS shift FROM lineitem, (SELECT avg({c}) AS m, stddev_pop({c}) AS s FROM lineitem) GROUP BY 1" for c in ("l_quantity", "l_discount")))
 def interpret(spark, sf):
     x = C.interpret(read(spark, sf, "lineitem"), "l_returnflag", ("l_quantity", "l_discount"))

@@ -39,7 +39,13 @@ def grid(spark, sf):
     return D.grid(spark, GRID)
 
 
-@query("a3_sobol")
+def _sobol_sql(names: tuple[str, ...], n: int) -> str:
+    """A sum of direction numbers in place of exclusive ors: bit by bit, whether an odd number of them has it."""
+    point = lambda k: " + ".join(f"(({' + '.join(f'(g >> {i} & 1) * {v >> b & 1}' for i, v in enumerate(D.direction_numbers(k)[: n.bit_length()]))}) % 2) * {1 << b}" for b in range(D.SOBOL_BITS - n.bit_length(), D.SOBOL_BITS))
+    return f"SELECT id, {', '.join(f'({point(k)}) / {1 << D.SOBOL_BITS}::double AS {c}' for k, c in enumerate(names))} FROM (SELECT id, xor(id, id >> 1) AS g FROM (SELECT unnest(range(1, {n + 1})) AS id))"
+
+
+@query("a3_sobol", _sobol_sql(("a", "b", "c", "d"), 4096))
 def sobol(spark, sf):
     return D.sobol(spark, ("a", "b", "c", "d"), 4096)
 
@@ -82,6 +88,12 @@ def pareto(spark, sf):
     return D.pareto_front(read(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_custkey"), ("o_totalprice", "max"), ("o_custkey", "min"))
 
 
+@query("mo5_pareto_three", "WITH p AS (SELECT p_partkey, p_retailprice AS a, p_size AS b, p_partkey % 97 AS c FROM part) SELECT p_partkey FROM p x WHERE NOT EXISTS (SELECT 1 FROM p y WHERE y.a <= x.a AND y.b <= x.b AND y.c >= x.c AND (y.a < x.a OR y.b < x.b OR y.c > x.c))")
+def pareto_of_three(spark, sf):
+    p = read(spark, sf, "part").withColumn("c", F.col("p_partkey") % 97)
+    return D.pareto_front_of_many(p, (("p_retailprice", "min"), ("p_size", "min"), ("c", "max"))).select("p_partkey")
+
+
 @query("mo6_hypervolume", "WITH g AS (SELECT p_retailprice AS a, min(p_size)::double AS b FROM part GROUP BY 1), s AS (SELECT a, b, coalesce(min(b) OVER (ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 60) AS m FROM g) SELECT round(sum((1100 - a) * greatest(m - b, 0)), 4) AS hypervolume FROM s")
 def hypervolume(spark, sf):
     return rounded(D.hypervolume(read(spark, sf, "part"), "p_retailprice", "p_size", (1100.0, 60.0)), 4)

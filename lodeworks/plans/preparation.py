@@ -77,7 +77,13 @@ def impute_nearest(spark, sf):
     return rounded(N.impute_nearest(e, "vec_id", "y", "embedding").select("vec_id", "y"))
 
 
-@query("i5_impute_iterative")
+# Only one column has holes, so every round fits the same plane, to the rows where it is observed.
+@query(
+    "i5_impute_iterative",
+    f"""WITH x AS (SELECT {', '.join(LINE_KEY)}, l_quantity AS y, l_extendedprice AS a, l_tax AS b FROM {HOLED}), m AS (SELECT covar_pop(a, a) AS aa, covar_pop(b, b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS byy, avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM x WHERE y IS NOT NULL),
+    w AS (SELECT *, (ay * bb - byy * ab) / (aa * bb - ab * ab) AS wa, (byy * aa - ay * ab) / (aa * bb - ab * ab) AS wb FROM m)
+    SELECT {', '.join(LINE_KEY)}, round(coalesce(y, my + wa * (a - ma) + wb * (b - mb)), 6) AS l_quantity, round(a, 6) AS l_extendedprice, round(b, 6) AS l_tax FROM x, w""",
+)
 def impute_iterative(spark, sf):
     x = holed(read(spark, sf, "lineitem")).select(*LINE_KEY, "l_quantity", "l_extendedprice", "l_tax")
     return rounded(P.impute_iterative(x, ("l_quantity", "l_extendedprice", "l_tax")))
@@ -187,6 +193,13 @@ def log(spark, sf):
     return h.log()
 
 
+@query("n2_progress", "SELECT user_id, count(DISTINCT event_type)::bigint AS n_done, round(count(DISTINCT event_type) / 5, 6) AS share, max(ts) AS newest FROM events GROUP BY 1")
+def task_progress(spark, sf):
+    from lodeworks.streaming.monitor import progress
+
+    return rounded(progress(read(spark, sf, "events"), "user_id", "event_type", "ts", 5))
+
+
 @query("s4_csv_round_trip", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
 def csv_round_trip(spark, sf):
     from lodeworks.functions.storage import shared_folder

@@ -133,3 +133,19 @@ _SCORE = """WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity, l_discount,
 def quality_score(spark, sf):
     x = holed(read(spark, sf, "lineitem")).select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_extendedprice")
     return rounded(P.quality_score(x, ("l_quantity", "l_discount", "l_tax"), "l_extendedprice"))
+
+
+@query("q14_roles", "SELECT * FROM (VALUES ('l_quantity', 'feature', 'double'), ('l_returnflag', 'feature', 'string'), ('l_extendedprice', 'target', 'double')) t(column_name, role, type)")
+def column_roles(spark, sf):
+    from lodeworks.operators.select import roles
+
+    return roles(read(spark, sf, "lineitem"), ("l_quantity", "l_returnflag"), ("l_extendedprice",))[1]
+
+
+ACTIONS = (("l_quantity", "impute median"), ("l_extendedprice", "cap outliers"), ("l_tax", "drop: constant"), ("l_discount", "keep"))
+
+
+@query("w6_apply", f"WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount FROM {HOLED}), q AS (SELECT quantile_cont(l_quantity, 0.5) AS m, quantile_cont(l_extendedprice, 0.01) AS lo, quantile_cont(l_extendedprice, 0.99) AS hi FROM x) SELECT * EXCLUDE (l_quantity, l_extendedprice, m, lo, hi), round(coalesce(l_quantity, m), 4) AS l_quantity, round(greatest(least(l_extendedprice, hi), lo), 4) AS l_extendedprice FROM x, q")
+def apply_configuration(spark, sf):
+    x = holed(read(spark, sf, "lineitem")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    return rounded(P.apply_recommendations(x, spark.createDataFrame(list(ACTIONS), "column_name string, action string")), 4)

@@ -283,3 +283,100 @@ def test_one_column_for_each_model(spark):
     one = model.pipeline(df, ("x",), "y", "linear", "regression").fit(df)
     out = model.objectives(df, {"first": one, "second": one})
     assert out.columns == [*df.columns, "first", "second"] and out.where("first <> second").count() == 0
+
+
+def test_least_squares_counts_columns_of_any_size(spark):
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(0, 1e5, 200), rng.normal(0, 1e-3, 200)
+    y = 2 * a + 3e7 * b + 5
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(a, b, y)], "a double, b double, y double")
+    assert np.allclose(prepare.least_squares(df, ("a", "b"), "y"), [5, 2, 3e7], rtol=1e-6)
+    assert select.least_squares_score(df, ("a", "b"), "y")(("a", "b")) > 1 - 1e-9
+
+
+def test_tree_shap_equals_coalitions_and_adds_up(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, float(rng.integers(0, 5)), float(rng.normal()), "xyz"[i % 3]) for i in range(300)]
+    rows = [(*r, r[1] * r[2] + (2.0 if r[3] == "x" else 0.0)) for r in rows]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c string, y double").withColumn("up", (F.col("y") > 0.5).cast("double"))
+    features = ("a", "b", "c")
+    for name, task, target in (("tree", "regression", "y"), ("forest", "regression", "y"), ("boosting", "regression", "y"), ("forest", "classification", "up")):
+        more = {"forest": {"numTrees": 3, "maxDepth": 3, "seed": 1}, "boosting": {"maxIter": 2, "maxDepth": 2, "seed": 1}, "tree": {"maxDepth": 3}}[name]
+        fitted = model.fit(df, features, target, name, task, **more)
+        assert explain.explainer_of(fitted) == "tree"
+        phi = explain.tree_shap(fitted, df, features, ("id",)).groupBy("id").agg(F.sum("phi").alias("phi"))
+        base = explain.mean_prediction(fitted, df)
+        if task == "regression":
+            told = model.predict(fitted, df).select("id", "prediction")
+        else:
+            from pyspark.ml.functions import vector_to_array
+
+            told = fitted.transform(df).select("id", vector_to_array("probability")[1].alias("prediction"))
+        assert told.join(phi, "id").where(F.abs(F.col("prediction") - base - F.col("phi")) > 1e-9).count() == 0
+    # By hand: one tree of two splits, (value, rows, left, right, feature, threshold, categories).
+    nodes = [(0, 10, 1, 2, 0, 0.5, []), (1.0, 4, -1, -1, -1, None, []), (0, 6, 3, 4, 1, 0.5, []), (2.0, 2, -1, -1, -1, None, []), (5.0, 4, -1, -1, -1, None, [])]
+    x = np.array([[1.0, 0.0]])
+    seen = [explain.conditional_mean(nodes, x, [0, 1], known)[0] for known in range(4)]
+    assert np.allclose(seen, [2.8, 4.0, 0.4 * 1 + 0.6 * 2, 2.0])
+
+
+def test_explainers_by_model_what_if_and_parallel_evaluation(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, float(rng.normal()), float(rng.normal()), "ab"[i % 2]) for i in range(120)], "id long, a double, b double, c string").withColumn("y", 3 * F.col("a") - F.col("b") + F.when(F.col("c") == "a", 1.0).otherwise(0.0)).withColumn("up", (F.col("y") > 0).cast("double"))
+    linear = model.fit(df, ("a", "b", "c"), "y", "linear", "regression")
+    neural = model.fit(df, ("a", "b"), "up", "neural", "classification", hidden=(4,), maxIter=20, seed=1)
+    assert [explain.explainer_of(m) for m in (linear, neural)] == ["linear", "coalition"]
+    phi = explain.explain(linear, df, ("a", "b", "c"), ("id",)).groupBy("id").agg(F.sum("phi").alias("phi"))
+    mean = df.agg(F.avg("y")).first()[0]
+    assert model.predict(linear, df).join(phi, "id").where(F.abs(F.col("prediction") - mean - F.col("phi")) > 1e-4).count() == 0
+    assert explain.explain(neural, df, ("a", "b"), ("id",)).count() == 240
+    answers = model.what_if(linear, df, {"a": 1.0, "b": 0.0, "c": "a"}, ({}, {"a": 2.0}, {"c": "b"})).orderBy("change").collect()
+    assert np.allclose([r["prediction"] for r in answers], [4, 7, 3], atol=1e-4)
+    grid = model.grid_search({"regParam": [0.0, 0.5]})
+    one, four = (model.cross_validate(df, ("id",), ("a", "b"), "y", "linear", "regression", grid, 2, parallel=p).collect() for p in (1, 4))
+    assert [r[:2] for r in one] == [r[:2] for r in four] and np.allclose([r[2] for r in one], [r[2] for r in four]) and len(one) == 4
+
+
+def test_correlated_features_go_by_what_the_model_loses(spark):
+    rng = np.random.default_rng(6)
+    a = rng.normal(size=300)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(a, a + rng.normal(0, 0.05, 300), rng.normal(size=300), 2 * a)], "a double, near double, c double, y double")
+    features = ("a", "near", "c")
+    found = {r["feature"]: (r["kept"], r["dropped_for"]) for r in select.drop_correlated_by_model(df, features, select.least_squares_score(df, features, "y")).collect()}
+    assert found == {"a": (True, None), "near": (False, "a"), "c": (True, None)}
+    with pytest.raises(ValueError):
+        select.roles(df, ("a",), ("a",))
+    chosen, table = select.roles(df, ("c", "a"), ("y",))
+    assert chosen.columns == ["c", "a", "y"] and {r["column_name"]: r["role"] for r in table.collect()} == {"c": "feature", "a": "feature", "y": "target"}
+
+
+def test_pareto_front_of_three_objectives(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, *map(float, rng.integers(0, 12, 3))) for i in range(400)] + [(900, None, 1.0, 1.0), (901, math.nan, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double").repartition(5)
+    points = np.array([[r[1], -r[2], r[3]] for r in rows[:400]])
+    want = {rows[i][0] for i in range(400) if not ((points <= points[i]).all(1) & (points < points[i]).any(1)).any()}
+    got = design.pareto_front_of_many(df, (("a", "min"), ("b", "max"), ("c", "min")))
+    assert {r["id"] for r in got.collect()} == want and got.columns == df.columns
+    assert design.pareto_front_of_many(df.limit(0), (("a", "min"), ("b", "max"), ("c", "min"))).count() == 0
+
+
+def test_project_state_and_deletion(spark, tmp_path):
+    p = project.Project(spark, str(tmp_path / "p"))
+    p.save_state({"features": ["a"], "depth": 3})
+    p.save_state({"features": ["b"], "depth": 4})
+    assert p.load_state() == {"features": ["b"], "depth": 4}
+    for name in ("one", "two", "one"):
+        p.snapshot(spark.range(3), name)
+    p.delete("one")
+    assert [r["name"] for r in p.history().collect()] == ["two"] and p.restore("two").count() == 3
+    assert not (tmp_path / "p" / "data" / "one").exists()
+
+
+def test_applied_configurations(spark):
+    df = spark.createDataFrame([(1, 1.0, None), (2, None, 5.0), (3, 3.0, 7.0)], "id long, a double, b double")
+    steps = spark.createDataFrame([("a", "impute mean"), ("b", "drop: constant"), ("zz", "keep")], "column_name string, action string")
+    out = profile.apply_recommendations(df, steps)
+    assert out.columns == ["id", "a"] and {r["id"]: r["a"] for r in out.collect()} == {1: 1.0, 2: 2.0, 3: 3.0}
+    with pytest.raises(ValueError):
+        profile.apply_recommendations(df, steps.withColumn("action", F.lit("what")))
