@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeworks.llm import text as T
-from lodeworks.llm.common import written
+from lodeworks.llm.common import bit_words, has_bit, written
 
 #: Words of a gram: of phrases, and of all other templates.
 PHRASE_K, K = 2, 3
@@ -180,17 +180,12 @@ def _verified(docs: DataFrame, rows: DataFrame, templates: Sequence[Template], m
     texts move, those it lets through needlessly do no harm, and a task sends a text that is repeated once."""
     spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
     wanted = rows.where(F.size("candidates") > 0).select(*_TEXT_KEY, "candidates")
-    slot = F.pmod(F.col("_text"), F.lit(1 << FILTER_BITS))
-    words = wanted.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits")).toPandas()
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    bits[words["w"].to_numpy(np.int64)] = words["bits"]
-    shipped, known = spark.sparkContext.broadcast(bits), [template_words(t) for t in templates]
+    shipped, known = spark.sparkContext.broadcast(bit_words(wanted, "_text", FILTER_BITS)), [template_words(t) for t in templates]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set = set()
         for batch in batches:
-            at = batch.column(1).to_numpy() & ((1 << FILTER_BITS) - 1)
-            hit = np.flatnonzero((shipped.value[at >> 6] >> (at & 63)) & 1)
+            hit = np.flatnonzero(has_bit(shipped.value, batch.column(1).to_numpy()))
             fresh = [i for i in hit.tolist() if (key := (batch.column(0)[i].as_py(), batch.column(1)[i].as_py())) not in sent and not sent.add(key)]
             if fresh:
                 yield batch.take(pa.array(fresh))

@@ -19,7 +19,7 @@ rows it makes grow with nodes, not with pairs.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +28,16 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions.joins import spread_join
 from lodeworks.llm import text as T
-from lodeworks.llm.common import fresh, row_hashes, written
+from lodeworks.llm.common import bit_words, fresh, has_bit, row_hashes, split_by_filter, written
 from lodeworks.llm.components import smallest_reached
 from lodeworks.operators.graph import components
 
 HASHES = 64
 ORDER_BINS = 1 << 16
-#: Logarithm of the bits of the filter of documents whose sets are read again: 4 MB, whatever the corpus. A fuller filter
-#: only lets more sets through to the join that decides.
-FILTER_BITS = 25
+#: Logarithms of the bits of the filters of documents whose sets are read again (4 MB), of coordinate-value pairs that several
+#: nodes hold (8 MB) and of rows that may have to go (2 MB), whatever the corpus. A fuller filter only lets more through to the
+#: join that decides.
+FILTER_BITS, POST_BITS, ROW_BITS = 25, 26, 24
 #: Nodes of one list that meet in one task as one side of a block pair, and how many of them are compared at a time.
 BLOCK = 4096
 TILE = 512
@@ -133,42 +134,44 @@ def _order(nodes: DataFrame) -> np.ndarray:
     return out
 
 
-def _posts(nodes: DataFrame, least: int) -> DataFrame:
-    """(key, node) for the rarest HASHES - least + 1 coordinate-value pairs of each node."""
-    shipped = nodes.sparkSession.sparkContext.broadcast(_order(nodes))
+def _posts(nodes: DataFrame, least: int, often) -> Callable[..., DataFrame]:
+    """(key, node) for the rarest HASHES - least + 1 coordinate-value pairs of each node; with a filter, only the pairs that it lets
+    through. ``often``: the broadcast counts of ``_order``."""
     prefix = HASHES - least + 1
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = _coordinates(_stack(batch.column(1)))
-            often = shipped.value[(keys >> np.uint64(48)).astype(np.int64)]
-            # One order for all nodes: by count of the bin, then by the hash itself.
-            order = np.lexsort((keys, often), axis=1)[:, :prefix]
-            own = np.take_along_axis(keys, order, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(T.signed(own.ravel())), pa.array(np.repeat(batch.column(0).to_numpy(), prefix))], ["key", "node"])
+    def posts(filter_words: np.ndarray | None = None) -> DataFrame:
+        several = None if filter_words is None else nodes.sparkSession.sparkContext.broadcast(filter_words)
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                keys = _coordinates(_stack(batch.column(1)))
+                counts = often.value[(keys >> np.uint64(48)).astype(np.int64)]
+                # One order for all nodes: by count of the bin, then by the hash itself.
+                order = np.lexsort((keys, counts), axis=1)[:, :prefix]
+                own, node = T.signed(np.take_along_axis(keys, order, 1).ravel()), np.repeat(batch.column(0).to_numpy(), prefix)
+                if several is not None:
+                    hit = has_bit(several.value, own)
+                    own, node = own[hit], node[hit]
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(node)], ["key", "node"])
+
+        return nodes.select("node", "signature").mapInArrow(work, "key long, node long")
 
-    return nodes.select("node", "signature").mapInArrow(work, "key long, node long")
+    return posts
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int, repeated: bool) -> DataFrame:
     """(node, shingles), one row for each of the ``wanted`` (node, _id), from the texts of those ids. A filter of fixed size
     decides which texts are split again; those it lets through needlessly do no harm. A task sends the set of a node once,
-    however many rows of that id and text it meets."""
+    however many rows of that id and text it meets; ``repeated``: there are such rows, so several tasks may send it."""
     spark = docs.sparkSession
-    bits = FILTER_BITS
-    slot = F.pmod(F.xxhash64("_id"), F.lit(1 << bits))
-    words = wanted.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits")).toPandas()
-    table = np.zeros(1 << (bits - 6), np.int64)
-    table[words["w"].to_numpy(np.int64)] = words["bits"]
-    shipped = spark.sparkContext.broadcast(table)
+    shipped = spark.sparkContext.broadcast(bit_words(wanted.select(F.xxhash64("_id").alias("h")), "h", FILTER_BITS))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set = set()
         for batch in batches:
-            at = batch.column(1).to_numpy()
-            hit = np.flatnonzero((shipped.value[at >> 6] >> (at & 63)) & 1)
+            hit = np.flatnonzero(has_bit(shipped.value, batch.column(1).to_numpy()))
             for chunk in T.chunks(batch.column(0).take(pa.array(hit))):
                 s, first = T.shingles(T.words(chunk), k)
                 rows = np.flatnonzero(np.diff(first))
@@ -186,9 +189,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int
                     yield pa.RecordBatch.from_arrays([pa.array(names), sets, batch.column(2).take(pa.array(hit[[chunk.lo + r for r in fresh_rows]]))], ["node", "shingles", "_own"])
 
     kind = dict(docs.dtypes)[id_col]
-    found = docs.select(F.col(text_col), F.pmod(F.xxhash64(id_col), F.lit(1 << bits)).alias("_slot"), F.col(id_col)).mapInArrow(work, f"node long, shingles array<long>, _own {kind}")
+    found = docs.select(F.col(text_col), F.xxhash64(id_col).alias("_hash"), F.col(id_col)).mapInArrow(work, f"node long, shingles array<long>, _own {kind}")
     own = found.join(wanted, "node").where(F.col("_own").eqNullSafe(F.col("_id"))).select("node", "shingles")
-    return own.dropDuplicates(["node"])  # of tasks that met the same id and text
+    return own.dropDuplicates(["node"]) if repeated else own
 
 
 def _confirmed(pairs: DataFrame, sigs: DataFrame, sets_of, least: int, num: int, den: int) -> DataFrame:
@@ -352,13 +355,16 @@ def _linked(docs: DataFrame, num: int, den: int, k: int, id_col: str, text_col:
     rows = written(_sign(docs, id_col, text_col, k, hashes), "signatures")
     grouped = rows.where("node is not null").groupBy("node").agg(F.min("_id").alias("_id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n"))
     nodes = written(grouped, "nodes")
-    posts = _posts(nodes, least)
-    first = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("pivot"))).alias("first")
-    # Written first, so that the long lists of posts are exchanged for this join alone, and can be split.
-    lists = written(posts.groupBy("key").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("first.pivot").alias("pivot")), "lists")
+    posts = _posts(nodes, least, docs.sparkSession.sparkContext.broadcast(_order(nodes)))
+    # A node is a hash already, so the smallest one is as good a pivot as any. Most pairs are held by one node alone; a filter of
+    # the others keeps them from being dealt out a second time. Written first, so that long lists of posts are exchanged for this
+    # join alone, and can be split.
+    lists = written(posts().groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "pivot"), "lists")
+    shared = posts(bit_words(lists, "key", POST_BITS))
     # Lists of the same pivot are merged: the many lists of a group of near copies mostly have the same one.
-    members = written(spread_join(posts, lists, ["key"], ["node"], salts=4).select(F.col("pivot").alias("key"), "node").distinct(), "members")
-    sets_of = lambda wanted: _sets(docs, wanted, id_col, text_col, k)
+    members = written(spread_join(shared, lists, ["key"], ["node"], salts=4).select(F.col("pivot").alias("key"), "node").distinct(), "members")
+    repeated = not rows.where("node is not null").groupBy("node", "_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    sets_of = lambda wanted: _sets(docs, wanted, id_col, text_col, k, repeated)
     pairs = members.where("node <> key").select(F.least("node", "key").alias("a"), F.greatest("node", "key").alias("b")).distinct()
     links = written(_confirmed(pairs, nodes, sets_of, least, num, den), "pivot-links")
     joined = components(links, "a", "b")
@@ -400,16 +406,19 @@ def keep_one_of_each(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5,
     chosen = found.groupBy("part").agg(F.min(order).alias("first"))
     staying = written(chosen.select(F.col("first._h1").alias(h1), F.col("first._h2").alias(h2)), "staying")
     mine = found.select(F.col("_h1").alias(h1), F.col("_h2").alias(h2))
-    # Rows to drop may be as many as documents, so the planner picks the join by size; rows equal in all columns come once.
+    # Rows to drop may be very many. Only rows that a filter of them lets through are dealt out to be held against them; all
+    # others stay where they are. Rows equal in all columns come once.
     times = mine.groupBy(h1, h2).agg(F.count(F.lit(1)).alias("n"))
     gone = written(times.join(staying, [h1, h2], "left_anti").select(h1, h2), "gone")
     repeated = written(times.where("n > 1").join(staying, [h1, h2], "left_semi").select(h1, h2), "repeated")
     hashed = docs.withColumns(dict(zip((h1, h2), row_hashes(docs))))
-    kept = hashed.join(gone, [h1, h2], "left_anti")
-    if repeated.isEmpty():
-        return kept.select(docs.columns)
-    once = kept.join(repeated, [h1, h2], "left_semi").dropDuplicates([h1, h2])
-    return kept.join(repeated, [h1, h2], "left_anti").unionByName(once).select(docs.columns)
+    some = written(gone.unionByName(repeated), "gone-or-repeated")
+    sure, maybe = split_by_filter(hashed, h1, some, h1, ROW_BITS)
+    kept = maybe.join(gone, [h1, h2], "left_anti")
+    if not repeated.isEmpty():
+        once = kept.join(repeated, [h1, h2], "left_semi").dropDuplicates([h1, h2])
+        kept = kept.join(repeated, [h1, h2], "left_anti").unionByName(once)
+    return sure.unionByName(kept).select(docs.columns)
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

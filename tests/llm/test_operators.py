@@ -474,7 +474,7 @@ def test_a_task_sends_the_set_of_repeated_rows_once(spark):
     text = " ".join(f"w{i}" for i in range(60))
     df = spark.createDataFrame([(7, text)] * 500 + [(None, text + " x")] * 500 + [(8, text + " x")], "doc_id long, text string").repartition(4)
     nodes = near_duplicates._linked(df, 85, 100, 5, "doc_id", "text").where("_id is null or _id = 7").groupBy("node").agg(F.min("_id").alias("_id"))
-    assert near_duplicates._sets(df, nodes, "doc_id", "text", 5).count() == 2
+    assert near_duplicates._sets(df, nodes, "doc_id", "text", 5, True).count() == 2
     got = near_duplicates.near_duplicate_components(df).collect()
     assert len(got) == 1001 and {r["component_id"] for r in got} == {7}
 
