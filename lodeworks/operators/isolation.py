@@ -2,7 +2,8 @@
 
 Every tree cuts boxes of the feature space at random places, from the box of all rows down to a fixed depth. One pass counts rows in
 each box of each tree, over all rows; a second one scores each row by the depth at which its boxes become nearly empty. The
-counts form a table of fixed size, whatever the number of rows, which is what goes to every task.
+counts form a table of fixed size, whatever the number of rows, which is what goes to every task. This is a relative of isolation forests, not
+that algorithm: cuts are not placed between the rows of a sample, and trees have one depth.
 """
 
 from __future__ import annotations

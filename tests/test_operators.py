@@ -380,3 +380,27 @@ def test_applied_configurations(spark):
     assert out.columns == ["id", "a"] and {r["id"]: r["a"] for r in out.collect()} == {1: 1.0, 2: 2.0, 3: 3.0}
     with pytest.raises(ValueError):
         profile.apply_recommendations(df, steps.withColumn("action", F.lit("what")))
+
+
+def test_running_sums_over_many_ranges(spark):
+    rng = np.random.default_rng(9)
+    x = rng.permutation(np.concatenate([rng.normal(size=500), np.arange(400.0)]))
+    df = spark.createDataFrame([(float(v), i) for i, v in enumerate(x)], "x double, n long")
+    for ranges in (1, 7, 300):
+        for down in (False, True):
+            got = {r["x"]: r["before"] for r in running(df, "x", {"before": (F.sum, "n")}, descending=down, ranges=ranges).collect()}
+            total, want = None, {}
+            for i in sorted(range(len(x)), key=lambda i: -x[i] if down else x[i]):
+                want[x[i]] = total
+                total = (total or 0) + i
+            assert got == want
+
+
+def test_entry_leaves_the_llm_queries_out_without_their_libraries():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import sys; sys.modules['xxhash'] = None\nimport __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries())"
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, capture_output=True, text=True, check=True)
+    assert int(done.stdout.split()[0]) > 100 and done.stdout.split()[1] == "False"
