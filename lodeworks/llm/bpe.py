@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeworks.llm.common import releasing
+
 #: The split of text into words that byte-level pre-tokenizers of this family fix (a fixed value of the format).
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same split for texts within Latin-1, where the classes are short enough to be spelt out for the faster engine.
@@ -29,7 +31,7 @@ LATIN_LETTERS, LATIN_NUMBERS, LATIN_SPACES = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\x
 LATIN_PRE_TOKENS = rf" ?[{LATIN_LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[{LATIN_NUMBERS}]+| ?[^{LATIN_SPACES}{LATIN_LETTERS}{LATIN_NUMBERS}]+|[{LATIN_SPACES}]+(?![^{LATIN_SPACES}])|[{LATIN_SPACES}]+"
 #: Bytes of words, and of fragments, that a worker remembers, and as many of the time before; with what Python adds to an
 #: entry, and to longer ones than LONGEST nothing. Bounds memory, never results.
-REMEMBER_WORDS, REMEMBER_FRAGMENTS = 48 << 20, 24 << 20
+REMEMBER_WORDS, REMEMBER_FRAGMENTS = 28 << 20, 16 << 20
 ENTRY, LONGEST = 200, 1024
 #: Bytes from which a fragment is merged by a heap instead of by looking for the best pair again after every merge.
 HEAPED = 48
@@ -217,7 +219,7 @@ def bpe_encode_decode(docs: DataFrame, spec: str, fields: tuple[str, ...] = ("n_
                 cols = zip(*encoded(codec, part.column(1), fields))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, types[kind[f]]) for f, v in zip(fields, cols))], [id_col, *fields])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(work, schema)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(releasing(work), schema)
 
 
 def encoded(codec: Codec, texts: pa.Array, fields: tuple[str, ...]) -> Iterator[tuple]:

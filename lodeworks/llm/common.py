@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeworks.functions.storage import materialised
 
 
+Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
 def fold(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; a null id counts as the text ''."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(n))
@@ -60,4 +65,17 @@ def split_by_filter(df: DataFrame, column: str, keys: DataFrame, key: str, bits:
     return tested.where(~hit).select(df.columns), tested.where(hit).select(df.columns)
 
 
+def releasing(work: Work) -> Work:
+    """``work`` for mapInArrow, after each batch of which Arrow gives memory that it no longer needs back to the system: workers live
+    on from stage to stage, and would keep the most that any stage took."""
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in work(batches):
+            yield batch
+            del batch
+            pa.default_memory_pool().release_unused()
+
+    return trimmed
+
+
 written = materialised

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.llm import text as T
+from lodeworks.llm.common import releasing
 
 SHINGLE = 5
 HASHES = 64
@@ -166,7 +167,7 @@ def keep_uncontaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.
         return work
 
     for shipped in shipped_blocks(items, item_text, block_bytes):
-        docs = docs.mapInArrow(keep(shipped), docs.schema)
+        docs = docs.mapInArrow(releasing(keep(shipped)), docs.schema)
     return docs
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.llm import text as T
-from lodeworks.llm.common import fold
+from lodeworks.llm.common import fold, releasing
 
 BUCKETS = 1 << 14
 UNDETERMINED = "und"
@@ -212,7 +212,7 @@ def keep_identified(docs: DataFrame, min_score: float = 0.4, ambiguous_over: flo
             lang, score, unsure = _languages(shipped.value, batch.column(at), ambiguous_over)
             yield batch.filter(pa.array((lang != UNDETERMINED) & ~(unsure & (score < min_score)), pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(releasing(keep), docs.schema)
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

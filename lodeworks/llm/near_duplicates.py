@@ -28,16 +28,16 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions.joins import spread_join
 from lodeworks.llm import text as T
-from lodeworks.llm.common import bit_words, fresh, has_bit, row_hashes, split_by_filter, written
+from lodeworks.llm.common import bit_words, fresh, has_bit, row_hashes, releasing, split_by_filter, written
 from lodeworks.llm.components import smallest_reached
 from lodeworks.operators.graph import components
 
 HASHES = 64
 ORDER_BINS = 1 << 16
-#: Logarithms of the bits of the filters of documents whose sets are read again (4 MB), of coordinate-value pairs that several
-#: nodes hold (8 MB) and of rows that may have to go (2 MB), whatever the corpus. A fuller filter only lets more through to the
+#: Logarithms of the bits of the filters of documents whose sets are read again (2 MB), of coordinate-value pairs that several
+#: nodes hold (2 MB) and of rows that may have to go (1 MB), whatever the corpus. A fuller filter only lets more through to the
 #: join that decides.
-FILTER_BITS, POST_BITS, ROW_BITS = 25, 26, 24
+FILTER_BITS, POST_BITS, ROW_BITS = 24, 24, 23
 #: Nodes of one list that meet in one task as one side of a block pair, and how many of them are compared at a time.
 BLOCK = 4096
 TILE = 512
@@ -106,7 +106,7 @@ def _sign(docs: DataFrame, id_col: str, text_col: str, k: int, hashes: bool) ->
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array(sizes, pa.int64()), pa.array(T.signed(node), mask=none), sig, *own.columns[2:]], ["_id", "n_shingles", "node", "signature", *(["_h1", "_h2"] if hashes else [])])
 
     schema = f"_id {kind}, n_shingles long, node long, signature binary" + (", _h1 long, _h2 long" if hashes else "")
-    return docs.select(F.col(id_col), F.col(text_col), *more).mapInArrow(work, schema)
+    return docs.select(F.col(id_col), F.col(text_col), *more).mapInArrow(releasing(work), schema)
 
 
 def _stack(column: pa.Array) -> np.ndarray:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.llm import text as T
-from lodeworks.llm.common import fold
+from lodeworks.llm.common import fold, releasing
 
 BUCKETS = 1 << 13
 DIMS = 32
@@ -238,7 +238,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text_c
         for batch in batches:
             yield batch.filter(pa.array(_probabilities(shipped.value, batch.column(at)) >= threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(releasing(keep), docs.schema)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
