@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions.storage import materialised
 from lodeworks.operators.graph import components
-from lodeworks.operators.neighbours import BLOCK, block_pairs, count_within, distances, nearest, within
+from lodeworks.operators.metric import BLOCK, distances, index, pivots_of, unpacked
+from lodeworks.operators.neighbours import _links, _near, copies, count_within, nearest, node_counts, numbered
 
 MODELS = {"kmeans": KMeans, "bisecting": BisectingKMeans, "gaussian_mixture": GaussianMixture}
 
@@ -83,18 +84,71 @@ def core_points(df: DataFrame, key: str, vector: str, eps: float, min_samples: i
     return count_within(df, key, vector, eps, block).where(F.col("n_neighbours") + 1 >= min_samples)
 
 
-def dbscan(df: DataFrame, key: str, vector: str, eps: float, min_samples: int = 5, block: int = BLOCK) -> DataFrame:
+def dbscan(df: DataFrame, key: str, vector: str, eps: float, min_samples: int = 5, block: int = BLOCK, report: dict | None = None) -> DataFrame:
     """(key, cluster, is_core): the cluster of a core point is the smallest key of the core points it is connected to; a border
-    point belongs to the smallest cluster of the core points near it; noise has null."""
-    near = materialised(within(df, key, vector, eps, block), "near")
-    core = near.groupBy(key).agg((F.count(F.lit(1)) + 1 >= min_samples).alias("is_core")).where("is_core").select(key)
-    from_core = near.join(core, key)
-    both = from_core.join(core.select(F.col(key).alias("neighbour")), "neighbour")
-    joined = materialised(components(both, key, "neighbour"), "clusters")
-    of_core = core.join(joined, F.col(key) == F.col("node"), "left").select(key, F.coalesce("component", key).alias("cluster"))
-    border = from_core.join(of_core, key).groupBy(F.col("neighbour").alias(key)).agg(F.min("cluster").alias("_border"))
-    out = df.select(key).join(of_core, key, "left").join(border, key, "left")
-    return out.select(key, F.coalesce("cluster", "_border").alias("cluster"), F.col("cluster").isNotNull().alias("is_core"))
+    point belongs to the smallest cluster of the core points near it; noise has null. Rows without a vector are noise.
+
+    A first pass over near blocks counts; in a second one a pair of blocks returns a forest of its links between core points, and for each
+    other point the trees near it, so that no table of near pairs is ever written."""
+    (own,), dim = numbered([df], key, vector)
+    members, nodes = copies(own.rows)
+    ix = index(nodes, dim, pivots_of(nodes, dim, block), block)
+    counted = nodes.select("k", "w").join(node_counts(ix, eps, report), "k", "left").select("k", (F.col("w") + F.coalesce("n", F.lit(0)) >= min_samples).alias("is_core"))
+    core = materialised(counted.where("is_core").select("k"), "core")
+
+    def flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [np.isin(unpacked(batch.column(1)[i].as_py(), np.int64), batch.column(2)[i].values.to_numpy()).tobytes() for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["block", "extra"])
+
+    def unfolded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys = unpacked(batch.column(1)[i].as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), batch.column(0)[i].as_py())), pa.array(keys)], ["block", "k"])
+
+    where = ix.blocks.select("block", "keys").mapInArrow(unfolded, "block long, k long")
+    per_block = where.join(core, "k").groupBy("block").agg(F.collect_list("k").alias("ks"))  # of one block each
+    flagged = materialised(ix.blocks.select("block", "keys").join(per_block, "block").select("block", "keys", "ks").mapInArrow(flags, "block long, extra binary"), "core-flags")
+
+    def work(same: bool, a: tuple, b: tuple) -> Iterator[pa.RecordBatch]:
+        keys, n = np.concatenate([a[0], b[0]]), len(a[0])
+        is_core = np.concatenate([np.frombuffer(s[3], bool) if s[3] else np.zeros(len(s[0]), bool) for s in (a, b)])
+        if not is_core.any():
+            return
+        found = [(p, q if same else q + n) for p, q in _links(a[2], b[2], eps, same)]
+        i, j = (np.concatenate(c) for c in zip(*found))
+        both, one = is_core[i] & is_core[j], is_core[i] != is_core[j]
+        root = smallest_of_trees(keys, i[both], j[both])
+        at = np.flatnonzero(is_core & (root != keys))
+        border = np.where(is_core[i[one]], j[one], i[one])
+        near = np.unique(np.stack([keys[border], root[np.where(is_core[i[one]], i[one], j[one])]]), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([keys[at], near[0]])), pa.array(np.concatenate([root[at], near[1]])), pa.array(np.arange(len(at) + near.shape[1]) < len(at))], ["k", "root", "core"])
+
+    found = materialised(_near(ix, eps, work, "k long, root long, core boolean", flagged), "trees")
+    joined = materialised(components(found.where("core"), "k", "root"), "clusters")
+    of_core = core.join(joined, F.col("k") == F.col("node"), "left").select("k", F.coalesce("component", "k").alias("cluster"))
+    border = found.where("not core").join(of_core.withColumnRenamed("k", "root"), "root").groupBy("k").agg(F.min("cluster").alias("_border"))
+    clusters = of_core.withColumn("is_core", F.lit(True)).unionByName(border.select("k", F.col("_border").alias("cluster"), F.lit(False).alias("is_core")))
+    rows = members.join(clusters.withColumnRenamed("k", "node"), "node").select(F.col("k").alias(key), "cluster", "is_core")
+    rows = own.named(rows, (key, "cluster")).withColumnRenamed(key, "_key")
+    out = df.select(key).join(rows.distinct(), F.col(key) == F.col("_key"), "left")
+    return out.select(key, "cluster", F.coalesce("is_core", F.lit(False)).alias("is_core"))
+
+
+def smallest_of_trees(names: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each place the smallest name that it reaches over the links (i, j); equal names are one."""
+    own, at = np.unique(names, return_inverse=True)
+    root = np.arange(len(own))
+    a, b = at[i], at[j]
+    while len(a):
+        x, y = root[a], root[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    return own[root][at]
 
 
 def k_distances(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
@@ -103,6 +157,17 @@ def k_distances(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     return nearest(df, df, key, vector, k).where(F.col("rank") == k).select(key, F.col("distance").alias("k_distance"))
 
 
+def block_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Every block of ``left`` beside every block of ``right``: (a, b, a_rows, b_rows). An equi-join: each left block is posted
+    once under each right block's number; only block numbers are listed out, the blocks themselves are joined by them."""
+    numbers = right.select(F.col("block").alias("b"))
+    ids = F.array_sort(F.collect_list("b"))
+    listed = left.select("block").join(F.broadcast(numbers.agg(ids.alias("bs"))))  # one number for each block
+    pairs = listed.select(F.col("block").alias("a"), F.explode("bs").alias("b"))
+    sides = pairs.join(left.select(F.col("block").alias("a"), F.col("rows").alias("a_rows")), "a")
+    return sides.join(right.select(F.col("block").alias("b"), F.col("rows").alias("b_rows")), "b").select("a", "b", "a_rows", "b_rows")
+
+
 def silhouette(df: DataFrame, key: str, vector: str, label: str, block: int = BLOCK) -> DataFrame:
     """(key, label, silhouette) by Euclidean distance; 0 for the only member of a cluster. Every pair of blocks returns sums by
     point and cluster, never pairs of points."""

@@ -1,116 +1,241 @@
-"""Exact nearest neighbours of all rows, in blocks.
+"""Exact nearest neighbours and near pairs of all rows, over blocks of a metric index.
 
-Rows are packed into blocks of fixed size; every pair of blocks meets in one row of a task, which returns each row's own
-``k`` nearest of that pair; a window over those few keeps the ``k`` nearest of all. Neither a pair of rows nor the table ever
-stands in one place. The number of block pairs grows with the square of the table, as exact neighbours need;
-for approximate ones over very large tables, Spark ML's BucketedRandomProjectionLSH takes the place of ``nearest``.
+Equal vectors are one node, so that copies cost rows in proportion. Blocks meet in rounds: first each block with the few that may be
+nearest to it, then, bounded by the distance of the k-th neighbour found so far, with more of them, and last with all that the bound leaves.
+A task returns only pairs that its rows' bounds let through. On tables without any structure nothing can be left out, and the
+work grows with the square of the table, as exactness then needs; for approximate neighbours over very large tables, Spark ML's
+BucketedRandomProjectionLSH takes the place of ``nearest``.
+
+Vectors of different length count as if zeros followed the shorter one. Rows without a key, without a vector, or with a missing component are
+left out. Keys are of any type that can be ordered; ties go by key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from lodeworks.functions.storage import materialised
+from lodeworks.operators.metric import BLOCK, Index, brought_together, distances, index, near_blocks, padded, pivots_of, unpacked, whole
+
+#: Blocks that a block meets in the first rounds; the last round has no limit.
+ROUNDS = (4, 32)
+
+
+def rounds(n_blocks: int) -> list[int | None]:
+    """How many blocks a block meets at most in each round."""
+    return [*(n for n in ROUNDS if n < n_blocks), None]
 
-BLOCK = 1024
 
+@dataclass
+class Numbered:
+    """Rows as (k long, x), and the keys that the numbers stand for; None where keys are whole numbers themselves."""
 
-def _packed(df: DataFrame, key: str, vector: str, block: int) -> DataFrame:
-    """(block, keys, dim, vectors): rows without a vector, or with a missing component, are left out."""
-    x = F.col(vector).cast("array<double>")
-    whole = x.isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v)) & (F.size(x) > 0)
-    rows = df.where(whole).select(F.col(key).cast("long").alias("k"), x.alias("x"))
-    n = max(1, -(-rows.count() // block))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("k"), F.lit(n)))
-    return dealt.groupBy("block").agg(F.collect_list(F.struct("k", "x")).alias("rows"))  # about ``block`` rows each
+    rows: DataFrame
+    names: DataFrame | None
 
+    def named(self, df: DataFrame, columns: Sequence[str]) -> DataFrame:
+        if self.names is None:
+            return df
+        order = df.columns
+        for c in columns:
+            df = df.join(self.names.select(F.col("k").alias(c), F.col("key").alias(f"_{c}")), c).drop(c).withColumnRenamed(f"_{c}", c)
+        return df.select(order)
 
-def _side(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
-    flat = rows.values
-    keys = flat.field("k").to_numpy()
-    return keys, flat.field("x").flatten().to_numpy().reshape(len(keys), -1)
 
+def numbered(tables: Sequence[DataFrame], key: str, vector: str) -> tuple[list[Numbered], int]:
+    """Tables with keys as numbers in the order of keys, and the length of the longest vector."""
+    kept = [t.where(F.col(key).isNotNull() & whole(F.col(vector))) for t in tables]
+    names = None
+    if not isinstance(tables[0].schema[key].dataType, IntegralType):
+        keys = kept[0].select(F.col(key).alias("key"))
+        for t in kept[1:]:
+            keys = keys.union(t.select(key))
+        # Sorted by key, so that numbers, which rise with partitions, are in order of keys.
+        names = materialised(keys.distinct().orderBy("key").withColumn("k", F.monotonically_increasing_id()), "keys")
+        kept = [t.join(names.withColumnRenamed("key", key), key) for t in kept]
+    k = F.col("k") if names is not None else F.col(key).cast("long")
+    plain = [materialised(t.select(k.alias("k"), F.col(vector).cast("array<double>").alias("x")), "vectors") for t in kept]
+    dim = max(t.agg(F.coalesce(F.max(F.size("x")), F.lit(1))).first()[0] for t in plain)
+    return [Numbered(t.select("k", padded(F.col("x"), dim).alias("x")), names) for t in plain], dim
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances, by differences: the same for a pair whichever way round it is taken."""
-    out = np.zeros((len(a), len(b)))
-    for d in range(a.shape[1]):
-        out += (a[:, d][:, None] - b[:, d][None]) ** 2
-    return np.sqrt(out)
 
+def copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(k, node) of all rows, and their nodes (k, w, x): the smallest key of each distinct vector and how many rows have it."""
+    signed = rows.withColumns({"h1": F.xxhash64("x"), "h2": F.xxhash64(F.lit(1), "x")})
+    nodes = materialised(signed.groupBy("h1", "h2").agg(F.min("k").alias("node"), F.count(F.lit(1)).alias("w"), F.first("x").alias("x")), "nodes")
+    members = signed.select("k", "h1", "h2").join(nodes.select("h1", "h2", "node"), ["h1", "h2"]).select("k", "node")
+    return members, nodes.select(F.col("node").alias("k"), "w", "x")
 
-def block_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Every block of ``left`` beside every block of ``right``: (a, b, a_rows, b_rows). An equi-join: each left block is posted
-    once under each right block's number; only block numbers are listed out, the blocks themselves are joined by them."""
-    numbers = right.select(F.col("block").alias("b"))
-    ids = F.array_sort(F.collect_list("b"))
-    listed = left.select("block").join(F.broadcast(numbers.agg(ids.alias("bs"))))  # one number for each block
-    pairs = listed.select(F.col("block").alias("a"), F.explode("bs").alias("b"))
-    sides = pairs.join(left.select(F.col("block").alias("a"), F.col("rows").alias("a_rows")), "a")
-    return sides.join(right.select(F.col("block").alias("b"), F.col("rows").alias("b_rows")), "b").select("a", "b", "a_rows", "b_rows")
 
+def _keys(batch: pa.RecordBatch, i: int, s: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    k, w, x = (batch.column(f"{s}_{c}")[i].as_py() for c in ("keys", "weights", "x"))
+    k = unpacked(k, np.int64)
+    return k, unpacked(w, np.int64), unpacked(x).reshape(len(k), -1)
 
-def nearest(queries: DataFrame, points: DataFrame, key: str, vector: str, k: int, block: int = BLOCK) -> DataFrame:
-    """(key, neighbour, distance, rank): for each query the ``k`` nearest points of another key, from rank 1, ties by key."""
-    left, right = materialised(_packed(queries, key, vector, block), "queries"), materialised(_packed(points, key, vector, block), "points")
+
+def _compared(pairs: DataFrame, left: Index, right: Index, k: int, beside: DataFrame | None) -> DataFrame:
+    """(a, q, neighbour, distance): for each query the k nearest of each pair of blocks, as far as its bound in ``beside`` reaches."""
+    bounded = beside is not None
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                (ka, xa), (kb, xb) = _side(batch.column(2)[i]), _side(batch.column(3)[i])
-                order = np.argsort(kb)
-                kb, xb = kb[order], xb[order]
-                for lo in range(0, len(ka), 256):
-                    d = distances(xa[lo : lo + 256], xb)
-                    d[ka[lo : lo + 256][:, None] == kb[None]] = np.inf
-                    best = np.argsort(d, axis=1, kind="stable")[:, :k]
+                (ka, _, xa), (kb, _, xb) = _keys(batch, i, "a"), _keys(batch, i, "b")
+                own = batch.column("a_extra")[i].as_py() if bounded else None
+                reach = unpacked(own) if own else np.full(len(ka), np.inf)
+                open_ = np.flatnonzero(reach >= batch.column("bound")[i].as_py())
+                for lo in range(0, len(open_), 256):
+                    at = open_[lo : lo + 256]
+                    d = distances(xa[at], xb)
+                    best = np.argsort(d, axis=1, kind="stable")[:, :k]  # rows of b are in order of keys
                     dist = np.take_along_axis(d, best, 1)
-                    own, other, dist = np.repeat(ka[lo : lo + 256], best.shape[1]), kb[best].ravel(), dist.ravel()
-                    real = np.isfinite(dist)
-                    yield pa.RecordBatch.from_arrays([pa.array(own[real]), pa.array(other[real]), pa.array(dist[real])], [key, "neighbour", "distance"])
+                    good = (dist <= reach[at][:, None]).ravel()
+                    n = int(good.sum())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, batch.column("a")[i].as_py())), pa.array(np.repeat(ka[at], best.shape[1])[good]), pa.array(kb[best].ravel()[good]), pa.array(dist.ravel()[good])], ["a", "q", "neighbour", "distance"])
 
-    found = block_pairs(left, right).mapInArrow(work, f"`{key}` long, neighbour long, distance double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("distance", "neighbour")))
-    return ranked.where(F.col("rank") <= k)
+    return brought_together(pairs, left, right, beside).mapInArrow(work, "a long, q long, neighbour long, distance double")
 
 
-def within(df: DataFrame, key: str, vector: str, eps: float, block: int = BLOCK) -> DataFrame:
-    """(key, neighbour): pairs of different keys no farther apart than ``eps``, both ways. As many rows as there are such
-    pairs; for counts alone see ``count_within``."""
-    rows = materialised(_packed(df, key, vector, block), "points")
+def _reached(left: Index, best: DataFrame, k: int) -> DataFrame:
+    """(block, extra, limit): the distance of the k-th neighbour so far of each row, in order of keys, and the largest of a block."""
+    kth = best.groupBy("a", "q").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("kth"))
+    rows = kth.groupBy(F.col("a").alias("block")).agg(F.collect_list(F.struct("q", "kth")).alias("rows"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            extra, limit = [], []
             for i in range(batch.num_rows):
-                (ka, xa), (kb, xb) = _side(batch.column(2)[i]), _side(batch.column(3)[i])
-                for lo in range(0, len(ka), 256):
-                    d = distances(xa[lo : lo + 256], xb)
-                    p, q = np.nonzero((d <= eps) & (ka[lo : lo + 256][:, None] != kb[None]))
-                    yield pa.RecordBatch.from_arrays([pa.array(ka[lo : lo + 256][p]), pa.array(kb[q])], [key, "neighbour"])
+                k, own = unpacked(batch.column(1)[i].as_py(), np.int64), batch.column(2)[i].values
+                reach = np.full(len(k), np.inf)
+                if own is not None and len(own):
+                    reach[np.searchsorted(k, own.field("q").to_numpy())] = own.field("kth").to_numpy()
+                extra.append(reach.tobytes())
+                limit.append(reach.max())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(extra, pa.binary()), pa.array(limit, pa.float64())], ["block", "extra", "limit"])
 
-    return block_pairs(rows, rows).mapInArrow(work, f"`{key}` long, neighbour long")
+    return left.blocks.select("block", "keys").join(rows, "block", "left").mapInArrow(work, "block long, extra binary, limit double")
 
 
-def count_within(df: DataFrame, key: str, vector: str, eps: float, block: int = BLOCK) -> DataFrame:
-    """(key, n_neighbours): how many other keys are no farther than ``eps``, where there is one. A pair of blocks returns a row a key."""
-    rows = materialised(_packed(df, key, vector, block), "points")
+def k_nearest(left: Index, right: Index, k: int, report: dict | None = None) -> DataFrame:
+    """(q, neighbour, distance, rank): for each row of ``left`` its k nearest of ``right``, itself included where it is one of them."""
+    order = Window.partitionBy("q").orderBy("distance", "neighbour")
+    best, reached, last, compared = None, None, None, 0
+    for first in rounds(right.n_blocks):
+        limits: DataFrame | float = float("inf")
+        if reached is not None:
+            limits = reached.select("block", "limit").join(last, "block", "left").na.fill({"after_bound": -1.0, "after_b": -1})
+        pairs = near_blocks(left, right, limits, first)
+        n = pairs.count()
+        if not n:
+            break
+        compared += n
+        found = _compared(pairs, left, right, k, None if reached is None else reached.select("block", "extra"))
+        found = found if best is None else found.union(best)
+        best = materialised(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"), "nearest")
+        if first is None:
+            break
+        reached = materialised(_reached(left, best, k), "reached")
+        done = pairs.groupBy(F.col("a").alias("block")).agg(F.max(F.struct("bound", "b")).alias("m")).select("block", F.col("m.bound").alias("after_bound"), F.col("m.b").alias("after_b"))
+        last = done if last is None else done.union(last).groupBy("block").agg(F.max(F.struct("after_bound", "after_b")).alias("m")).select("block", "m.*")
+        last = materialised(last, "last-pairs")
+    if report is not None:
+        report |= {"block_pairs": left.n_blocks * right.n_blocks, "compared": compared}
+    if best is None:
+        return left.blocks.sparkSession.createDataFrame([], "q long, neighbour long, distance double, rank int")
+    return best.select("q", "neighbour", "distance", F.row_number().over(order).alias("rank"))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def nearest(queries: DataFrame, points: DataFrame, key: str, vector: str, k: int, block: int = BLOCK, report: dict | None = None) -> DataFrame:
+    """(key, neighbour, distance, rank): for each query the ``k`` nearest points of another key, from rank 1, ties by key. ``report`` is
+    told how many pairs of blocks there are, and how many were compared."""
+    same = queries is points
+    tables, dim = numbered([queries] if same else [queries, points], key, vector)
+    asked, known = tables[0], tables[-1]
+    # Of equal points only the k + 1 smallest keys can be among anyone's k nearest.
+    few = Window.partitionBy(F.xxhash64("x"), F.xxhash64(F.lit(1), "x")).orderBy("k")
+    points_k = materialised(known.rows.withColumn("_n", F.row_number().over(few)).where(F.col("_n") <= k + 1).select("k", F.lit(1).cast("long").alias("w"), "x"), "points")
+    members, nodes = copies(asked.rows)
+    pivots = pivots_of(points_k, dim, block)
+    right = index(points_k, dim, pivots, block)
+    found = materialised(k_nearest(index(nodes, dim, pivots, block), right, k + 1, report), "nearest").select(F.col("q").alias("node"), "neighbour", "distance")
+    own = members.join(found, "node").where(F.col("k") != F.col("neighbour")).select(F.col("k").alias(key), "neighbour", "distance")
+    ranked = own.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("distance", "neighbour"))).where(F.col("rank") <= k)
+    return asked.named(ranked, (key, "neighbour"))
+
+
+def _near(ix: Index, eps: float, work: Callable, schema: str, beside: DataFrame | None = None, report: dict | None = None) -> DataFrame:
+    """``work``(same block, a, b, distances) for every pair of blocks of an index that may hold rows within ``eps``, each pair once."""
+    pairs = near_blocks(ix, ix, eps, once=True)
+    if report is not None:
+        report |= {"block_pairs": ix.n_blocks * (ix.n_blocks + 1) // 2, "compared": pairs.count()}
+
+    flagged = beside is not None
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                (ka, xa), (kb, xb) = _side(batch.column(2)[i]), _side(batch.column(3)[i])
-                for lo in range(0, len(ka), 256):
-                    n = ((distances(xa[lo : lo + 256], xb) <= eps) & (ka[lo : lo + 256][:, None] != kb[None])).sum(1)
-                    own = np.flatnonzero(n)
-                    yield pa.RecordBatch.from_arrays([pa.array(ka[lo : lo + 256][own]), pa.array(n[own].astype(np.int64))], [key, "n"])
-
-    counts = block_pairs(rows, rows).mapInArrow(work, f"`{key}` long, n long")
-    return counts.groupBy(key).agg(F.sum("n").alias("n_neighbours"))
+                a, b = _keys(batch, i, "a"), _keys(batch, i, "b")
+                extra = [batch.column(f"{s}_extra")[i].as_py() for s in "ab"] if flagged else (None, None)
+                yield from work(batch.column("a")[i].as_py() == batch.column("b")[i].as_py(), (*a, extra[0]), (*b, extra[1]))
+
+    return brought_together(pairs, ix, ix, beside, both=True).mapInArrow(each, schema)
+
+
+def _links(a: np.ndarray, b: np.ndarray, eps: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs within ``eps``, of one block each pair once."""
+    for lo in range(0, len(a), 256):
+        p, q = np.nonzero(distances(a[lo : lo + 256], b) <= eps)
+        p = p + lo
+        yield (p[p < q], q[p < q]) if same else (p, q)
+
+
+def within(df: DataFrame, key: str, vector: str, eps: float, block: int = BLOCK, report: dict | None = None) -> DataFrame:
+    """(key, neighbour): pairs of different keys no farther apart than ``eps``, both ways. As many rows as there are such
+    pairs; for counts alone see ``count_within``."""
+    (own,), dim = numbered([df], key, vector)
+    rows = own.rows.select("k", F.lit(1).cast("long").alias("w"), "x")
+
+    def work(same: bool, a: tuple, b: tuple) -> Iterator[pa.RecordBatch]:
+        for p, q in _links(a[2], b[2], eps, same):
+            one, other = a[0][p], b[0][q]
+            apart = one != other
+            one, other = one[apart], other[apart]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([one, other])), pa.array(np.concatenate([other, one]))], [key, "neighbour"])
+
+    found = _near(index(rows, dim, pivots_of(rows, dim, block), block), eps, work, f"`{key}` long, neighbour long", report=report)
+    return own.named(found, (key, "neighbour"))
+
+
+def node_counts(ix: Index, eps: float, report: dict | None = None) -> DataFrame:
+    """(k, n): how many rows, copies counted, are no farther than ``eps`` from each node, itself left out with its copies."""
+
+    def work(same: bool, a: tuple, b: tuple) -> Iterator[pa.RecordBatch]:
+        n, m = np.zeros(len(a[0]), np.int64), np.zeros(len(b[0]), np.int64)
+        for p, q in _links(a[2], b[2], eps, same):
+            np.add.at(n, p, b[1][q])
+            np.add.at(n if same else m, q, a[1][p])
+        for keys, own in ((a[0], n), (b[0], m)):
+            at = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(own[at])], ["k", "n"])
+
+    return _near(ix, eps, work, "k long, n long", report=report).groupBy("k").agg(F.sum("n").alias("n"))
+
+
+def count_within(df: DataFrame, key: str, vector: str, eps: float, block: int = BLOCK, report: dict | None = None) -> DataFrame:
+    """(key, n_neighbours): how many other rows are no farther than ``eps``, where there is one. A pair of blocks returns a row a node."""
+    (own,), dim = numbered([df], key, vector)
+    members, nodes = copies(own.rows)
+    counts = node_counts(index(nodes, dim, pivots_of(nodes, dim, block), block), eps, report)
+    total = nodes.select(F.col("k").alias("node"), "w").join(counts.withColumnRenamed("k", "node"), "node", "left").select("node", (F.col("w") - 1 + F.coalesce("n", F.lit(0))).alias("n_neighbours"))
+    found = members.join(total, "node").where("n_neighbours > 0").select(F.col("k").alias(key), "n_neighbours")
+    return own.named(found, (key,))
 
 
 def local_outlier_factors(df: DataFrame, key: str, vector: str, k: int = 20, block: int = BLOCK) -> DataFrame:
