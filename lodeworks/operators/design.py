@@ -11,9 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodeworks.functions.running import running
+from lodeworks.functions.running import cut_points, running
+from lodeworks.functions.scalars import clean, normal_cdf, normal_pdf
 from lodeworks.functions.storage import materialised
-from lodeworks.functions.scalars import normal_cdf, normal_pdf
 
 
 @dataclass(frozen=True)
@@ -268,6 +268,61 @@ def hypervolume(front: DataFrame, first: str, second: str, reference: tuple[floa
     return ran.agg(F.coalesce(F.sum((F.lit(float(reference[0])) - F.col("a")) * height), F.lit(0.0)).alias("hypervolume"))
 
 
+def volume(points: np.ndarray, reference: np.ndarray) -> float:
+    """The volume between minimised points, all below the reference, and it: by slices along the last column."""
+    if not len(points):
+        return 0.0
+    if points.shape[1] == 1:
+        return float(reference[0] - points.min())
+    if points.shape[1] == 2:
+        x = points[np.lexsort((points[:, 1], points[:, 0]))]
+        lowest = np.minimum.accumulate(np.r_[reference[1], x[:, 1]])
+        return float(((reference[0] - x[:, 0]) * (lowest[:-1] - lowest[1:])).sum())
+    levels = np.unique(points[:, -1])
+    return sum(volume(points[points[:, -1] <= z][:, :-1], reference[:-1]) * (end - z) for z, end in zip(levels, np.r_[levels[1:], reference[-1]]))
+
+
+def hypervolume_of_many(df: DataFrame, objectives: Sequence[str], reference: Sequence[float], ranges: int = 32) -> DataFrame:
+    """(hypervolume) between the rows' front of two or more minimised objectives and a reference point; rows that are not below it in all of them
+    add nothing, and those with a missing objective are left out.
+
+    Points are cut into ranges of the last objective. A range needs to know of lower ones only which of their points no other one of theirs dominates in
+    the other objectives; with these a task goes up through its own range level by level, keeps that skyline, and adds up its volume times the
+    step to the next level. What lies between two ranges is added at the end, from a row for each range."""
+    names, ref = [f"o{i}" for i in range(len(objectives))], np.array(reference, float)
+    points = df.select(*[clean(F.col(c)).alias(n) for n, c in zip(names, objectives)])
+    below = reduce(lambda a, b: a & b, (F.col(n) < float(r) for n, r in zip(names, reference)))
+    front = materialised(pareto_front_of_many(points.where(below).distinct(), [(n, "min") for n in names]), "front")
+    last, schema = names[-1], ", ".join(f"{n} double" for n in names)
+    cuts = cut_points(front, last, ranges) if front.limit(1).count() else []
+    dealt = front.withColumn("_r", sum(((F.col(last) > c).cast("int") for c in cuts), F.lit(0)))
+
+    def skyline(frame: pd.DataFrame) -> pd.DataFrame:
+        return frame[undominated(frame[names[:-1]].to_numpy(float))]
+
+    each = dealt.groupBy("_r").applyInPandas(skyline, f"{schema}, _r int")
+    lower = each.withColumn("_to", F.explode(F.sequence(F.col("_r") + 1, F.lit(len(cuts) + 1)))).where(F.col("_to") <= len(cuts)).select(*names, F.col("_to").alias("_r"), F.lit(True).alias("_lower"))
+
+    def climbed(frame: pd.DataFrame) -> pd.DataFrame:
+        own = frame[~frame["_lower"]].sort_values(last, kind="stable")
+        if not len(own):
+            return pd.DataFrame({"first": [], "last": [], "volume": [], "area": []})
+        held = frame[frame["_lower"]][names[:-1]].to_numpy(float)
+        held, total, area, at = held[undominated(held)], 0.0, 0.0, None
+        for z, level in own.groupby(last, sort=True):
+            if at is not None:
+                total += area * (z - at)
+            held = np.concatenate([held, level[names[:-1]].to_numpy(float)])
+            held, at = held[undominated(held)], z
+            area = volume(held, ref[:-1])
+        return pd.DataFrame({"first": [own[last].iloc[0]], "last": [at], "volume": [total], "area": [area]})
+
+    rows = dealt.withColumn("_lower", F.lit(False)).unionByName(lower).groupBy("_r").applyInPandas(climbed, "first double, last double, volume double, area double").collect()  # a row a range
+    rows = sorted(rows, key=lambda r: r["first"])
+    total = sum(r["volume"] + r["area"] * (end - r["last"]) for r, end in zip(rows, [*(r["first"] for r in rows[1:]), float(ref[-1])]))
+    return df.sparkSession.createDataFrame([(float(total),)], "hypervolume double")
+
+
 def robust_scores(df: DataFrame, key: str, features: Mapping[str, float], objective: Column, draws: int = 8, seed: int = 0) -> DataFrame:
     """Mean and worst value of an expression over ``draws`` perturbed copies of each candidate; ``features`` gives the half width of each
     perturbation, which an md5 of key, draw and feature draws from 101 levels."""

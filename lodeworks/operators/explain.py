@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+import random
+import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -43,6 +47,74 @@ def coalition_shap(df: DataFrame, features: Sequence[str], score: Callable[[Data
     return one.select(key, F.explode(F.array(*cells)).alias("x")).select(key, "x.*")
 
 
+def kernel_coalitions(p: int, most: int, seed: int = 0) -> list[tuple[int, float]]:
+    """(coalition as bits, weight) of at most about ``most`` coalitions of p features: whole sizes from the outside in, as far as they fit, with the
+    kernel's own weights; of the sizes left, as many drawn ones, each beside its complement, that share the weight of their sizes."""
+    share = {s: (p - 1) / (s * (p - s)) for s in range(1, p)}  # of all coalitions of a size together
+    out, left = [], list(range(1, p // 2 + 1))
+    while left:
+        s = left[0]
+        sizes = {s, p - s}
+        n = sum(math.comb(p, k) for k in sizes)
+        if len(out) + n > most:
+            break
+        for k in sizes:
+            out += [(sum(1 << i for i in c), share[k] / math.comb(p, k)) for c in itertools.combinations(range(p), k)]
+        left.pop(0)
+    if left:
+        rng, sizes = random.Random(seed), [s for s in share if s in left or p - s in left]
+        total, drawn = sum(share[s] for s in sizes), {}
+        for _ in range(max(1, (most - len(out)) // 2)):
+            s = rng.choices(sizes, [share[k] for k in sizes])[0]
+            c = sum(1 << i for i in rng.sample(range(p), s))
+            for one in (c, (1 << p) - 1 - c):
+                drawn[one] = drawn.get(one, 0) + 1
+        out += [(c, total * n / sum(drawn.values())) for c, n in drawn.items()]
+    return out
+
+
+def kernel_shap(df: DataFrame, features: Sequence[str], score: Callable[[DataFrame], DataFrame], key: str, background: DataFrame | None = None, coalitions: int = 2048, seed: int = 0) -> DataFrame:
+    """(key, feature, value, phi) for any model and up to 62 features, by weighted least squares over coalitions: absent features take the values of the rows
+    of ``background``, a table of few rows, over whose scores the mean is taken; without one, the means of ``df``. All coalitions are taken where there
+    are no more than ``coalitions`` (then phis are exact), else as many by ``kernel_coalitions``. The phis of a row add up to its score less the
+    mean score of the background. ``score`` adds ``prediction``; it is called once, over rows times coalitions times background rows.
+
+    The normal equations have one matrix for all rows, that of the coalitions; what differs by row is one weighted sum for each feature, all of
+    them from one aggregate."""
+    p = len(features)
+    if not 0 < p <= 62:
+        raise ValueError("from one to 62 features")
+    if background is None:
+        background = df.agg(*[F.avg(c).alias(c) for c in features])
+    known = background.select(F.array(*[F.col(c).cast("double") for c in features]).alias("_other"))
+    chosen = kernel_coalitions(p, coalitions, seed) if p > 1 else []
+    every = [(0, 0.0), ((1 << p) - 1, 0.0), *chosen]  # none and all give the ends
+    sets = df.sparkSession.createDataFrame(every, "_set long, _weight double")
+    # Both tables are of bounded size, whatever that of df.
+    posted = df.select(key, *features).join(F.broadcast(sets)).join(F.broadcast(known))
+    has = lambda i: F.col("_set").bitwiseAND(F.lit(1 << i)) != 0
+    mixed = posted.select(key, "_set", "_weight", *[F.col(c).cast("double").alias(f"_own_{c}") for c in features], *[F.when(has(i), F.col(c).cast("double")).otherwise(F.col("_other")[i]).alias(c) for i, c in enumerate(features)])
+    own = [F.first(f"_own_{c}").alias(f"_own_{c}") for c in features]
+    means = score(mixed).groupBy(key, "_set", "_weight").agg(F.avg("prediction").alias("_y"), *own)
+    y, last = F.col("_y") * F.col("_weight"), has(p - 1).cast("int")
+    ends = [F.max(F.when(F.col("_set") == c, F.col("_y"))).alias(n) for c, n in ((0, "_none"), ((1 << p) - 1, "_all"))]
+    sums = [F.sum(y * (has(i).cast("int") - last)).alias(f"_s{i}") for i in range(p - 1)]
+    rows = means.groupBy(key).agg(*ends, *sums, *[F.first(f"_own_{c}").alias(f"_own_{c}") for c in features])
+    if p == 1:
+        phis = [F.col("_all") - F.col("_none")]
+    else:
+        z = np.array([[c >> i & 1 for i in range(p)] for c, _ in chosen], float)
+        w = np.array([v for _, v in chosen])
+        x = z[:, :-1] - z[:, [-1]]
+        inverse = np.linalg.pinv(x.T @ (x * w[:, None]))
+        fixed, tail = x.T @ w, x.T @ (w * z[:, -1])  # what the two ends subtract
+        right = [F.col(f"_s{i}") - F.col("_none") * float(fixed[i]) - (F.col("_all") - F.col("_none")) * float(tail[i]) for i in range(p - 1)]
+        phis = [sum((right[j] * float(inverse[i, j]) for j in range(p - 1)), F.lit(0.0)) for i in range(p - 1)]
+        phis.append(F.col("_all") - F.col("_none") - sum(phis[1:], phis[0]))
+    cells = [F.struct(F.lit(c).alias("feature"), F.col(f"_own_{c}").alias("value"), phi.alias("phi")) for c, phi in zip(features, phis)]
+    return rows.select(key, F.explode(F.array(*cells)).alias("x")).select(key, "x.*")
+
+
 def global_importance(phi: DataFrame) -> DataFrame:
     """Mean absolute Shapley value of each feature."""
     return phi.groupBy("feature").agg(F.avg(F.abs("phi")).alias("importance"))
@@ -74,15 +146,16 @@ def explainer_of(fitted: PipelineModel) -> str:
 
 
 def explain(fitted: PipelineModel, df: DataFrame, features: Sequence[str], key: Sequence[str]) -> DataFrame:
-    """(key, feature, value, phi) by the explainer that suits the model; models without one of their own go by coalitions, which take
-    numeric features and a single key column."""
+    """(key, feature, value, phi) by the explainer that suits the model; models without one of their own go by coalitions, all of them up to ten
+    features and sampled ones beyond, which take numeric features and a single key column."""
     kind = explainer_of(fitted)
     if kind == "tree":
         return tree_shap(fitted, df, features, key)
     if kind == "linear":
         return pipeline_linear_shap(fitted, df, features, key)
     (one,) = key
-    return coalition_shap(df, features, lambda d: fitted.transform(d).withColumn("prediction", F.col("prediction").cast("double")), one)
+    score = lambda d: fitted.transform(d).withColumn("prediction", F.col("prediction").cast("double"))
+    return coalition_shap(df, features, score, one) if len(features) <= 10 else kernel_shap(df, features, score, one)
 
 
 def _slots(fitted: PipelineModel, df: DataFrame, features: Sequence[str]) -> list[int]:
@@ -127,8 +200,8 @@ def _trees(fitted: PipelineModel, df: DataFrame) -> list[tuple[float, list]]:
     """(weight, nodes by number) of each tree, from the table of nodes that the model is stored as: as many rows as it has nodes.
     A node is (value, rows, left, right, feature, threshold or None, left categories)."""
     model, spark = fitted.stages[-1], df.sparkSession
-    path = f"{shared_folder(spark)}/lodeworks-trees-{model.uid}"
-    model.write().overwrite().save(path)
+    path = f"{shared_folder(spark)}/lodeworks-trees-{uuid.uuid4().hex}"
+    model.write().save(path)
     table = spark.read.parquet(f"{path}/data")
     rows = table.select("treeID", "nodeData.*").collect() if "treeID" in table.columns else table.select(F.lit(0).alias("treeID"), "*").collect()
     discard(spark, path)
@@ -144,38 +217,65 @@ def _trees(fitted: PipelineModel, df: DataFrame) -> list[tuple[float, list]]:
     return [(w, [nodes[i] for i in range(len(nodes))]) for w, (_, nodes) in zip(weights, sorted(trees.items()))]
 
 
-def conditional_mean(nodes: list, x: np.ndarray, slots: Sequence[int], known: int, at: int = 0) -> np.ndarray:
-    """For each row of x the mean of a tree over its training rows that agree with the row in the ``known`` features (bits): at a
-    split on one of those the row's own branch, else both, by their rows."""
-    value, _, left, right, feature, threshold, categories = nodes[at]
-    if left < 0:
-        return np.full(len(x), value)
-    a, b = conditional_mean(nodes, x, slots, known, left), conditional_mean(nodes, x, slots, known, right)
-    if known >> slots[feature] & 1:
-        goes_left = np.isin(x[:, feature], categories) if threshold is None else x[:, feature] <= threshold
-        return np.where(goes_left, a, b)
-    n, m = nodes[left][1], nodes[right][1]
-    return (a * n + b * m) / (n + m)
+@dataclass(frozen=True)
+class _Leaf:
+    """A leaf and the features that its path splits on: of each the tests (node, whether to go left) and the share of training rows that pass them."""
+
+    value: float
+    features: list[int]
+    shares: np.ndarray
+    tests: list[list[tuple[int, bool]]]
+
+
+def leaves(nodes: list, slots: Sequence[int], at: int = 0, path: tuple = ()) -> Iterator[_Leaf]:
+    value, n, left, right, feature, *_ = nodes[at]
+    if left >= 0:
+        for child, goes_left in ((left, True), (right, False)):
+            yield from leaves(nodes, slots, child, (*path, (slots[feature], at, goes_left, nodes[child][1] / (nodes[left][1] + nodes[right][1]))))
+        return
+    own = sorted({f for f, *_ in path})
+    shares = np.array([math.prod(s for f, _, _, s in path if f == g) for g in own])
+    yield _Leaf(value, own, shares, [[(node, goes) for f, node, goes, _ in path if f == g] for g in own])
+
+
+def leaf_values(leaf: _Leaf, passed: np.ndarray) -> np.ndarray:
+    """Shapley values of the leaf's features for rows that pass the tests of some (a boolean each): a coalition reaches the leaf with the
+    product of what its features pass and the shares of the others, so coalitions of one size sum up to a coefficient of the product of
+    (share + passed * t) over the other features."""
+    m = len(leaf.features)
+    weight = [math.factorial(k) * math.factorial(m - k - 1) / math.factorial(m) for k in range(m)]
+    out = np.zeros((len(passed), m))
+    for i in range(m):
+        poly = np.zeros((len(passed), m))
+        poly[:, 0] = 1
+        for j in range(m):
+            if j != i:
+                poly[:, 1:] = poly[:, 1:] * leaf.shares[j] + poly[:, :-1] * passed[:, [j]]
+                poly[:, 0] *= leaf.shares[j]
+        out[:, i] = leaf.value * (passed[:, i] - leaf.shares[i]) * (poly @ weight)
+    return out
 
 
-def tree_shap(fitted: PipelineModel, df: DataFrame, features: Sequence[str], key: Sequence[str], most: int = 10) -> DataFrame:
-    """(key, feature, value, phi) of a tree, forest or boosted trees, path-dependent and exact: over all coalitions of at most ``most``
-    features, a feature with all places of the vector that come from it. The phis of a row add up to its prediction less the mean prediction
-    of the training rows; of the probability of the last class for a classification tree or forest, of the margin for boosted ones.
-    The nodes, as many as the model has, go to the tasks; rows are independent."""
-    p = len(features)
-    if p > most:
-        raise ValueError(f"at most {most} features: the coalitions are 2**p for each row")
-    slots, trees = _slots(fitted, df, features), _trees(fitted, df)
-    weight = [math.factorial(s) * math.factorial(p - s - 1) / math.factorial(p) for s in range(p)]
+def tree_shap(fitted: PipelineModel, df: DataFrame, features: Sequence[str], key: Sequence[str]) -> DataFrame:
+    """(key, feature, value, phi) of a tree, forest or boosted trees, path-dependent and exact for any number of features: over the paths of
+    its leaves, whose work grows with the cube of the depth. A feature stands for all places of the vector that come from it. The phis of a row add
+    up to its prediction less the mean prediction of the training rows; of the probability of the last class for a classification tree or
+    forest, of the margin for boosted ones. The nodes, as many as the model has, go to the tasks; rows are independent."""
+    p, slots, trees = len(features), _slots(fitted, df, features), _trees(fitted, df)
+    paths = [(w, nodes, list(leaves(nodes, slots))) for w, nodes in trees]
+    shipped = df.sparkSession.sparkContext.broadcast(paths)
 
     def values(x: np.ndarray) -> np.ndarray:
-        mean = [sum(w * conditional_mean(nodes, x, slots, known) for w, nodes in trees) for known in range(1 << p)]
         out = np.zeros((len(x), p))
-        for j in range(p):
-            for known in range(1 << p):
-                if not known >> j & 1:
-                    out[:, j] += weight[known.bit_count()] * (mean[known | 1 << j] - mean[known])
+        for w, nodes, own in shipped.value:
+            left = {i: np.isin(x[:, f], categories) if threshold is None else x[:, f] <= threshold for i, (_, _, child, _, f, threshold, categories) in enumerate(nodes) if child >= 0}
+            for leaf in own:
+                if not leaf.features:
+                    continue
+                passed = np.stack([np.logical_and.reduce([left[n] == goes for n, goes in tests]) for tests in leaf.tests], 1)
+                # Few of the ways to pass occur, whatever the number of rows.
+                kinds, at = np.unique(passed, axis=0, return_inverse=True)
+                out[:, leaf.features] += w * leaf_values(leaf, kinds.astype(float))[at.ravel()]
         return out
 
     @F.pandas_udf("array<double>")

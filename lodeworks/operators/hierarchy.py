@@ -98,6 +98,19 @@ def _crossing(pairs: DataFrame, ix: Index, packed: DataFrame) -> DataFrame:
     return met.mapInArrow(work, "comp long, other long, w double, lo long, hi long")
 
 
+def _joined(best: DataFrame) -> DataFrame:
+    """(comp, root): components after each has been joined to the one that its best edge leads to. Such steps end in two components that chose the same
+    edge, of which the smaller is the root; others reach it by jumps of doubled length."""
+    back = best.select(F.col("comp").alias("other"), F.col("other").alias("back"))
+    up = best.join(back, "other").select("comp", F.when((F.col("back") == F.col("comp")) & (F.col("comp") < F.col("other")), F.col("comp")).otherwise(F.col("other")).alias("root"))
+    up = materialised(up, "hooks")
+    while True:
+        higher = up.select(F.col("comp").alias("root"), F.col("root").alias("_root"))
+        up = materialised(up.join(higher, "root").select("comp", F.col("_root").alias("root"), (F.col("_root") != F.col("root")).alias("moved")), "hooks")
+        if not up.where("moved").limit(1).count():
+            return up.select("comp", "root")
+
+
 def _grown(ix: Index, nodes: DataFrame, lists: DataFrame, report: dict | None) -> DataFrame:
     """(lo, hi, w): the tree over the nodes (k, core), by Boruvka rounds; ``lists`` (q, neighbour, w, last): near edges, and the distance
     beyond which a node's list says nothing."""
@@ -128,8 +141,7 @@ def _grown(ix: Index, nodes: DataFrame, lists: DataFrame, report: dict | None) -
             after = materialised(done if after is None else done.union(after).groupBy("block").agg(F.max(F.struct("after_bound", "after_b")).alias("m")).select("block", "m.*"), "last-pairs")
         chosen = best.select("lo", "hi", "w").distinct()
         tree = materialised(chosen if tree is None else tree.union(chosen), "tree")
-        joined = components(best.select("comp", "other"), "comp", "other")
-        comps = materialised(comps.join(joined, F.col("comp") == F.col("node"), "left").select("k", "core", F.coalesce("component", "comp").alias("comp")), "comps")
+        comps = materialised(comps.join(_joined(best), "comp").select("k", "core", F.col("root").alias("comp")), "comps")
     if report is not None:
         report |= {"block_pairs": ix.n_blocks**2, "compared": compared}
     return tree if tree is not None else nodes.sparkSession.createDataFrame([], "lo long, hi long, w double")

@@ -466,4 +466,4 @@ def forest_surrogate(spark, sf):
 @query("o3_isolation")
 def isolation(spark, sf):
     x = read(spark, sf, "lineitem").select(*LINE_KEY, "l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    return rounded(isolation_scores(x, ("l_quantity", "l_extendedprice", "l_discount", "l_tax")).select(*LINE_KEY, "isolation"))
+    return rounded(isolation_scores(x, ("l_quantity", "l_extendedprice", "l_discount", "l_tax"), LINE_KEY).select(*LINE_KEY, "isolation"))

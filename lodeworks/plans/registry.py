@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodeworks.plans import analysis, designs, preparation, profiling
+from lodeworks.plans import analysis, designs, preparation, profiling, structure
 from lodeworks.plans.query import ORACLES, QUERIES
 
-MODULES = (profiling, preparation, analysis, designs)
+MODULES = (profiling, preparation, analysis, designs, structure)
 __all__ = ["MODULES", "ORACLES", "QUERIES"]

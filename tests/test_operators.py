@@ -247,8 +247,8 @@ def test_isolated_rows_score_highest_in_any_partitioning(spark):
     rng = np.random.default_rng(6)
     rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(300, 2)))] + [(300, 12.0, 12.0), (301, None, 1.0), (302, 12.0, -12.0), (303, 12.0, -12.0)]
     df = spark.createDataFrame(rows, "id long, a double, b double")
-    got = {r["id"]: r["isolation"] for r in isolation.isolation_scores(df.repartition(3), ("a", "b")).collect()}
-    again = {r["id"]: r["isolation"] for r in isolation.isolation_scores(df.coalesce(1), ("a", "b")).collect()}
+    got = {r["id"]: r["isolation"] for r in isolation.isolation_scores(df.repartition(3), ("a", "b"), ("id",)).collect()}
+    again = {r["id"]: r["isolation"] for r in isolation.isolation_scores(df.coalesce(1), ("a", "b"), ("id",)).collect()}
     assert got == again and got[301] is None and got[302] == got[303]
     ranked = sorted((i for i in got if got[i] is not None), key=lambda i: -got[i])
     assert {300, 302, 303} <= set(ranked[:8])
@@ -313,11 +313,6 @@ def test_tree_shap_equals_coalitions_and_adds_up(spark):
 
             told = fitted.transform(df).select("id", vector_to_array("probability")[1].alias("prediction"))
         assert told.join(phi, "id").where(F.abs(F.col("prediction") - base - F.col("phi")) > 1e-9).count() == 0
-    # By hand: one tree of two splits, (value, rows, left, right, feature, threshold, categories).
-    nodes = [(0, 10, 1, 2, 0, 0.5, []), (1.0, 4, -1, -1, -1, None, []), (0, 6, 3, 4, 1, 0.5, []), (2.0, 2, -1, -1, -1, None, []), (5.0, 4, -1, -1, -1, None, [])]
-    x = np.array([[1.0, 0.0]])
-    seen = [explain.conditional_mean(nodes, x, [0, 1], known)[0] for known in range(4)]
-    assert np.allclose(seen, [2.8, 4.0, 0.4 * 1 + 0.6 * 2, 2.0])
 
 
 def test_explainers_by_model_what_if_and_parallel_evaluation(spark):
