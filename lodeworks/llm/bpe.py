@@ -13,7 +13,9 @@ import hashlib
 import heapq
 import json
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 from itertools import islice
 
 import numpy as np
@@ -29,6 +31,13 @@ PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 #: The same split for texts within Latin-1, where the classes are short enough to be spelt out for the faster engine.
 LATIN_LETTERS, LATIN_NUMBERS, LATIN_SPACES = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\\t-\\r \x85\xa0"
 LATIN_PRE_TOKENS = rf" ?[{LATIN_LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[{LATIN_NUMBERS}]+| ?[^{LATIN_SPACES}{LATIN_LETTERS}{LATIN_NUMBERS}]+|[{LATIN_SPACES}]+(?![^{LATIN_SPACES}])|[{LATIN_SPACES}]+"
+#: First and last of the letters, and of the numbers, that Unicode 16.0, by which the library splits, added to 15.1 (fixed values).
+ADDED_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+ADDED_NUMBERS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
 #: Bytes of words, and of fragments, that a worker remembers, and as many of the time before; with what Python adds to an
 #: entry, and to longer ones than LONGEST nothing. Bounds memory, never results.
 REMEMBER_WORDS, REMEMBER_FRAGMENTS = 28 << 20, 16 << 20
@@ -44,6 +53,33 @@ _ID_MASK, _NONE = (1 << _ID) - 1, 1 << 62
 FIELDS = {"n_tokens": "long", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 
 
+def _as_class(points: np.ndarray) -> str:
+    """Code points, in order, as the inside of a character class."""
+    edges = np.flatnonzero(np.diff(points) > 1)
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(points[np.r_[0, edges + 1]], points[np.r_[edges, len(points) - 1]])) if len(points) else ""
+
+
+@cache
+def unicode_classes() -> tuple[str, str, str]:
+    """Letters and numbers of Unicode 16.0, and the characters that the installed ``regex`` takes for something else, each as the inside of a
+    character class: from the tables of Python's 15.1 or 16.0 and the added ones, whatever version ``regex`` has."""
+    if unicodedata.unidata_version not in ("15.1.0", "16.0.0"):
+        raise RuntimeError(f"character classes of Unicode 16.0 can't be told from those of {unicodedata.unidata_version}")
+    points = np.array([*range(0xD800), *range(0xE000, 0x110000)])
+    kinds, text = np.array([unicodedata.category(chr(p))[0] for p in points]), "".join(map(chr, points))
+    classes, other = [], np.zeros(len(points), bool)
+    for kind, added, name in (("L", ADDED_LETTERS, r"\p{L}"), ("N", ADDED_NUMBERS, r"\p{N}")):
+        own = kinds == kind
+        for a, b in added:
+            own |= (points >= a) & (points <= b)
+        seen = np.zeros(len(points), bool)
+        for m in regex.finditer(name + "+", text):
+            seen[m.start() : m.end()] = True
+        other |= seen != own
+        classes.append(_as_class(points[own]))
+    return classes[0], classes[1], _as_class(points[other])
+
+
 def byte_of_symbol() -> dict[str, int]:
     """Printable bytes stand for themselves in the vocabulary, the others for the code points from 256 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -74,8 +110,13 @@ class Codec:
             self.inside[list(b[:-1]), list(b[1:])] = True
         self.pairs = self.inside.tolist()
         any_words, latin_words = regex.compile(PRE_TOKENS), re.compile(LATIN_PRE_TOKENS)
+        letters, numbers, disputed = unicode_classes()
+        spelt = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^\s{letters}{numbers}]+|\s+(?!\S)|\s+")
+        self.is_disputed = re.compile(f"[{disputed}]").search if disputed else lambda _: None
         self.split_any, self.split_latin = any_words.findall, latin_words.findall
         self.iter_any, self.iter_latin = any_words.finditer, latin_words.finditer
+        #: For the few texts with a character that ``regex`` puts into another class.
+        self.split_spelt, self.iter_spelt = spelt.findall, spelt.finditer
         self.split_specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")").split if self.specials else None
         for s, i in self.specials.items():
             self.bytes_of[i] = s.encode()
@@ -137,7 +178,7 @@ class Codec:
 
     def split_words(self, text: str) -> list[str]:
         latin = text.isascii() or max(text) <= "\xff"
-        return self.split_latin(text) if latin else self.split_any(text)
+        return self.split_latin(text) if latin else self.split_spelt(text) if self.is_disputed(text) else self.split_any(text)
 
     def encode(self, text: str) -> list[str]:
         """The ids as decimal strings joined by commas, a string for each word or special token."""
@@ -154,7 +195,7 @@ class Codec:
                 yield [str(self.specials[part])]
             elif part:
                 latin = part.isascii() or max(part) <= "\xff"
-                words = map(re.Match.group if latin else regex.Match.group, (self.iter_latin if latin else self.iter_any)(part))
+                words = map(re.Match.group if latin else regex.Match.group, (self.iter_latin if latin else self.iter_spelt if self.is_disputed(part) else self.iter_any)(part))
                 while block := list(map(of_word, islice(words, BLOCK_WORDS))):
                     yield block
 

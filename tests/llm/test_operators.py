@@ -685,6 +685,17 @@ def test_bpe_equals_the_library_and_decodes_back(spark, awkward, nothing):
     assert bpe.bpe_encode_decode(nothing, bpe.tokenizer_spec()).count() == 0
 
 
+def test_every_character_is_split_like_the_library_splits_it():
+    from tokenizers import pre_tokenizers
+
+    library, codec, to_byte = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True), bpe._codec(bpe.tokenizer_spec()), bpe.byte_of_symbol()
+    points = [*range(0xD800), *range(0xE000, 0x110000)]
+    for lo in range(0, len(points), 2000):
+        text = "".join(f"a{c}'s 1{c}2 !{c}? {c} {c}x" for c in map(chr, points[lo : lo + 2000]))
+        wanted = ["".join(w) for w, _ in library.pre_tokenize_str(text)]
+        assert [bytes(map(to_byte.__getitem__, w)).decode() for w in wanted] == codec.split_words(text), hex(points[lo])
+
+
 def test_blocks_of_a_long_text_encode_like_the_whole(monkeypatch):
     import pyarrow as pa
 
