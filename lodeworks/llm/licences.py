@@ -5,7 +5,9 @@ it. A hit votes for its diagonal, the place in the text less the place in the te
 vote for one diagonal. Votes are added up for each text, template and diagonal; neighbouring diagonals (words put in
 or left out) are merged; a merged span with votes for enough of the template is a candidate. Candidates are verified on the
 words themselves: the words of the span and those of the template are aligned, and a span counts if enough of the
-template's words stand in it in their order. Its ends are those of the alignment.
+template's words stand in it in their order, and little else. Its ends are those of the alignment. Words that make another
+license of it (NonCommercial, ShareAlike, Lesser and the like) have to be those of the template, and a notice that is
+denied ("not licensed under") is none.
 
 Phrases are templates of word pairs that must stand there completely. Other templates are of any length, from a sentence to
 a whole license, and go by triples.
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -59,11 +62,23 @@ NOTICES = (
         HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
     Template("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     Template("cc-by-nc", "Licensed under CC BY-NC 4.0"),
+    Template("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    Template("cc-by-nc-nd", "Licensed under CC BY-NC-ND 4.0"),
+    Template("cc-by-nc-nd", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+    Template("cc-by-nc-sa", "Licensed under CC BY-NC-SA 4.0"),
+    Template("cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    Template("cc-by-nd", "Licensed under CC BY-ND 4.0"),
+    Template("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
     Template("cc-by-sa", "Licensed under CC BY-SA 4.0"),
+    Template("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     Template("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
     Template("gpl", "This work is licensed under the GNU General Public License, version 3"),
     Template("gpl", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
         This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""),
+    Template("agpl", "This work is licensed under the GNU Affero General Public License, version 3"),
+    Template("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    Template("lgpl", "This work is licensed under the GNU Lesser General Public License, version 3"),
+    Template("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
     Template("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
         THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.
         IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
@@ -78,6 +93,11 @@ NOTICES = (
     Template("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 )
 TEMPLATES = PHRASES + NOTICES
+#: Words of names, each of which makes another license, and words that deny; the latter count in templates of up to NOTICE_WORDS words and right
+#: before them, as whole licenses deny much.
+NAME_WORDS = "noncommercial nc commercial non noderivatives noderivs derivatives nd sharealike share alike sa lesser affero"
+DENYING_WORDS = "not never neither nor cannot isn aren wasn no longer"
+NOTICE_WORDS, BEFORE = 40, 2
 
 
 def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -107,11 +127,26 @@ def template_grams(templates: Sequence[Template]) -> list[tuple[int, int, int]]:
 
 
 def aligned(words: np.ndarray, template: np.ndarray) -> tuple[int, int, float]:
-    """First word and end of the template's words found in order among ``words``, and their share of the template."""
+    """First word and end of the template's words found in order among ``words``, and their share of the template, or of the words from the first
+    to the end where these are more."""
     blocks = [b for b in SequenceMatcher(None, words.tolist(), template.tolist(), autojunk=False).get_matching_blocks() if b.size]
     if not blocks:
         return 0, 0, 0.0
-    return blocks[0].a, blocks[-1].a + blocks[-1].size, sum(b.size for b in blocks) / len(template)
+    first, end = blocks[0].a, blocks[-1].a + blocks[-1].size
+    return first, end, sum(b.size for b in blocks) / max(len(template), end - first)
+
+
+@cache
+def _word_set(words: str) -> np.ndarray:
+    return template_words(Template("", words))
+
+
+def same_licence(words: np.ndarray, first: int, end: int, template: np.ndarray) -> bool:
+    """Whether the span holds just the name words of the template, and a notice no other denying words than it, with the words right before."""
+    names, denying = _word_set(NAME_WORDS), _word_set(DENYING_WORDS)
+    alike = lambda own, kind: np.array_equal(np.sort(own[np.isin(own, kind)]), np.sort(template[np.isin(template, kind)]))
+    notice = len(template) <= NOTICE_WORDS
+    return alike(words[first:end], names) and (not notice or alike(words[max(first - BEFORE, 0) : end], denying))
 
 
 _TEXT_KEY = ("_id", "_text")
@@ -206,7 +241,7 @@ def _verified(docs: DataFrame, rows: DataFrame, templates: Sequence[Template], m
                             lo = max(lo - merge, 0)
                             first, end, cover = aligned(own[lo : hi + merge], known[number])
                             first, end = lo + first, lo + end
-                        if cover >= (1.0 if phrase else min_cover):
+                        if cover >= (1.0 if phrase else min_cover) and (phrase or same_licence(own, first, end, known[number])):
                             spans.add((first, end, label, phrase, cover))
                     out.append([dict(zip(("start", "end", "label", "phrase", "cover"), s)) for s in sorted(spans)])
             kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("phrase", pa.bool_()), ("cover", pa.float64())]))
@@ -225,7 +260,8 @@ def find_licences(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, mi
 
     Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z folded; null is an empty text. Each input row gives
     one row, repeated rows too; null ids and other columns are fine; overlapping spans of different templates are all
-    returned; no rows give no rows. Texts and templates of any length are whole. The templates, a parameter, are broadcast;
+    returned; no rows give no rows. Words put in between count against a span, and name words and denials decide
+    (see ``same_licence``). Texts and templates of any length are whole. The templates, a parameter, are broadcast;
     of texts, only hits are shuffled, and those texts that have candidates, for verification.
     """
     rows = written(_candidates(docs, templates, min_votes, merge, id_col, text_col), "licence-candidates")

@@ -644,6 +644,32 @@ def test_whole_licences_are_found_and_spans_verified_on_words(spark):
     assert Counter(r["doc_id"] for r in found)[7] == 9000 and by[7] == [("reserved", 0, 3)]
 
 
+def test_words_that_change_a_licence_decide(spark):
+    cases = {
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.": {"cc-by"},
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": {"cc-by-nc"},
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License": {"cc-by-nd"},
+        "Licensed under CC BY-NC-SA 4.0 since 2019": {"cc-by", "cc-by-nc-sa"},
+        "Licensed under CC BY-NC 4.0": {"cc-by", "cc-by-nc"},
+        "Licensed under CC BY 4.0": {"cc-by"},
+        "This work is licensed under the GNU General Public License, version 3": {"gpl"},
+        "This work is licensed under the GNU Lesser General Public License, version 3": {"gpl", "lgpl"},
+        "This work is not licensed under the GNU Affero General Public License, version 3": {"gpl"},
+        "This software is not released under the MIT License": set(),
+        "It was released under the MIT License": {"mit"},
+        "Released, as far as we know and were told, under the well known MIT License": set(),
+    }
+    phrases = {p.label: p.text.split() for p in licences.PHRASES}
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    for r in licences.find_licences(df).collect():
+        text, wanted = list(cases.items())[r["doc_id"]]
+        assert {s["label"] for s in r["spans"]} == wanted, text
+        method, w = {s["label"] for s in r["spans"] if not s["phrase"]}, tokens(text, ALNUM)
+        base = {k for k, p in phrases.items() if any(w[i : i + len(p)] == p for i in range(len(w)))}
+        assert {s["label"] for s in r["spans"] if s["phrase"]} == base and method >= wanted - base, text
+        assert not method & ({"gpl"} if {"lgpl", "agpl"} & wanted or " not " in text else set())
+
+
 def test_licence_query_equals_brute_force(spark, sf):
     from lodeworks.llm import registry
 
