@@ -17,28 +17,29 @@ from lodeworks.plans.query import LINE_KEY, query, read, rounded
 from lodeworks.functions.scalars import hash_percent
 
 KEY = ", ".join(LINE_KEY)
-#: Importances of a few features, as a table: what selection rules start from.
-WEIGHTS = (("quantity", 0.4), ("discount", 0.3), ("tax", 0.2), ("line", 0.06), ("part", 0.04))
-WEIGHTS_SQL = "(VALUES " + ", ".join(f"('{f}', {w}::double)" for f, w in WEIGHTS) + ") t(feature, importance)"
+#: Importances of a few features: what selection rules start from.
+WEIGHED = ("l_quantity", "l_discount", "l_tax", "l_linenumber", "l_partkey")
+WEIGHTS_SQL = "(" + " UNION ALL ".join(f"SELECT '{c}' AS feature, abs(corr({c}, l_extendedprice)) AS importance FROM lineitem" for c in WEIGHED) + ")"
 
 
-def weights(spark):
-    return spark.createDataFrame(list(WEIGHTS), "feature string, importance double")
+def weights(spark, sf):
+    row = read(spark, sf, "lineitem").agg(*[F.abs(F.corr(c, "l_extendedprice")).alias(c) for c in WEIGHED])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("importance")) for c in WEIGHED])).alias("w")).select("w.*")
 
 
-@query("f2_keep_top", f"SELECT * FROM {WEIGHTS_SQL} ORDER BY importance DESC LIMIT 3")
+@query("f2_keep_top", f"SELECT feature, round(importance, 8) AS importance FROM {WEIGHTS_SQL} ORDER BY importance DESC LIMIT 3")
 def keep_top(spark, sf):
-    return S.keep_top(weights(spark), 3)
+    return rounded(S.keep_top(weights(spark, sf), 3), 8)
 
 
-@query("f3_keep_above", f"SELECT * FROM {WEIGHTS_SQL} WHERE importance > 0.05")
+@query("f3_keep_above", f"SELECT feature, round(importance, 8) AS importance FROM {WEIGHTS_SQL} WHERE importance > 0.002")
 def keep_above(spark, sf):
-    return S.keep_above(weights(spark), 0.05)
+    return rounded(S.keep_above(weights(spark, sf), 0.002), 8)
 
 
-@query("f4_keep_cumulative", f"SELECT feature, importance, round(c, 6) AS cumulative FROM (SELECT *, sum(importance) OVER (ORDER BY importance DESC) AS c FROM {WEIGHTS_SQL}) WHERE c - importance < 0.95")
+@query("f4_keep_cumulative", f"SELECT feature, round(importance, 8) AS importance, round(c / t, 8) AS cumulative FROM (SELECT *, sum(importance) OVER (ORDER BY importance DESC, feature) AS c, sum(importance) OVER () AS t FROM {WEIGHTS_SQL}) WHERE (c - importance) / t < 0.8")
 def keep_cumulative(spark, sf):
-    return rounded(S.keep_cumulative(weights(spark), 0.95))
+    return rounded(S.keep_cumulative(weights(spark, sf), 0.8), 8)
 
 
 # The copy of quantity goes if it tells less of the target than quantity itself, and the other way round.
@@ -181,13 +182,6 @@ def least_squares(spark, sf):
     return spark.createDataFrame([tuple(round(x, 4) for x in w)], "intercept double, slope double")
 
 
-@query("f9_exhaustive", "SELECT 'l_discount' AS subset, round(regr_r2(l_extendedprice, l_discount), 6) AS r2 FROM lineitem UNION ALL SELECT 'l_quantity', round(regr_r2(l_extendedprice, l_quantity), 6) FROM lineitem UNION ALL SELECT 'l_tax', round(regr_r2(l_extendedprice, l_tax), 6) FROM lineitem")
-def exhaustive(spark, sf):
-    features = ("l_quantity", "l_discount", "l_tax")
-    found = S.exhaustive(features, S.least_squares_score(read(spark, sf, "lineitem").select(*features, "l_extendedprice"), features, "l_extendedprice"))
-    return spark.createDataFrame([(s[0], round(r, 6)) for s, r in found if len(s) == 1], "subset string, r2 double")
-
-
 SUBSETS = ("l_quantity", "l_discount", "l_tax", "l_linenumber")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions.scalars import normal_cdf_sql
 from lodeworks.operators import design as D
+from lodeworks.operators.prepare import least_squares
 from lodeworks.plans.query import query, read, rounded
 
 #: Mean and spread of a surrogate over parts, by arithmetic.
@@ -31,12 +32,19 @@ def generated_hypercube(spark, sf):
     return rounded(D.latin_hypercube(spark, space, 10_000))
 
 
-GRID = {"a": (0, 1, 2, 3, 4), "b": (0.5, 1.5, 2.5), "c": (-1, 1)}
+#: Levels of a grid: the values that lineitem has of three columns.
+LEVELS = {"a": "l_linenumber", "b": "l_tax", "c": "l_discount"}
+GRID_SQL = "(SELECT row_number() OVER (ORDER BY a, b, c) - 1 AS id, a, b, c FROM " + ", ".join(f"(SELECT DISTINCT {c}::double AS {n} FROM lineitem)" for n, c in LEVELS.items()) + ")"
 
 
-@query("a2_grid", "SELECT row_number() OVER (ORDER BY a, b, c) - 1 AS id, a, b, c FROM (SELECT unnest([0, 1, 2, 3, 4])::double AS a), (SELECT unnest([0.5, 1.5, 2.5])::double AS b), (SELECT unnest([-1, 1])::double AS c)")
+def level_grid(spark, sf):
+    row = read(spark, sf, "lineitem").agg(*[F.array_sort(F.collect_set(F.col(c).cast("double"))).alias(n) for n, c in LEVELS.items()]).first()  # of a few values each
+    return D.grid(spark, {n: tuple(row[n]) for n in LEVELS})
+
+
+@query("a2_grid", f"SELECT * FROM {GRID_SQL}")
 def grid(spark, sf):
-    return D.grid(spark, GRID)
+    return level_grid(spark, sf)
 
 
 def _sobol_sql(names: tuple[str, ...], n: int) -> str:
@@ -45,9 +53,12 @@ def _sobol_sql(names: tuple[str, ...], n: int) -> str:
     return f"SELECT id, {', '.join(f'({point(k)}) / {1 << D.SOBOL_BITS}::double AS {c}' for k, c in enumerate(names))} FROM (SELECT id, xor(id, id >> 1) AS g FROM (SELECT unnest(range(1, {n + 1})) AS id))"
 
 
-@query("a3_sobol", _sobol_sql(("a", "b", "c", "d"), 4096))
+# Points of the unit box, spread over the box of all parts.
+@query("a3_sobol", f"SELECT id, round(lo_s + a * (hi_s - lo_s), 6) AS a, round(lo_p + b * (hi_p - lo_p), 6) AS b, c, d FROM ({_sobol_sql(('a', 'b', 'c', 'd'), 4096)}), (SELECT min(p_size) AS lo_s, max(p_size) AS hi_s, min(p_retailprice) AS lo_p, max(p_retailprice) AS hi_p FROM part)")
 def sobol(spark, sf):
-    return D.sobol(spark, ("a", "b", "c", "d"), 4096)
+    box = read(spark, sf, "part").agg(F.min("p_size"), F.max("p_size"), F.min("p_retailprice"), F.max("p_retailprice")).first()
+    spread = lambda c, lo, hi: F.round(lo + F.col(c) * (hi - lo), 6)
+    return D.sobol(spark, ("a", "b", "c", "d"), 4096).withColumns({"a": spread("a", box[0], box[1]), "b": spread("b", box[2], box[3])})
 
 
 @query("a5_expected_improvement", f"WITH s AS (SELECT *, (mu - 8) / nullif(sigma, 0) AS z FROM {SURROGATE}) SELECT p_partkey, round(CASE WHEN sigma > 0 THEN (mu - 8) * {normal_cdf_sql('z')} + sigma * (exp(-z * z / 2) / sqrt(2 * pi())) ELSE greatest(mu - 8, 0) END, 6) + 0.0 AS ei FROM s")
@@ -78,9 +89,9 @@ def running_best(spark, sf):
     return D.running_best(read(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", "o_totalprice").select("o_orderkey", "best")
 
 
-@query("a10_slice", "SELECT a, c FROM (SELECT unnest([0, 1, 2, 3, 4])::double AS a), (SELECT unnest([-1, 1])::double AS c)")
+@query("a10_slice", f"SELECT a, c FROM {GRID_SQL} WHERE b = 0.05")
 def design_slice(spark, sf):
-    return D.grid(spark, GRID).where("b = 1.5").select("a", "c")
+    return level_grid(spark, sf).where("b = 0.05").select("a", "c")
 
 
 @query("mo5_pareto", "SELECT o_orderkey, o_totalprice, o_custkey FROM orders a WHERE NOT EXISTS (SELECT 1 FROM orders b WHERE b.o_totalprice >= a.o_totalprice AND b.o_custkey <= a.o_custkey AND (b.o_totalprice > a.o_totalprice OR b.o_custkey < a.o_custkey))")
@@ -106,10 +117,11 @@ def repair(spark, sf):
     return rounded(D.repair(p, [D.Dimension("p_retailprice", 910, 950), D.Dimension("p_size", 5, 40, "integer"), D.Dimension("p_type", kind="categorical", categories=(first,))]))
 
 
-@query("mo9_constraints", "SELECT id, a, b, c, round(greatest(a + b - 3, 0) + greatest(c * b - 1, 0), 6) AS violation, round(a * a + 1000 * (greatest(a + b - 3, 0) + greatest(c * b - 1, 0)), 6) AS penalised FROM (SELECT row_number() OVER (ORDER BY a, b, c) - 1 AS id, a, b, c FROM (SELECT unnest([0, 1, 2, 3, 4])::double AS a), (SELECT unnest([0.5, 1.5, 2.5])::double AS b), (SELECT unnest([-1, 1])::double AS c))")
+@query("mo9_constraints", f"SELECT id, a, b, c, round(greatest(a + 20 * b - 5, 0) + greatest(c * a - 0.3, 0), 6) + 0.0 AS violation, round(a * a + 1000 * (greatest(a + 20 * b - 5, 0) + greatest(c * a - 0.3, 0)), 4) + 0.0 AS penalised FROM {GRID_SQL}")
 def constraints(spark, sf):
-    held = [F.col("a") + F.col("b") - 3, F.col("c") * F.col("b") - 1]
-    return rounded(D.grid(spark, GRID).withColumns({"violation": D.violation(held), "penalised": D.penalised(F.col("a") * F.col("a"), held)}))
+    held = [F.col("a") + 20 * F.col("b") - 5, F.col("c") * F.col("a") - 0.3]
+    out = level_grid(spark, sf).withColumns({"violation": D.violation(held), "penalised": D.penalised(F.col("a") * F.col("a"), held)})
+    return out.select("id", "a", "b", "c", (F.round("violation", 6) + 0.0).alias("violation"), (F.round("penalised", 4) + 0.0).alias("penalised"))
 
 
 @query("mo10_robust", "WITH d AS (SELECT p_partkey, p_size + (('0x' || substr(md5('0|' || p_partkey || '|' || d), 1, 8))::bigint % 101 / 50.0 - 1) * 2 AS s FROM part, (SELECT unnest(range(1, 9)) AS d)) SELECT p_partkey, round(avg((s - 25) ** 2), 5) AS mean_score, round(max((s - 25) ** 2), 5) AS worst_score FROM d GROUP BY 1")
@@ -125,8 +137,11 @@ def parallel_coordinates(spark, sf):
 
 @query("z7_zoom_search")
 def zoom_search(spark, sf):
-    # The largest value of a smooth function under A + B <= 1.
-    space = [D.Dimension("a", 0, 1), D.Dimension("b", 0, 1), D.Dimension("k", 1, 6, "integer")]
-    score = lambda d: d.withColumn("prediction", F.col("a") * F.col("b") - (F.col("k") - 4) * (F.col("k") - 4))
-    best, _ = D.zoom_search(spark, space, score, [F.col("a") + F.col("b") - 1])
+    # The part that a plane fitted to all parts makes dearest, within their box and under a joint limit.
+    parts = read(spark, sf, "part").select(F.col("p_size").cast("double").alias("a"), (F.col("p_partkey") % 100).cast("double").alias("b"), F.col("p_retailprice").alias("y"))
+    w = least_squares(parts, ("a", "b"), "y")
+    lo_a, hi_a, lo_b, hi_b = parts.agg(F.min("a"), F.max("a"), F.min("b"), F.max("b")).first()
+    space = [D.Dimension("a", lo_a, hi_a), D.Dimension("b", lo_b, hi_b), D.Dimension("k", 1, 6, "integer")]
+    score = lambda d: d.withColumn("prediction", w[0] + w[1] * F.col("a") + w[2] * F.col("b") - (F.col("k") - 4) * (F.col("k") - 4))
+    best, _ = D.zoom_search(spark, space, score, [F.col("a") / hi_a + F.col("b") / hi_b - 1])
     return rounded(best)

@@ -184,13 +184,14 @@ def undo(spark, sf):
     return h.redo()
 
 
-@query("u2_log", "SELECT * FROM (VALUES (1, 'double', '{}'), (2, 'undo', 'double'), (3, 'redo', 'double')) t(step, operation, parameters)")
+@query("u2_log", f"SELECT t.*, n_rows, total FROM (VALUES (1, 'double', '{{}}'), (2, 'undo', 'double'), (3, 'redo', 'double')) t(step, operation, parameters), (SELECT count(*) AS n_rows, round(sum({PRICE} * 2), 2) AS total FROM orders)")
 def log(spark, sf):
     h = P.History(orders(spark, sf))
     h.apply("double", lambda d: d.withColumn(PRICE, F.col(PRICE) * 2))
     h.undo()
     h.redo()
-    return h.log()
+    reached = h.current.agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum(PRICE), 2).alias("total"))  # what the steps lead to
+    return h.log().join(reached)
 
 
 @query("n2_progress", "SELECT user_id, count(DISTINCT event_type)::bigint AS n_done, round(count(DISTINCT event_type) / 5, 6) AS share, max(ts) AS newest FROM events GROUP BY 1")

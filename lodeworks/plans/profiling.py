@@ -90,13 +90,7 @@ def task(spark, sf):
     return P.suggest_task(read(spark, sf, "lineitem"), ("l_quantity", "l_extendedprice", "l_discount", "l_returnflag"))
 
 
-@query("q16_cast", "SELECT event_id, try_cast(value AS bigint) AS whole, try_cast(event_type AS double) AS no_number, cast(value AS varchar) IS NOT NULL AS has_text FROM events WHERE value = floor(value)")
-def cast(spark, sf):
-    e = read(spark, sf, "events")
-    return e.where("value = floor(value)").select("event_id", F.expr("try_cast(value as bigint)").alias("whole"), F.expr("try_cast(event_type as double)").alias("no_number"), F.col("value").cast("string").isNotNull().alias("has_text"))
-
-
-# Of all rows: Spark's cast of a fraction truncates, that of the SQL would round.
+# Spark's cast of a fraction truncates, that of the SQL would round.
 @query("q16_cast_all", "SELECT event_id, try_cast(trunc(value) AS bigint) AS whole, try_cast(event_type AS double) AS no_number, cast(value AS varchar) IS NOT NULL AS has_text FROM events")
 def cast_all(spark, sf):
     return read(spark, sf, "events").select("event_id", F.expr("try_cast(value as bigint)").alias("whole"), F.expr("try_cast(event_type as double)").alias("no_number"), F.col("value").cast("string").isNotNull().alias("has_text"))
