@@ -227,18 +227,18 @@ class Page:
                 out.append((e.start, e.end))
         return out or [(0, len(self.texts))]
 
-    def matters(self, most_of_page: float) -> list[int]:
-        """Counted elements whose deletion would change the extracted text."""
+    def matters(self) -> list[int]:
+        """Elements of any size whose deletion as template would change the extracted text."""
         dropped = self.dropped()
         inside = [False] * len(self.texts)
         for lo, hi in self.roots(dropped):
             inside[lo:hi] = [True] * (hi - lo)
-        return [i for i in self.counted(most_of_page) if not dropped[i] and inside[self.elements[i].start]]
+        return [i for i in self.counted(1.0) if not dropped[i] and inside[self.elements[i].start]]
 
-    def text(self, template: set[int] | frozenset[int] = frozenset(), most_of_page: float = MOST_OF_PAGE) -> str:
-        """The text without template; if nothing else stands on the page, the template is its text."""
-        gone = {i: h for i in self.counted(most_of_page) if (h := self.subtree_hash(i)) in template} if template else None
-        return self._text(self.dropped(gone)) or (self._text(self.dropped()) if gone else "")
+    def text(self, template: set[int] | frozenset[int] = frozenset()) -> str:
+        """The text without template, '' if nothing else stands on the page."""
+        gone = {i: h for i in self.counted(1.0) if (h := self.subtree_hash(i)) in template} if template else None
+        return self._text(self.dropped(gone))
 
     def _text(self, dropped: list[bool]) -> str:
         inside = [False] * len(self.texts)
@@ -268,24 +268,26 @@ def host_of(url: Column) -> Column:
 
 
 def _subtrees(pages: DataFrame, most_of_page: float) -> DataFrame:
-    """(host, subtree, page, matters) of every row of pages, each subtree once a row; subtree 0 stands for the page itself."""
+    """(host, subtree, page, counts, matters) of every row of pages, each subtree once a row; subtree 0 stands for the page itself.
+    ``counts``: it holds no more than ``most_of_page`` of the page's text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                hosts, trees, keys, matter = [], [], [], []
+                hosts, trees, keys, count, matter = [], [], [], [], []
                 for host, key, source in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
                     page = Page(source.as_py() or "")
-                    matters = {page.subtree_hash(i) for i in page.matters(most_of_page)}
-                    for h in {0, *(page.subtree_hash(i) for i in page.counted(most_of_page))}:
+                    matters, counts = ({page.subtree_hash(i) for i in own} for own in (page.matters(), page.counted(most_of_page)))
+                    for h in {0, *counts, *matters}:
                         hosts.append(host)
                         trees.append(h)
                         keys.append(key)
+                        count.append(h == 0 or h in counts)
                         matter.append(h in matters)
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(trees, pa.int64()), pa.array(keys, pa.int64()), pa.array(matter, pa.bool_())], ["host", "subtree", "page", "matters"])
+                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(trees, pa.int64()), pa.array(keys, pa.int64()), pa.array(count, pa.bool_()), pa.array(matter, pa.bool_())], ["host", "subtree", "page", "counts", "matters"])
 
-    return pages.select("_host", "_page", "_html").mapInArrow(work, "host string, subtree long, page long, matters boolean")
+    return pages.select("_host", "_page", "_html").mapInArrow(work, "host string, subtree long, page long, counts boolean, matters boolean")
 
 
 #: Into how many keys the pages of one template, and the rows of one page, are dealt for a join.
@@ -296,9 +298,10 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", mi
     """Adds ``text`` and ``n_chars`` (code points) to every row; a column of these names is replaced.
 
     A subtree is template if it stands on at least ``min_pages`` distinct pages of its host and at least ``min_share`` of
-    them; rows of a host with the same html are one page. An element with more than ``most_of_page`` of a page's text is
-    never deleted as template: pages that differ in nearly nothing else are versions of one page, not pages in one frame.
-    Nor does deletion leave a page empty: where only template stands, it is the text.
+    them; rows of a host with the same html are one page. Pages on which it holds more than ``most_of_page`` of the text don't
+    count: pages that differ in nearly nothing else are versions of one page, not pages in one frame. Template is deleted
+    on all pages of the host.
+    A page on which only template stands has no text.
     Character references are decoded, white space inside a block becomes one space, blocks are trimmed, empty ones left
     out, the others joined by two line feeds; nothing else is dropped. Null or empty html gives ''. A null url counts to
     the host ''. Repeated rows give equal results; other columns stay; no rows give no rows. Pages of any length and
@@ -313,7 +316,7 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", mi
     row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row")  # so that no column of the input meets one of ours
     keyed = pages.select(row, host_of(F.col(url_col)).alias("_host"), text.alias("_html")).withColumn("_page", F.xxhash64("_host", "_html"))
     found = written(_subtrees(keyed, most_of_page), "subtrees")
-    counts = found.select("host", "subtree", "page").distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
+    counts = found.where("counts").select("host", "subtree", "page").distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
     sizes = counts.where("subtree = 0").select("host", F.col("n").alias("n_pages"))
     many = counts.where((F.col("subtree") != 0) & (F.col("n") >= min_pages)).join(sizes, "host").where(F.col("n") >= min_share * F.col("n_pages"))
     every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
@@ -326,7 +329,7 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", mi
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                texts = [Page(source.as_py() or "").text(set(gone or ()), most_of_page) for source, gone in zip(part.column(1), part.column(2).to_pylist())]
+                texts = [Page(source.as_py() or "").text(set(gone or ())) for source, gone in zip(part.column(1), part.column(2).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["_row", "text", "n_chars"])
 
     salted = keyed.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int"))
