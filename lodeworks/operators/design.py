@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -137,32 +139,71 @@ def penalised(objective: Column, constraints: Sequence[Column], factor: float =
     return objective + factor * violation(constraints)
 
 
-def zoom_search(spark: SparkSession, dimensions: Sequence[Dimension], score: Callable[[DataFrame], DataFrame], constraints: Sequence[Column] = (), maximise: bool = True, pool: int = 20_000, rounds: int = 4, shrink: float = 0.4, seed: int = 0, stop: Callable[[], bool] = lambda: False) -> tuple[DataFrame, DataFrame]:
-    """The best feasible design found, and the trace (generation, best, n_feasible) of the search.
+_ROUND = "turn int, settings string, best string, generation int, reached double, n_feasible long, diversity double"
+
+
+def _resumed(spark: SparkSession, folder: str, settings: str) -> list:
+    """The rounds that a search with these settings has written, in order."""
+    try:
+        rows = spark.read.schema(_ROUND).parquet(f"{folder}/round-*").orderBy("turn").collect()  # a row a round
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    if any(r["settings"] != settings for r in rows):
+        raise ValueError(f"{folder} holds the rounds of another search")
+    return [r for i, r in enumerate(rows) if r["turn"] == i]
+
+
+def diversity(dimensions: Sequence[Dimension]) -> Column:
+    """An aggregate: how far candidates spread, from 0 for equal ones; the mean over dimensions of the deviation as a share of the whole
+    range, or, of categories, the chance that two differ."""
+    parts = []
+    for d in dimensions:
+        if d.kind in ("binary", "categorical"):
+            values = d.categories if d.kind == "categorical" else (0, 1)
+            parts.append(F.lit(1.0) - sum((F.pow(F.avg((F.col(d.name) == v).cast("double")), F.lit(2.0)) for v in values), F.lit(0.0)))
+        else:
+            parts.append(F.stddev_pop(d.name) / F.nullif(F.lit(float(d.hi) - float(d.lo)), F.lit(0.0)))
+    return sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0)) / len(parts)
+
+
+def zoom_search(spark: SparkSession, dimensions: Sequence[Dimension], score: Callable[[DataFrame], DataFrame], constraints: Sequence[Column] = (), maximise: bool = True, pool: int = 20_000, rounds: int = 4, shrink: float = 0.4, seed: int = 0, stop: Callable[[], bool] = lambda: False, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The best feasible design found, and the trace (generation, best, n_feasible, diversity) of the search.
 
     Each round spreads ``pool`` candidates over a box by Latin hypercube, drops those that break a constraint (expression <= 0), scores
     the rest as one table (``score`` adds ``prediction``) and centres the next box, ``shrink`` times as wide in each continuous or integer
     dimension, on the best so far. Only that one design and the trace reach the driver. ``stop`` is asked before every round.
-    Without a feasible candidate the box stays.
+    Without a feasible candidate the box stays. ``diversity`` of a generation is that of its feasible candidates.
+
+    With ``folder``, a shared one, every round is written there once it is done, with the settings of the search; a search that was broken off
+    goes on behind the last whole round and comes to the same result. A folder of another search is an error.
     """
-    box, best, trace = list(dimensions), None, []
+    box, best, trace, sign = list(dimensions), None, [], 1 if maximise else -1
     names = [d.name for d in dimensions]
+    settings = json.dumps([[asdict(d) for d in dimensions], maximise, pool, shrink, seed])
+    done = _resumed(spark, folder, settings)[:rounds] if folder else []
     for turn in range(rounds):
-        if stop():
-            break
-        candidates = latin_hypercube(spark, box, pool, seed + turn)
-        feasible = score(candidates.where(violation(constraints) <= 0)).where(F.col("prediction").isNotNull())
-        sign = 1 if maximise else -1
-        row = feasible.agg(F.count(F.lit(1)).alias("n"), F.max(F.struct((F.col("prediction") * sign).alias("p"), (-F.col("id")).alias("i"), *names)).alias("best")).first()
-        if row["n"] and (best is None or row["best"]["p"] > best["p"]):
-            best = row["best"]
-        trace.append((turn, None if best is None else float(best["p"] * sign), row["n"]))
+        if turn < len(done):
+            best = json.loads(done[turn]["best"])
+            trace.append(tuple(done[turn][c] for c in ("generation", "reached", "n_feasible", "diversity")))
+        else:
+            if stop():
+                break
+            candidates = latin_hypercube(spark, box, pool, seed + turn)
+            feasible = score(candidates.where(violation(constraints) <= 0)).where(F.col("prediction").isNotNull())
+            row = feasible.agg(F.count(F.lit(1)).alias("n"), F.max(F.struct((F.col("prediction") * sign).alias("p"), (-F.col("id")).alias("i"), *names)).alias("best"), diversity(dimensions).alias("diversity")).first()
+            if row["n"] and (best is None or row["best"]["p"] > best["p"]):
+                best = row["best"].asDict()
+            trace.append((turn, None if best is None else float(best["p"] * sign), row["n"], float(row["diversity"]) if row["n"] else None))
+            if folder:
+                spark.createDataFrame([(turn, settings, json.dumps(best), *trace[-1])], _ROUND).write.mode("overwrite").parquet(f"{folder}/round-{turn:05}")
         if best is not None:
             box = [d if d.kind in ("binary", "categorical") else _around(d, b, best[d.name], shrink) for d, b in zip(dimensions, box)]
     found = [] if best is None else [tuple(best[n] for n in names) + (float(best["p"] * sign),)]
     kinds = {"continuous": "double", "integer": "int", "binary": "int", "categorical": "string"}
     schema = ", ".join([*(f"`{d.name}` {kinds[d.kind]}" for d in dimensions), "prediction double"])
-    return spark.createDataFrame(found, schema), spark.createDataFrame(trace, "generation int, best double, n_feasible long")
+    return spark.createDataFrame(found, schema), spark.createDataFrame(trace, "generation int, best double, n_feasible long, diversity double")
 
 
 def _around(whole: Dimension, now: Dimension, centre: float, shrink: float) -> Dimension:

@@ -231,3 +231,19 @@ def test_hypervolume_equals_cells(spark):
             covered |= (p <= grid).all(1)
         assert design.hypervolume_of_many(df, names, [7.0] * dim, ranges).first()[0] == covered.sum()
     assert design.hypervolume_of_many(df.limit(0), names, [7.0] * 4).first()[0] == 0
+
+
+def test_a_broken_search_comes_to_the_same_result(spark, tmp_path):
+    space = [design.Dimension("a", 0, 1), design.Dimension("k", 1, 6, "integer"), design.Dimension("c", kind="categorical", categories=("x", "y"))]
+    score = lambda d: d.withColumn("prediction", F.sin(9 * F.col("a")) - F.abs(F.col("k") - 4) + (F.col("c") == "y").cast("int"))
+    whole, trace = (t.collect() for t in design.zoom_search(spark, space, score, pool=300))
+    asked = []
+    stopped = design.zoom_search(spark, space, score, pool=300, folder=f"{tmp_path}/s", stop=lambda: asked.append(1) or len(asked) > 2)[1]
+    assert stopped.count() == 2
+    asked = []
+    resumed = design.zoom_search(spark, space, score, pool=300, folder=f"{tmp_path}/s", stop=lambda: bool(asked.append(1)))
+    assert [t.collect() for t in resumed] == [whole, trace] and len(asked) == 2  # two rounds were left
+    spread = [r["diversity"] for r in trace]
+    assert spread[0] > spread[-1] > 0 and abs(spread[0] - (2 * (1 / 12) ** 0.5 + 0.05 + 0.5) / 3) < 0.05
+    with np.testing.assert_raises(ValueError):
+        design.zoom_search(spark, space, score, pool=301, folder=f"{tmp_path}/s")
