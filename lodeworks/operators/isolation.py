@@ -31,7 +31,7 @@ def samples(full: DataFrame, names: Sequence[str], keys: Sequence[str], trees: i
     draw = lambda t: F.xxhash64(F.lit(seed), t, *[F.col(k) for k in keys])
     # As many as a tree needs, and six standard deviations more; the smallest of them are kept.
     share = min(1.0, (sample + 6 * math.sqrt(sample)) / max(n, 1))
-    most = int(share * (2**64 - 1)) - 2**63
+    most = min(int(share * 2**64) - 2**63, 2**63 - 1)
     own = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(draw(t).alias("h"), t.alias("t"))), lambda s: s["h"] <= F.lit(most))
     rows = full.select(F.explode(own).alias("s"), *names).select("s.t", "s.h", *names).toPandas()  # about trees * sample rows
     out = []

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodeworks.operators import cells as L
 from lodeworks.operators import design as D
 from lodeworks.operators import explain as X
 from lodeworks.operators import gradient as G
@@ -110,3 +111,29 @@ def gaussian_surrogate(spark, sf):
 def hypervolume_three(spark, sf):
     part = read(spark, sf, "part").select("p_retailprice", "p_size", (F.col("p_partkey") % 23).alias("k"))
     return rounded(D.hypervolume_of_many(part, ("p_retailprice", "p_size", "k"), (1100.0, 60.0, 25.0)), 4)
+
+
+# Parts as points of a plane: size, and price above 900, in tens.
+def plane(spark, sf):
+    p = read(spark, sf, "part")
+    return p.select("p_partkey", F.array((F.col("p_size") / 10).cast("double"), ((F.col("p_retailprice") - 900) / 10).cast("double")).alias("v"))
+
+
+PLANE = "(SELECT p_partkey, p_size / 10 AS a, (p_retailprice - 900) / 10 AS b FROM part)"
+
+
+@query("c5_cell_features", f"SELECT min(p_partkey) AS cell, count(*) AS n, round(avg(a), 6) AS a, round(avg(b), 6) AS b FROM {PLANE} GROUP BY floor(a / 0.7), floor(b / 0.7)")
+def cell_features(spark, sf):
+    found = L.cell_features(plane(spark, sf), "p_partkey", "v", 0.7)
+    return rounded(found.select("cell", "n", F.col("centre")[0].alias("a"), F.col("centre")[1].alias("b")))
+
+
+@query("c5_birch")
+def birch(spark, sf):
+    return L.birch(plane(spark, sf), "p_partkey", "v", 0.7, 5)
+
+
+@query("c6_mean_shift")
+def mean_shift(spark, sf):
+    found = L.mean_shift(plane(spark, sf), "p_partkey", "v", 1.5, rounds=10)
+    return rounded(found.select("p_partkey", "cluster", F.col("mode")[0].alias("a"), F.col("mode")[1].alias("b")), 4)
