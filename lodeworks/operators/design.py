@@ -247,16 +247,27 @@ def pareto_front(df: DataFrame, first: tuple[str, str], second: tuple[str, str])
     return rows.join(front, (F.col("_a") == F.col("_fa")) & (F.col("_b") == F.col("_fb")), "left_semi").drop("_a", "_b")
 
 
+def dominated(points: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Which rows of ``points`` some row of ``by`` dominates, all columns minimised."""
+    out = np.zeros(len(points), bool)
+    for lo in range(0, len(by), 2048):
+        left = np.flatnonzero(~out)
+        x, y = points[left][:, None], by[lo : lo + 2048][None]
+        out[left] = ((y <= x).all(2) & (y < x).any(2)).any(1)
+    return out
+
+
 def undominated(points: np.ndarray) -> np.ndarray:
-    """Which rows no other row dominates, all columns minimised; equal rows are all kept. In order of their sums a row can be dominated
-    by earlier ones only."""
-    order = np.argsort(points.sum(1), kind="stable")
-    keep, front = np.zeros(len(points), bool), np.zeros((0, points.shape[1]))
-    for i in order:
-        x = points[i]
-        if not ((front <= x).all(1) & (front < x).any(1)).any():
-            keep[i] = True
-            front = np.vstack([front, x[None]])
+    """Which rows no other row dominates, all columns minimised; equal rows are all kept. In order of their sums, and of columns
+    where sums are equal, a row can be dominated by earlier ones only, so blocks are held against the front so far and against themselves."""
+    order = np.lexsort((*points.T[::-1], points.sum(1)))
+    keep, front = np.zeros(len(points), bool), [np.zeros((0, points.shape[1]))]
+    for lo in range(0, len(order), 256):
+        at = order[lo : lo + 256]
+        at = at[~dominated(points[at], np.concatenate(front))]
+        at = at[~dominated(points[at], points[at])]
+        keep[at] = True
+        front = [np.concatenate([*front, points[at]])]
     return keep
 
 
@@ -290,9 +301,7 @@ def pareto_front_of_many(df: DataFrame, objectives: Sequence[tuple[str, str]]) -
 
     def check(frame: pd.DataFrame) -> pd.DataFrame:
         own, others = frame[frame["_own"]][names], frame[~frame["_own"]][names].to_numpy(float)
-        x = own.to_numpy(float)
-        beaten = np.array([((others <= p).all(1) & (others < p).any(1)).any() for p in x], bool)
-        return own[beaten]
+        return own[np.concatenate([dominated(part, others) for part in np.array_split(own.to_numpy(float), max(1, len(own) // 256))])]
 
     beaten = own.unionByName(others).groupBy("_b", "_against").applyInPandas(check, schema).distinct()
     front = left.join(beaten, names, "left_anti")

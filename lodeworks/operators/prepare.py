@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeworks.functions.quantiles import exact_quantiles
-from lodeworks.functions.scalars import clean, yeo_johnson
+from lodeworks.functions.scalars import clean, inverse_normal_cdf, yeo_johnson
 from lodeworks.functions.storage import materialised
 
 
@@ -208,15 +208,18 @@ def power_transform(df: DataFrame, powers: Mapping[str, float]) -> DataFrame:
     return df.withColumns({c: yeo_johnson(clean(F.col(c)), p) for c, p in powers.items()})
 
 
-def quantile_transform(df: DataFrame, col: str, out: str = "quantile") -> DataFrame:
+def quantile_transform(df: DataFrame, col: str, out: str = "quantile", normal: bool = False, clip: float = 1e-7) -> DataFrame:
     """Adds each row's share of the values below its own among all others: 0 for the smallest, 1 for the largest, ties alike,
-    missing stays missing. Ranks are taken over distinct values in ranges, and joined to the rows by value."""
+    missing stays missing; with ``normal`` the value of a standard normal variate at that share, which is held between ``clip`` and 1 - ``clip``.
+    Ranks are taken over distinct values in ranges, and joined to the rows by value."""
     from lodeworks.functions.running import running
 
     x = clean(F.col(col))
     counts = df.where(x.isNotNull()).groupBy(x.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("_all"))
     ranks = running(counts, "_v", {"_below": (F.sum, "_n")}).join(F.broadcast(total)).select("_v", (F.coalesce("_below", F.lit(0)) / F.greatest(F.col("_all") - 1, F.lit(1))).alias(out))
+    if normal:
+        ranks = ranks.withColumn(out, inverse_normal_cdf(F.least(F.greatest(out, F.lit(clip)), F.lit(1 - clip))))
     return df.withColumn("_x", x).join(ranks, F.col("_x") == F.col("_v"), "left").drop("_x", "_v")
 
 

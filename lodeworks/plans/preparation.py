@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodeworks.functions.scalars import inverse_normal_cdf_sql
 from lodeworks.operators import neighbours as N
 from lodeworks.operators import prepare as P
 from lodeworks.plans.query import HOLED, LINE_KEY, holed, query, read, rounded
@@ -139,6 +140,14 @@ def quantile(spark, sf):
     return rounded(P.quantile_transform(read(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_custkey"))
 
 
+_SHARE = "least(greatest((rank() OVER (ORDER BY o_custkey) - 1) / (count(*) OVER () - 1), 1e-7), 1 - 1e-7)"
+
+
+@query("t5_quantile_normal", f"WITH x AS (SELECT o_orderkey, o_custkey, {_SHARE}::double AS p FROM orders) SELECT o_orderkey, o_custkey, round({inverse_normal_cdf_sql('p')}, 6) + 0.0 AS quantile FROM x")
+def quantile_normal(spark, sf):
+    return rounded(P.quantile_transform(read(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_custkey", normal=True))
+
+
 _FLAGS = ("A", "N", "R")
 
 

@@ -233,6 +233,20 @@ def test_hypervolume_equals_cells(spark):
     assert design.hypervolume_of_many(df.limit(0), names, [7.0] * 4).first()[0] == 0
 
 
+def test_inverse_normal_and_fronts(spark):
+    from statistics import NormalDist
+
+    from lodeworks.functions.scalars import inverse_normal_cdf
+
+    shares = [1e-9, 1e-4, 0.02, 0.02425, 0.1, 0.5, 0.77, 0.98, 0.9999]
+    got = spark.createDataFrame([(p,) for p in shares], "p double").select(inverse_normal_cdf(F.col("p"))).collect()
+    assert np.allclose([r[0] for r in got], [NormalDist().inv_cdf(p) for p in shares], rtol=2e-9, atol=1e-12)
+    rng = np.random.default_rng(0)
+    for n, d in ((0, 2), (1, 3), (500, 2), (900, 4)):
+        x = rng.integers(0, 12, (n, d)) / 10
+        assert design.undominated(x).tolist() == [not any((y <= p).all() and (y < p).any() for y in x) for p in x]
+
+
 def test_a_broken_search_comes_to_the_same_result(spark, tmp_path):
     space = [design.Dimension("a", 0, 1), design.Dimension("k", 1, 6, "integer"), design.Dimension("c", kind="categorical", categories=("x", "y"))]
     score = lambda d: d.withColumn("prediction", F.sin(9 * F.col("a")) - F.abs(F.col("k") - 4) + (F.col("c") == "y").cast("int"))
