@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodeworks.operators import cells as L
+from lodeworks.operators import crystal as K
 from lodeworks.operators import design as D
 from lodeworks.operators import explain as X
 from lodeworks.operators import gradient as G
@@ -137,3 +138,15 @@ def birch(spark, sf):
 def mean_shift(spark, sf):
     found = L.mean_shift(plane(spark, sf), "p_partkey", "v", 1.5, rounds=10)
     return rounded(found.select("p_partkey", "cluster", F.col("mode")[0].alias("a"), F.col("mode")[1].alias("b")), 4)
+
+
+# Lines as bonds from a supplier's number to a part's, one graph for each line number.
+@query(
+    "g2_line_graph",
+    """WITH b AS (SELECT l_linenumber AS graph, l_suppkey AS src, l_partkey AS dst, l_orderkey * 10 + l_linenumber AS bond FROM lineitem)
+    SELECT a.graph, a.dst AS atom, count(*) AS n_pairs, sum(a.bond + 2 * c.bond)::bigint AS total FROM b a JOIN b c ON a.graph = c.graph AND a.dst = c.src AND a.bond <> c.bond GROUP BY 1, 2""",
+)
+def line_graph(spark, sf):
+    bonds = read(spark, sf, "lineitem").select(F.col("l_linenumber").alias("graph"), F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("bond"))
+    found = K.line_graph(bonds, "graph", "bond")
+    return found.groupBy("graph", "atom").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum(F.col("one") + 2 * F.col("other")).alias("total"))
