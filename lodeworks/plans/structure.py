@@ -10,6 +10,7 @@ from lodeworks.operators import design as D
 from lodeworks.operators import explain as X
 from lodeworks.operators import gradient as G
 from lodeworks.operators import hierarchy as H
+from lodeworks.operators import workflow as R
 from lodeworks.plans.query import LINE_KEY, query, read, rounded
 
 VECTORS = "(SELECT vec_id, list_transform(embedding, lambda v: v::double) AS x FROM embeddings)"
@@ -150,3 +151,28 @@ def line_graph(spark, sf):
     bonds = read(spark, sf, "lineitem").select(F.col("l_linenumber").alias("graph"), F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("bond"))
     found = K.line_graph(bonds, "graph", "bond")
     return found.groupBy("graph", "atom").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum(F.col("one") + 2 * F.col("other")).alias("total"))
+
+
+@query("c15_report")
+def report(spark, sf):
+    part = read(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice")
+    tables = R.cluster_report(part, "p_partkey", ("p_size", "p_retailprice"), 4)
+    return R.long_report(tables, {"audit": ("column_name",), "actions": ("column_name",), "metrics": (), "profile": ("cluster", "column_name")})
+
+
+_FENCED = " OR ".join(f"(SELECT max({c}) > quantile_cont({c}, 0.75) * 2.5 - quantile_cont({c}, 0.25) * 1.5 OR min({c}) < quantile_cont({c}, 0.25) * 2.5 - quantile_cont({c}, 0.75) * 1.5 FROM lineitem)" for c in ("l_quantity", "l_discount", "l_tax"))
+
+
+@query(
+    "w5_plan",
+    f"""WITH s AS (SELECT count(*) AS n, CASE WHEN count(DISTINCT l_extendedprice) > 20 THEN 'regression' ELSE 'classification' END AS task, greatest(abs(corr(l_quantity, l_discount)), abs(corr(l_quantity, l_tax)), abs(corr(l_discount, l_tax))) > 0.95 AS alike FROM lineitem),
+    c AS (SELECT *, CASE WHEN alike THEN 'correlation' ELSE 'none' END AS selection FROM s)
+    SELECT 'task' AS step, task AS choice FROM c UNION ALL SELECT 'selection', selection FROM c
+    UNION ALL SELECT 'models', CASE WHEN n >= 1000 THEN 'forest, boosting' WHEN task = 'regression' THEN 'linear, tree' ELSE 'logistic, tree' END FROM c
+    UNION ALL SELECT 'search', CASE WHEN n < 1000 THEN 'grid' ELSE 'random' END FROM c
+    UNION ALL SELECT 'evaluation', CASE WHEN n < 1000 THEN 'nested cross-validation' WHEN n < 100000 THEN 'cross-validation' ELSE 'split' END FROM c
+    UNION ALL SELECT 'order', concat_ws(', ', CASE WHEN {_FENCED} THEN 'clean' END, 'encode', 'scale', CASE WHEN selection <> 'none' THEN 'select' END, 'train', 'evaluate') FROM c""",
+)
+def model_plan(spark, sf):
+    x = read(spark, sf, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_returnflag", "l_extendedprice")
+    return R.model_plan(x, ("l_quantity", "l_discount", "l_tax"), "l_extendedprice")

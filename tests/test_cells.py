@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from lodeworks.operators import cells
+from lodeworks.operators import cells, workflow
 from tests.test_neighbours import clustered, table
 
 
@@ -48,3 +48,20 @@ def test_mean_shift_equals_a_loop(spark):
         k = min(seeds, key=lambda s: (np.linalg.norm(seeds[s] - v), s))
         assert got[i][0] == name[k] and np.allclose(got[i][1], seeds[name[k]], atol=1e-6)
     assert len({c for c, _ in got.values()}) == 4
+
+
+def test_report_follows_its_own_advice(spark):
+    rng = np.random.default_rng(1)
+    centre = rng.integers(0, 3, 300) * 10.0
+    rows = [(i, float(c + a), float(2 * c + b) if i % 7 else None, 5.0, "x") for i, (c, a, b) in enumerate(zip(centre, rng.normal(size=300), rng.normal(size=300)))]
+    df = spark.createDataFrame(rows, "id long, a double, b double, constant double, other string")
+    found = workflow.cluster_report(df, "id", ("a", "b", "constant"), 3)
+    actions = {r["column_name"]: r["action"] for r in found["actions"].collect()}
+    assert actions["constant"] == "drop: constant" and actions["b"].startswith("impute")
+    label = {r["id"]: r["cluster"] for r in found["clusters"].collect()}
+    assert len(label) == 300 and len({(c, label[i]) for i, c in enumerate(centre) if i % 7}) == 3  # whole rows part by their centres
+    assert found["metrics"].first()["n_clusters"] == 3 and found["profile"].count() == 9
+    long = workflow.long_report(found, {"audit": ("column_name",), "metrics": (), "profile": ("cluster", "column_name")})
+    assert {r["section"] for r in long.collect()} == {"audit", "metrics", "profile"} and long.where("section = 'audit' and item = 'a' and name = 'n_rows'").first()["value"] == "300"
+    plan = {r["step"]: r["choice"] for r in workflow.model_plan(df.drop("other"), ("a", "b"), "constant").collect()}
+    assert plan["task"] == "classification" and plan["models"] == "logistic, tree" and plan["order"].startswith("clean") and plan["selection"] in ("correlation", "none")
