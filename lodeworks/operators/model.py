@@ -99,7 +99,7 @@ def cross_validate(df: DataFrame, keys: Sequence[str], features: Sequence[str],
 def nested_cross_validate(df: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, model: str, task: str, grid: Sequence[Mapping], outer: int = 3, inner: int = 2) -> DataFrame:
     """(fold, parameters, metric): in each outer fold the parameters that win the inner folds of its training rows, and what they reach on the
     rows left out."""
-    own = df.withColumn("_outer", fold(keys, outer, seed=1))
+    own = materialised(df.withColumn("_outer", fold(keys, outer, seed=1)).select(*dict.fromkeys([*keys, *features, target, "_outer"])), "outer-folds")
     rows = []
     for k in range(outer):
         train = own.where(F.col("_outer") != k)

@@ -10,6 +10,7 @@ from lodeworks.operators import design as D
 from lodeworks.operators import explain as X
 from lodeworks.operators import gradient as G
 from lodeworks.operators import hierarchy as H
+from lodeworks.operators import select as S
 from lodeworks.operators import workflow as R
 from lodeworks.plans.query import LINE_KEY, query, read, rounded
 
@@ -176,3 +177,20 @@ _FENCED = " OR ".join(f"(SELECT max({c}) > quantile_cont({c}, 0.75) * 2.5 - quan
 def model_plan(spark, sf):
     x = read(spark, sf, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_returnflag", "l_extendedprice")
     return R.model_plan(x, ("l_quantity", "l_discount", "l_tax"), "l_extendedprice")
+
+
+_FOLD = "('0x' || substr(md5('0|' || l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey), 1, 8))::bigint % 100 % 3"
+_MISS = "round(sqrt(avg((y - my - {fit}) ** 2)), 4) AS rmse"
+
+
+@query(
+    "f10_subset_folds",
+    f"""WITH t AS (SELECT {_FOLD} AS fold, l_quantity AS a, l_discount AS b, l_extendedprice AS y FROM lineitem), k AS (SELECT unnest([0, 1, 2]) AS held),
+    m AS (SELECT held, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS byy FROM t, k WHERE fold <> held GROUP BY held),
+    j AS (SELECT t.*, m.* FROM t JOIN m ON fold = held), w AS (SELECT *, (ay * bb - byy * ab) / (aa * bb - ab * ab) AS wa, (byy * aa - ay * ab) / (aa * bb - ab * ab) AS wb FROM j)
+    SELECT 'l_quantity' AS subset, held::int AS fold, count(*) AS n_rows, {_MISS.format(fit="ay / aa * (a - ma)")} FROM w GROUP BY held
+    UNION ALL SELECT 'l_discount', held::int, count(*), {_MISS.format(fit="byy / bb * (b - mb)")} FROM w GROUP BY held
+    UNION ALL SELECT 'l_quantity,l_discount', held::int, count(*), {_MISS.format(fit="wa * (a - ma) - wb * (b - mb)")} FROM w GROUP BY held""",
+)
+def subset_folds(spark, sf):
+    return rounded(S.subset_fold_scores(read(spark, sf, "lineitem"), ("l_quantity", "l_discount"), "l_extendedprice", LINE_KEY), 4)

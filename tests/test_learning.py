@@ -7,7 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from lodeworks.operators import design, explain, gradient, isolation, model
+from lodeworks.operators import design, evaluate, explain, gradient, isolation, model, select
 
 
 def conditional_mean(nodes, x, slots, known, at=0):
@@ -261,3 +261,19 @@ def test_a_broken_search_comes_to_the_same_result(spark, tmp_path):
     assert spread[0] > spread[-1] > 0 and abs(spread[0] - (2 * (1 / 12) ** 0.5 + 0.05 + 0.5) / 3) < 0.05
     with np.testing.assert_raises(ValueError):
         design.zoom_search(spark, space, score, pool=301, folder=f"{tmp_path}/s")
+
+
+def test_fold_scores_equal_fits(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(1e4, [1, 50, 0.1], (200, 3))
+    y = x @ [3.0, -1.0, 20.0] + rng.normal(size=200)
+    df = spark.createDataFrame([(i, *map(float, r), float(t)) for i, (r, t) in enumerate(zip(x, y))] + [(999, None, 1.0, 1.0, 1.0)], "id long, a double, b double, c double, y double")
+    held = {r["id"]: r["f"] for r in df.select("id", evaluate.fold(("id",), 4).alias("f")).collect()}
+    cut = np.array([held[i] for i in range(200)])
+    found = {(r["subset"], r["fold"]): (r["n_rows"], r["rmse"]) for r in select.subset_fold_scores(df, ("a", "b", "c"), "y", ("id",), 4).collect()}
+    assert len(found) == 28
+    for (subset, k), (n, rmse) in found.items():
+        at = ["abc".index(c) for c in subset.split(",")]
+        z = np.column_stack([np.ones(200), x[:, at] - 1e4])
+        w = np.linalg.lstsq(z[cut != k], y[cut != k], rcond=None)[0]
+        assert n == (cut == k).sum() and abs(rmse - np.sqrt(np.mean((y - z @ w)[cut == k] ** 2))) < 1e-6
