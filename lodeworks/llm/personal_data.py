@@ -448,11 +448,16 @@ def _named(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _count_of(kind: int) -> Column:
+    """Spans of the rules of a kind in ``s``. The lambda takes one parameter only: a second one, even with a default, would be the place in the array."""
+    return F.size(F.filter("s", lambda s: s["base"] & (s["kind"] == kind))).cast("long")
+
+
 def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = personal_data(docs).select("doc_id", F.col("personal_data").alias("s"))
     base = F.filter("s", lambda s: s["base"])
-    counts = [F.size(F.filter("s", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [_count_of(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(_named(base), 256).alias("base_sha256"), _named(F.col("s")).alias("spans"), (F.size("s") - F.size(base)).cast("long").alias("n_added"))
 
 

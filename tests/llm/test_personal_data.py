@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 import time
@@ -151,3 +152,15 @@ def test_few_examples_add_nothing(spark):
     assert [[(s["start"], s["end"], s["base"]) for s in r["personal_data"]] for r in pii.personal_data(docs).orderBy("doc_id").collect()] == [[(0, 5, True)], []]
     assert pii.personal_data(docs.limit(0)).count() == 0
     assert pii.redacted(docs.limit(0)).columns == docs.columns
+
+
+def test_query_counts_each_kind(spark, tmp_path):
+    rng = random.Random(8)
+    texts = ["", None, "a@b.cc", "1.2.3.4 5.6.7.8 9.9.9.9", f"{card(rng)}, {card(rng)}", f"{phone(rng)}, {phone(rng)}; x@y.zz", f"1.1.1.1, {card(rng)}, {phone(rng)}"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r for r in pii.op13_personal_data(spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        base = sorted((a, k, b) for k, a, b, good in plain(text or "") if good)
+        assert [found[i][f"n_{name}"] for name in pii.KINDS] == [sum(k == kind for _, k, _ in base) for kind in range(4)], text
+        assert found[i]["base_sha256"] == hashlib.sha256(",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest()
+    assert [found[3]["n_ip"], found[4]["n_card"], found[5]["n_phone"], found[5]["n_email"]] == [3, 2, 2, 1]
