@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions.storage import materialised
 from lodeworks.operators.hierarchy import single_linkage
-from lodeworks.operators.metric import BLOCK, brought_together, distances, index, near_blocks, pivots_of
-from lodeworks.operators.neighbours import Numbered, _keys, nearest, numbered
+from lodeworks.operators.metric import BLOCK, brought_together, distances, index, near_blocks, pivots_of, unpacked
+from lodeworks.operators.neighbours import Numbered, nearest, numbered
 
 
 def _cells(df: DataFrame, key: str, vector: str, width: float) -> tuple[Numbered, DataFrame, DataFrame, int]:
@@ -45,6 +45,12 @@ def birch(df: DataFrame, key: str, vector: str, width: float, k: int, block: int
     return df.select(key).join(found.distinct(), F.col(key) == F.col("_key"), "left").select(key, "cluster")
 
 
+def _parts(batch: pa.RecordBatch, i: int, s: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    k, w, x = (batch.column(f"{s}_{c}")[i].as_py() for c in ("keys", "weights", "x"))
+    k = unpacked(k, np.int64)
+    return k, unpacked(w, np.int64), unpacked(x).reshape(len(k), -1)
+
+
 def mean_shift(df: DataFrame, key: str, vector: str, bandwidth: float, rounds: int = 50, tolerance: float = 1e-3, block: int = BLOCK) -> DataFrame:
     """(key, cluster, mode): seeds, one for each cell ``bandwidth`` wide, move to the mean of the points within ``bandwidth`` until none moves farther than
     ``tolerance`` times that, or for so many rounds; seeds that end within half a bandwidth of each other, link by link, are one cluster, and a point belongs to
@@ -61,7 +67,7 @@ def mean_shift(df: DataFrame, key: str, vector: str, bandwidth: float, rounds: i
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                (ka, _, xa), (_, _, xb) = _keys(batch, i, "a"), _keys(batch, i, "b")
+                (ka, _, xa), (_, _, xb) = _parts(batch, i, "a"), _parts(batch, i, "b")
                 near = (distances(xa, xb) <= bandwidth).astype(float)
                 n = near.sum(1).astype(np.int64)
                 total = np.stack([(near * xb[:, d][None]).sum(1) for d in range(xb.shape[1])], 1)

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions.storage import materialised
 from lodeworks.operators.graph import components
-from lodeworks.operators.metric import BLOCK, distances, index, pivots_of, unpacked
-from lodeworks.operators.neighbours import _links, _near, copies, count_within, nearest, node_counts, numbered
+from lodeworks.operators.metric import BLOCK, CHUNK, Block, all_distances, distances, index, pivots_of, places, together, unpacked
+from lodeworks.operators.neighbours import _linked, _near, copies, count_within, nearest, node_counts, numbered
 
 MODELS = {"kmeans": KMeans, "bisecting": BisectingKMeans, "gaussian_mixture": GaussianMixture}
 
@@ -88,7 +88,7 @@ def dbscan(df: DataFrame, key: str, vector: str, eps: float, min_samples: int =
     """(key, cluster, is_core): the cluster of a core point is the smallest key of the core points it is connected to; a border
     point belongs to the smallest cluster of the core points near it; noise has null. Rows without a vector are noise.
 
-    A first pass over near blocks counts; in a second one a pair of blocks returns a forest of its links between core points, and for each
+    A first pass over near blocks counts; in a second one a cell of blocks returns a forest of its links between core points, and for each
     other point the trees near it, so that no table of near pairs is ever written."""
     (own,), dim = numbered([df], key, vector)
     members, nodes = copies(own.rows)
@@ -111,19 +111,32 @@ def dbscan(df: DataFrame, key: str, vector: str, eps: float, min_samples: int =
     per_block = where.join(core, "k").groupBy("block").agg(F.collect_list("k").alias("ks"))  # of one block each
     flagged = materialised(ix.blocks.select("block", "keys").join(per_block, "block").select("block", "keys", "ks").mapInArrow(flags, "block long, extra binary"), "core-flags")
 
-    def work(same: bool, a: tuple, b: tuple) -> Iterator[pa.RecordBatch]:
-        keys, n = np.concatenate([a[0], b[0]]), len(a[0])
-        is_core = np.concatenate([np.frombuffer(s[3], bool) if s[3] else np.zeros(len(s[0]), bool) for s in (a, b)])
-        if not is_core.any():
-            return
-        found = [(p, q if same else q + n) for p, q in _links(a[2], b[2], eps, same)]
-        i, j = (np.concatenate(c) for c in zip(*found))
-        both, one = is_core[i] & is_core[j], is_core[i] != is_core[j]
-        root = smallest_of_trees(keys, i[both], j[both])
-        at = np.flatnonzero(is_core & (root != keys))
-        border = np.where(is_core[i[one]], j[one], i[one])
-        near = np.unique(np.stack([keys[border], root[np.where(is_core[i[one]], i[one], j[one])]]), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([keys[at], near[0]])), pa.array(np.concatenate([root[at], near[1]])), pa.array(np.arange(len(at) + near.shape[1]) < len(at))], ["k", "root", "core"])
+    def work(met: list[tuple[Block, list[tuple[Block, float]]]]) -> Iterator[pa.RecordBatch]:
+        blocks = {b.number: b for a, others in met for b in (a, *(o for o, _ in others))}
+        first = dict(zip(blocks, np.cumsum([0, *(len(b.keys) for b in blocks.values())])))
+        keys = np.concatenate([b.keys for b in blocks.values()])
+        is_core = np.concatenate([np.frombuffer(b.extra, bool) if b.extra else np.zeros(len(b.keys), bool) for b in blocks.values()])
+        root, borders = np.arange(len(keys)), [np.zeros((2, 0), np.int64)]
+        for a, others in met:
+            for b, _ in others:
+                if not (a.extra or b.extra):
+                    continue
+                near = []
+                for lo, hit in _linked(a, b, eps):
+                    p, q = places(hit)
+                    i, j = first[a.number] + lo + p, first[b.number] + q
+                    both = is_core[i] & is_core[j] & (root[i] != root[j])
+                    grow_trees(root, i[both], j[both])
+                    one = is_core[i] != is_core[j]
+                    i, j = i[one], j[one]
+                    near.append(np.where(is_core[i], (j, i), (i, j)))
+                # The point, and a core point that it is near; one of each tree, as it is now.
+                near = np.concatenate(near, 1)
+                borders.append(np.unique(np.stack([near[0], root[near[1]]]), axis=1) if near.size else near)
+        near = np.concatenate(borders, 1)
+        near = np.unique(np.stack([near[0], root[near[1]]]), axis=1)
+        at = np.flatnonzero(is_core & (root != np.arange(len(keys))))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([keys[at], keys[near[0]]])), pa.array(np.concatenate([keys[root[at]], keys[root[near[1]]]])), pa.array(np.arange(len(at) + near.shape[1]) < len(at))], ["k", "root", "core"])
 
     found = materialised(_near(ix, eps, work, "k long, root long, core boolean", flagged), "trees")
     joined = materialised(components(found.where("core"), "k", "root"), "clusters")
@@ -136,19 +149,15 @@ def dbscan(df: DataFrame, key: str, vector: str, eps: float, min_samples: int =
     return out.select(key, "cluster", F.coalesce("is_core", F.lit(False)).alias("is_core"))
 
 
-def smallest_of_trees(names: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For each place the smallest name that it reaches over the links (i, j); equal names are one."""
-    own, at = np.unique(names, return_inverse=True)
-    root = np.arange(len(own))
-    a, b = at[i], at[j]
-    while len(a):
-        x, y = root[a], root[b]
+def grow_trees(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Joins the trees of the places i and j, each named in ``root`` by its smallest place."""
+    while len(i):
+        x, y = root[i], root[j]
         apart = x != y
-        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        i, j, x, y = i[apart], j[apart], x[apart], y[apart]
         np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
-        while (root[root] != root).any():
-            root = root[root]
-    return own[root][at]
+        while len(i) and (root[root] != root).any():
+            root[:] = root[root]
 
 
 def k_distances(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
@@ -157,53 +166,50 @@ def k_distances(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     return nearest(df, df, key, vector, k).where(F.col("rank") == k).select(key, F.col("distance").alias("k_distance"))
 
 
-def block_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Every block of ``left`` beside every block of ``right``: (a, b, a_rows, b_rows). An equi-join: each left block is posted
-    once under each right block's number; only block numbers are listed out, the blocks themselves are joined by them."""
-    numbers = right.select(F.col("block").alias("b"))
-    ids = F.array_sort(F.collect_list("b"))
-    listed = left.select("block").join(F.broadcast(numbers.agg(ids.alias("bs"))))  # one number for each block
-    pairs = listed.select(F.col("block").alias("a"), F.explode("bs").alias("b"))
-    sides = pairs.join(left.select(F.col("block").alias("a"), F.col("rows").alias("a_rows")), "a")
-    return sides.join(right.select(F.col("block").alias("b"), F.col("rows").alias("b_rows")), "b").select("a", "b", "a_rows", "b_rows")
-
-
 def silhouette(df: DataFrame, key: str, vector: str, label: str, block: int = BLOCK) -> DataFrame:
-    """(key, label, silhouette) by Euclidean distance; 0 for the only member of a cluster. Every pair of blocks returns sums by
-    point and cluster, never pairs of points."""
-    rows = materialised(_labelled(df, key, vector, label, block), "points")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                (ka, xa, la), (kb, xb, lb) = (_parts(batch.column(c)[i]) for c in (2, 3))
-                names, code = np.unique(lb, return_inverse=True)
-                member = np.eye(len(names))[code]
-                for lo in range(0, len(ka), 256):
-                    d = distances(xa[lo : lo + 256], xb)
-                    d[ka[lo : lo + 256][:, None] == kb[None]] = 0
-                    n = np.broadcast_to(member.sum(0), (len(d), len(names))) - (ka[lo : lo + 256][:, None] == kb[None]) @ member
-                    shape = (len(d), len(names))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ka[lo : lo + 256], len(names))), pa.array(np.repeat(la[lo : lo + 256], len(names))), pa.array(np.broadcast_to(names, shape).ravel()), pa.array((d @ member).ravel()), pa.array(n.ravel())], [key, "own", "other", "total", "n"])
-
-    sums = block_pairs(rows, rows).mapInArrow(work, f"`{key}` long, own long, other long, total double, n double").groupBy(key, "own", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    """(key, label, silhouette) by Euclidean distance; 0 for the only member of a cluster. Every cell of blocks returns sums by
+    point and cluster, never pairs of points; all pairs of blocks meet, one way round, as a silhouette needs all distances. Vectors are of one length."""
+    rows = df.where(F.col(vector).isNotNull() & F.col(label).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(label).cast("long").alias("w"), F.col(vector).cast("array<double>").alias("x"))
+    rows = materialised(rows, "points")
+    dim = rows.agg(F.coalesce(F.max(F.size("x")), F.lit(1))).first()[0]
+    ix = index(rows, dim, np.zeros((1, dim)), block)
+    # Of numbers of blocks, a thousandth of the rows.
+    numbers = ix.blocks.select("block")
+    pairs = numbers.select(F.col("block").alias("a")).join(F.broadcast(numbers.select(F.col("block").alias("b"))), F.col("a") <= F.col("b")).select("a", "b", F.lit(0.0).alias("bound"))
+
+    def work(met: list[tuple[Block, list[tuple[Block, float]]]]) -> Iterator[pa.RecordBatch]:
+        blocks = {b.number: b for a, others in met for b in (a, *(o for o, _ in others))}
+        names = np.unique(np.concatenate([b.weights for b in blocks.values()]))
+        member = {n: np.eye(len(names))[np.searchsorted(names, b.weights)] for n, b in blocks.items()}
+        sums = {n: np.zeros((2, len(b.keys), len(names))) for n, b in blocks.items()}
+        for a, others in met:
+            for b, _ in others:
+                shared = np.isin(a.keys, b.keys).any()
+                for lo in range(0, len(a.keys), CHUNK):
+                    at = np.arange(lo, min(len(a.keys), lo + CHUNK))
+                    d, seen = all_distances(a, at, b), np.ones((len(at), len(b.keys)))
+                    if shared:
+                        apart = a.keys[at][:, None] != b.keys[None]
+                        d, seen = d * apart, apart.astype(float)
+                    for out, v in zip((0, 1), (d, seen)):
+                        if out and not shared:
+                            sums[a.number][1, at] += member[b.number].sum(0)
+                            if a.number != b.number:
+                                sums[b.number][1] += member[a.number][at].sum(0)
+                            continue
+                        sums[a.number][out, at] += v @ member[b.number]
+                        if a.number != b.number:
+                            sums[b.number][out] += v.T @ member[a.number][at]
+        for n, b in blocks.items():
+            some = np.repeat(b.keys, len(names)), np.repeat(b.weights, len(names)), np.tile(names, len(b.keys)), sums[n][0].ravel(), sums[n][1].ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in some], [key, "own", "other", "total", "n"])
+
+    sums = together(pairs, ix, ix, work, f"`{key}` long, own long, other long, total double, n double").groupBy(key, "own", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     mean = F.col("total") / F.nullif(F.col("n"), F.lit(0.0))
     per = sums.groupBy(key, "own").agg(F.max(F.when(F.col("own") == F.col("other"), mean)).alias("a"), F.min(F.when(F.col("own") != F.col("other"), mean)).alias("b"))
     return per.select(key, F.col("own").alias(label), F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0)).alias("silhouette"))
 
 
-def _labelled(df: DataFrame, key: str, vector: str, label: str, block: int) -> DataFrame:
-    rows = df.where(F.col(vector).isNotNull() & F.col(label).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("x"), F.col(label).cast("long").alias("l"))
-    n = max(1, -(-rows.count() // block))
-    return rows.withColumn("block", F.pmod(F.xxhash64("k"), F.lit(n))).groupBy("block").agg(F.collect_list(F.struct("k", "x", "l")).alias("rows"))
-
-
-def _parts(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    flat = rows.values
-    keys = flat.field("k").to_numpy()
-    return keys, flat.field("x").flatten().to_numpy().reshape(len(keys), -1), flat.field("l").to_numpy()
-
-
 def centroids(df: DataFrame, vector: str, label: str) -> DataFrame:
     """(label, position, centre, n): means by cluster and position, partly summed up before any row moves."""
     long = df.select(label, F.posexplode(F.col(vector).cast("array<double>")).alias("position", "x"))

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions.storage import materialised
 from lodeworks.operators.graph import components
-from lodeworks.operators.metric import BLOCK, Index, brought_together, distances, index, near_blocks, pivots_of, unpacked
-from lodeworks.operators.neighbours import Numbered, _keys, copies, k_nearest, numbered, rounds
+from lodeworks.operators.metric import BLOCK, CHUNK, Block, Index, Product, index, near_blocks, pivots_of, places, together, unpacked
+from lodeworks.operators.neighbours import Numbered, copies, k_nearest, numbered, rounds
 
 #: Edges, or clusters, that one task takes in order at a time.
 STEPS = 1_000_000
@@ -69,33 +69,52 @@ def _packed_rows(ix: Index, rows: DataFrame) -> DataFrame:
 
 
 def _crossing(pairs: DataFrame, ix: Index, packed: DataFrame) -> DataFrame:
-    """(comp, other, w, lo, hi): for each pair of blocks the first edge from a component of ``a`` to another one in ``b``, within limits."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                (ka, _, xa), (kb, _, xb) = _keys(batch, i, "a"), _keys(batch, i, "b")
-                extra = [batch.column(f"{s}_extra")[i].as_py() for s in "ab"]
-                comp, other = (unpacked(e[: 8 * n], np.int64) for e, n in zip(extra, (len(ka), len(kb))))
-                (core, limit), (core_b, _) = (unpacked(e[8 * n :]).reshape(2, n) for e, n in zip(extra, (len(ka), len(kb))))
-                open_ = np.flatnonzero(limit >= batch.column("bound")[i].as_py())
-                found = []
-                for lo in range(0, len(open_), 256):
-                    at = open_[lo : lo + 256]
-                    m = np.maximum(np.maximum(distances(xa[at], xb), core[at][:, None]), core_b[None])
-                    m[(comp[at][:, None] == other[None]) | (m > limit[at][:, None])] = np.inf
-                    least = m.min(1)
-                    p, q = np.nonzero((m == least[:, None]) & np.isfinite(least)[:, None])
-                    found.append((comp[at][p], m[p, q], np.minimum(ka[at][p], kb[q]), np.maximum(ka[at][p], kb[q]), other[q]))
-                if not found:
-                    continue
-                c, w, lo_, hi_, o = (np.concatenate(v) for v in zip(*found))
-                order = np.lexsort((hi_, lo_, w, c))
-                first = order[np.r_[True, c[order][1:] != c[order][:-1]]] if len(order) else order
-                yield pa.RecordBatch.from_arrays([pa.array(v[first]) for v in (c, o, w, lo_, hi_)], ["comp", "other", "w", "lo", "hi"])
-
-    met = brought_together(pairs, ix, ix, packed.select("block", "extra"), both=True)
-    return met.mapInArrow(work, "comp long, other long, w double, lo long, hi long")
+    """(comp, other, w, lo, hi): for each cell of blocks the first edge from a component to another one, within limits."""
+
+    def work(met: list[tuple[Block, list[tuple[Block, float]]]]) -> Iterator[pa.RecordBatch]:
+        of: dict[int, tuple] = {}
+        for b in (b for a, others in met for b in (a, *(o for o, _ in others))):
+            n = len(b.keys)
+            of[b.number] = (unpacked(b.extra[: 8 * n], np.int64), *unpacked(b.extra[8 * n :]).reshape(2, n))
+        names = np.unique(np.concatenate([of[a.number][0] for a, _ in met]))
+        least, found = np.full(len(names), np.inf), []
+        for a, others in met:
+            comp, core, limit = of[a.number]
+            code = np.searchsorted(names, comp)
+            for b, bound in others:
+                other, core_b, _ = of[b.number]
+                open_ = np.flatnonzero((limit >= bound) & (least[code] >= bound))
+                for lo in range(0, len(open_), CHUNK):
+                    at = open_[lo : lo + CHUNK]
+                    product, reach = Product(a, at, b), np.minimum(limit[at], least[code[at]])
+                    endless = np.flatnonzero(np.isinf(reach))
+                    if len(endless):
+                        # Some edge of each is a limit for its component.
+                        apart = comp[at[endless]][:, None] != other[None]
+                        q = np.where(apart, product.value[endless], -np.inf).argmax(1)
+                        some = apart[np.arange(len(endless)), q]
+                        p, q = endless[some], q[some]
+                        w = np.maximum(np.maximum(product.exact(p, q), core[at[p]]), core_b[q])
+                        np.minimum.at(least, code[at[p]], w)
+                        reach = np.minimum(limit[at], least[code[at]])
+                    p, q = places(product.possible(reach))
+                    apart = comp[at[p]] != other[q]
+                    p, q = p[apart], q[apart]
+                    w = np.maximum(np.maximum(product.exact(p, q), core[at[p]]), core_b[q])
+                    good = w <= reach[p]
+                    p, q, w = p[good], q[good], w[good]
+                    np.minimum.at(least, code[at[p]], w)
+                    good = w <= least[code[at[p]]]
+                    p, q, w = p[good], q[good], w[good]
+                    one, two = a.keys[at[p]], b.keys[q]
+                    found.append((comp[at[p]], other[q], w, np.minimum(one, two), np.maximum(one, two)))
+        if found:
+            c, o, w, low, high = (np.concatenate(v) for v in zip(*found))
+            order = np.lexsort((high, low, w, c))
+            first = order[np.r_[True, c[order][1:] != c[order][:-1]]] if len(order) else order
+            yield pa.RecordBatch.from_arrays([pa.array(v[first]) for v in (c, o, w, low, high)], ["comp", "other", "w", "lo", "hi"])
+
+    return together(pairs, ix, ix, work, "comp long, other long, w double, lo long, hi long", packed.select("block", "extra"), both=True)
 
 
 def _joined(best: DataFrame) -> DataFrame:

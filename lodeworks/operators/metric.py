@@ -6,37 +6,127 @@ triangle inequality two rows differ at least by the difference of their distance
 is a lower bound for all their pairs, and blocks farther apart than the question asks are never brought together.
 
 Bounds come from summaries of blocks, a thousandth of the rows, which are compared in groups; the table itself moves only where a pair of
-blocks is left. Neither a pair of rows nor the table ever stands in one place.
+blocks is left. Blocks meet in cells of two stripes of STRIPE_BYTES at most, so that a block moves once for a stripe, not once for each block that it
+meets. Neither a pair of rows nor the table ever stands in one place.
+
+In a cell a product of matrices tells which pairs of rows can't be within reach, by a bound for its rounding; distances themselves are taken by
+differences, of the few pairs that are left.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from lodeworks.functions.storage import materialised
 
 BLOCK = 1024
+#: Blocks that a partition of an index has, about.
+DEALT = 8
 #: Pivots at most, and the rows, picked by a hash, that they are chosen from.
 PIVOTS, SAMPLE = 128, 4096
 #: Summaries of blocks that are compared at a time.
 GROUP = 256
+#: Stripes that a table is cut into at least, where each has STRIPE_ROWS rows; bytes of vectors that one has at most, about.
+STRIPES, STRIPE_ROWS, STRIPE_BYTES = 12, 2048, 64 << 20
+#: Rows of a block that are held against another block at a time.
+CHUNK = 512
 
 
 @dataclass
 class Index:
-    """``blocks``: (block, n, keys, weights, x, low, high), the last five packed as int64 and double; ``n_blocks`` of them."""
+    """``blocks``: (block, n, keys, weights, x, low, high), the last five packed as int64 and double; ``n_blocks`` of them, of ``n`` rows."""
 
     blocks: DataFrame
     n_blocks: int
     dim: int
     pivots: np.ndarray
+    n: int
+
+    @property
+    def stripes(self) -> int:
+        return max(1, min(self.n_blocks, max(-(-self.n * self.dim * 8 // STRIPE_BYTES), min(STRIPES, self.n // STRIPE_ROWS))))
+
+    def stripe(self, block: str, parts: int) -> Column:
+        """The stripe of a block, which rises with its number."""
+        place = F.shiftright(block, 32) * DEALT + F.least(F.col(block).bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(DEALT - 1))
+        return F.floor(place * self.stripes / (parts * DEALT)).cast("int")
+
+
+@dataclass
+class Block:
+    """A block in a task: rows in order of keys."""
+
+    number: int
+    keys: np.ndarray
+    weights: np.ndarray
+    x: np.ndarray
+    extra: bytes | None
+
+    @cached_property
+    def squares(self) -> np.ndarray:
+        return np.einsum("ij,ij->i", self.x, self.x)
+
+    @cached_property
+    def top(self) -> float:
+        return float(self.squares.max(initial=0))
+
+    @cached_property
+    def left(self) -> np.ndarray:
+        return np.concatenate([self.x, np.ones((len(self.x), 1))], 1)
+
+    @cached_property
+    def right(self) -> np.ndarray:
+        return np.concatenate([self.x, -self.squares[:, None] / 2], 1)
+
+    @cached_property
+    def short(self) -> tuple[np.ndarray, np.ndarray]:
+        """``left`` and ``right`` in single precision."""
+        return self.left.astype(np.float32), self.right.astype(np.float32)
+
+
+class Product:
+    """x y - y y / 2 of some rows x of a block and all rows y of another, which is x x / 2 less half their squared distance, and what it says of distances.
+    In single precision, unless squares of lengths would come near the ends of its range."""
+
+    def __init__(self, a: Block, at: np.ndarray, b: Block):
+        self.a, self.at, self.b = a, at, b
+        single = 1e-12 < b.top < 1e30 and a.top < 1e30
+        self.value = a.short[0][at] @ b.short[1].T if single else a.left[at] @ b.right.T
+        # No squared distance is farther from the one by differences than this, however either, or a limit, was rounded.
+        self.slack = (1e-6 if single else 2e-15) * (a.x.shape[1] + 4) * (a.squares[at] + b.top)
+
+    def _from(self, limit: np.ndarray) -> np.ndarray:
+        hit = self.value >= limit.astype(self.value.dtype)[:, None]
+        if not np.isfinite(self.slack).all():  # what overflowed may be near
+            hit = ~(self.value < limit[:, None])
+        return hit
+
+    def possible(self, reach: np.ndarray) -> np.ndarray:
+        """Which pairs may be within ``reach`` of their rows."""
+        return self._from((self.a.squares[self.at] - reach * reach - self.slack) / 2)
+
+    def sure(self, reach: np.ndarray) -> np.ndarray:
+        return self.value >= ((self.a.squares[self.at] - reach * reach + self.slack) / 2).astype(self.value.dtype)[:, None]
+
+    def first(self, k: int) -> np.ndarray:
+        """Which pairs may be among the k nearest of their rows."""
+        n = self.value.shape[1]
+        if n <= k:
+            return np.ones(self.value.shape, bool)
+        return self._from(np.partition(self.value, n - k, axis=1)[:, n - k] - self.slack)
+
+    def exact(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        return beside_distances(self.a.x, self.at[p], self.b.x, q)
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -47,6 +137,33 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(out)
 
 
+def places(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.nonzero of a table of flags of which few are set."""
+    rows = np.flatnonzero(hit.any(1))
+    p, q = np.nonzero(hit[rows])
+    return rows[p], q
+
+
+def beside_distances(a: np.ndarray, p: np.ndarray, b: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """``distances`` of the rows p of ``a`` from the rows q of ``b``, one pair each, to the last digit."""
+    out = np.zeros(len(p))
+    for lo in range(0, len(p), 4096):
+        x, y, part = a[p[lo : lo + 4096]], b[q[lo : lo + 4096]], out[lo : lo + 4096]
+        for d in range(a.shape[1]):
+            part += (x[:, d] - y[:, d]) ** 2
+    return np.sqrt(out)
+
+
+def all_distances(a: Block, at: np.ndarray, b: Block) -> np.ndarray:
+    """``distances`` of rows of ``a`` from all rows of ``b``, by a product where that leaves ten digits, else by differences."""
+    scale = a.squares[at][:, None] + b.squares[None]
+    squared = scale - 2 * (a.x[at] @ b.x.T)
+    p, q = places(~(squared > 1e-3 * scale))
+    d = np.sqrt(np.maximum(squared, 0))
+    d[p, q] = beside_distances(a.x, at[p], b.x, q)
+    return d
+
+
 def whole(vector: Column) -> Column:
     """True for vectors without a missing component."""
     x = vector.cast("array<double>")
@@ -121,9 +238,9 @@ def index(rows: DataFrame, dim: int, pivots: np.ndarray, block: int = BLOCK) ->
             yield full()
 
     placed = rows.select("k", "w", "x").mapInArrow(place, "k long, w long, x array<double>, p long, d double")
-    dealt = placed.repartitionByRange(max(1, -(-n // (8 * block))), "p", "d", "k").sortWithinPartitions("p", "d", "k")
+    dealt = placed.repartitionByRange(max(1, -(-n // (DEALT * block))), "p", "d", "k").sortWithinPartitions("p", "d", "k")
     blocks = materialised(dealt.mapInArrow(pack, _BLOCK_SCHEMA), "blocks")
-    return Index(blocks, blocks.count(), dim, pivots)
+    return Index(blocks, blocks.count(), dim, pivots, n)
 
 
 def unpacked(data: bytes, kind=np.float64) -> np.ndarray:
@@ -202,3 +319,39 @@ def brought_together(pairs: DataFrame, left: Index, right: Index, beside: DataFr
         return blocks.select(F.col("block").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in names])
 
     return pairs.join(side(left.blocks, "a", beside is not None), "a").join(side(right.blocks, "b", beside is not None and both), "b")
+
+
+def together(pairs: DataFrame, left: Index, right: Index, work: Callable[[list[tuple[Block, list[tuple[Block, float]]]]], Iterator[pa.RecordBatch]], schema: str, beside: DataFrame | None = None, both: bool = False) -> DataFrame:
+    """What ``work`` makes of the pairs (a, b, bound) of blocks, a cell at a time: for each block of ``left`` its partners, those of the least bound first.
+    With ``beside`` (block, extra binary) the blocks of ``left``, if ``both`` those of ``right`` too, have ``extra``, None where there is no row for them.
+
+    A cell is all pairs of two stripes, and is given to ``work`` once. Of a stripe only blocks that have a partner in the other are sent."""
+    parts = [ix.blocks.agg(F.coalesce(F.max(F.shiftright("block", 32)), F.lit(0))).first()[0] + 1 for ix in (left, right)]
+    cells = pairs.select(left.stripe("a", parts[0]).alias("ga"), right.stripe("b", parts[1]).alias("gb"), "a", "b", "bound")
+    none = F.lit(None).cast("binary")
+
+    def side(ix: Index, s: str, kind: int, extra: bool) -> DataFrame:
+        blocks = ix.blocks.select("block", "keys", "weights", "x")
+        blocks = blocks.join(beside, "block", "left") if extra else blocks.withColumn("extra", none)
+        needed = cells.select("ga", "gb", F.col(s).alias("block")).distinct()
+        return needed.join(blocks, "block").select("ga", "gb", F.lit(kind).alias("kind"), "block", F.lit(None).cast("long").alias("other"), F.lit(None).cast("double").alias("bound"), "keys", "weights", "x", "extra")
+
+    met = cells.select("ga", "gb", F.lit(0).alias("kind"), F.col("a").alias("block"), F.col("b").alias("other"), "bound", none.alias("keys"), none.alias("weights"), none.alias("x"), none.alias("extra"))
+    rows = met.union(side(left, "a", 1, beside is not None)).union(side(right, "b", 2, beside is not None and both))
+    own, dim = to_arrow_schema(StructType.fromDDL(schema)), left.dim
+
+    def cell(table: pa.Table) -> pa.Table:
+        kind, number = table["kind"].to_numpy(), table["block"].to_numpy()
+        blocks: dict[tuple[int, int], Block] = {}
+        for i in np.flatnonzero(kind):
+            k, w, x, extra = (table[c][int(i)].as_py() for c in ("keys", "weights", "x", "extra"))
+            blocks[int(kind[i]), int(number[i])] = Block(int(number[i]), unpacked(k, np.int64), unpacked(w, np.int64), unpacked(x).reshape(-1, dim), extra)
+        at = np.flatnonzero(kind == 0)
+        a, b, bound = number[at], table["other"].take(at).to_numpy(), table["bound"].take(at).to_numpy()
+        partners: dict[int, list[tuple[Block, float]]] = {}
+        for i in np.lexsort((b, bound, a)):
+            partners.setdefault(int(a[i]), []).append((blocks[2, int(b[i])], float(bound[i])))
+        return pa.Table.from_batches(list(work([(blocks[1, n], others) for n, others in partners.items()])), own)
+
+    # Three partitions a cell, as cells meet by chance in one.
+    return rows.repartition(3 * left.stripes * right.stripes, "ga", "gb").groupBy("ga", "gb").applyInArrow(cell, schema)

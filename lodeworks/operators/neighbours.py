@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from lodeworks.functions.storage import materialised
-from lodeworks.operators.metric import BLOCK, Index, brought_together, distances, index, near_blocks, padded, pivots_of, unpacked, whole
+from lodeworks.operators.metric import BLOCK, CHUNK, Block, Index, Product, index, near_blocks, padded, pivots_of, places, together, unpacked, whole
 
 #: Blocks that a block meets in the first rounds; the last round has no limit.
 ROUNDS = (4, 32)
+#: Stands where a list of neighbours has none yet.
+NOBODY = np.iinfo(np.int64).max
 
 
 def rounds(n_blocks: int) -> list[int | None]:
@@ -74,33 +76,45 @@ def copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, nodes.select(F.col("node").alias("k"), "w", "x")
 
 
-def _keys(batch: pa.RecordBatch, i: int, s: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    k, w, x = (batch.column(f"{s}_{c}")[i].as_py() for c in ("keys", "weights", "x"))
-    k = unpacked(k, np.int64)
-    return k, unpacked(w, np.int64), unpacked(x).reshape(len(k), -1)
-
-
 def _compared(pairs: DataFrame, left: Index, right: Index, k: int, beside: DataFrame | None) -> DataFrame:
-    """(a, q, neighbour, distance): for each query the k nearest of each pair of blocks, as far as its bound in ``beside`` reaches."""
-    bounded = beside is not None
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                (ka, _, xa), (kb, _, xb) = _keys(batch, i, "a"), _keys(batch, i, "b")
-                own = batch.column("a_extra")[i].as_py() if bounded else None
-                reach = unpacked(own) if own else np.full(len(ka), np.inf)
-                open_ = np.flatnonzero(reach >= batch.column("bound")[i].as_py())
-                for lo in range(0, len(open_), 256):
-                    at = open_[lo : lo + 256]
-                    d = distances(xa[at], xb)
-                    best = np.argsort(d, axis=1, kind="stable")[:, :k]  # rows of b are in order of keys
-                    dist = np.take_along_axis(d, best, 1)
-                    good = (dist <= reach[at][:, None]).ravel()
-                    n = int(good.sum())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, batch.column("a")[i].as_py())), pa.array(np.repeat(ka[at], best.shape[1])[good]), pa.array(kb[best].ravel()[good]), pa.array(dist.ravel()[good])], ["a", "q", "neighbour", "distance"])
-
-    return brought_together(pairs, left, right, beside).mapInArrow(work, "a long, q long, neighbour long, distance double")
+    """(a, q, neighbour, distance): for each query the k nearest of each cell, as far as its bound in ``beside`` reaches."""
+
+    def work(met: list[tuple[Block, list[tuple[Block, float]]]]) -> Iterator[pa.RecordBatch]:
+        for a, others in met:
+            n = len(a.keys)
+            reach = unpacked(a.extra).copy() if a.extra else np.full(n, np.inf)
+            dist, near = np.full((n, k), np.inf), np.full((n, k), NOBODY)
+            for b, bound in others:
+                open_ = np.flatnonzero(reach >= bound)
+                for lo in range(0, len(open_), CHUNK):
+                    at = open_[lo : lo + CHUNK]
+                    product = Product(a, at, b)
+                    hit = product.possible(reach[at])
+                    endless = np.flatnonzero(np.isinf(reach[at]))
+                    if len(endless):
+                        hit[endless] = Product(a, at[endless], b).first(k)
+                    p, q = places(hit)
+                    d = product.exact(p, q)
+                    good = d <= reach[at][p]
+                    _taken(dist, near, reach, at[p[good]], d[good], b.keys[q[good]])
+            p, r = np.nonzero(near != NOBODY)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), a.number)), pa.array(a.keys[p]), pa.array(near[p, r]), pa.array(dist[p, r])], ["a", "q", "neighbour", "distance"])
+
+    return together(pairs, left, right, work, "a long, q long, neighbour long, distance double", beside)
+
+
+def _taken(dist: np.ndarray, near: np.ndarray, reach: np.ndarray, p: np.ndarray, d: np.ndarray, keys: np.ndarray) -> None:
+    """Puts what was found for rows p into their lists of the nearest, in order of (distance, key), and lowers their reach to the end of a full list."""
+    rows, at = np.unique(p, return_inverse=True)
+    k = dist.shape[1]
+    place, far, name = np.concatenate([np.repeat(np.arange(len(rows)), k), at]), np.concatenate([dist[rows].ravel(), d]), np.concatenate([near[rows].ravel(), keys])
+    order = np.lexsort((name, far, place))
+    place = place[order]
+    rank = np.arange(len(place)) - np.searchsorted(place, np.arange(len(rows)))[place]
+    keep = rank < k
+    dist[rows[place[keep]], rank[keep]] = far[order][keep]
+    near[rows[place[keep]], rank[keep]] = name[order][keep]
+    reach[rows] = np.minimum(reach[rows], dist[rows, k - 1])
 
 
 def _reached(left: Index, best: DataFrame, k: int) -> DataFrame:
@@ -171,29 +185,25 @@ def nearest(queries: DataFrame, points: DataFrame, key: str, vector: str, k: int
 
 
 def _near(ix: Index, eps: float, work: Callable, schema: str, beside: DataFrame | None = None, report: dict | None = None) -> DataFrame:
-    """``work``(same block, a, b, distances) for every pair of blocks of an index that may hold rows within ``eps``, each pair once."""
+    """``work`` for every pair of blocks of an index that may hold rows within ``eps``, each pair once; see ``together``."""
     pairs = near_blocks(ix, ix, eps, once=True)
     if report is not None:
         report |= {"block_pairs": ix.n_blocks * (ix.n_blocks + 1) // 2, "compared": pairs.count()}
-
-    flagged = beside is not None
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                a, b = _keys(batch, i, "a"), _keys(batch, i, "b")
-                extra = [batch.column(f"{s}_extra")[i].as_py() for s in "ab"] if flagged else (None, None)
-                yield from work(batch.column("a")[i].as_py() == batch.column("b")[i].as_py(), (*a, extra[0]), (*b, extra[1]))
-
-    return brought_together(pairs, ix, ix, beside, both=True).mapInArrow(each, schema)
+    return together(pairs, ix, ix, work, schema, beside, both=True)
 
 
-def _links(a: np.ndarray, b: np.ndarray, eps: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of pairs within ``eps``, of one block each pair once."""
-    for lo in range(0, len(a), 256):
-        p, q = np.nonzero(distances(a[lo : lo + 256], b) <= eps)
-        p = p + lo
-        yield (p[p < q], q[p < q]) if same else (p, q)
+def _linked(a: Block, b: Block, eps: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, which pairs are within ``eps``) of some rows of ``a`` and all of ``b`` at a time; no row is near itself."""
+    for lo in range(0, len(a.keys), CHUNK):
+        at = np.arange(lo, min(len(a.keys), lo + CHUNK))
+        product, reach = Product(a, at, b), np.full(len(at), eps)
+        hit, maybe = product.sure(reach), product.possible(reach)
+        if np.count_nonzero(hit) != np.count_nonzero(maybe):
+            p, q = places(maybe & ~hit)
+            hit[p, q] = product.exact(p, q) <= eps
+        if a.number == b.number:
+            hit[np.arange(len(at)), at] = False
+        yield lo, hit
 
 
 def within(df: DataFrame, key: str, vector: str, eps: float, block: int = BLOCK, report: dict | None = None) -> DataFrame:
@@ -202,12 +212,17 @@ def within(df: DataFrame, key: str, vector: str, eps: float, block: int = BLOCK,
     (own,), dim = numbered([df], key, vector)
     rows = own.rows.select("k", F.lit(1).cast("long").alias("w"), "x")
 
-    def work(same: bool, a: tuple, b: tuple) -> Iterator[pa.RecordBatch]:
-        for p, q in _links(a[2], b[2], eps, same):
-            one, other = a[0][p], b[0][q]
-            apart = one != other
-            one, other = one[apart], other[apart]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([one, other])), pa.array(np.concatenate([other, one]))], [key, "neighbour"])
+    def work(met: list[tuple[Block, list[tuple[Block, float]]]]) -> Iterator[pa.RecordBatch]:
+        for a, others in met:
+            for b, _ in others:
+                for lo, hit in _linked(a, b, eps):
+                    p, q = places(hit)
+                    one, other = a.keys[lo + p], b.keys[q]
+                    apart = one != other
+                    one, other = one[apart], other[apart]
+                    if a.number != b.number:
+                        one, other = np.concatenate([one, other]), np.concatenate([other, one])
+                    yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(other)], [key, "neighbour"])
 
     found = _near(index(rows, dim, pivots_of(rows, dim, block), block), eps, work, f"`{key}` long, neighbour long", report=report)
     return own.named(found, (key, "neighbour"))
@@ -216,20 +231,26 @@ def within(df: DataFrame, key: str, vector: str, eps: float, block: int = BLOCK,
 def node_counts(ix: Index, eps: float, report: dict | None = None) -> DataFrame:
     """(k, n): how many rows, copies counted, are no farther than ``eps`` from each node, itself left out with its copies."""
 
-    def work(same: bool, a: tuple, b: tuple) -> Iterator[pa.RecordBatch]:
-        n, m = np.zeros(len(a[0]), np.int64), np.zeros(len(b[0]), np.int64)
-        for p, q in _links(a[2], b[2], eps, same):
-            np.add.at(n, p, b[1][q])
-            np.add.at(n if same else m, q, a[1][p])
-        for keys, own in ((a[0], n), (b[0], m)):
-            at = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(own[at])], ["k", "n"])
+    def work(met: list[tuple[Block, list[tuple[Block, float]]]]) -> Iterator[pa.RecordBatch]:
+        counts: dict[int, tuple[Block, np.ndarray]] = {}
+        of = lambda b: counts.setdefault(b.number, (b, np.zeros(len(b.keys), np.int64)))[1]
+        for a, others in met:
+            for b, _ in others:
+                n, m = of(a), of(b)
+                for lo, hit in _linked(a, b, eps):
+                    own, some = a.weights[lo : lo + len(hit)], hit.astype(float)
+                    n[lo : lo + len(hit)] += (some @ b.weights.astype(float)).astype(np.int64)
+                    if a.number != b.number:
+                        m += (own.astype(float) @ some).astype(np.int64)
+        for b, n in counts.values():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(b.keys[at]), pa.array(n[at])], ["k", "n"])
 
     return _near(ix, eps, work, "k long, n long", report=report).groupBy("k").agg(F.sum("n").alias("n"))
 
 
 def count_within(df: DataFrame, key: str, vector: str, eps: float, block: int = BLOCK, report: dict | None = None) -> DataFrame:
-    """(key, n_neighbours): how many other rows are no farther than ``eps``, where there is one. A pair of blocks returns a row a node."""
+    """(key, n_neighbours): how many other rows are no farther than ``eps``, where there is one. A cell returns a row a node."""
     (own,), dim = numbered([df], key, vector)
     members, nodes = copies(own.rows)
     counts = node_counts(index(nodes, dim, pivots_of(nodes, dim, block), block), eps, report)

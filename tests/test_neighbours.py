@@ -213,3 +213,49 @@ def test_single_linkage_and_reachability(spark):
 
     walk(root, None)
     assert sorted(tuple(r) for r in hierarchy.reachability(table(spark, x), "id", "v", 5, 64, 40).collect()) == sorted(order)
+
+
+@pytest.fixture
+def striped(monkeypatch):
+    monkeypatch.setattr(metric, "STRIPE_ROWS", 40)
+
+
+def test_a_block_moves_once_for_a_stripe(spark, striped):
+    x = np.random.default_rng(3).normal(size=(400, 6))  # no structure: every block meets every other
+    rows = spark.createDataFrame([(i, 1, list(map(float, v))) for i, v in enumerate(x)], "k long, w long, x array<double>")
+    ix = metric.index(rows, 6, metric.pivots_of(rows, 6, 8), 8)
+    pairs = metric.near_blocks(ix, ix, float("inf"), once=True)
+
+    def work(met):
+        sent = {(0, a.number) for a, _ in met} | {(1, b.number) for _, others in met for b, _ in others}
+        yield metric.pa.RecordBatch.from_arrays([metric.pa.array([len(sent)]), metric.pa.array([sum(len(o) for _, o in met)])], ["sent", "pairs"])
+
+    found = metric.together(pairs, ix, ix, work, "sent long, pairs long").agg({"sent": "sum", "pairs": "sum"}).first()
+    assert ix.stripes == 10
+    assert found["sum(pairs)"] == pairs.count() == ix.n_blocks * (ix.n_blocks + 1) // 2
+    assert found["sum(sent)"] <= 1.2 * ix.n_blocks * (ix.stripes + 1)  # not 2 for each pair
+
+
+@pytest.mark.parametrize("shift,scale", [(1000.0, 1.0), (0.0, 1e-9), (0.0, 1e20)])
+def test_products_lose_no_neighbour(spark, striped, shift, scale):
+    x = (np.random.default_rng(4).integers(0, 5, (170, 3)) / 4 + np.random.default_rng(5).choice([0, 1e-7], (170, 1)) + shift) * scale
+    df = table(spark, x)
+    d = metric.distances(x, x)
+    np.fill_diagonal(d, np.inf)
+    order = np.lexsort((np.broadcast_to(np.arange(len(x)), d.shape), d), axis=1)[:, :3]
+    got = {(r["id"], r["rank"]): (r["neighbour"], r["distance"]) for r in neighbours.nearest(df, df, "id", "v", 3, 16).collect()}
+    assert got == {(i, k + 1): (int(order[i, k]), d[i, order[i, k]]) for i in range(len(x)) for k in range(3)}
+    eps = float(np.sort(d[0])[7])
+    assert {tuple(r) for r in neighbours.count_within(df, "id", "v", eps, 16).collect()} == {(i, int(n)) for i, n in enumerate((d <= eps).sum(1)) if n}
+
+
+def test_silhouettes_equal_all_distances(spark, striped):
+    x = np.concatenate([clustered(150, 3, 1.0, 3, 3), [[5.0, 5.0, 5.0]] * 4])
+    labels = [*(i % 3 for i in range(150)), 1, 1, 2, 9]
+    df = spark.createDataFrame([(i, list(map(float, v)), labels[i]) for i, v in enumerate(x)], "id long, v array<double>, l int")
+    d = metric.distances(x, x)
+    got = {r["id"]: r["silhouette"] for r in cluster.silhouette(df, "id", "v", "l", 16).collect()}
+    for i in range(len(x)):
+        mean = {n: np.mean(own) for n in set(labels) if (own := [d[i, j] for j in range(len(x)) if labels[j] == n and j != i])}
+        a, b = mean.pop(labels[i], None), min(v for n, v in mean.items() if n != labels[i])
+        assert abs(got[i] - (0.0 if a is None else (b - a) / max(a, b))) < 1e-9
