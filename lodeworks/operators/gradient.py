@@ -3,7 +3,7 @@ network, and Gaussian-process surrogates on random features.
 
 Features are standardised by one aggregate. A round is one pass: parameters, of fixed size, go to the tasks; a task adds up the gradient of
 its rows, and the sums are added up by a shuffle of one row for each parameter and task. Fitting reads a table of features and target that is
-written once. Scoring is a vectorised function of the row.
+written once, with a row for equal ones and their number where that makes it much shorter. Scoring is a vectorised function of the row.
 
 Kernels are random Fourier features: the inner product of cos(w x + b) times sqrt(2 / D) over D draws of w and b has the Gaussian kernel
 exp(-gamma |x - y|^2) as its mean.
@@ -28,6 +28,8 @@ from lodeworks.functions.storage import materialised
 CHUNK = 2048
 #: Ranges of scores that a one-class round tells apart.
 SCORES = 64
+#: Equal rows become one with a weight where there are at least so many rows for each distinct one.
+COPIES = 4
 
 
 @dataclass
@@ -67,15 +69,31 @@ def features_of(df: DataFrame, cols: Sequence[str], draws: int | None = 128, gam
 
 
 def table_of(df: DataFrame, cols: Sequence[str], target: str | None = None) -> DataFrame:
-    """(x array, y) of the rows without a missing value, written once."""
+    """(x array, y, w) of the rows without a missing value, written once; ``w`` rows are equal to this one."""
     x = F.array(*[clean(F.col(c)) for c in cols])
     y = clean(F.col(target)) if target else F.lit(0.0)
     rows = df.select(x.alias("x"), y.alias("y"))
-    return materialised(rows.where(~F.exists("x", lambda v: v.isNull()) & F.col("y").isNotNull()), "training")
+    rows = materialised(rows.where(~F.exists("x", lambda v: v.isNull()) & F.col("y").isNotNull()), "training")
+    n, distinct = rows.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64("x", "y"))).first()
+    if n < COPIES * distinct:
+        return rows.withColumn("w", F.lit(1.0))
+    return materialised(rows.groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("w")), "distinct-training")
 
 
-def summed(table: DataFrame, size: int, part: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-    """The sum over all rows of ``part``(x, y), an array of ``size`` numbers for a chunk of rows."""
+def rows_of(table: DataFrame) -> float:
+    """How many rows the table of ``table_of`` stands for, 1 at least."""
+    return max(1.0, table.agg(F.sum("w")).first()[0] or 0.0)
+
+
+def spread_of(table: DataFrame) -> tuple[float, float]:
+    """Mean and deviation of the target; 0 and 1 where there are none."""
+    mean = table.agg(F.sum(F.col("w") * F.col("y")) / F.sum("w")).first()[0] or 0.0
+    square = table.agg(F.sum(F.col("w") * (F.col("y") - mean) * (F.col("y") - mean)) / F.sum("w")).first()[0] or 0.0
+    return mean, square**0.5 or 1.0
+
+
+def summed(table: DataFrame, size: int, part: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum over all rows of ``part``(x, y, w), an array of ``size`` numbers for a chunk of rows."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen = np.zeros(size), False
@@ -83,7 +101,7 @@ def summed(table: DataFrame, size: int, part: Callable[[np.ndarray, np.ndarray],
             for lo in range(0, batch.num_rows, CHUNK):
                 own = batch.slice(lo, CHUNK)
                 x = own.column(0).flatten().to_numpy().reshape(own.num_rows, -1)
-                total += part(x, own.column(1).to_numpy())
+                total += part(x, own.column(1).to_numpy(), own.column(2).to_numpy())
                 seen = True
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], ["i", "v"])
@@ -94,14 +112,14 @@ def summed(table: DataFrame, size: int, part: Callable[[np.ndarray, np.ndarray],
     return out
 
 
-def descended(table: DataFrame, start: np.ndarray, gradient: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], penalty: Callable[[np.ndarray], np.ndarray], rounds: int, rate: float, shrink: bool = True) -> np.ndarray:
-    """Parameters after ``rounds`` passes of Adam over the mean of ``gradient``(parameters, x, y) plus the gradient of a penalty; ``shrink``: steps shrink
+def descended(table: DataFrame, start: np.ndarray, gradient: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray], penalty: Callable[[np.ndarray], np.ndarray], rounds: int, rate: float, shrink: bool = True) -> np.ndarray:
+    """Parameters after ``rounds`` passes of Adam over the mean of ``gradient``(parameters, x, y, w) plus the gradient of a penalty; ``shrink``: steps shrink
     with the root of the round, as losses with edges need."""
-    n = max(1, table.count())
+    n = rows_of(table)
     theta, first, second = start.copy(), np.zeros_like(start), np.zeros_like(start)
     for t in range(1, rounds + 1):
         own = table.sparkSession.sparkContext.broadcast(theta)
-        g = summed(table, len(theta), lambda x, y, own=own: gradient(own.value, x, y)) / n + penalty(theta)
+        g = summed(table, len(theta), lambda x, y, w, own=own: gradient(own.value, x, y, w)) / n + penalty(theta)
         own.unpersist()
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         theta = theta - rate / (np.sqrt(t) if shrink else 1.0) * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-9)
@@ -138,28 +156,30 @@ class Machine:
         return _applied(df, self.features.cols, name, lambda x: (self.features(x) @ self.weights[: self.features.width] + (self.weights[-1] if len(self.weights) > self.features.width else 0.0) - self.rho) * self.spread + self.centre)
 
 
-def hinge_gradient(map_: Features, theta: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Of sum max(0, 1 - s (w z + b)), s = 1 for y > 0 and -1 else; theta is w and then b."""
+def hinge_gradient(map_: Features, theta: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray | float = 1.0) -> np.ndarray:
+    """Of the sum, weighted by ``w``, of max(0, 1 - s (v z + b)), s = 1 for y > 0 and -1 else; theta is v and then b."""
     z, s = map_(x), np.where(y > 0, 1.0, -1.0)
-    short = -s * (1 - s * (z @ theta[:-1] + theta[-1]) > 0)
+    short = -s * w * (1 - s * (z @ theta[:-1] + theta[-1]) > 0)
     return np.append(short @ z, short.sum())
 
 
-def tube_gradient(map_: Features, epsilon: float, theta: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Of sum max(0, |w z + b - y| - epsilon)."""
+def tube_gradient(map_: Features, epsilon: float, theta: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray | float = 1.0) -> np.ndarray:
+    """Of the sum, weighted by ``w``, of max(0, |v z + b - y| - epsilon)."""
     z = map_(x)
     miss = z @ theta[:-1] + theta[-1] - y
-    side = np.sign(miss) * (np.abs(miss) > epsilon)
+    side = w * np.sign(miss) * (np.abs(miss) > epsilon)
     return np.append(side @ z, side.sum())
 
 
-def lowest_sums(map_: Features, w: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """For each of SCORES ranges of the score w z the number of rows in it and the sum of their features."""
+def lowest_sums(map_: Features, v: np.ndarray, x: np.ndarray, w: np.ndarray | float = 1.0) -> np.ndarray:
+    """For each of SCORES ranges of the score v z the number of rows in it and the sum of their features, weighted by ``w``."""
     z = map_(x)
-    reach = np.sqrt(2 * (w * w).sum()) + 1e-12  # no score is farther from 0
-    at = np.clip(((z @ w / reach + 1) * (SCORES / 2)).astype(int), 0, SCORES - 1)
-    out = np.zeros((SCORES, len(w) + 1))
-    np.add.at(out, at, np.concatenate([np.ones((len(z), 1)), z], 1))
+    reach = np.sqrt(2 * (v * v).sum()) + 1e-12  # no score is farther from 0
+    at = np.clip(((z @ v / reach + 1) * (SCORES / 2)).astype(int), 0, SCORES - 1)
+    out, order = np.zeros((SCORES, len(v) + 1)), np.argsort(at, kind="stable")
+    first = np.flatnonzero(np.r_[True, at[order][1:] != at[order][:-1]])
+    own = np.broadcast_to(w, len(z))[order]
+    out[at[order][first]] = np.add.reduceat(np.concatenate([own[:, None], z[order] * own[:, None]], 1), first)
     return out.ravel()
 
 
@@ -178,11 +198,10 @@ def kernel_machine(df: DataFrame, cols: Sequence[str], target: str, task: str =
     map_, table = features_of(df, cols, draws, gamma, seed), table_of(df, cols, target)
     centre, spread = 0.0, 1.0
     if task == "regression":
-        row = table.agg(F.avg("y"), F.stddev_pop("y")).first()
-        centre, spread = row[0] or 0.0, row[1] or 1.0
-        loss = lambda theta, x, y: tube_gradient(map_, epsilon, theta, x, (y - centre) / spread)
+        centre, spread = spread_of(table)
+        loss = lambda theta, x, y, w: tube_gradient(map_, epsilon, theta, x, (y - centre) / spread, w)
     else:
-        loss = lambda theta, x, y: hinge_gradient(map_, theta, x, y)
+        loss = lambda theta, x, y, w: hinge_gradient(map_, theta, x, y, w)
     theta = descended(table, np.zeros(map_.width + 1), loss, lambda t: np.append(penalty * t[:-1], 0.0), rounds, rate)
     return Machine(map_, theta, 0.0, centre, spread)
 
@@ -192,16 +211,16 @@ def one_class_machine(df: DataFrame, cols: Sequence[str], nu: float = 0.05, draw
     of the features, and each round moves them towards the mean of the ``nu`` rows with the lowest scores as far as that shortens them: to the shortest
     vector among the means of all ways to weigh rows, none with more than 1 / (nu n). The offset is the exact quantile of all scores."""
     map_, table = features_of(df, cols, draws, gamma, seed), table_of(df, cols)
-    w = summed(table, map_.width, lambda x, _: map_(x).sum(0)) / max(1, table.count())
+    w = summed(table, map_.width, lambda x, _, n: n @ map_(x)) / rows_of(table)
     for _ in range(rounds):
         own = table.sparkSession.sparkContext.broadcast(w)
-        sums = summed(table, SCORES * (map_.width + 1), lambda x, _, own=own: lowest_sums(map_, own.value, x))
+        sums = summed(table, SCORES * (map_.width + 1), lambda x, _, n, own=own: lowest_sums(map_, own.value, x, n))
         own.unpersist()
         step = w - mean_of_lowest(sums, nu)  # a subgradient of half the squared length less the mean of the lowest scores
         length = float((step * step).sum())
         w = w - min(1.0, max(0.0, float((w * step).sum()) / max(length, 1e-300))) * step
     found = Machine(map_, w)
-    limit = exact_quantiles(found.score(df), {"score": [nu]})["score"][0]
+    limit = exact_quantiles(materialised(found.score(df).select("score"), "scores"), {"score": [nu]})["score"][0]
     return Machine(map_, w, limit or 0.0)
 
 
@@ -228,12 +247,12 @@ def network_output(theta: np.ndarray, sizes: Sequence[int], z: np.ndarray) -> np
     return (z @ layers[-1][0] + layers[-1][1])[:, 0]
 
 
-def network_gradient(theta: np.ndarray, sizes: Sequence[int], z: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Of half the sum of squared errors."""
+def network_gradient(theta: np.ndarray, sizes: Sequence[int], z: np.ndarray, y: np.ndarray, n: np.ndarray | float = 1.0) -> np.ndarray:
+    """Of half the sum of squared errors, weighted by ``n``."""
     layers, held = _split(theta, sizes), [z]
     for w, b in layers[:-1]:
         held.append(np.tanh(held[-1] @ w + b))
-    back = held[-1] @ layers[-1][0] + layers[-1][1] - y[:, None]
+    back = (held[-1] @ layers[-1][0] + layers[-1][1] - y[:, None]) * np.reshape(n, (-1, 1))
     parts = []
     for (w, _), inner in zip(reversed(layers), reversed(held)):
         parts += [back.sum(0), (inner.T @ back).ravel()]
@@ -256,11 +275,10 @@ class Network:
 def regression_network(df: DataFrame, cols: Sequence[str], target: str, hidden: Sequence[int] = (16,), rounds: int = 150, rate: float = 0.05, penalty: float = 1e-4, seed: int = 0) -> Network:
     """A network of tanh layers for a numeric target, by gradients summed over all rows in each round. Rows with a missing value are not learned from."""
     map_, table = features_of(df, cols, None), table_of(df, cols, target)
-    row = table.agg(F.avg("y"), F.stddev_pop("y")).first()
-    centre, spread, sizes = row[0] or 0.0, row[1] or 1.0, [len(cols), *hidden, 1]
+    (centre, spread), sizes = spread_of(table), [len(cols), *hidden, 1]
     rng = np.random.default_rng(seed)
     start = np.concatenate([np.append(rng.normal(0, 1 / np.sqrt(a), a * b), np.zeros(b)) for a, b in zip(sizes, sizes[1:])])
-    theta = descended(table, start, lambda t, x, y: network_gradient(t, sizes, map_.standard(x), (y - centre) / spread), lambda t: penalty * t, rounds, rate, shrink=False)
+    theta = descended(table, start, lambda t, x, y, w: network_gradient(t, sizes, map_.standard(x), (y - centre) / spread, w), lambda t: penalty * t, rounds, rate, shrink=False)
     return Network(map_, theta, sizes, centre, spread)
 
 
@@ -300,9 +318,10 @@ def gaussian_surrogate(df: DataFrame, cols: Sequence[str], target: str, draws: i
     map_, table = features_of(df, cols, draws, gamma, seed), table_of(df, cols, target)
     d = map_.width
 
-    def part(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def part(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
         z = map_(x)
-        return np.append((z.T @ z).ravel(), z.T @ y)
+        own = z * w[:, None]
+        return np.append((own.T @ z).ravel(), own.T @ y)
 
     sums = summed(table, d * d + d, part)
     covariance = inverse(sums[: d * d].reshape(d, d) / noise + np.eye(d) / prior)

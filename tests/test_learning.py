@@ -277,3 +277,19 @@ def test_fold_scores_equal_fits(spark):
         z = np.column_stack([np.ones(200), x[:, at] - 1e4])
         w = np.linalg.lstsq(z[cut != k], y[cut != k], rcond=None)[0]
         assert n == (cut == k).sum() and abs(rmse - np.sqrt(np.mean((y - z @ w)[cut == k] ** 2))) < 1e-6
+
+
+def test_equal_rows_are_learned_from_as_one_with_a_weight(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 4, (600, 2)).astype(float)
+    rows = [(float(a), float(b), float(a + b > 3)) for a, b in x] + [(None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "a double, b double, y double").repartition(3)
+    table = gradient.table_of(df, ("a", "b"), "y")
+    assert table.count() == len({r for r in rows if r[0] is not None}) and gradient.rows_of(table) == 600
+    short = gradient.kernel_machine(df, ("a", "b"), "y", draws=16, rounds=8), gradient.one_class_machine(df, ("a", "b"), 0.1, 16, rounds=4)
+    assert np.allclose(gradient.spread_of(table), (np.mean([r[2] for r in rows[:-1]]), np.std([r[2] for r in rows[:-1]])))
+    monkeypatch.setattr(gradient, "COPIES", 1000)
+    assert gradient.table_of(df, ("a", "b"), "y").count() == 600
+    long = gradient.kernel_machine(df, ("a", "b"), "y", draws=16, rounds=8), gradient.one_class_machine(df, ("a", "b"), 0.1, 16, rounds=4)
+    for one, other in zip(short, long):
+        assert np.allclose(one.weights, other.weights, atol=1e-9) and abs(one.rho - other.rho) < 1e-9
