@@ -23,6 +23,8 @@ AVAILABLE = {
     "regression": {"linear": LinearRegression, "glm": GeneralizedLinearRegression, "tree": DecisionTreeRegressor, "forest": RandomForestRegressor, "boosting": GBTRegressor},
     "classification": {"logistic": LogisticRegression, "svm": LinearSVC, "tree": DecisionTreeClassifier, "forest": RandomForestClassifier, "boosting": GBTClassifier, "neural": MultilayerPerceptronClassifier},
 }
+#: Rows of a partition that models are fitted to, about.
+PART_ROWS = 1_000_000
 #: Ranges that a search takes unless told otherwise; this library's choice.
 DEFAULTS = {
     "linear": {"regParam": [0.0, 0.01, 0.1]}, "logistic": {"regParam": [0.0, 0.01, 0.1]}, "svm": {"regParam": [0.01, 0.1]},
@@ -56,8 +58,12 @@ def pipeline(df: DataFrame, features: Sequence[str], target: str, model: str, ta
 
 
 def fit(df: DataFrame, features: Sequence[str], target: str, model: str, task: str, **parameters) -> PipelineModel:
-    """The pipeline fitted to ``df``, of which features and target are written once: every stage reads them again."""
+    """The pipeline fitted to ``df``, of which features and target are written once: every stage reads them again. Tree models keep whole partitions
+    as objects, many times the size of what Parquet holds, so none has many more than PART_ROWS rows."""
     own = materialised(df.select(*features, target), "training")
+    parts = -(-own.count() // PART_ROWS)
+    if parts > own.rdd.getNumPartitions():
+        own = own.repartition(parts)
     return pipeline(own, features, target, model, task, **parameters).fit(own)
 
 

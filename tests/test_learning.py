@@ -293,3 +293,16 @@ def test_equal_rows_are_learned_from_as_one_with_a_weight(spark, monkeypatch):
     long = gradient.kernel_machine(df, ("a", "b"), "y", draws=16, rounds=8), gradient.one_class_machine(df, ("a", "b"), 0.1, 16, rounds=4)
     for one, other in zip(short, long):
         assert np.allclose(one.weights, other.weights, atol=1e-9) and abs(one.rho - other.rho) < 1e-9
+
+
+def test_models_are_fitted_to_bounded_partitions(spark, monkeypatch):
+    from lodeworks.operators import model
+
+    df = spark.createDataFrame([(float(i % 7), float(i % 7 > 3) * 5 + i % 2) for i in range(400)], "a double, y double").coalesce(1)
+    seen, plain = [], model.pipeline
+    monkeypatch.setattr(model, "pipeline", lambda own, *a, **k: (seen.append(own.rdd.getNumPartitions()), plain(own, *a, **k))[1])
+    whole = model.fit(df, ("a",), "y", "boosting", "regression", maxIter=2, seed=1)
+    monkeypatch.setattr(model, "PART_ROWS", 50)
+    parts = model.fit(df, ("a",), "y", "boosting", "regression", maxIter=2, seed=1)
+    assert seen == [1, 8]
+    assert np.allclose(*([r["prediction"] for r in model.predict(m, df).orderBy("a", "y").collect()] for m in (whole, parts)))
