@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -18,6 +18,7 @@ from pyspark.sql.types import BooleanType, NumericType
 
 from lodeworks.functions.storage import materialised
 from lodeworks.operators.evaluate import fold
+from lodeworks.operators.moments import PARAMETERS, moments
 
 AVAILABLE = {
     "regression": {"linear": LinearRegression, "glm": GeneralizedLinearRegression, "tree": DecisionTreeRegressor, "forest": RandomForestRegressor, "boosting": GBTRegressor},
@@ -87,34 +88,67 @@ def _metric(task: str, target: str):
     return RegressionEvaluator(labelCol=target, metricName="rmse") if task == "regression" else BinaryClassificationEvaluator(labelCol=target)
 
 
+Case = tuple[Mapping, Sequence[int], Sequence[int]]
+
+
+def _scorer(cut: DataFrame, features: Sequence[str], target: str, model: str, task: str, grid: Sequence[Mapping], parallel: int) -> Callable[[Sequence[Case]], list[float]]:
+    """A function of (parameters, cells to train on, cells to score) cases to their metrics. ``cut`` has the cell of each row in ``_cell``.
+    Linear models of numbers come from moments by cell, two passes for any number of cases; others are fitted side by side to the rows."""
+    known = moments(cut, features, target, "_cell") if task == "regression" and model == "linear" and all(set(g) <= PARAMETERS for g in grid) else None
+
+    def fitted_rows(case: Case) -> float:
+        parameters, train, test = case
+        own = cut.where(F.col("_cell").isin(*train))
+        fitted = pipeline(own, features, target, model, task, **parameters).fit(own)
+        return float(_metric(task, target).evaluate(fitted.transform(cut.where(F.col("_cell").isin(*test)))))
+
+    def score(cases: Sequence[Case]) -> list[float]:
+        sets = {tuple(train): None for _, train, _ in cases}
+        if known:
+            sets = {train: known.training(train) for train in sets}
+
+        def one(case: Case) -> float:
+            parameters, train, test = case
+            own = sets[tuple(train)]
+            return known.rmse(own, parameters, test) if own and known.over(test)[0, 0] > 0 else fitted_rows(case)
+
+        with ThreadPool(max(1, parallel)) as pool:
+            return pool.map(one, cases, 1)
+
+    return score
+
+
 def cross_validate(df: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, model: str, task: str, grid: Sequence[Mapping], folds: int = 3, parallel: int = 4) -> DataFrame:
     """(parameters, fold, metric) of each parameter set and fold: RMSE, or area under the ROC curve. Folds come from an md5 of the keys,
     so they are the same in every run. ``parallel`` fits run at a time, as Spark jobs side by side over one written table."""
-    cut = materialised(df.withColumn("_fold", fold(keys, folds)).select(*features, target, "_fold"), "folds")
+    cut = materialised(df.withColumn("_cell", fold(keys, folds)).select(*features, target, "_cell"), "folds")
+    cases = [(parameters, [i for i in range(folds) if i != k], [k]) for parameters in grid for k in range(folds)]
+    metrics = _scorer(cut, features, target, model, task, grid, parallel)(cases)
+    return df.sparkSession.createDataFrame([(_name(parameters), test[0], m) for (parameters, _, test), m in zip(cases, metrics)], "parameters string, fold int, metric double")
 
-    def one(case: tuple[Mapping, int]) -> tuple[str, int, float]:
-        parameters, k = case
-        fitted = pipeline(cut, features, target, model, task, **parameters).fit(cut.where(F.col("_fold") != k))
-        return str(dict(sorted(parameters.items()))), k, float(_metric(task, target).evaluate(fitted.transform(cut.where(F.col("_fold") == k))))
 
-    with ThreadPool(max(1, parallel)) as pool:
-        rows = pool.map(one, [(parameters, k) for parameters in grid for k in range(folds)])
-    return df.sparkSession.createDataFrame(rows, "parameters string, fold int, metric double")
+def _name(parameters: Mapping) -> str:
+    return str(dict(sorted(parameters.items())))
 
 
-def nested_cross_validate(df: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, model: str, task: str, grid: Sequence[Mapping], outer: int = 3, inner: int = 2) -> DataFrame:
+def nested_cross_validate(df: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, model: str, task: str, grid: Sequence[Mapping], outer: int = 3, inner: int = 2, parallel: int = 4) -> DataFrame:
     """(fold, parameters, metric): in each outer fold the parameters that win the inner folds of its training rows, and what they reach on the
-    rows left out."""
-    own = materialised(df.withColumn("_outer", fold(keys, outer, seed=1)).select(*dict.fromkeys([*keys, *features, target, "_outer"])), "outer-folds")
-    rows = []
+    rows left out. A cell holds the rows of one outer and one inner fold, in one table written for all."""
+    cut = materialised(df.withColumn("_cell", fold(keys, outer, seed=1) * inner + fold(keys, inner)).select(*features, target, "_cell"), "outer-folds")
+    score = _scorer(cut, features, target, model, task, grid, parallel)
+    cells = lambda out, own: [o * inner + i for o in range(outer) for i in range(inner) if out(o) and own(i)]
+    tries = [(k, g, i) for k in range(outer) for g in grid for i in range(inner)]
+    reached = score([(g, cells(lambda o: o != k, lambda j: j != i), cells(lambda o: o != k, lambda j: j == i)) for k, g, i in tries])
+    best = []
     for k in range(outer):
-        train = own.where(F.col("_outer") != k)
-        means = cross_validate(train, keys, features, target, model, task, grid, inner).groupBy("parameters").agg(F.avg("metric").alias("m")).collect()
-        best = sorted(means, key=lambda r: (r["m"] if task == "regression" else -r["m"], r["parameters"]))[0]["parameters"]
-        chosen = next(g for g in grid if str(dict(sorted(g.items()))) == best)
-        fitted = pipeline(train, features, target, model, task, **chosen).fit(train)
-        rows.append((k, best, float(_metric(task, target).evaluate(fitted.transform(own.where(F.col("_outer") == k))))))
-    return df.sparkSession.createDataFrame(rows, "fold int, parameters string, metric double")
+        found: dict[str, list[float]] = {}
+        for (at, g, _), m in zip(tries, reached):
+            if at == k:
+                found.setdefault(_name(g), []).append(m if task == "regression" else -m)
+        best.append(min(found, key=lambda name: (sum(found[name]) / len(found[name]), name)))
+    chosen = [next(g for g in grid if _name(g) == name) for name in best]
+    metrics = score([(g, cells(lambda o: o != k, lambda j: True), cells(lambda o: o == k, lambda j: True)) for k, g in enumerate(chosen)])
+    return df.sparkSession.createDataFrame(list(zip(range(outer), best, metrics)), "fold int, parameters string, metric double")
 
 
 def objectives(candidates: DataFrame, fitted: Mapping[str, PipelineModel]) -> DataFrame:

@@ -306,3 +306,37 @@ def test_models_are_fitted_to_bounded_partitions(spark, monkeypatch):
     parts = model.fit(df, ("a",), "y", "boosting", "regression", maxIter=2, seed=1)
     assert seen == [1, 8]
     assert np.allclose(*([r["prediction"] for r in model.predict(m, df).orderBy("a", "y").collect()] for m in (whole, parts)))
+
+
+def test_linear_folds_from_moments_equal_fits_to_rows(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    n = 400
+    a, b, c = rng.normal(1e6, 1, n), rng.integers(0, 50, n), rng.normal(0, 1e-3, n)
+    y = 5 * (a - 1e6) + 0.1 * b - 1000 * c + rng.normal(0, 0.5, n) + 200
+    gap = [None if k % 7 == 0 else float("nan") if k % 11 == 0 else float(v) for k, v in enumerate(c)]
+    rows = [(i, float(a[i]), int(b[i]), gap[i], 0.1, float(y[i]), 3 * float(b[i]), None if i % 5 == 0 else int(b[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, a double, b int, c double, same double, y double, exact double, holed int").repartition(3)
+    grid = [{"regParam": r, "elasticNetParam": e, "fitIntercept": i, "standardization": s} for r, e, i, s in ((0.0, 0.0, True, True), (0.3, 0.0, True, False), (5.0, 0.0, False, True), (0.5, 0.5, True, True), (1e6, 1.0, True, True))]
+    cases = [(("a", "b", "c", "same"), "y", grid), (("b",), "exact", grid[:2]), (("a", "b"), "same", grid[:1])]
+    cases += [(("a", "holed"), "y", grid[:1]), (("b", "exact"), "y", grid[1:2])]  # left to fits to the rows
+    by_rows = lambda *_: None
+    for features, target, tried in cases:
+        found = []
+        for how in (model.moments, by_rows):
+            with monkeypatch.context() as m:
+                m.setattr(model, "moments", how)
+                found.append(model.cross_validate(df, ["id"], features, target, "linear", "regression", tried, 2).collect())
+                if features == ("b",):
+                    found[-1] += model.nested_cross_validate(df, ["id"], features, target, "linear", "regression", tried, 2, 2).select("parameters", "fold", "metric").collect()
+        got, want = found
+        assert [r[:2] for r in got] == [r[:2] for r in want]
+        assert np.allclose([r["metric"] for r in got], [r["metric"] for r in want], rtol=1e-6, atol=1e-9), (features, target, got, want)
+
+
+def test_nested_folds_read_rows_a_fixed_number_of_times(spark, monkeypatch):
+    df = spark.range(500).select("id", F.rand(1).alias("a"), F.rand(2).alias("y"))
+    written, store = [], model.materialised
+    monkeypatch.setattr(model, "materialised", lambda df, name: written.append(name) or store(df, name))
+    monkeypatch.setattr(model, "pipeline", None)  # a fit to the rows themselves reads them several times for each fold and parameter set
+    model.nested_cross_validate(df, ["id"], ("a",), "y", "linear", "regression", model.grid_search({"regParam": [0.0, 0.1, 0.2]}), 3, 3)
+    assert written == ["outer-folds"]
