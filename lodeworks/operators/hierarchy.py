@@ -51,7 +51,8 @@ def _packed_rows(ix: Index, rows: DataFrame) -> DataFrame:
                 keys = unpacked(batch.column(1)[i].as_py(), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), batch.column(0)[i].as_py())), pa.array(keys)], ["block", "k"])
 
-    where = ix.blocks.select("block", "keys").mapInArrow(unfolded, "block long, k long")
+    # Both sides have a row a node; Spark takes ``where`` for as small as the blocks are many, so it is kept from being broadcast.
+    where = ix.blocks.select("block", "keys").mapInArrow(unfolded, "block long, k long").hint("merge")
     each = where.join(rows, "k").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("k", "comp", "core", "limit"))).alias("rows"))  # of one block each
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -191,6 +191,16 @@ def test_clusters_equal_brute_force(spark, x, size, single, steps):
         assert got[p][0] == name and abs(got[p][1] - strength) < 1e-9, p
 
 
+def test_rows_of_blocks_are_not_broadcast(spark, monkeypatch):
+    nodes = table(spark, clustered(300)).selectExpr("id AS k", "1L AS w", "v AS x")
+    ix = metric.index(nodes, 3, metric.pivots_of(nodes, 3, 64), 64)
+    monkeypatch.setattr(hierarchy, "materialised", lambda df, name: df)
+    found = hierarchy._packed_rows(ix, nodes.selectExpr("k", "k % 2 AS comp", "0.5D AS core", "0D AS least", "double(k) AS limit"))
+    rows = {r["block"]: r for r in found.collect()}
+    assert len(rows) == ix.n_blocks and max(r["limit"] for r in rows.values()) == 299 and {r["part"] for r in rows.values()} == {None}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_single_linkage_and_reachability(spark):
     x = clustered(100, 6, 1.0, 2, 5)
     edges, core = slow_tree(x, 1)

@@ -11,6 +11,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lodeworks.functions.joins import spread_join
 from lodeworks.functions.quantiles import exact_quantiles
 from lodeworks.functions.running import running
 from lodeworks.operators import cluster, design, evaluate, explain, graph, isolation, model, neighbours, prepare, profile, project, select
@@ -153,6 +154,15 @@ def test_components_of_a_long_path(spark):
     assert {got[i] for i in range(51)} == {0} and got[101] == 100
 
 
+def test_repeated_keys_of_a_join_are_not_broadcast(spark):
+    many = spark.range(4000).selectExpr("id % 500 AS k", "id")
+    few = spark.range(800).selectExpr("id % 400 AS k", "id AS m").groupBy("k").agg(F.min("m").alias("m"))
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        found = spread_join(many, few, ["k"], ["id"], how)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, many.join(few, "k", how).collect()))
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_centroid_indices_of_far_clusters(spark):
     x = [[0, 0], [0, 1], [100, 0], [100, 1]]
     df = vectors(spark, x).withColumn("label", (F.col("id") >= 2).cast("int"))
